@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import quality_rules, token_counts, url_rules, vector_sharding
-from .common import table
+from . import quality_rules, simhash_balls, token_counts, token_planes, url_rules, vector_sharding
+from .common import scratch, table
 
 
 def vocabulary(name: str) -> str:
@@ -22,6 +23,12 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", *quality_rules.BASE, "base_failed", "kept")
 
 
+def op2_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark)
+    token_planes.write(table(spark, sf_dir, "documents").select("doc_id", "text"), path, vocabulary("byte_bpe_50k.json"), "byte", end_id=0)
+    return token_planes.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op3_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
 
@@ -34,6 +41,11 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"))
 
 
+def op10_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_balls.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), radius=4)
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
