@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import quality_rules, simhash_balls, token_counts, token_planes, url_rules, vector_sharding
+from . import bestfit_packing, quality_rules, simhash_balls, substring_dedup, token_counts, token_planes, url_rules, vector_sharding
 from .common import scratch, table
 
 
@@ -41,6 +41,16 @@ def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), window=13)
+    return found.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = bestfit_packing.pack_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("word_bpe_49k.json"), "word", end_id=0, capacity=2048)
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op10_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_balls.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
