@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit_packing, quality_rules, simhash_balls, substring_dedup, token_counts, token_planes, url_rules, vector_sharding
+from . import bestfit_packing, decontamination, quality_rules, simhash_balls, substring_dedup, token_counts, token_planes, url_rules, vector_sharding
 from .common import scratch, table
 
 
@@ -33,6 +33,10 @@ def op3_vector_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=16)
 
 
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.hits(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary("piece_bpe_32k.model"))
 
