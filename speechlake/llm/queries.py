@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit_packing, decontamination, quality_rules, simhash_balls, substring_dedup, token_counts, token_planes, url_rules, vector_sharding
+from . import bestfit_packing, decontamination, line_dedup, quality_rules, simhash_balls, substring_dedup, token_counts, token_planes, url_rules, vector_sharding
 from .common import scratch, table
 
 
@@ -55,6 +55,11 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines_kept"), F.col("_sl_removed").alias("n_removed"), F.crc32("text").alias("kept_crc32"), F.md5("text").alias("kept_md5"))
+
+
 def op10_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash_balls.classes(table(spark, sf_dir, "documents").select("doc_id", "text"), radius=4)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
