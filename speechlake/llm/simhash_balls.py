@@ -55,17 +55,18 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = (), shingle: int = 4) -> DataFrame:
-    """doc_id, fp (the 64 bits as a long). No shuffle."""
+    """doc_id, the columns in keep, fp (the 64 bits as a long). No shuffle."""
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *keep, F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8").alias("_sl_text"), F.coalesce(F.octet_length(text), F.lit(0)).alias("_sl_size"))
+    own = ["doc_id", *keep]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column, out = b.column("text"), []
+            column, out = b.column("_sl_text"), []
             for lo, hi in slices(b.column("_sl_size").to_pylist()):
                 out += [fingerprint(t, shingle) for t in column.slice(lo, hi - lo).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(np.array(out, dtype=np.uint64).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in own), pa.array(np.array(out, dtype=np.uint64).view(np.int64))], names=[*own, "fp"])
 
-    t = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.col(doc_id).alias("doc_id"), F.encode(t, "utf-8").alias("text"), F.octet_length(t).alias("_sl_size")).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, rows.select(*own, F.lit(0).cast("long").alias("fp")).schema)
 
 
 def _flips(bits: range, most: int) -> list[np.uint64]:
@@ -121,12 +122,20 @@ def links(fps: DataFrame, n_fps: int, radius: int = 4) -> DataFrame:
     return sent.groupBy("_sl_prefix").applyInPandas(meet, "a long, b long").distinct()
 
 
-def classes(docs: DataFrame, radius: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable) for every row of docs."""
-    rows = written(fingerprints(docs, text, doc_id))
+def classes(docs: DataFrame, radius: int = 4, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, the columns in keep, fp, root (of the component), component_id (smallest doc_id reachable)."""
+    rows = written(fingerprints(docs, text, doc_id, keep))
     distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("_sl_first")))
     roots = components(links(distinct, distinct.count(), radius))
     joined = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "_sl_first", F.coalesce("root", "fp").alias("_sl_root"))
     named = written(joined).groupBy("_sl_root").agg(F.min("_sl_first").alias("component_id"))
-    of = written(joined.join(named, "_sl_root").select(F.col("fp").alias("_sl_fp"), "component_id"))
-    return rows.join(of, F.col("fp") == F.col("_sl_fp")).select("doc_id", "fp", "component_id")
+    of = written(joined.join(named, "_sl_root").select(F.col("fp").alias("_sl_fp"), F.col("_sl_root").alias("root"), "component_id"))
+    return rows.join(of, F.col("fp") == F.col("_sl_fp")).select("doc_id", *keep, "fp", "root", "component_id")
+
+
+def dedup(docs: DataFrame, radius: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with one row of each component: the one with the smallest doc_id (of repeated rows, any one)."""
+    rows = written(docs.withColumn("_sl_row", F.monotonically_increasing_id()))
+    found = written(classes(rows, radius, text, doc_id, keep=("_sl_row",)))
+    stays = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_sl_row")).alias("_sl_w")).select(F.col("_sl_w._sl_row").alias("_sl_row"))
+    return rows.join(written(stays), "_sl_row", "left_semi").select(*docs.columns)
