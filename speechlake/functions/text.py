@@ -83,7 +83,7 @@ def seconds_of(hms: Column) -> Column:
 
 def hms_of(seconds: Column) -> Column:
     whole = seconds.cast("long")
-    return F.format_string("%02d:%02d:%02d", F.floor(whole / 3600).cast("long"), F.floor(whole % 3600 / 60).cast("long"), (whole % 60).cast("long"))
+    return F.when(seconds.isNotNull(), F.format_string("%02d:%02d:%02d", F.floor(whole / 3600).cast("long"), F.floor(whole % 3600 / 60).cast("long"), (whole % 60).cast("long")))
 
 
 def stable_id(prefix: str, json: Column, newline: bool = False) -> Column:

@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def given(value: Column, f) -> Column:
+    """f(value) with value computed once: a lambda variable is not expanded again."""
+    return F.transform(F.array(value), f)[0]
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
 
@@ -34,11 +39,14 @@ def slerp_weights(cos: Column, alpha: float, eps: float = 1e-6) -> tuple[Column,
 
 def slerp(a: Column, b: Column, alpha: float, eps: float = 1e-6) -> Column:
     """Direction on the sphere, length linear."""
-    na, nb = F.greatest(norm(a), F.lit(eps)), F.greatest(norm(b), F.lit(eps))
-    wa, wb = slerp_weights(dot(a, b) / (na * nb), alpha, eps)
-    blend = F.zip_with(a, b, lambda x, y: x.cast("double") / na * wa + y / nb * wb)
-    scale = (na * alpha + nb * (1 - alpha)) / F.greatest(norm(blend), F.lit(eps))
-    return F.transform(blend, lambda x: x * scale)
+
+    def blended(s: Column) -> Column:
+        wa, wb = slerp_weights(s["cos"], alpha, eps)
+        weights = F.struct((wa / s["na"]).alias("a"), (wb / s["nb"]).alias("b"), (s["na"] * alpha + s["nb"] * (1 - alpha)).alias("length"))
+        return given(weights, lambda w: given(F.zip_with(a, b, lambda x, y: x.cast("double") * w["a"] + y * w["b"]), lambda v: given(w["length"] / F.greatest(norm(v), F.lit(eps)), lambda k: F.transform(v, lambda x: x * k))))
+
+    lengths = F.struct(F.greatest(norm(a), F.lit(eps)).alias("na"), F.greatest(norm(b), F.lit(eps)).alias("nb"), dot(a, b).alias("ab"))
+    return given(lengths, lambda s: given(F.struct(s["na"].alias("na"), s["nb"].alias("nb"), (s["ab"] / (s["na"] * s["nb"])).alias("cos")), blended))
 
 
 def log_blend(a: Column, b: Column, alpha: float, eps: float = 1e-8) -> Column:

@@ -113,10 +113,10 @@ def response(rows: DataFrame, seed: str, alpha: str, value: str) -> DataFrame:
     return at.groupBy(alpha).agg(F.count("*").alias("n"), F.round(F.avg("_p"), 6).alias("mean"), F.round(F.coalesce(F.stddev_samp("_p"), F.lit(0.0)), 6).alias("sd")).withColumn("error", F.round(F.col("mean") - F.col(alpha), 6))
 
 
-def monotonicity(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    w = W.partitionBy(by).orderBy(order)
+def monotonicity(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
+    w = W.partitionBy(by).orderBy(*order)
     steps = rows.where(F.col(value).isNotNull()).withColumn("_p", F.lag(value).over(w))
-    one = steps.groupBy(by).agg(F.count("*").alias("n"), F.bool_and(F.col("_p") <= F.col(value) + 1e-6).alias("_up"), F.bool_and(F.col("_p") >= F.col(value) - 1e-6).alias("_down"))
+    one = steps.groupBy(by).agg(F.count("*").alias("n"), F.coalesce(F.bool_and(F.col("_p") <= F.col(value) + 1e-6), F.lit(True)).alias("_up"), F.coalesce(F.bool_and(F.col("_p") >= F.col(value) - 1e-6), F.lit(True)).alias("_down"))
     return one.select(by, "n", F.when(F.col("n") < 3, "insufficient").when(F.col("_up"), "increasing").when(F.col("_down"), "decreasing").otherwise("non-monotone").alias("response"))
 
 

@@ -11,10 +11,6 @@ from ..sources import sinks
 from ..tables import scratch, table
 
 
-def lit(x):
-    return F.lit(x)
-
-
 @query("SELECT n_nationkey AS system_id, item_id AS text_id, n_nationkey || '__' || item_id AS job_id FROM nation, benchmark")
 def j07_job_matrix(spark, sf_dir):
     return E.matrix(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("system_id")), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("text_id")))
@@ -133,10 +129,10 @@ def a13_response_curve(spark, sf_dir):
     return E.response(v, "l_orderkey", "alpha", "value").select("alpha", "n", F.round("mean", 4).alias("mean"))
 
 
-@query("""WITH o AS (SELECT l_orderkey, l_quantity AS v, lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS p FROM lineitem)
+@query("""WITH o AS (SELECT l_orderkey, l_quantity AS v, lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS p FROM lineitem)
   SELECT l_orderkey, count(*) AS n, CASE WHEN count(*) < 3 THEN 'insufficient' WHEN bool_and(p <= v + 1e-6) THEN 'increasing' WHEN bool_and(p >= v - 1e-6) THEN 'decreasing' ELSE 'non-monotone' END AS response FROM o GROUP BY 1""")
 def w11_monotonicity(spark, sf_dir):
-    return E.monotonicity(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_quantity")
+    return E.monotonicity(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber", "l_quantity"], "l_quantity")
 
 
 @query("SELECT count(value) AS n, round(avg(value), 4) AS mean FROM events")
@@ -226,7 +222,7 @@ def a11_status_rollup(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("run"), F.col("event_type").alias("state")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT o_orderkey, o_orderpriority, row_number() OVER w AS rank, count(*) OVER (PARTITION BY o_orderpriority) >= 8 AS enough FROM orders QUALIFY rank <= 8 WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey)")
+@query("SELECT o_orderkey, o_orderpriority, row_number() OVER w AS rank, count(*) OVER (PARTITION BY o_orderpriority) >= 8 AS enough FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) QUALIFY rank <= 8")
 def w02_top_per_stratum(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_totalprice")
     return control.top_per_stratum(o, "o_orderpriority", ["o_totalprice", "o_orderkey"], 8).select("o_orderkey", "o_orderpriority", "rank", "enough")

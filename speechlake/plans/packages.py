@@ -115,9 +115,6 @@ def a17_table_fingerprint(spark, sf_dir):
     return aggregate.tree_digest(sinks.write_shards(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), scratch(spark), ["doc_id"], 100))
 
 
-_WIN = f"SELECT audio_sha256, text, min((lang, doc_id)) AS w, count(*) AS n FROM {UTT} GROUP BY ALL"
-
-
 @query(f"SELECT audio_sha256, md5(text) AS text_md5, min(lang || '#' || lpad(doc_id::VARCHAR, 12, '0')) AS kept, count(*) AS n FROM {UTT} GROUP BY audio_sha256, text")
 def a04_dedup_winner(spark, sf_dir):
     w = aggregate.winners(utterances(spark, sf_dir), ["audio_sha256", "text"], ORDER)
@@ -134,7 +131,7 @@ def a05_conflicts(spark, sf_dir):
     return aggregate.conflicts(utterances(spark, sf_dir)).select("audio_sha256", F.size("texts").cast("long").alias("n_texts"), "n_rows")
 
 
-_KEPT = f"""(SELECT audio_sha256, text, min(lang || '#' || lpad(doc_id::VARCHAR, 12, '0')) AS w FROM {UTT} GROUP BY ALL QUALIFY count(*) OVER (PARTITION BY audio_sha256) = 1)"""
+_KEPT = f"""(SELECT audio_sha256, text, min(lang || '#' || lpad(doc_id::VARCHAR, 12, '0')) AS w FROM {UTT} WHERE audio_sha256 IN (SELECT audio_sha256 FROM {UTT} GROUP BY 1 HAVING count(DISTINCT text) = 1) GROUP BY audio_sha256, text)"""
 
 
 @query(f"SELECT audio_sha256, md5(text) AS text_md5, w AS kept FROM {_KEPT}")

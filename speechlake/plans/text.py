@@ -69,9 +69,9 @@ def t06_japanese_normalise(spark, sf_dir):
     return rows.select("doc_id", F.md5("j.text").alias("text_md5"), F.size("j.events").cast("long").alias("n_events"))
 
 
-@query("""WITH v AS (SELECT list(DISTINCT c) AS v FROM (SELECT unnest(string_split(text, '')) AS c FROM documents WHERE lang = 'en'))
+@query("""WITH v AS (SELECT list(DISTINCT c) AS v FROM (SELECT unnest(string_split(text, '')) AS c FROM documents WHERE lang = 'en')), d AS (SELECT doc_id, text, v FROM documents, v)
   SELECT doc_id, (CASE WHEN regexp_matches(text, '[㐀-䶿一-鿿豈-﫿]') THEN 'han;' ELSE '' END) || (CASE WHEN regexp_matches(text, '[\\x00-\\x1f\\x7f-\\x9f]') THEN 'control;' ELSE '' END) || (CASE WHEN contains(text, '�') THEN 'replacement_character;' ELSE '' END)
-    || (CASE WHEN len(list_filter(string_split(text, ''), lambda c: NOT list_contains((SELECT v FROM v), c))) > 0 THEN 'oov;' ELSE '' END) AS failures FROM documents""")
+    || (CASE WHEN len(list_filter(list_distinct(string_split(text, '')), lambda c: NOT list_contains(v, c))) > 0 THEN 'oov;' ELSE '' END) AS failures FROM d""")
 def t07_output_validation(spark, sf_dir):
     d = docs(spark, sf_dir)
     vocab = corpus.tokens(d.where("lang = 'en'")).distinct().agg(F.collect_set("token").alias("_v"))

@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """file, line (from 1), value. A file is read as one value, so its lines keep their numbers."""
-    files = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^﻿", "").alias("_t"))
+    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("_t"))
     lines = files.select("file", F.posexplode(F.split("_t", "\r?\n")).alias("_i", "value"), F.size(F.split("_t", "\r?\n")).alias("_n"))
     return lines.where((F.col("value") != "") | (F.col("_i") < F.col("_n") - 1)).select("file", (F.col("_i") + 1).alias("line"), "value")
 
@@ -35,7 +35,7 @@ def three_columns(spark: SparkSession, path: str) -> DataFrame:
 
 def sidecars(spark: SparkSession, path: str, suffix: str, tabbed: bool = False) -> DataFrame:
     """stem, text: the whole file, or what follows the tab in its first line."""
-    files = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter=f"*{suffix}")
     name = F.element_at(F.split("_metadata.file_path", "/"), -1)
     text = F.element_at(F.split(F.split("value", "\n")[0], "\t"), 2) if tabbed else F.regexp_replace("value", r"^\s+|\s+$", "")
     return files.select(F.substring_index(name, suffix, 1).alias("stem"), text.alias("text"))

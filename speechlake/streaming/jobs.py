@@ -8,6 +8,7 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..tables import scratch
@@ -26,11 +27,11 @@ def finished(df: DataFrame, mode: str, key: list[str] | None = None, order: str
         batch.withColumn("_batch", F.lit(number).cast("long")).write.mode("overwrite").parquet(f"{out}/n={number}")
 
     df.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    schema = df.schema.add("_batch", "long")
+    columns, schema = df.columns, StructType([*df.schema.fields, StructField("_batch", LongType())])
     rows = spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
     if not key:
         return rows.drop("_batch")
-    rest = [c for c in df.columns if c not in key]
+    rest = [c for c in columns if c not in key]
     return rows.groupBy(*key).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*key, "_r.*")
 
 
