@@ -51,7 +51,7 @@ class PieceCounter:
                 units.append([" " + x for x in t.split(" ")])
         known.turn()
         single, rest = self.single, []
-        for u in known.missing(u for us in units for u in us):
+        for u in known.missing(set().union(*units)):
             if u in single or u == " ":
                 known[u] = 1
             else:

@@ -16,6 +16,7 @@ Each stretch that is new to a worker goes through the library; its ids are kept
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -29,7 +30,7 @@ _PLAIN = re.compile("[\\n -~\u00a1-\u00ff]*")
 _BYTE_PARTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_PARTS = r"'(?:[sdmt]|ll|ve|re)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Stretches kept by a worker.
-KEPT = 800_000
+KEPT = 1_500_000
 
 
 class Recent(dict):
@@ -40,14 +41,15 @@ class Recent(dict):
         super().__init__()
         self.most, self.older = most, {}
 
-    def missing(self, keys) -> list:
+    def missing(self, keys: set) -> list:
         """Those of the keys that are in neither half; the others are in the newer half now."""
         out, older = [], self.older
-        for k in {k for k in keys if k not in self}:
-            if k in older:
-                self[k] = older[k]
-            else:
-                out.append(k)
+        for k in keys:
+            if k not in self:
+                if k in older:
+                    self[k] = older[k]
+                else:
+                    out.append(k)
         return out
 
     def turn(self) -> None:
@@ -68,6 +70,10 @@ class Encoder:
         self.tokenizer, self.kind = Tokenizer.from_file(file), kind
         self.known, self.parts = Recent(kept), Recent(kept // 2)
         self.split = regex.compile(_BYTE_PARTS if kind == "byte" else _WORD_PARTS).findall
+        # The byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ...
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        hidden = [b for b in range(256) if b not in shown]
+        self.letters = {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
 
     def units(self, text: str) -> list[str]:
@@ -78,28 +84,40 @@ class Encoder:
         first, *rest = text.split(" ")
         return [first, *[" " + x for x in rest]]
 
-    def pieces(self, unit: str) -> list[str]:
-        """The unit as the library's pattern cuts it; the whole unit where that isn't beyond doubt."""
-        if not _PLAIN.fullmatch(unit) or any(s in unit for s in self.special):
-            return [unit]
-        return self.split(unit if self.kind == "byte" else unit.lower())
+    def pieces(self, unit: str) -> list[str] | None:
+        """The unit as the library's pattern cuts it; None where that isn't beyond doubt."""
+        if not _PLAIN.fullmatch(unit) or "<|" in unit and any(s in unit for s in self.special):
+            return None
+        if self.kind == "word":
+            unit = unit.lower()
+        return [unit] if (unit[1:] if unit[:1] == " " else unit).isalpha() else self.split(unit)
+
+    def whole(self, units: list[str]) -> list[bytes]:
+        """Through the whole library: normaliser, special tokens, pattern and merges."""
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
 
-    def encode(self, stretches: list[str]) -> list[bytes]:
-        if not stretches:
-            return []
-        e = self.tokenizer.encode(stretches, is_pretokenized=True, add_special_tokens=False)
-        ids, ends = np.array(e.ids, dtype="<u4"), np.cumsum(np.bincount(np.array(e.word_ids, dtype=np.int64), minlength=len(stretches)))
-        return [ids[lo:hi].tobytes() for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+    def merged(self, pieces: list[str]) -> list[bytes]:
+        """Through the library's model alone: each piece is one stretch of its pattern already."""
+        tokenize, letters = self.tokenizer.model.tokenize, self.letters
+        shown = lambda p: p.replace(" ", letters[32]).replace("\n", letters[10]) if p.isascii() else p.encode().decode("latin-1").translate(letters)
+        return [array("I", [t.id for t in tokenize(shown(p))]).tobytes() for p in pieces]
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         known, parts, units = self.known, self.parts, [self.units(t) for t in texts]
         known.turn()
         parts.turn()
-        new = known.missing(u for us in units for u in us)
-        cut = [self.pieces(u) for u in new]
-        fresh = parts.missing(p for ps in cut for p in ps)
-        parts.update(zip(fresh, self.encode(fresh), strict=True))
-        known.update((u, b"".join([parts[p] for p in ps])) for u, ps in zip(new, cut, strict=True))
+        cut, unsure = [], []
+        for u in known.missing(set().union(*units)):
+            ps = self.pieces(u)
+            if ps is None:
+                unsure.append(u)
+            else:
+                cut.append((u, ps))
+        if unsure:
+            known.update(zip(unsure, self.whole(unsure), strict=True))
+        fresh = parts.missing(set().union(*[ps for _, ps in cut]))
+        parts.update(zip(fresh, self.merged(fresh), strict=True))
+        known.update((u, parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])) for u, ps in cut)
         get = known.__getitem__
         return [b"".join(map(get, us)) for us in units]
 
