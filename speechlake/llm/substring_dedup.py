@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -71,13 +72,13 @@ class Batch:
     def __init__(self, doc_ids: list, texts: list[bytes], window: int, bits: int):
         from xxhash import xxh64_intdigest
 
-        seen = once(("words", xxh64_intdigest), lambda: Recent(800_000))
+        seen = once(("words", xxh64_intdigest), lambda: Recent(400_000))
         seen.turn()
         self.words, self.window, self.bits = [t.split() for t in texts], window, bits
-        for w in seen.missing(w for ws in self.words for w in ws):
+        for w in seen.missing(set().union(*self.words)):
             seen[w] = xxh64_intdigest(w)
         self.sizes = np.array([len(ws) for ws in self.words], dtype=np.int64)
-        self.hash = np.fromiter((seen[w] for ws in self.words for w in ws), dtype=np.uint64, count=int(self.sizes.sum()))
+        self.hash = np.fromiter(map(seen.__getitem__, chain.from_iterable(self.words)), dtype=np.uint64, count=int(self.sizes.sum()))
         self.docs = np.array([_LAST if d is None else d for d in doc_ids], dtype=np.int64)
         n = max(0, len(self.hash) - window + 1)
         ends = np.repeat(np.cumsum(self.sizes), self.sizes)
