@@ -69,5 +69,38 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+_WORD = r"'[^\x20\x09-\x0D]+'"
+
+_OP1 = f"""
+WITH w AS (SELECT doc_id, lang, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, {_WORD})) AS ls FROM documents),
+  g AS (SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS g FROM w, unnest(range(1, len(w) - 3)) u(i)),
+  r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+  c AS (SELECT doc_id, count(DISTINCT p) AS n FROM r, unnest(range(i, i + 5)) u(p) GROUP BY 1),
+  f AS (SELECT w.doc_id, lang, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(c.n, 0)::BIGINT AS n_repeat_words, len(ls) AS n_lines, length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper
+    FROM w LEFT JOIN c ON w.doc_id = c.doc_id),
+  s AS (SELECT *, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed,
+    CASE WHEN word_chars > 0 THEN floor(10000 * n_symbols / word_chars) ELSE 0 END AS symbol, CASE WHEN n_words > 0 THEN floor(10000 * n_repeat_words / n_words) ELSE 0 END AS repeat,
+    CASE WHEN n_lines > 0 THEN floor(10000 * n_dup_lines / n_lines) ELSE 0 END AS dup_line, CASE WHEN word_chars > 0 THEN floor(10000 * n_upper / word_chars) ELSE 0 END AS shout FROM f),
+  good AS (SELECT doc_id FROM labels GROUP BY 1 HAVING min(quality) = 1),
+  x AS (UNPIVOT (SELECT lang, symbol, repeat, dup_line, shout FROM s SEMI JOIN good USING (doc_id)) ON symbol, repeat, dup_line, shout INTO NAME rule VALUE v),
+  k AS (SELECT lang, rule, cut, count(*) AS n, count(*) FILTER (WHERE v >= cut) AS k FROM x, unnest([{", ".join(map(str, quality_rules.GRID))}]) u(cut) GROUP BY ALL),
+  ok AS (SELECT lang, rule, cut, CASE WHEN k >= n * 0.0125 THEN 1.0 ELSE
+      list_sum(list_transform(range(0, k + 1), lambda j: exp(lgamma(n + 1) - lgamma(j + 1) - lgamma(n - j + 1) + j * ln(0.0125) + (n - j) * ln(0.9875)))) END <= 0.05 / (4 * (SELECT count(DISTINCT lang) FROM x)) AS ok FROM k),
+  p AS (SELECT lang, rule, cut, bool_and(ok) OVER (PARTITION BY lang, rule ORDER BY cut DESC ROWS UNBOUNDED PRECEDING) AS ok FROM ok),
+  cuts AS (SELECT lang, min(cut) FILTER (WHERE rule = 'symbol') AS a, min(cut) FILTER (WHERE rule = 'repeat') AS b, min(cut) FILTER (WHERE rule = 'dup_line') AS c, min(cut) FILTER (WHERE rule = 'shout') AS d FROM p WHERE ok GROUP BY 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT (coalesce(symbol >= a, false) OR coalesce(repeat >= b, false) OR coalesce(dup_line >= c, false) OR coalesce(shout >= d, false)) AS kept FROM s LEFT JOIN cuts USING (lang)"""
+
+_OP7 = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+  g AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g FROM w, unnest(range(1, len(w) - 11)) u(i)),
+  r AS (SELECT doc_id, i FROM g QUALIFY min(doc_id) OVER (PARTITION BY g) < doc_id),
+  c AS (SELECT DISTINCT doc_id, p FROM r, unnest(range(i, i + 13)) u(p)),
+  v AS (SELECT w.doc_id, string_agg(w[u.p], ' ' ORDER BY u.p) FILTER (WHERE c.p IS NULL) AS kept, count(c.p) AS n_removed FROM w, unnest(range(1, len(w) + 1)) u(p) LEFT JOIN c ON c.doc_id = w.doc_id AND c.p = u.p GROUP BY 1)
+SELECT w.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN v ON w.doc_id = v.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_quality_rules": _OP1, "op7_substring_dedup": _OP7}
