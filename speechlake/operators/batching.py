@@ -58,8 +58,10 @@ def _runs(histogram, most, drop_residual, room, full) -> list[Run]:
                 whole = (count - at) // size
                 out.append(Run(length, at, at + whole * size, batch, size))
                 at, batch = at + whole * size, batch + whole
-    if drop_residual and n:
-        out = [r for r in out if r.first < batch]
+    if drop_residual and out:
+        # The last batch was never closed, full or not.
+        last = batch if n else batch - 1
+        out = [r if r.first + (r.hi - r.lo) // r.size <= last else Run(r.length, r.lo, r.lo + (last - r.first) * r.size, r.first, r.size) for r in out if r.first < last]
     return out
 
 
