@@ -15,22 +15,36 @@ Each stretch that is new to a worker goes through the library; its ids are kept
 
 from __future__ import annotations
 
+import gc
 import re
 from array import array
 from collections.abc import Callable
+from contextlib import contextmanager
 
 import numpy as np
 
 #: Unicode White_Space (Python's \\s has four control characters more).
 _WS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _BYTE_UNIT = re.compile(f"[{_WS}]*[^{_WS}]+|[{_WS}]+")
-_BYTE_UNSURE = re.compile(f"[{_WS}] (?:[{_WS}]|\\Z)")
+_BEGINS_WHITE = re.compile(f"[{_WS}]|\\Z").match
 #: In these the pattern's letters, digits and spaces are the same for every Unicode version, and NFC changes nothing.
 _PLAIN = re.compile("[\\n -~\u00a1-\u00ff]*")
 _BYTE_PARTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_PARTS = r"'(?:[sdmt]|ll|ve|re)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Stretches kept by a worker.
-KEPT = 1_500_000
+KEPT = 1_200_000
+
+
+@contextmanager
+def no_collection():
+    """No cyclic garbage arises in here; without this, each collection walks the large tables."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
 
 
 class Recent(dict):
@@ -68,7 +82,8 @@ class Encoder:
         if kind not in ("byte", "word"):
             raise ValueError(kind)
         self.tokenizer, self.kind = Tokenizer.from_file(file), kind
-        self.known, self.parts = Recent(kept), Recent(kept // 2)
+        # Stretches after a space (byte) or between spaces (word); whole stretches; what the pattern makes of them.
+        self.known, self.lone, self.parts = Recent(kept), Recent(kept // 4), Recent(kept // 2)
         self.split = regex.compile(_BYTE_PARTS if kind == "byte" else _WORD_PARTS).findall
         # The byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ...
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -76,14 +91,6 @@ class Encoder:
         self.letters = {b: chr(256 + k) for k, b in enumerate(hidden)}
         self.special = tuple(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
 
-    def units(self, text: str) -> list[str]:
-        if self.kind == "word":
-            return text.split(" ")
-        if _BYTE_UNSURE.search(text):
-            return _BYTE_UNIT.findall(text)
-        first, *rest = text.split(" ")
-        return [first, *[" " + x for x in rest]]
-
     def pieces(self, unit: str) -> list[str] | None:
         """The unit as the library's pattern cuts it; None where that isn't beyond doubt."""
         if not _PLAIN.fullmatch(unit) or "<|" in unit and any(s in unit for s in self.special):
@@ -102,24 +109,47 @@ class Encoder:
         shown = lambda p: p.replace(" ", letters[32]).replace("\n", letters[10]) if p.isascii() else p.encode().decode("latin-1").translate(letters)
         return [array("I", [t.id for t in tokenize(shown(p))]).tobytes() for p in pieces]
 
-    def ids_of(self, texts: list[str]) -> list[bytes]:
-        known, parts, units = self.known, self.parts, [self.units(t) for t in texts]
-        known.turn()
-        parts.turn()
+    def learn(self, table: Recent, keys: set, before: str = "") -> None:
+        """Puts the ids of before + key into the table for every key."""
         cut, unsure = [], []
-        for u in known.missing(set().union(*units)):
-            ps = self.pieces(u)
-            if ps is None:
-                unsure.append(u)
+        for k in table.missing(keys):
+            if before and _BEGINS_WHITE(k):
+                table[k] = None  # a space before white space or the end is no sure place to cut
+            elif (ps := self.pieces(before + k)) is None:
+                unsure.append(k)
             else:
-                cut.append((u, ps))
+                cut.append((k, ps))
         if unsure:
-            known.update(zip(unsure, self.whole(unsure), strict=True))
+            table.update(zip(unsure, self.whole([before + k for k in unsure]), strict=True))
+        parts = self.parts
         fresh = parts.missing(set().union(*[ps for _, ps in cut]))
         parts.update(zip(fresh, self.merged(fresh), strict=True))
-        known.update((u, parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])) for u, ps in cut)
-        get = known.__getitem__
-        return [b"".join(map(get, us)) for us in units]
+        table.update((k, parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])) for k, ps in cut)
+
+    def ids_of(self, texts: list[str]) -> list[bytes]:
+        with no_collection():
+            return self._ids_of(texts)
+
+    def _ids_of(self, texts: list[str]) -> list[bytes]:
+        for t in (self.known, self.lone, self.parts):
+            t.turn()
+        units = [t.split(" ") for t in texts]
+        if self.kind == "word":
+            self.learn(self.known, set().union(*units))
+            get = self.known.__getitem__
+            return [b"".join(map(get, us)) for us in units]
+        heads = [us.pop(0) for us in units]
+        self.learn(self.known, set().union(*units), " ")
+        get, out, slow = self.known.__getitem__, [], {}
+        for i, us in enumerate(units):
+            try:
+                out.append(b"".join(map(get, us)))
+            except TypeError:
+                out.append(b"")
+                slow[i] = _BYTE_UNIT.findall(texts[i])
+        self.learn(self.lone, set(heads).union(*slow.values()))
+        lone = self.lone.__getitem__
+        return [b"".join(map(lone, slow[i])) if i in slow else lone(h) + x for i, (h, x) in enumerate(zip(heads, out, strict=True))]
 
 
 _ENCODERS: dict[tuple, object] = {}
