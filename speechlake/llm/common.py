@@ -1,62 +1,18 @@
-"""Shared pieces: the scratch folder, written intermediate tables, row numbering, components."""
+"""Shared pieces: what a word is, connected components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Sequence
-
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..tables import numbered, scratch, table, written
+
+__all__ = ["SPACE", "WORD", "components", "numbered", "scratch", "table", "written"]
+
 #: ASCII white space; every other character belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_OWN_SCRATCH: list[str] = []
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def scratch(spark: SparkSession) -> str:
-    """A fresh path in the folder that all executors share (``spark.checkpoint.dir``).
-
-    Only where that setting is missing (tests on one machine) a temporary folder is made."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not _OWN_SCRATCH:
-            _OWN_SCRATCH.append("file://" + tempfile.mkdtemp(prefix="speechlake-"))
-        base = _OWN_SCRATCH[0]
-    return f"{base.rstrip('/')}/speechlake-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
-    """df as a table in the shared folder: lineage ends there and lost executors cost nothing."""
-    spark, path = df.sparkSession, scratch(df.sparkSession)
-    df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def numbered(df: DataFrame, order: Sequence[str], to: str, group: str | None = None) -> DataFrame:
-    """Adds ``to``: 0, 1, 2, ... in ``order`` (within each ``group``), with no single task over all rows.
-
-    Range partitions are sorted, each row gets its place in its partition, and the (few) partition
-    counts give the offsets. Rows equal in ``order`` get neighbouring numbers in some order."""
-    keys = ([group] if group else []) + list(order)
-    part, cut = F.shiftright("_sl_row", 33), ["_sl_part"] + ([group] if group else [])
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = written(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_sl_row", F.monotonically_increasing_id())).withColumn("_sl_part", part)
-    runs = rows.groupBy(*cut).agg(F.min("_sl_row").alias("_sl_lo"), F.count("*").alias("_sl_n"))
-    before = (W.partitionBy(group) if group else W.partitionBy()).orderBy("_sl_part").rowsBetween(W.unboundedPreceding, -1)
-    runs = runs.withColumn("_sl_base", F.coalesce(F.sum("_sl_n").over(before), F.lit(0)))
-    # runs has at most (partitions + groups) rows, whatever the input: it may be broadcast.
-    out = rows.join(F.broadcast(runs.drop("_sl_n")), cut)
-    return out.withColumn(to, F.col("_sl_row") - F.col("_sl_lo") + F.col("_sl_base")).drop("_sl_row", "_sl_part", "_sl_lo", "_sl_base")
-
-
 def _pairs(df: DataFrame, a: str | Column, b: str | Column) -> DataFrame:
     return df.select((F.col(a) if isinstance(a, str) else a).alias("a"), (F.col(b) if isinstance(b, str) else b).alias("b"))
 
