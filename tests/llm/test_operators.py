@@ -342,7 +342,7 @@ def brute_lines(docs, min_words=5, similarity=0.8):
     find = lambda x: x if root[x] == x else find(root[x])
     for i in range(len(lines)):
         for j in range(i):
-            if (fps[i] ^ fps[j]).bit_count() <= 3 and edits(lines[i], lines[j]) <= int((1 - similarity) * max(len(lines[i]), len(lines[j])) + 1e-9):
+            if (fps[i] ^ fps[j]).bit_count() <= 3 and edits(lines[i].split(), lines[j].split()) <= int((1 - similarity) * max(len(lines[i].split()), len(lines[j].split())) + 1e-9):
                 root[find(i)] = find(j)
     of = {x: find(i) for i, x in enumerate(lines)}
     kept, gone = {}, defaultdict(set)
