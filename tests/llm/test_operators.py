@@ -328,7 +328,7 @@ def test_bounds_never_exceed_a_packing():
 
 
 def brute_lines(docs, min_words=5, similarity=0.8):
-    norm = lambda x: re.sub(r"[^0-9a-zà-ÿ]+", " ", x.lower()).strip()
+    norm = lambda x: " ".join(w for p in x.lower().split(" ") if (w := p.strip(line_dedup.PUNCTUATION)))
     seen = {(d, t) for d, t in docs if t is not None}
     places = sorted(((d is None, d or 0, d, t, i, norm(x)) for d, t in seen for i, x in enumerate(t.split("\n"))), key=lambda p: (p[0], p[1], p[4]))
     places = [p for p in places if len(p[5].split(" ")) >= min_words]
