@@ -1,15 +1,14 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters, digits and underscores, lower-cased. A first scan of all documents counts in
-how many of them each word n-gram of the test items occurs. Of every item the rarest half of its n-grams
-are its seeds, however often they occur: rarity only ranks an item's own n-grams, so an item that leaked
-into a third of all documents keeps its seeds. A second scan looks for seeds; around each one the stretch
-of the document where the item would lie is aligned with the item (match 2, mismatch -1, gap -1), and a
-stretch whose score reaches ``min_score`` of a perfect match is a hit. Both scans read documents where they
-are: nothing but counts is shuffled.
+Words are runs of letters, digits and underscores, lower-cased. Every word n-gram of a test item is a
+seed, rare or common: counts do not tell which of them an edited copy has kept. A scan of all documents
+looks for seeds; around each one the stretch of the document where the item would lie is aligned with the
+item (match 2, mismatch -1, gap -1), and a stretch whose score reaches ``min_score`` of a perfect match is
+a hit, as are further ones beside it. Stretches with too few of the item's words for that score are not
+aligned. The scan reads documents where they are; nothing is shuffled.
 
 Test items are broadcast in blocks of at most ``block_bytes`` of text (one block for usual benchmarks);
-each block takes two scans.
+each block takes one scan.
 
 Null texts: no words. Items of fewer than n words are not looked for. Repeated rows: each is judged.
 Empty tables: no hits.
@@ -24,10 +23,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import written
 from .tokens import slices
 
 HITS = "doc_id long, item_id long, score double, start_word long, end_word long"
@@ -114,31 +111,11 @@ class Items:
         return h ^ (h >> np.uint64(31))
 
 
-def _counter(items: Items):
-    among = np.unique(items.gram)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(among), dtype=np.int64)
-        for b in batches:
-            texts = b.column("text")
-            for lo, hi in slices(b.column("_sl_size").to_pylist()):
-                _, begins, at, k = items.found(texts.slice(lo, hi - lo).to_pylist(), among)
-                doc = np.searchsorted(begins, at, side="right") - 1
-                pair = np.unique(doc * len(among) + k)
-                total += np.bincount(pair % len(among), minlength=len(among)) if len(pair) else 0
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(among[seen].view(np.int64)), pa.array(total[seen])], names=["gram", "n"])
-
-    return run
-
-
 class Finder:
-    def __init__(self, items: Items, seeds: list[tuple[int, int, int]], min_score: float):
+    def __init__(self, items: Items, min_score: float):
         self.items, self.min_score = items, min_score
-        rows = np.array(sorted(seeds, key=lambda s: s[0]), dtype=np.int64).reshape(-1, 3)
-        gram = rows[:, 0].view(np.uint64) if len(rows) else np.empty(0, dtype=np.uint64)
-        order = np.argsort(gram, kind="stable")
-        self.gram, self.owner, self.place = gram[order], rows[order, 1], rows[order, 2]
+        order = np.argsort(items.gram, kind="stable")
+        self.gram, self.owner, self.place = items.gram[order], items.owner[order], items.place[order]
         self.among, self.first = np.unique(self.gram, return_index=True)
         self.stop = np.r_[self.first[1:], len(self.gram)] if len(self.first) else self.first
 
@@ -166,12 +143,24 @@ class Finder:
                 else:
                     merged.append([lo, hi])
             for lo, hi in merged:
-                lo, hi = max(lo, lo_doc), min(hi, hi_doc)
-                score, a, b = align(item, ids[lo:hi])
-                if score >= self.min_score * 2 * len(item):
-                    out.append((d, self.items.name[owner], score / (2 * len(item)), lo - lo_doc + a, lo - lo_doc + b))
+                for score, a, b in self.stretches(item, ids, max(lo, lo_doc), min(hi, hi_doc)):
+                    out.append((d, self.items.name[owner], score / (2 * len(item)), a - lo_doc, b - lo_doc))
         return out
 
+    def stretches(self, item: np.ndarray, ids: np.ndarray, lo: int, hi: int) -> list[tuple[int, int, int]]:
+        """(score, from, to) of the best stretch of ids[lo:hi] and of those left and right of it."""
+        out, parts = [], [(lo, hi)]
+        while parts:
+            lo, hi = parts.pop()
+            # A score of s takes s / 2 equal words.
+            if hi - lo < self.min_score * len(item) or np.isin(item, ids[lo:hi]).sum() < self.min_score * len(item):
+                continue
+            score, a, b = align(item, ids[lo:hi])
+            if score >= self.min_score * 2 * len(item):
+                out.append((score, lo + a, lo + b))
+                parts += [(lo, lo + a), (lo + b, hi)]
+        return sorted(out, key=lambda s: s[1])
+
 
 def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> list[list[tuple[int, str]]]:
     """The test items in blocks whose texts have at most ``block_bytes`` (a longer item: a block of its own)."""
@@ -190,25 +179,11 @@ def _sized(docs: DataFrame, text: str, *columns: str) -> DataFrame:
     return docs.select(*columns, F.col(text).alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).alias("_sl_size"))
 
 
-def _finder(docs: DataFrame, rows: list[tuple[int, str]], n: int, min_score: float, text: str) -> Finder:
-    """Counts the block's n-grams over all documents and takes each item's rarest half as seeds."""
-    items = Items(rows, n)
-    spark = docs.sparkSession
-    counts = _sized(docs, text).mapInArrow(_counter(items), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    grams = [(int(g), int(o), int(p)) for g, o, p in zip(items.gram.view(np.int64), items.owner, items.place, strict=True)]
-    own = spark.createDataFrame(grams, "gram long, owner long, place long").join(written(counts), "gram", "left").fillna(0, ["n"])
-    by = W.partitionBy("owner")
-    ranked = own.withColumn("r", F.row_number().over(by.orderBy("n", "place"))).withColumn("m", F.count("*").over(by))
-    # As many rows as the block has n-grams at most.
-    seeds = [(r["gram"], r["owner"], r["place"]) for r in ranked.where("2 * r <= m + 1").select("gram", "owner", "place").collect()]
-    return Finder(items, seeds, min_score)
-
-
 def hits(docs: DataFrame, benchmark: DataFrame, n: int = 3, min_score: float = 0.6, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, item_id, score (1: word for word), start_word, end_word of every stretch that copies an item."""
     spark, out = docs.sparkSession, None
     for rows in _blocks(benchmark, item_id, item_text, block_bytes):
-        finder = spark.sparkContext.broadcast(_finder(docs, rows, n, min_score, text))
+        finder = spark.sparkContext.broadcast(Finder(Items(rows, n), min_score))
 
         def run(batches: Iterator[pa.RecordBatch], finder=finder) -> Iterator[pa.RecordBatch]:
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
@@ -225,10 +200,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 3, min_score: float = 0
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, n: int = 3, min_score: float = 0.6, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
-    """docs without the rows that have a hit; all columns stay. The second scan drops them as it reads."""
+    """docs without the rows that have a hit; all columns stay. The scan drops them as it reads."""
     spark, out = docs.sparkSession, docs
     for rows in _blocks(benchmark, item_id, item_text, block_bytes):
-        finder = spark.sparkContext.broadcast(_finder(docs, rows, n, min_score, text))
+        finder = spark.sparkContext.broadcast(Finder(Items(rows, n), min_score))
 
         def run(batches: Iterator[pa.RecordBatch], finder=finder) -> Iterator[pa.RecordBatch]:
             for b in batches:

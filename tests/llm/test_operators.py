@@ -165,6 +165,22 @@ def test_decontamination(spark, odd, none):
     assert decontamination.hits(none, bench).count() == 0 and decontamination.clean(odd, bench.where("false")).count() == odd.count()
 
 
+def test_every_fifth_word_edited(spark):
+    """Intact 3-grams count as seeds whether the item occurs elsewhere or not."""
+    rnd = random.Random(8)
+    vocab = [f"v{i}" for i in range(500)]
+    item = rnd.sample(vocab, 40)
+    copies = [" ".join(["other", "words", *(f"edit{i}" if i % 5 == at else w for i, w in enumerate(item)), "follow"]) for at in range(5)]
+    # Intact 3-grams are commoner than the broken ones.
+    parts = [(100 + i, " ".join(item[i : i + 4])) for at in range(5) for i in range(at + 1, 37, 5) for _ in range(2)]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    twice = (50, f"{' '.join(item)} {' '.join(item[3:8] + ['far'] * 9) * 3} {copies[0]}")
+    for more in ([], [(60, " ".join(item))]):
+        rows = [*enumerate(copies), *parts, twice, *more]
+        found = Counter(r["doc_id"] for r in decontamination.hits(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect())
+        assert found == Counter([0, 1, 2, 3, 4, 50, 50, *(d for d, _ in more)])
+
+
 def test_alignment_is_exact():
     rnd = random.Random(2)
     for _ in range(60):
