@@ -56,7 +56,7 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    kept = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), full=True)
     return kept.select("doc_id", F.coalesce(F.size(F.split("text", "\n")), F.lit(0)).cast("long").alias("n_lines_kept"), F.col("_sl_removed").alias("n_removed"), F.crc32("text").alias("kept_crc32"), F.md5("text").alias("kept_md5"))
 
 

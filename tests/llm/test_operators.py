@@ -406,6 +406,47 @@ def test_line_dedup_odd_rows(odd):
     assert line_dedup.dedup(odd.drop("_r")).count() == odd.count()
 
 
+def full_removed(spark, lines):
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    return [r["_sl_removed"] for r in line_dedup.dedup(df, full=True).orderBy("doc_id").collect()]
+
+
+def test_full_line_dedup_finds_all_similar(spark):
+    """Against edit similarity alone: words changed, added or left out up to a fifth."""
+    rnd = random.Random(21)
+    vocab = [f"{a}{b}{c}" for a in "bdfgklmnpr" for b in "aeiou" for c in "xyzvw"]
+    lines = []
+    for k in range(0, 60, 3):
+        line = rnd.choices(vocab, k=6 + k)
+        lines.append(" ".join(line))
+        for at in rnd.sample(range(len(line)), len(line) // 5):
+            line[at] = "elsewhere" if rnd.random() < 0.8 else ""
+        lines.append(" ".join(w for w in line if w))
+    root = list(range(len(lines)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i, x in enumerate(lines):
+        for j, y in enumerate(lines[:i]):
+            if edits(x.split(), y.split()) <= int(0.2 * max(len(x.split()), len(y.split())) + 1e-9) or (Counter(x) - Counter(y)).total() <= 0.2 * max(len(x), len(y)) and edits(x, y) <= int(0.2 * max(len(x), len(y)) + 1e-9):
+                root[find(i)] = find(j)
+    kept, want = set(), []
+    for i in range(len(lines)):
+        want.append(int(find(i) in kept))
+        kept.add(find(i))
+    got = full_removed(spark, lines)
+    assert sum(want) > 15 and [(i, x) for i, x in enumerate(lines) if got[i] != want[i]] == []
+
+
+def test_full_line_dedup_short_and_unspaced(spark):
+    lines = ["Read more", "read  more!", "12", "13", "", "", "今天天气很好我们一起去公园散步吧", "今天天气真好我们一起去公园散步吧", "Read most"]
+    assert full_removed(spark, lines) == [0, 1, 0, 0, 0, 0, 0, 1, 0]
+
+
+def test_full_line_dedup_digits_separators_typos(spark):
+    lines = ["updated on 3 May 2024 at 10:15 by admin", "updated on 28 May 2023 at 9:07 by admin", "left,right and/or centre of things", "left right and or centre of things"]
+    lines += ["wonderful mountain railway journeys through switzerland", "wonderfal mountain railway journays through switzerland", "1 2 3 4 5 6", "70 80 90 10 20 30"]
+    assert full_removed(spark, lines) == [0, 1, 0, 1, 0, 1, 0, 0]
+
+
 def test_block_masks_meet():
     rnd = random.Random(1)
     for n in (10, 10**6, 10**9):
