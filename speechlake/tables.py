@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -33,7 +34,34 @@ def written(df: DataFrame, codec: str = "zstd") -> DataFrame:
     """df as a table in the shared folder: lineage ends there and lost executors cost nothing."""
     spark, path = df.sparkSession, scratch(df.sparkSession)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._sl_path = path
+    for kept in _OPEN:
+        kept.append(out)
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables made by ``written`` that nothing reads any more. Others are left alone."""
+    for df in tables:
+        path = df.__dict__.pop("_sl_path", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextmanager
+def remembered(into: list[DataFrame]):
+    """Adds every table that is written inside to the list, for ``discard`` once the result is safe."""
+    _OPEN.append(into)
+    try:
+        yield into
+    finally:
+        _OPEN.pop()
 
 
 def numbered(df: DataFrame, order: Sequence[str], to: str, group: str | None = None) -> DataFrame:
