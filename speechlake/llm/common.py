@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import numbered, scratch, table, written
+from ..tables import discard, numbered, remembered, scratch, table, written
 
-__all__ = ["SPACE", "WORD", "components", "numbered", "scratch", "table", "written"]
+__all__ = ["SPACE", "WORD", "components", "discard", "numbered", "remembered", "scratch", "table", "written"]
 
 #: ASCII white space; every other character belongs to a word.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -36,4 +36,5 @@ def components(links: DataFrame) -> DataFrame:
         large = _pairs(large, "b", "_sl_m").distinct()
         low = large.groupBy(F.col("a").alias("_sl_u")).agg(F.min("b").alias("_sl_m"))
         small = _pairs(large.join(low, F.col("a") == F.col("_sl_u")).where("b > _sl_m"), "b", "_sl_m").union(_pairs(low, "_sl_u", "_sl_m"))
-        now = written(small.distinct())
+        last, now = now, written(small.distinct())
+        discard(last)
