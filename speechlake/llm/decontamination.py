@@ -10,8 +10,9 @@ aligned. The scan reads documents where they are; nothing is shuffled.
 Test items are broadcast in blocks of at most ``block_bytes`` of text (one block for usual benchmarks);
 each block takes one scan.
 
-Null texts: no words. Items of fewer than n words are not looked for. Repeated rows: each is judged.
-Empty tables: no hits.
+Null texts: no words. Items of fewer than n words are not looked for. Repeated rows: each is judged; items with
+equal texts: each has its hits. Empty tables: no hits. Very long texts and zones of many copies are aligned in
+windows of four times an item's length. Columns of docs other than text and doc_id play no part.
 """
 
 from __future__ import annotations
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from .tokens import slices
 
 HITS = "doc_id long, item_id long, score double, start_word long, end_word long"
+_LOW = (1 << 32) - 1
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _words = re.compile(r"\w+").findall
 
@@ -37,26 +39,22 @@ def words_of(text: str | None) -> list[str]:
 
 
 def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
-    """(score, from, to) of the best local alignment of the item with a stretch of part."""
+    """(score, from, to) of the best local alignment of the item with a stretch of part.
+
+    One row of scores is held, each with the place where its alignment began; memory grows with part alone."""
     steps = np.arange(len(part) + 1)
-    rows = np.zeros((len(item) + 1, len(part) + 1), dtype=np.int32)
-    for i, x in enumerate(item):
-        up = rows[i]
-        best = np.zeros(len(part) + 1, dtype=np.int32)
-        best[1:] = np.maximum(up[:-1] + np.where(part == x, 2, -1), up[1:] - 1)
-        np.maximum(best, 0, out=best)
-        # A gap in the row costs 1 a word: the running maximum of score + place.
-        rows[i + 1] = np.maximum.accumulate(best + steps) - steps
-    i, j = np.unravel_index(int(rows.argmax()), rows.shape)
-    score, end = int(rows[i, j]), int(j)
-    while i and j and rows[i, j] > 0:
-        if rows[i, j] == rows[i - 1, j - 1] + (2 if part[j - 1] == item[i - 1] else -1):
-            i, j = i - 1, j - 1
-        elif rows[i, j] == rows[i - 1, j] - 1:
-            i -= 1
-        else:
-            j -= 1
-    return score, int(j), end
+    row, start, best = np.zeros(len(part) + 1, dtype=np.int64), steps, (0, 0, 0)
+    for x in item:
+        fit, up = row[:-1] + np.where(part == x, 2, -1), row[1:] - 1
+        score, began = np.r_[0, np.maximum(fit, up)], np.r_[0, np.where(fit >= up, start[:-1], start[1:])]
+        score, began = np.maximum(score, 0), np.where(score > 0, began, steps)
+        # A gap in the row costs 1 a word: the running maximum of score + place, which takes its beginning along.
+        run = np.maximum.accumulate((score + steps) << 32 | (_LOW - began))
+        row, start = (run >> 32) - steps, _LOW - (run & _LOW)
+        j = int(row.argmax())
+        if row[j] > best[0]:
+            best = (int(row[j]), int(start[j]), j)
+    return best
 
 
 class Items:
@@ -148,8 +146,12 @@ class Finder:
         return out
 
     def stretches(self, item: np.ndarray, ids: np.ndarray, lo: int, hi: int) -> list[tuple[int, int, int]]:
-        """(score, from, to) of the best stretch of ids[lo:hi] and of those left and right of it."""
-        out, parts = [], [(lo, hi)]
+        """(score, from, to) of the best stretch of ids[lo:hi] and of those left and right of it.
+
+        Zones of many copies go window by window; each stretch lies whole in one of them."""
+        most = len(item) + max(4, len(item) // 3)
+        step = 3 * most
+        out, parts = [], [(at, min(at + step + most, hi)) for at in range(lo, max(lo + 1, hi - most), step)]
         while parts:
             lo, hi = parts.pop()
             # A score of s takes s / 2 equal words.
@@ -159,20 +161,28 @@ class Finder:
             if score >= self.min_score * 2 * len(item):
                 out.append((score, lo + a, lo + b))
                 parts += [(lo, lo + a), (lo + b, hi)]
-        return sorted(out, key=lambda s: s[1])
-
-
-def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> list[list[tuple[int, str]]]:
-    """The test items in blocks whose texts have at most ``block_bytes`` (a longer item: a block of its own)."""
-    blocks, size = [[]], 0
+        apart: list[tuple[int, int, int]] = []
+        # What two windows have found comes once, from the window that holds it whole.
+        for s in sorted(out, key=lambda s: (s[1], -s[0])):
+            if apart and s[1] < apart[-1][2]:
+                apart[-1] = max(apart[-1], s)
+            else:
+                apart.append(s)
+        return apart
+
+
+def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) -> Iterator[list[tuple[int, str]]]:
+    """The test items in blocks whose texts have at most ``block_bytes`` (a longer item: a block of its own), one at
+    a time."""
+    block, size = [], 0
     rows = benchmark.select(F.col(item_id).cast("long"), text).where(f"{text} is not null").orderBy(item_id, text)
     for i, t in rows.toLocalIterator():
-        if blocks[-1] and size + len(t) > block_bytes:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((i, t))
+        if block and size + len(t) > block_bytes:
+            yield block
+            block, size = [], 0
+        block.append((i, t))
         size += len(t)
-    return blocks
+    yield block
 
 
 def _sized(docs: DataFrame, text: str, *columns: str) -> DataFrame:

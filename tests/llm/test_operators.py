@@ -181,6 +181,46 @@ def test_every_fifth_word_edited(spark):
         assert found == Counter([0, 1, 2, 3, 4, 50, 50, *(d for d, _ in more)])
 
 
+def test_copies_side_by_side_and_very_long_items(spark):
+    """Every copy is a hit of its own, and memory does not grow with item times zone."""
+    rnd = random.Random(4)
+    vocab = [f"v{i}" for i in range(5000)]
+    item, long_item = rnd.choices(vocab, k=30), rnd.choices(vocab, k=4000)
+    rows = [(1, " ".join(item * 3)), (2, " ".join(item * 400)), (3, " ".join(["own"] * 9 + long_item[:3000] + ["far"] * 5)), (4, " ".join(rnd.choices(vocab, k=9000)))]
+    bench = spark.createDataFrame([(7, " ".join(item)), (8, " ".join(long_item))], "item_id long, text string")
+    hits = decontamination.hits(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()
+    assert Counter((r["doc_id"], r["item_id"]) for r in hits) == {(1, 7): 3, (2, 7): 400, (3, 8): 1}
+    assert sorted((r["start_word"], r["end_word"]) for r in hits if r["doc_id"] == 2) == [(30 * i, 30 * i + 30) for i in range(400)]
+    assert [(r["start_word"], r["end_word"]) for r in hits if r["doc_id"] == 3] == [(9, 3009)]
+
+
+def test_decontamination_against_all_alignments(spark):
+    """Each document against each item by the full matrix: whatever scores is found, as long as three words in a row stay."""
+    rnd = random.Random(17)
+    vocab = [f"w{i}" for i in range(60)]
+    items = [(i, rnd.choices(vocab, k=rnd.randint(8, 25))) for i in range(12)]
+    docs = []
+    for d in range(60):
+        text = rnd.choices(vocab, k=rnd.randint(0, 50))
+        if d % 2:
+            copy = [x for w in rnd.choice(items)[1] for x in ([w] if rnd.random() < 0.85 else rnd.choice(([], ["new"], [w, "more"])))]
+            text[len(text) // 2 : len(text) // 2] = copy
+        docs.append((d, text))
+    want = set()
+    for d, text in docs:
+        for i, item in items:
+            h = np.zeros((len(item) + 1, len(text) + 1), dtype=int)
+            for a, x in enumerate(item):
+                for b, y in enumerate(text):
+                    h[a + 1, b + 1] = max(0, h[a, b] + (2 if x == y else -1), h[a, b + 1] - 1, h[a + 1, b] - 1)
+            threes = {tuple(item[k : k + 3]) for k in range(len(item) - 2)} & {tuple(text[k : k + 3]) for k in range(len(text) - 2)}
+            if threes and h.max() >= 1.2 * len(item):
+                want.add((d, i))
+    df = spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id long, text string")
+    assert want and {(r["doc_id"], r["item_id"]) for r in decontamination.hits(df, bench).collect()} == want
+
+
 def test_alignment_is_exact():
     rnd = random.Random(2)
     for _ in range(60):
@@ -191,6 +231,8 @@ def test_alignment_is_exact():
                 h[i + 1, j + 1] = max(0, h[i, j] + (2 if a[i] == b[j] else -1), h[i, j + 1] - 1, h[i + 1, j] - 1)
         score, lo, hi = decontamination.align(np.array(a), np.array(b, dtype=int))
         assert score == h.max() and 0 <= lo <= hi <= len(b)
+        # The stretch named holds that score.
+        assert not score or decontamination.align(np.array(a), np.array(b[lo:hi], dtype=int)) == (score, 0, hi - lo)
 
 
 # 5 token counts
