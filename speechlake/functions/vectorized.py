@@ -68,18 +68,32 @@ def portable_key(x: pd.Series) -> pd.Series:
     return x.map(lambda t: None if t is None else t.lower() if t.isascii() else unicodedata.normalize("NFKC", t).casefold())
 
 
+#: Fixed value: a sentence ends after ASCII punctuation before white space (which goes), or after a full-width mark.
+SENTENCE_END = re.compile(r"[;:,.!?](\s+)|[；：，。！？]")
+
+
+def sentences(text: str) -> list[str]:
+    """The text's sentences, each with its end mark; none is empty."""
+    cuts = [(m.end() - len(m[1] or ""), m.end()) for m in SENTENCE_END.finditer(text)]
+    starts, stops = [0, *(b for _, b in cuts)], [*(a for a, _ in cuts), len(text)]
+    return [text[a:b] for a, b in zip(starts, stops, strict=True) if a < b]
+
+
 def chunks(text: str | None, most: int) -> list[str]:
-    """Sentences packed greedily into chunks of at most ``most`` UTF-8 bytes (a longer sentence alone)."""
-    out, now = [], ""
-    for s in re.split(r"(?<=[;:,.!?])\s+|(?<=[；：，。！？])", text or ""):
-        if s:
-            piece = s + " " if s[-1].isascii() else s
-            if len(now.encode()) + len(s.encode()) <= most:
-                now += piece
-            else:
-                out += [now.strip()] if now else []
-                now = piece
-    return out + ([now.strip()] if now else [])
+    """Runs of sentences of at most ``most`` UTF-8 bytes (a longer sentence alone), as long as they can be from the
+    left. A sentence with an ASCII end takes a space behind it; that of a chunk's last sentence doesn't count.
+
+    With the running sums of sizes, each chunk's end is one search."""
+    parts = sentences(text or "")
+    size = np.array([len(s.encode()) for s in parts], dtype=np.int64)
+    gap = np.array([s[-1].isascii() for s in parts], dtype=np.int64)
+    before = np.cumsum(size + gap) - size - gap
+    out, at = [], 0
+    while at < len(parts):
+        stop = max(at + 1, int(np.searchsorted(before + size, before[at] + most, side="right")))
+        out.append("".join(s + " " * g for s, g in zip(parts[at:stop], gap[at:stop].tolist(), strict=True)).strip())
+        at = stop
+    return out
 
 
 def chunked(most: int):
@@ -90,20 +104,22 @@ def chunked(most: int):
     return of
 
 
+#: After these no space is put before an ASCII word of two letters or more.
+NO_SPACE_AFTER = frozenset(" :'\"")
+_MIXED = re.compile(r"(?P<word>[A-Za-z0-9']+)|(?P<han>[\u3100-\u9fff])|(?P<other>.)", re.DOTALL)
+
+
 def mixed_tokens(text: str | None, syllables: dict[str, str]) -> list[str]:
-    """ASCII words as characters after a space where one is needed, Han characters as a space and their
-    syllable (from a table; else the character), others as they are."""
+    """Words as their characters, Han characters as their syllable (from a table; else the character) with a
+    space before it, others as they are. A word of two letters or more gets a space before it, too, unless it
+    comes first or after one of ``NO_SPACE_AFTER``."""
     out: list[str] = []
-    for part in re.findall(r"[\x00-\x7f]+|[^\x00-\x7f]", text or ""):
-        if part.isascii():
-            for word in re.findall(r"[A-Za-z0-9']+|[^A-Za-z0-9']", part):
-                if out and len(word) > 1 and out[-1] not in " :'\"":
-                    out.append(" ")
-                out += word
-        elif "㄀" <= part <= "鿿":
-            out += [" ", syllables.get(part, part)]
+    for m in _MIXED.finditer(text or ""):
+        if m["han"]:
+            out += (" ", syllables.get(m["han"], m["han"]))
         else:
-            out.append(part)
+            apart = len(m[0]) > 1 and bool(out) and not NO_SPACE_AFTER.issuperset(out[-1:])
+            out += " " * apart + m[0]
     return out
 
 
@@ -120,45 +136,43 @@ def byte_tokens(x: pd.Series) -> pd.Series:
     return x.map(lambda t: list((t or "").encode()))
 
 
-# Fixed values of version 1 of the Japanese normalisation.
-JA_WAVES = "〜～〰~"
-JA_QUOTES = "\"'`「」『』“”‘’"
+# Fixed values of version 1 of the Japanese normalisation: character -> replacement, by kind.
+JA_WAVES = {"〜": "ー", "～": "ー", "〰": "ー", "~": "ー"}
+JA_QUOTES = dict.fromkeys("\"'`「」『』“”‘’", "")
 JA_PUNCTUATION = {",": "、", "，": "、", "､": "、", ".": "。", "｡": "。", "!": "！", "?": "？", ":": "：", ";": "；", "(": "（", ")": "）"}
 
+_JA = {c: (to, kind) for kind, table in (("wave", JA_WAVES), ("quote", JA_QUOTES), ("punct", JA_PUNCTUATION)) for c, to in table.items()}
+_JA_FOUND = re.compile(f"[{re.escape(''.join(_JA))}]|\\s+")
 
-def normal_ja(text: str) -> tuple[str | None, list[tuple[str, str, str]]]:
-    """(normalised text, [(kind, from, to), ...]); (None, ...) for a text with U+FFFD."""
-    if "�" in text:
-        return None, [("replacement_character", "�", "")]
-    nfkc, events, out = unicodedata.normalize("NFKC", text), [], []
-    if nfkc != text:
-        events.append(("nfkc", text, nfkc))
-    for c in nfkc:
-        if c in JA_WAVES:
-            kind, to = "wave", "ー"
-        elif c in JA_QUOTES:
-            kind, to = "quote", ""
-        elif c in JA_PUNCTUATION:
-            kind, to = "punctuation", JA_PUNCTUATION[c]
-        elif c.isspace():
-            kind, to = "whitespace", "" if out and out[-1] == " " else " "
-        else:
-            out.append(c)
-            continue
-        if to:
-            out.append(to)
-        if to != c or kind == "whitespace":
-            events.append((kind, c, to))
-    joined = "".join(out)
-    if joined != joined.strip():
-        events.append(("trim", joined, joined.strip()))
-    return joined.strip(), events
+
+def _ja_edits(m: re.Match) -> list[tuple[int, str, str, str]]:
+    """(place, character, replacement, kind) of a character of the tables or a run of white space."""
+    if m[0] in _JA:
+        return [(m.start(), m[0], *_JA[m[0]])]
+    # Of a run every second character goes; those that stay are plain spaces.
+    return [(m.start() + k, c, "" if k % 2 else " ", "whitespace") for k, c in enumerate(m[0])]
+
+
+def normal_ja(text: str) -> tuple[str | None, list[tuple[str, int, str, str, str]]]:
+    """(normalised text, [(stage, position, source, target, kind), ...]); no text if it has U+FFFD: then the events
+    say where. Stages: normalize (NFKC), map (tables and white space), trim (either end); positions are those in the
+    stage's own input."""
+    if "\ufffd" in text:
+        return None, [("reject", m.start(), m[0], "", "replacement_character") for m in re.finditer("\ufffd", text)]
+    plain = unicodedata.normalize("NFKC", text)
+    edits = [e for m in _JA_FOUND.finditer(plain) for e in _ja_edits(m)]
+    mapped = _JA_FOUND.sub(lambda m: "".join(to for _, _, to, _ in _ja_edits(m)), plain)
+    ends = [m for m in (re.match(r"\s+", mapped), re.search(r"\s+\Z", mapped)) if m]
+    events = [("normalize", 0, text, plain, "nfkc")] if plain != text else []
+    events += [("map", *e) for e in edits]
+    events += [("trim", m.start(), m[0], "", "whitespace") for m in ends]
+    return mapped.strip(), events
 
 
-_EVENT = K.StructType([K.StructField(n, K.StringType()) for n in ("kind", "source", "target")])
+_EVENT = K.StructType([K.StructField("stage", K.StringType()), K.StructField("position", K.IntegerType()), *(K.StructField(n, K.StringType()) for n in ("source", "target", "kind"))])
 
 
 @F.pandas_udf(K.StructType([K.StructField("text", K.StringType()), K.StructField("events", K.ArrayType(_EVENT))]))
 def japanese(x: pd.Series) -> pd.DataFrame:
     rows = [(None, []) if t is None else normal_ja(t) for t in x]
-    return pd.DataFrame({"text": [t for t, _ in rows], "events": [[{"kind": k, "source": a, "target": b} for k, a, b in e] for _, e in rows]})
+    return pd.DataFrame({"text": [t for t, _ in rows], "events": [[dict(zip(_EVENT.names, e, strict=True)) for e in es] for _, es in rows]})

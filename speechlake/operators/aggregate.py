@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..tables import numbered
+from ..tables import numbered, written
 
 
 def winners(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -19,23 +18,31 @@ def duplicates(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.join(winners(rows, keys, order).where("n > 1"), keys).where(F.struct(*order) != F.col("winner")).drop("n")
 
 
-def conflicts(rows: DataFrame, digest: str = "audio_sha256", text: str = "text") -> DataFrame:
-    """Digests with more than one text, and the sorted texts."""
-    differ = rows.groupBy(digest).agg(F.min(text).alias("_a"), F.max(text).alias("_b")).where("_a <> _b").select(digest)
-    return rows.join(differ, digest, "left_semi").groupBy(digest).agg(F.array_sort(F.collect_set(text)).alias("texts"), F.count("*").alias("n_rows"))
+def text_keyed(rows: DataFrame, order: list[str], digest: str = "audio_sha256", text: str = "text") -> DataFrame:
+    """digest, text_sha256, order columns: what is shuffled instead of texts."""
+    return rows.select(digest, F.sha2(text, 256).alias("text_sha256"), *order)
 
 
-def aggregated(rows: DataFrame, order: list[str], digest: str = "audio_sha256", text: str = "text") -> DataFrame:
-    """One row for each (digest, text), none for digests with conflicting texts."""
-    per = rows.groupBy(digest, text).agg(F.min(F.struct(*order)).alias("_w"))
-    sure = per.groupBy(digest).agg(F.count("*").alias("_n")).where("_n = 1").select(digest)
-    kept = per.join(sure, digest).select(digest, text, F.col("_w.*"))
-    return kept
+def conflicts(keyed: DataFrame, order: list[str], digest: str = "audio_sha256") -> DataFrame:
+    """Every text of the digests that have more than one: digest, text_sha256, first (its least row), n_rows, n_texts.
+
+    keyed: as from ``text_keyed``. One row a text, so a digest with many texts is no single large value."""
+    per = keyed.groupBy(digest, "text_sha256").agg(F.min(F.struct(*order)).alias("first"), F.count("*").alias("n_rows"))
+    many = per.groupBy(digest).agg(F.count("*").alias("n_texts")).where("n_texts > 1")
+    return per.join(many, digest)
+
+
+def aggregated(keyed: DataFrame, order: list[str], digest: str = "audio_sha256") -> DataFrame:
+    """digest, text_sha256 and the order columns of the least row of each digest; none for digests with conflicting
+    texts. One aggregation by digest: its texts are equal if the least and the greatest hash are."""
+    one = keyed.groupBy(digest).agg(F.min("text_sha256").alias("text_sha256"), F.max("text_sha256").alias("_t"), F.min(F.struct(*order)).alias("_w"))
+    return one.where("text_sha256 = _t").select(digest, "text_sha256", "_w.*")
 
 
 def holdout(rows: DataFrame, speaker: str, rank: str, k: int) -> DataFrame:
     """rows with split train or eval: in the order of rank (a hash) at most k rows become eval, but every
     speaker keeps a train row. A speaker's last row is never eval; of all others the first k are."""
+    rows = written(rows)
     last = rows.groupBy(speaker).agg(F.max(rank).alias("_last"))
     chosen = rows.select(speaker, rank).join(last, speaker).where(F.col(rank) != F.col("_last")).orderBy(rank).limit(k).select(rank)
     return rows.join(chosen.withColumn("_e", F.lit(True)), rank, "left").withColumn("split", F.when(F.col("_e"), "eval").otherwise("train")).drop("_e")
@@ -62,7 +69,3 @@ def wave_coverage(selected: DataFrame, inputs: DataFrame, wave: int) -> DataFram
     """Ids of waves up to ``wave`` that inputs lack, and inputs that are not selected up to there."""
     want = selected.where(F.col("wave") <= wave).select("id")
     return want.join(inputs.select("id"), "id", "left_anti").withColumn("side", F.lit("missing")).unionByName(inputs.select("id").join(want, "id", "left_anti").withColumn("side", F.lit("extra")))
-
-
-def rank_in(by: str, order: str):
-    return F.row_number().over(W.partitionBy(by).orderBy(order))

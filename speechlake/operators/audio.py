@@ -116,9 +116,11 @@ def dtw(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     cost = 1 - unit(a) @ unit(b).T
     total = np.full((len(a) + 1, len(b) + 1), np.inf)
     total[0, 0] = 0
-    for i in range(len(a)):
-        for j in range(len(b)):
-            total[i + 1, j + 1] = cost[i, j] + min(total[i, j], total[i, j + 1], total[i + 1, j])
+    # The cells of an anti-diagonal i + j = d depend on earlier ones only, so each diagonal is one step.
+    for d in range(len(a) + len(b) - 1):
+        i = np.arange(max(0, d - len(b) + 1), min(d, len(a) - 1) + 1)
+        j = d - i
+        total[i + 1, j + 1] = cost[i, j] + np.minimum(total[i, j], np.minimum(total[i, j + 1], total[i + 1, j]))
     i, j, path = len(a), len(b), []
     while i and j:
         path.append((i - 1, j - 1))
@@ -127,7 +129,12 @@ def dtw(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
 
 
 def aligned(a: np.ndarray, b: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """Both sequences on a common time line along the path; alpha is the weight of a's timing."""
+    """Both sequences on a common time line along the path; alpha is the weight of a's timing. With a sequence of fewer
+    than two frames there is nothing to align: both are stretched evenly."""
+    if min(len(a), len(b)) < 2:
+        n = max(1, round(alpha * len(a) + (1 - alpha) * len(b)))
+        even = lambda x: x[np.round(np.linspace(0, len(x) - 1, n)).astype(int)] if len(x) else np.zeros((n, x.shape[1]))
+        return even(a), even(b)
     path = np.array(dtw(a, b))
     n = max(1, round(alpha * len(a) + (1 - alpha) * len(b)))
     at = np.linspace(0, len(path) - 1, n)
@@ -147,6 +154,17 @@ def read_wav(data: bytes) -> tuple[np.ndarray, int] | None:
         return None
 
 
+def write_wav(x: np.ndarray, rate: int) -> bytes:
+    """16-bit PCM WAV of samples in -1..1 (one channel, or channels x samples)."""
+    out, channels = io.BytesIO(), np.atleast_2d(x)
+    with wave.open(out, "wb") as w:
+        w.setnchannels(len(channels))
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes(np.round(np.clip(channels, -1, 1) * 32767).astype("<i2").T.tobytes())
+    return out.getvalue()
+
+
 def per_clip(clips: DataFrame, schema: str, f, samples: str = "samples", rows: int = 256) -> DataFrame:
     """f(clip_id, samples, sample_rate) -> rows of schema; batches of ``rows`` clips bound the memory."""
 

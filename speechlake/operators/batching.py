@@ -7,12 +7,15 @@ within a run of equal lengths every full batch has the same size. The plan is ma
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
+
+from ..tables import numbered
 
 
 @dataclass(frozen=True)
@@ -68,7 +71,8 @@ def _runs(histogram, most, drop_residual, room, full) -> list[Run]:
 def _assigned(rows: DataFrame, length: str, order: str, runs: list[Run]) -> DataFrame:
     spark = rows.sparkSession
     table = spark.createDataFrame([(r.length, r.lo, r.hi, r.first, r.size) for r in runs], "_l long, _lo long, _hi long, _first long, _size long")
-    ranked = rows.withColumn("_rank", (F.row_number().over(W.partitionBy(length).orderBy(order)) - 1).cast("long"))
+    # A common length is ranked by many tasks.
+    ranked = numbered(rows, [order], "_rank", group=length)
     # At most three runs for each length within the budget.
     j = ranked.join(F.broadcast(table), (F.col(length) == F.col("_l")) & (F.col("_rank") >= F.col("_lo")) & (F.col("_rank") < F.col("_hi")))
     return j.withColumn("batch_id", F.col("_first") + F.floor((F.col("_rank") - F.col("_lo")) / F.col("_size"))).drop("_l", "_lo", "_hi", "_first", "_size", "_rank")
@@ -94,22 +98,25 @@ def length_bucket(frames: Column, lo: int, hi: int, buckets: int = 200) -> Colum
 
 
 def bucket_batches(rows: DataFrame, bucket: str, length: str, order: str, size: int) -> DataFrame:
-    """Within each bucket, in order: a batch is flushed when its sum reaches size. A bucket is one task;
-    buckets are narrow (columns bucket, length, order only) and joined back by order."""
-
-    def flush(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        out, used, k = [], 0, 0
-        for x in pdf[length].tolist():
-            out.append(k)
-            used += x
-            if used >= size:
-                k, used = k + 1, 0
-        return pd.DataFrame({bucket: pdf[bucket], order: pdf[order], "batch_in_bucket": out})
-
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    plan = rows.select(bucket, length, order).groupBy(bucket).applyInPandas(flush, f"{bucket} {kinds[bucket]}, {order} {kinds[order]}, batch_in_bucket long")
-    return rows.join(plan, [bucket, order])
+    """rows with batch_in_bucket: within each bucket, in order, a batch is flushed when its sum reaches size.
+
+    Buckets go through sorted partitions batch by batch; a task holds one running sum, however large a bucket is."""
+
+    def flush(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, used, k = None, 0, 0
+        for pdf in batches:
+            out = []
+            for b, x in zip(pdf[bucket].tolist(), pdf[length].tolist(), strict=True):
+                if b != now:
+                    now, used, k = b, 0, 0
+                out.append(k)
+                used += x
+                if used >= size:
+                    k, used = k + 1, 0
+            yield pdf.assign(batch_in_bucket=pd.Series(out, index=pdf.index, dtype="int64"))
+
+    schema = StructType([*rows.schema.fields, StructField("batch_in_bucket", LongType())])
+    return rows.repartition(bucket).sortWithinPartitions(bucket, order).mapInPandas(flush, schema)
 
 
 def seeded_order(key: Column, seed: int, epoch: int) -> Column:

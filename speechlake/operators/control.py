@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 def top_per_stratum(rows: DataFrame, stratum: str, order: list[str], n: int) -> DataFrame:
     """The first n rows of each stratum with rank (from 1) and enough (whether the stratum has n)."""
-    w = W.partitionBy(stratum)
-    return rows.withColumn("rank", F.row_number().over(w.orderBy(*order)).cast("long")).withColumn("enough", F.count("*").over(w) >= n).where(F.col("rank") <= n)
+    # Spark cuts each task's rows at the rank limit before the shuffle; the counts are combined map-side.
+    top = rows.withColumn("_r", F.row_number().over(W.partitionBy(stratum).orderBy(*order))).where(F.col("_r") <= n)
+    counts = rows.groupBy(F.col(stratum).alias("_s")).agg((F.count("*") >= n).alias("enough"))
+    return top.join(counts, F.col(stratum).eqNullSafe(F.col("_s"))).withColumn("rank", F.col("_r").cast("long")).drop("_r", "_s")
 
 
 def chain_audit(log: DataFrame, item: str, order: str, state: str, legal: DataFrame, start: str | None = None) -> DataFrame:

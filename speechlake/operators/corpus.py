@@ -14,10 +14,18 @@ def first_reason(*rules: tuple[str, Column]) -> Column:
     return F.coalesce(*[F.when(broken, F.lit(name)) for name, broken in rules])
 
 
-def ladder(rows: DataFrame, duration: Column, text: Column, vocab: list[str], lo: float, hi: float, min_chars: int = 3) -> DataFrame:
-    """rows with reason: duration, empty, short, oov (characters outside the vocabulary), or null."""
+def ladder(rows: DataFrame, duration: Column, text: Column, vocab: list[str], lo: float, hi: float, min_chars: int = 3, path: Column | None = None, there: Column | None = None, sound: Column | None = None) -> DataFrame:
+    """rows with reason, the first rule that a row breaks (else null), and details (of oov its characters, else null).
+
+    malformed (no path or no text), relative_path, missing (not there), invalid_audio (not sound), duration,
+    empty_text, short_text, oov. Rules of columns that are not given are left out."""
     outside = F.array_except(characters(text), F.array(*[F.lit(c) for c in vocab]))
-    return rows.withColumn("reason", first_reason(("duration", ~duration.between(lo, hi)), ("empty_text", F.trim(text) == ""), ("short_text", F.length(text) < min_chars), ("oov", F.size(outside) > 0)))
+    rules = [] if path is None else [("malformed", path.isNull() | (F.trim(path) == "") | text.isNull()), ("relative_path", ~path.startswith("/"))]
+    rules += [] if there is None else [("missing", ~there)]
+    rules += [] if sound is None else [("invalid_audio", ~sound)]
+    rules += [("duration", ~duration.between(lo, hi)), ("empty_text", F.trim(text) == ""), ("short_text", F.length(text) < min_chars), ("oov", F.size(outside) > 0)]
+    tagged = rows.withColumn("reason", first_reason(*rules))
+    return tagged.withColumn("details", F.when(F.col("reason") == "oov", F.array_join(F.array_sort(outside), "")))
 
 
 def split_rejects(tagged: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -40,6 +48,33 @@ def source_reason(text: Column, speaker: Column) -> Column:
     return first_reason(("empty_text", text.isNull() | (F.trim(text) == "")), ("invalid_speaker", speaker.contains("　")))
 
 
+def contains_own(text: Column, language: Column, parts: dict[str, list[str]]) -> Column:
+    """Whether the text holds a part that is forbidden in its own language."""
+    out = F.lit(False)
+    for name, own in parts.items():
+        out = out | ((language == name) & contains_any(text, own))
+    return F.coalesce(out, F.lit(False))
+
+
+def full_summary(rows: DataFrame, by: list[str], kept: Column, text: str = "text") -> DataFrame:
+    """As ``summary`` of the rows kept, with vocab_size (distinct characters of their texts) and dropped rows by group."""
+    tagged = rows.withColumn("_kept", F.coalesce(kept, F.lit(False)))
+    sizes = tokens(tagged.where("_kept"), text, tuple(by)).distinct().groupBy(*by).agg(F.count("*").alias("vocab_size"))
+    lost = tagged.groupBy(*by).agg(F.count_if(~F.col("_kept")).alias("dropped"))
+    own = lambda d, k: d.withColumnsRenamed({c: f"_{k}_{c}" for c in by})
+    out = lost
+    for k, d in enumerate((summary(tagged.where("_kept"), by), sizes)):
+        out = out.join(own(d, k), [F.col(c).eqNullSafe(F.col(f"_{k}_{c}")) for c in by], "left").drop(*[f"_{k}_{c}" for c in by])
+    return out.fillna(0, ["n_rows", "vocab_size"])
+
+
+def declared_differences(rows: DataFrame, by: list[str], declared: DataFrame, counts: dict[str, Column]) -> DataFrame:
+    """by, and for each count whether what a manifest declares equals what is counted now (a group that either side lacks: false)."""
+    now = rows.groupBy(*by).agg(*[F.count_if(c).alias(f"_now_{n}") for n, c in counts.items()])
+    both = now.join(declared, by, "full_outer")
+    return both.select(*by, *[F.coalesce(F.col(n) == F.col(f"_now_{n}"), F.lit(False)).alias(f"{n}_ok") for n in counts])
+
+
 def summary(rows: DataFrame, by: list[str]) -> DataFrame:
     """rows, hours, min and max duration by group. rows: duration seconds."""
     return rows.groupBy(*by).agg(F.count("*").alias("n_rows"), F.round(F.sum("duration") / 3600, 6).alias("hours"), F.round(F.min("duration"), 6).alias("min_duration"), F.round(F.max("duration"), 6).alias("max_duration"))
@@ -80,9 +115,22 @@ def remap(target: DataFrame, source: DataFrame) -> DataFrame:
 
 
 def token_ids(tokens: Column, vocab: DataFrame, rows: DataFrame) -> DataFrame:
-    """rows with ids: index of each token, 0 for unknown ones. The vocabulary travels as one map."""
-    one = vocab.agg(F.map_from_entries(F.collect_list(F.struct("token", "idx"))).alias("_map"))
-    return rows.join(F.broadcast(one)).withColumn("ids", F.transform(tokens, lambda t: F.coalesce(F.col("_map")[t], F.lit(0).cast("long")))).drop("_map")
+    """rows with ids: index of each token, 0 for unknown ones.
+
+    Single characters are looked up by code point in one array (at most 0x110000 entries, 9 MB, whatever the
+    vocabulary). Longer tokens, if any, are looked up in one map of those alone."""
+    single = vocab.where(F.char_length("token") == 1).select(F.ascii("token").cast("long").alias("_at"), "idx")
+    top = single.agg(F.coalesce(F.max("_at"), F.lit(0)).alias("_top")).first()[0]
+    every = rows.sparkSession.range(top + 1).select(F.col("id").alias("_at")).join(single, "_at", "left")
+    one = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", F.coalesce("idx", F.lit(0).cast("long")).alias("idx")))), lambda x: x["idx"]).alias("_ids"))
+    long_ones = vocab.where(F.char_length("token") > 1)
+    by_code = lambda t: F.coalesce(F.get("_ids", F.ascii(t)), F.lit(0).cast("long"))
+    if long_ones.isEmpty():
+        return rows.join(F.broadcast(one)).withColumn("ids", F.transform(tokens, by_code)).drop("_ids")
+    one = one.join(long_ones.agg(F.map_from_entries(F.collect_list(F.struct("token", "idx"))).alias("_long")))
+    of = lambda t: F.when(F.char_length(t) == 1, by_code(t)).otherwise(F.coalesce(F.col("_long")[t], F.lit(0).cast("long")))
+    # Vocabularies of longer tokens have thousands of rows; Spark's size check decides on the broadcast.
+    return rows.join(one).withColumn("ids", F.transform(tokens, of)).drop("_ids", "_long")
 
 
 def plan_estimate(rows: DataFrame, gpus: int = 8, budget: int = 38400, rate: float = 93.75, updates: float = 1.2e6, warmup: int = 20000) -> DataFrame:

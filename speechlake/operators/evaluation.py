@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import random
+from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -12,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import leakage_form
 from ..functions.vectorized import grams
+from ..tables import numbered, written
 
 
 def matrix(systems: DataFrame, texts: DataFrame) -> DataFrame:
@@ -38,32 +42,86 @@ def overlaid(log: DataFrame, keys: list[str], fields: list[str], order: str) ->
 def leakage(items: DataFrame, corpus: DataFrame, n: int = 3, threshold: float = 0.6) -> DataFrame:
     """items (item_id, text) against corpus (doc_id, text): best n-gram Jaccard, exact match, leaked.
 
-    Pairs without a common n-gram count 0; two texts of fewer than n characters each count 1. Grams go
-    through an inverted index of the items, which Spark broadcasts if its size allows."""
+    Pairs without a common n-gram count 0; two texts of fewer than n characters each count 1. The corpus is read
+    once: a task holds the items' grams (in blocks of about ``_BLOCK`` grams, one scan for each) and sends, of all
+    its documents, the best value for each item."""
     a = items.select("item_id", leakage_form(F.col("text")).alias("t")).withColumn("g", grams(n)("t"))
-    b = corpus.select("doc_id", leakage_form(F.col("text")).alias("t")).withColumn("g", grams(n)("t"))
-    index = a.select("item_id", F.size("g").alias("na"), F.explode("g").alias("gram"))
-    hits = b.select("doc_id", F.size("g").alias("nb"), F.explode("g").alias("gram")).join(index, "gram").groupBy("item_id", "doc_id", "na", "nb").agg(F.count("*").alias("k"))
-    best = hits.groupBy("item_id").agg(F.max(F.col("k") / (F.col("na") + F.col("nb") - F.col("k"))).alias("j"))
-    exact = b.select(F.xxhash64("t").alias("h"), "t").join(a.select("item_id", "t", F.xxhash64("t").alias("h")), ["h", "t"]).select("item_id").distinct().withColumn("exact", F.lit(True))
-    short = b.agg(F.bool_or(F.size("g") == 0).alias("_short"))
-    out = a.select("item_id", (F.size("g") == 0).alias("empty")).join(best, "item_id", "left").join(exact, "item_id", "left").join(short)
-    j = F.when(F.col("empty"), F.when(F.col("_short"), 1.0).otherwise(0.0)).otherwise(F.coalesce("j", F.lit(0.0)))
+    size = a.agg(F.coalesce(F.sum(F.size("g") + 1), F.lit(0))).first()[0]
+    blocks, best = max(1, -(-size // _BLOCK)), None
+    forms = corpus.select(leakage_form(F.col("text")).alias("t"))
+    for k in range(blocks):
+        own = a.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select("item_id", "t", "g").collect()
+        one = forms.mapInPandas(_best_matches([(r["item_id"], r["t"], r["g"]) for r in own], n), "item_id long, j double, exact boolean, short boolean")
+        best = one if best is None else best.unionByName(one)
+    found = best.groupBy("item_id").agg(F.max("j").alias("j"), F.bool_or("exact").alias("exact"), F.bool_or("short").alias("short"))
+    out = a.select("item_id", (F.size("g") == 0).alias("empty")).join(found, "item_id", "left")
+    j = F.when(F.col("empty"), F.when(F.col("short"), 1.0).otherwise(0.0)).otherwise(F.coalesce("j", F.lit(0.0)))
     out = out.select("item_id", F.round(j, 6).alias("max_jaccard"), F.coalesce("exact", F.lit(False)).alias("exact"))
     return out.withColumn("leaked", F.col("exact") | (F.col("max_jaccard") >= threshold))
 
 
+#: Item grams that a task holds at once.
+_BLOCK = 2_000_000
+
+
+def _best_matches(items: list[tuple[int, str, list[str]]], n: int):
+    """Of a partition's texts, for each item: best Jaccard, an equal text, a text without grams."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        owners: dict[str, list[int]] = {}
+        for i, (_, _, own) in enumerate(items):
+            for g in own:
+                owners.setdefault(g, []).append(i)
+        texts, sizes = {}, np.array([len(g) for _, _, g in items], dtype=float)
+        for i, (_, t, _) in enumerate(items):
+            texts.setdefault(t, []).append(i)
+        best, exact, short = np.zeros(len(items)), np.zeros(len(items), dtype=bool), False
+        for pdf in batches:
+            for t in pdf["t"]:
+                if t is None:
+                    continue
+                own = {t[i : i + n] for i in range(len(t) - n + 1)}
+                short |= not own
+                exact[texts.get(t, [])] = True
+                met = [owners[g] for g in own if g in owners]
+                if met:
+                    k = np.bincount(np.fromiter(chain.from_iterable(met), dtype=np.int64), minlength=len(items))
+                    np.maximum(best, k / np.maximum(sizes + len(own) - k, 1), out=best)
+        yield pd.DataFrame({"item_id": pd.Series([i for i, _, _ in items], dtype="int64"), "j": best, "exact": exact, "short": np.full(len(items), short)})
+
+    return run
+
+
+def _ranked(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """by, value, _r (place in the group's order, from 0), _n. A large group is ranked by many tasks."""
+    known = numbered(rows.where(F.col(value).isNotNull()).select(*by, value), [value], "_r", group=by)
+    counts = known.groupBy(*by).agg(F.count("*").alias("_n")).withColumnsRenamed({c: f"_n_{c}" for c in by})
+    return known.join(counts, [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in by]).drop(*[f"_n_{c}" for c in by])
+
+
 def nearest_rank(rows: DataFrame, by: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
     """sorted[round((n - 1) * f)] with half-to-even rounding, over non-null values."""
-    w = W.partitionBy(*by)
-    ranked = rows.where(F.col(value).isNotNull()).select(*by, value, F.row_number().over(w.orderBy(value)).alias("_r"), F.count("*").over(w).alias("_n"))
-    return ranked.groupBy(*by).agg(*[F.max(F.when(F.col("_r") == F.bround((F.col("_n") - 1) * f).cast("long") + 1, F.col(value))).alias(name) for name, f in fractions.items()])
+    at = {name: F.bround((F.col("_n") - 1) * f).cast("long") for name, f in fractions.items()}
+    return _ranked(rows, by, value).groupBy(*by).agg(*[F.max(F.when(F.col("_r") == r, F.col(value))).alias(name) for name, r in at.items()])
+
+
+def interpolated(rows: DataFrame, by: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
+    """Percentiles with linear interpolation between the two values around (n - 1) * f, over non-null values."""
+    out = []
+    for name, f in fractions.items():
+        at = (F.col("_n") - 1) * F.lit(float(f))
+        low = F.floor(at)
+        pick = lambda r: F.max(F.when(F.col("_r") == r, F.col(value)))
+        share = F.max(at - low)
+        out.append((pick(low) * (1 - share) + pick(F.ceil(at)) * share).alias(name))
+    return _ranked(rows, by, value).groupBy(*by).agg(*out)
 
 
 def metric_summary(rows: DataFrame, by: list[str], metric: str) -> DataFrame:
     """count, mean, exact median, p10, p90, max over the non-null values of a metric."""
-    stats = rows.groupBy(*by).agg(F.count(metric).alias(f"{metric}_n"), F.round(F.avg(metric), 6).alias(f"{metric}_mean"), F.round(F.expr(f"percentile({metric}, 0.5)"), 6).alias(f"{metric}_median"), F.max(metric).alias(f"{metric}_max"))
-    return stats.join(nearest_rank(rows, by, metric, {f"{metric}_p10": 0.1, f"{metric}_p90": 0.9}), by, "left")
+    stats = rows.groupBy(*by).agg(F.count(metric).alias(f"{metric}_n"), F.round(F.avg(metric), 6).alias(f"{metric}_mean"), F.max(metric).alias(f"{metric}_max"))
+    middle = interpolated(rows, by, metric, {f"{metric}_median": 0.5}).withColumn(f"{metric}_median", F.round(f"{metric}_median", 6))
+    return stats.join(middle, by, "left").join(nearest_rank(rows, by, metric, {f"{metric}_p10": 0.1, f"{metric}_p90": 0.9}), by, "left")
 
 
 def gate_failures(gates: dict[str, Column]) -> Column:
@@ -87,7 +145,11 @@ def verdicts(summary: DataFrame, baseline: Column, checks: dict[str, tuple[str,
 
 
 def pareto(rows: DataFrame, key: str, lower: list[str], higher: list[str]) -> DataFrame:
-    """Rows that no other row dominates; null metrics are skipped pair by pair."""
+    """Rows that no other row dominates; null metrics are skipped pair by pair.
+
+    Each partition first drops what its own complete rows dominate (dominance among complete rows is transitive, and
+    what a complete row dominates its dominator dominates, too); only the rest meet."""
+    rows = written(_skylines(rows, lower, higher))
     o = rows.select(F.col(key).alias("_k"), *[F.col(m).alias(f"_o_{m}") for m in lower + higher])
     pairs = [(F.col(m), F.col(f"_o_{m}"), m in higher) for m in lower + higher]
     worse = better = comparable = F.lit(False)
@@ -98,10 +160,33 @@ def pareto(rows: DataFrame, key: str, lower: list[str], higher: list[str]) -> Da
     return rows.join(o, (F.col(key) != F.col("_k")) & comparable & ~worse & better, "left_anti")
 
 
+def _skylines(rows: DataFrame, lower: list[str], higher: list[str]) -> DataFrame:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top: pd.DataFrame | None = None
+        for pdf in batches:
+            whole = pdf[lower + higher].notna().all(axis=1)
+            yield pdf[~whole]
+            pdf = pdf[whole] if top is None else pd.concat([top, pdf[whole]], ignore_index=True)
+            cost = np.concatenate([pdf[lower].to_numpy(dtype=float), -pdf[higher].to_numpy(dtype=float)], axis=1)
+            keep, kept = [], np.empty((0, cost.shape[1]))
+            # In this order no row dominates an earlier one.
+            for i in np.lexsort(cost.T[::-1]):
+                if not ((kept <= cost[i]).all(axis=1) & (kept < cost[i]).any(axis=1)).any():
+                    keep.append(i)
+                    kept = np.vstack([kept, cost[i]])
+            top = pdf.iloc[sorted(keep)]
+        if top is not None:
+            yield top
+
+    return rows.mapInPandas(run, rows.schema)
+
+
 def latency(rows: DataFrame, by: list[str], elapsed: str, audio: str) -> DataFrame:
     """RTF = elapsed / audio; mean, population variance and interpolated percentiles of elapsed, times 1000."""
-    p = [F.round(F.expr(f"percentile({elapsed}, {q})") * 1000, 3).alias(f"p{round(q * 100)}_ms") for q in (0.5, 0.9, 0.95, 0.99)]
-    return rows.groupBy(*by).agg(F.round(F.sum(elapsed) / F.sum(audio), 6).alias("rtf"), F.round(F.avg(elapsed) * 1000, 3).alias("mean_ms"), F.round(F.var_pop(elapsed) * 1000, 3).alias("variance"), *p)
+    stats = rows.groupBy(*by).agg(F.round(F.sum(elapsed) / F.sum(audio), 6).alias("rtf"), F.round(F.avg(elapsed) * 1000, 3).alias("mean_ms"), F.round(F.var_pop(elapsed) * 1000, 3).alias("variance"))
+    names = {f"p{round(q * 100)}_ms": q for q in (0.5, 0.9, 0.95, 0.99)}
+    p = interpolated(rows, by, elapsed, names).withColumns({name: F.round(F.col(name) * 1000, 3) for name in names})
+    return stats.join(p, by, "left")
 
 
 def response(rows: DataFrame, seed: str, alpha: str, value: str) -> DataFrame:

@@ -54,9 +54,7 @@ _NORM = "regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}]', '',
   j AS (SELECT item_id, max(k / (na.n + nb.n - k)) AS j FROM k JOIN na USING (item_id) JOIN nb USING (doc_id) GROUP BY 1)
   SELECT a.item_id, round(coalesce(j, 0), 6) AS max_jaccard, a.t IN (SELECT t FROM b) AS exact, a.t IN (SELECT t FROM b) OR round(coalesce(j, 0), 6) >= 0.3 AS leaked FROM a LEFT JOIN j ON a.item_id = j.item_id""")
 def j10_leakage(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    n = spark.sparkContext.defaultParallelism
-    return E.leakage(table(spark, sf_dir, "benchmark"), docs.repartition(n), 3, 0.3)
+    return E.leakage(table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "documents").select("doc_id", "text"), 3, 0.3)
 
 
 _RANK = "max(CASE WHEN r = round_even((n - 1) * {f}, 0)::BIGINT + 1 THEN v END)"

@@ -23,11 +23,11 @@ ORDER = ["lang", "doc_id"]
 
 
 def _plain(spark, sf_dir):
-    """Short one-line texts: what a manifest line can hold."""
-    return table(spark, sf_dir, "documents").where("text not like '%|%'").select("doc_id", F.regexp_replace(F.substring("text", 1, 200), r"[^A-Za-z ,.]+", " ").alias("t")).select("doc_id", F.trim("t").alias("t")).where("t <> ''")
+    """Whole texts as one line each: line ends and separators become spaces."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.trim(F.translate("text", "\r\n\t|\"\\", "      ")).alias("t")).where("t <> ''")
 
 
-_PLAIN = "(SELECT doc_id, trim(regexp_replace(substr(text, 1, 200), '[^A-Za-z ,.]+', ' ', 'g')) AS t FROM documents WHERE text NOT LIKE '%|%')"
+_PLAIN = "(SELECT doc_id, trim(translate(text, chr(13) || chr(10) || chr(9) || '|\"\\', '      ')) AS t FROM documents)"
 
 
 @query(f"SELECT '/audio/' || doc_id || '.wav' AS audio_file, t AS text FROM {_PLAIN} WHERE t <> ''")
@@ -55,10 +55,10 @@ def s07_json_log(spark, sf_dir):
     return readers.json_log(spark, path, "user_id long, event_id long, event_type string, value double")
 
 
-@query(f"SELECT doc_id::VARCHAR AS utt, t AS prompt_text, '/base/p' || doc_id || '.wav' AS prompt_wav, upper(t) AS gt_text, '/base/wavs/' || doc_id || '.wav' AS gt_wav FROM {_PLAIN} WHERE t <> ''")
+@query(f"SELECT doc_id::VARCHAR AS utt, t AS prompt_text, '/base/p' || doc_id || '.wav' AS prompt_wav, '= ' || t AS gt_text, '/base/wavs/' || doc_id || '.wav' AS gt_wav FROM {_PLAIN} WHERE t <> ''")
 def s06_eval_list(spark, sf_dir):
     path = scratch(spark)
-    _plain(spark, sf_dir).select(F.concat_ws("|", F.col("doc_id").cast("string"), "t", F.concat(F.lit("p"), "doc_id", F.lit(".wav")), F.upper("t"))).write.text(path)
+    _plain(spark, sf_dir).select(F.concat_ws("|", F.col("doc_id").cast("string"), "t", F.concat(F.lit("p"), "doc_id", F.lit(".wav")), F.concat(F.lit("= "), "t"))).write.text(path)
     return readers.piped_eval_list(spark, path, "/base")
 
 
@@ -117,18 +117,21 @@ def a17_table_fingerprint(spark, sf_dir):
 
 @query(f"SELECT audio_sha256, md5(text) AS text_md5, min(lang || '#' || lpad(doc_id::VARCHAR, 12, '0')) AS kept, count(*) AS n FROM {UTT} GROUP BY audio_sha256, text")
 def a04_dedup_winner(spark, sf_dir):
-    w = aggregate.winners(utterances(spark, sf_dir), ["audio_sha256", "text"], ORDER)
-    return w.select("audio_sha256", F.md5("text").alias("text_md5"), F.concat("winner.lang", F.lit("#"), F.lpad(F.col("winner.doc_id").cast("string"), 12, "0")).alias("kept"), "n")
+    keyed = utterances(spark, sf_dir).withColumn("text_md5", F.md5("text"))
+    w = aggregate.winners(keyed, ["audio_sha256", "text_md5"], ORDER)
+    return w.select("audio_sha256", "text_md5", F.concat("winner.lang", F.lit("#"), F.lpad(F.col("winner.doc_id").cast("string"), 12, "0")).alias("kept"), "n")
 
 
 @query(f"SELECT doc_id, kept_id FROM (SELECT doc_id, first_value(doc_id) OVER w AS kept_id FROM {UTT} WINDOW w AS (PARTITION BY audio_sha256, text ORDER BY lang, doc_id)) WHERE doc_id <> kept_id")
 def a04_excluded_duplicates(spark, sf_dir):
-    return aggregate.duplicates(utterances(spark, sf_dir), ["audio_sha256", "text"], ORDER).select("doc_id", F.col("winner.doc_id").alias("kept_id"))
+    return aggregate.duplicates(aggregate.text_keyed(utterances(spark, sf_dir), ORDER), ["audio_sha256", "text_sha256"], ORDER).select("doc_id", F.col("winner.doc_id").alias("kept_id"))
 
 
-@query(f"SELECT audio_sha256, count(DISTINCT text) AS n_texts, count(*) AS n_rows FROM {UTT} GROUP BY 1 HAVING count(DISTINCT text) > 1")
+@query(f"""SELECT audio_sha256, sha256(text) AS text_sha256, min(lang || '#' || lpad(doc_id::VARCHAR, 12, '0')) AS first, count(*) AS n_rows, any_value(n) AS n_texts
+  FROM {UTT} JOIN (SELECT audio_sha256, count(DISTINCT text) AS n FROM {UTT} GROUP BY 1) USING (audio_sha256) WHERE n > 1 GROUP BY audio_sha256, text""")
 def a05_conflicts(spark, sf_dir):
-    return aggregate.conflicts(utterances(spark, sf_dir)).select("audio_sha256", F.size("texts").cast("long").alias("n_texts"), "n_rows")
+    c = aggregate.conflicts(aggregate.text_keyed(utterances(spark, sf_dir), ORDER), ORDER)
+    return c.select("audio_sha256", "text_sha256", F.concat("first.lang", F.lit("#"), F.lpad(F.col("first.doc_id").cast("string"), 12, "0")).alias("first"), "n_rows", "n_texts")
 
 
 _KEPT = f"""(SELECT audio_sha256, text, min(lang || '#' || lpad(doc_id::VARCHAR, 12, '0')) AS w FROM {UTT} WHERE audio_sha256 IN (SELECT audio_sha256 FROM {UTT} GROUP BY 1 HAVING count(DISTINCT text) = 1) GROUP BY audio_sha256, text)"""
@@ -136,8 +139,10 @@ _KEPT = f"""(SELECT audio_sha256, text, min(lang || '#' || lpad(doc_id::VARCHAR,
 
 @query(f"SELECT audio_sha256, md5(text) AS text_md5, w AS kept FROM {_KEPT}")
 def k01_canonical_rows(spark, sf_dir):
-    kept = aggregate.aggregated(utterances(spark, sf_dir), ORDER)
-    return kept.orderBy("audio_sha256", "text").select("audio_sha256", F.md5("text").alias("text_md5"), F.concat("lang", F.lit("#"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("kept"))
+    keyed = utterances(spark, sf_dir).withColumn("text_md5", F.md5("text"))
+    kept = aggregate.aggregated(aggregate.text_keyed(keyed, [*ORDER, "text_md5"]), [*ORDER, "text_md5"])
+    # Of conflict-free digests each has one text, so the digest alone gives the order.
+    return kept.orderBy("audio_sha256").select("audio_sha256", "text_md5", F.concat("lang", F.lit("#"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("kept"))
 
 
 _SPLIT = f"""(WITH u AS (SELECT k.audio_sha256, k.text, d.speaker, d.duration, sha256('["' || k.audio_sha256 || '","' || sha256(k.text) || '"]') AS rank
@@ -147,9 +152,9 @@ _SPLIT = f"""(WITH u AS (SELECT k.audio_sha256, k.text, d.speaker, d.duration, s
 
 
 def _split(spark, sf_dir):
-    u = utterances(spark, sf_dir)
-    kept = aggregate.aggregated(u, [*ORDER, "speaker", "duration"])
-    rank = F.sha2(F.concat(F.lit('["'), "audio_sha256", F.lit('","'), F.sha2("text", 256), F.lit('"]')), 256)
+    order = [*ORDER, "speaker", "duration"]
+    kept = aggregate.aggregated(aggregate.text_keyed(utterances(spark, sf_dir), order), order)
+    rank = F.sha2(F.concat(F.lit('["'), "audio_sha256", F.lit('","'), "text_sha256", F.lit('"]')), 256)
     return aggregate.holdout(kept.withColumn("rank", rank), "speaker", "rank", 50)
 
 

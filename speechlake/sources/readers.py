@@ -2,18 +2,43 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..tables import written
+
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, line (from 1), value. A file is read as one value, so its lines keep their numbers."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.regexp_replace("value", "^\ufeff", "").alias("_t"))
-    lines = files.select("file", F.posexplode(F.split("_t", "\r?\n")).alias("_i", "value"), F.size(F.split("_t", "\r?\n")).alias("_n"))
-    return lines.where((F.col("value") != "") | (F.col("_i") < F.col("_n") - 1)).select("file", (F.col("_i") + 1).alias("line"), "value")
+    """file, line (from 1), value. Large files are read in blocks by many tasks: a line's number is its place in its
+    block and the lines of the file's blocks before it (counted once; there is one row a block)."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_at"), F.monotonically_increasing_id().alias("_id"))
+    rows = written(rows)
+    blocks = rows.groupBy("file", "_at").agg(F.min("_id").alias("_lo"), F.count("*").alias("_n"))
+    before = W.partitionBy("file").orderBy("_at").rowsBetween(W.unboundedPreceding, -1)
+    blocks = blocks.select(F.col("file").alias("_f"), F.col("_at").alias("_a"), "_lo", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    out = rows.join(blocks, (F.col("file") == F.col("_f")) & (F.col("_at") == F.col("_a"))).withColumn("line", (F.col("_id") - F.col("_lo") + F.col("_base") + 1).cast("int"))
+    return out.select("file", "line", F.when(F.col("line") == 1, F.regexp_replace("value", "^\ufeff", "")).otherwise(F.col("value")).alias("value"))
+
+
+def jsonl_corpus(spark: SparkSession, path: str, schema: str, wav: str) -> DataFrame:
+    """JSON lines; relative paths in ``wav`` get the folder of their own file. A bad line fails the read."""
+    rows = spark.read.schema(schema).option("mode", "FAILFAST").json(path).select("*", F.col("_metadata.file_path").alias("_f"))
+    folder = F.regexp_replace("_f", r"/[^/]*$", "/")
+    return rows.withColumn(wav, F.when(F.startswith(wav, F.lit("/")), F.col(wav)).otherwise(F.concat(folder, wav))).drop("_f")
+
+
+def with_sibling(spark: SparkSession, path: str, schema: str, own: str, sibling: str) -> DataFrame:
+    """stem and the fields of each JSON file in path that has a file of the same stem with the other ending."""
+    stem = lambda c, end: F.regexp_replace(c, re.escape(end) + "$", "")
+    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").option("pathGlobFilter", f"*{own}").json(path)
+    rows = rows.select(stem("_metadata.file_name", own).alias("stem"), *rows.columns)
+    there = spark.read.format("binaryFile").option("pathGlobFilter", f"*{sibling}").load(path).select(stem(F.substring_index("path", "/", -1), sibling).alias("stem"))
+    return rows.join(there.distinct(), "stem", "left_semi")
 
 
 def piped_manifest(spark: SparkSession, path: str, header: str = "audio_file|text") -> DataFrame:

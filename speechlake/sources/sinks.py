@@ -1,7 +1,10 @@
-"""Sinks: sharded tables with a manifest, results with a headline."""
+"""Sinks: sharded tables with a manifest, results with a headline, one file a row."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,3 +26,24 @@ def write_results(rows: DataFrame, path: str, metric: str, digits: int) -> DataF
     """Rows as JSON lines; the headline (count and mean) is a one-row frame."""
     rows.write.json(path)
     return rows.sparkSession.read.schema(rows.schema).json(path).agg(F.count(metric).alias("n"), F.round(F.avg(metric), digits).alias("mean"))
+
+
+def write_files(rows: DataFrame, path: str) -> str:
+    """A file ``name`` with the content ``body`` (text or bytes) in path for each row; gives path back.
+
+    Tasks write through Arrow's file systems (file, hdfs, s3, gs); a task that runs again writes the same files."""
+    where = path if ":" in path else f"file://{path}"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow.fs import FileSystem
+
+        store, top = FileSystem.from_uri(where)
+        store.create_dir(top, recursive=True)
+        for pdf in batches:
+            for name, body in zip(pdf["name"], pdf["body"], strict=True):
+                with store.open_output_stream(f"{top}/{name}") as f:
+                    f.write(body.encode() if isinstance(body, str) else bytes(body))
+            yield pd.DataFrame({"n": [len(pdf)]})
+
+    rows.select("name", "body").mapInPandas(run, "n long").agg(F.sum("n")).first()
+    return path

@@ -60,11 +60,16 @@ def validate_chains(events: DataFrame, item: str, order: str, state: str, legal:
     return events.select(item, order, state).groupBy(item).applyInPandasWithState(run, schema, "steps long, illegal long, attempts long, last string", "update", GroupStateTimeout.NoTimeout)
 
 
-def arbitrate_leases(requests: DataFrame, item: str, order: str, owner: str, at: str, ttl: float) -> DataFrame:
-    """Every request with granted: the lease is free, expired (expires <= now) or already the owner's."""
+def arbitrate_leases(requests: DataFrame, item: str, order: str, owner: str, at: str, ts: str, ttl: float) -> DataFrame:
+    """Every request with granted: the lease is free, expired (expires <= now) or already the owner's.
+
+    requests: with a watermark on ``ts``. Once the watermark passes a lease's end its state goes."""
     schema = f"{item} long, {order} long, {owner} string, granted boolean"
 
     def run(key: Any, batches: Iterator[pd.DataFrame], s: GroupState) -> Iterator[pd.DataFrame]:
+        if s.hasTimedOut:
+            s.remove()
+            return
         holder, expires = s.get if s.exists else (None, float("-inf"))
         out = []
         for r in pd.concat(list(batches)).sort_values(order).to_dict("records"):
@@ -73,14 +78,15 @@ def arbitrate_leases(requests: DataFrame, item: str, order: str, owner: str, at:
                 holder, expires = r[owner], r[at] + ttl
             out.append((key[0], r[order], r[owner], ok))
         s.update((holder, expires))
+        s.setTimeoutTimestamp(max(int(expires * 1000), s.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[item, order, owner, "granted"])
 
-    return requests.select(item, order, owner, at).groupBy(item).applyInPandasWithState(run, schema, "holder string, expires double", "append", GroupStateTimeout.NoTimeout)
+    return requests.select(item, order, owner, at, ts).groupBy(item).applyInPandasWithState(run, schema, "holder string, expires double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def interval_rates(events: DataFrame, ts: str, failed, width: str, late: str) -> DataFrame:
-    """Events and failures by tumbling interval; rows later than the watermark are dropped."""
-    return events.withWatermark(ts, late).groupBy(F.window(ts, width)).agg(F.count("*").alias("n"), F.count_if(failed).alias("failed")).select(F.col("window.start").alias("start"), "n", "failed")
+def interval_rates(events: DataFrame, ts: str, failed, width: str, late: str, slide: str | None = None) -> DataFrame:
+    """Events and failures by tumbling (or sliding) interval; rows later than the watermark are dropped."""
+    return events.withWatermark(ts, late).groupBy(F.window(ts, width, slide)).agg(F.count("*").alias("n"), F.count_if(failed).alias("failed")).select(F.col("window.start").alias("start"), "n", "failed")
 
 
 def first_copies(events: DataFrame, ts: str, keys: list[str], late: str) -> DataFrame:
@@ -88,8 +94,25 @@ def first_copies(events: DataFrame, ts: str, keys: list[str], late: str) -> Data
     return events.withWatermark(ts, late).dropDuplicatesWithinWatermark(keys)
 
 
+def merged_winners(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """(keys, winner struct<order>, n) of all that has arrived: the least row of each key, with the number of rows.
+
+    Every batch adds its own winners under its number (a batch that runs again replaces them); least rows and counts
+    merge in any order, so nothing that came before is written again."""
+    spark, out = rows.sparkSession, scratch(rows.sparkSession)
+    part = lambda b: b.groupBy(*keys).agg(F.min(F.struct(*order)).alias("winner"), F.count("*").alias("n"))
+
+    def merge(batch: DataFrame, number: int) -> None:
+        part(batch).write.mode("overwrite").parquet(f"{out}/n={number}")
+
+    state = scratch(spark)
+    rows.select(*dict.fromkeys([*keys, *order])).writeStream.foreachBatch(merge).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    found = spark.read.option("recursiveFileLookup", "true").parquet(out)
+    return found.groupBy(*keys).agg(F.min("winner").alias("winner"), F.sum("n").alias("n"))
+
+
 def activity_sessions(events: DataFrame, ts: str, by: str, gap: str, late: str) -> DataFrame:
-    return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), by).agg(F.count("*").alias("n")).select(by, F.col("session_window.start").alias("start"), "n")
+    return events.withWatermark(ts, late).groupBy(F.session_window(ts, gap), by).agg(F.count("*").alias("n")).select(by, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
 def off_trace(events: DataFrame, reference: DataFrame, key: str, value: str, expected: str, tolerance: float) -> DataFrame:

@@ -64,18 +64,21 @@ def remembered(into: list[DataFrame]):
         _OPEN.pop()
 
 
-def numbered(df: DataFrame, order: Sequence[str], to: str, group: str | None = None) -> DataFrame:
+def numbered(df: DataFrame, order: Sequence[str], to: str, group: str | Sequence[str] = ()) -> DataFrame:
     """Adds ``to``: 0, 1, 2, ... in ``order`` (within each ``group``), with no single task over all rows.
 
     Range partitions are sorted, each row gets its place in its partition, and the (few) partition
     counts give the offsets. Rows equal in ``order`` get neighbouring numbers in some order."""
-    keys = ([group] if group else []) + list(order)
-    part, cut = F.shiftright("_sl_row", 33), ["_sl_part"] + ([group] if group else [])
+    group = [group] if isinstance(group, str) else list(group)
+    keys = [*group, *order]
+    part, cut = F.shiftright("_sl_row", 33), ["_sl_part", *group]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = written(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys).withColumn("_sl_row", F.monotonically_increasing_id())).withColumn("_sl_part", part)
     runs = rows.groupBy(*cut).agg(F.min("_sl_row").alias("_sl_lo"), F.count("*").alias("_sl_n"))
-    before = (W.partitionBy(group) if group else W.partitionBy()).orderBy("_sl_part").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*group).orderBy("_sl_part").rowsBetween(W.unboundedPreceding, -1)
     runs = runs.withColumn("_sl_base", F.coalesce(F.sum("_sl_n").over(before), F.lit(0)))
-    # runs has at most (partitions + groups) rows, whatever the input: it may be broadcast.
-    out = rows.join(F.broadcast(runs.drop("_sl_n")), cut)
+    # runs has at most (partitions + groups) rows: without groups it may be broadcast, else Spark checks its size.
+    runs = runs.drop("_sl_n").withColumnsRenamed({c: f"_sl_g_{c}" for c in cut})
+    same = [F.col(c).eqNullSafe(F.col(f"_sl_g_{c}")) for c in cut]
+    out = rows.join(F.broadcast(runs) if not group else runs, same).drop(*[f"_sl_g_{c}" for c in cut])
     return out.withColumn(to, F.col("_sl_row") - F.col("_sl_lo") + F.col("_sl_base")).drop("_sl_row", "_sl_part", "_sl_lo", "_sl_base")
