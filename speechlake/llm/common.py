@@ -17,6 +17,16 @@ def _pairs(df: DataFrame, a: str | Column, b: str | Column) -> DataFrame:
     return df.select((F.col(a) if isinstance(a, str) else a).alias("a"), (F.col(b) if isinstance(b, str) else b).alias("b"))
 
 
+#: Rows of a few bytes that one task takes.
+_TASK_ROWS = 200_000
+
+
+def few_tasks(df: DataFrame, rows: int) -> DataFrame:
+    """df, which comes from about so many rows, in as many tasks as these need: small tables between the rounds of a
+    loop don't take a file and a task for each shuffle partition."""
+    return df.coalesce(max(1, -(-rows // _TASK_ROWS)))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node reachable.
 
@@ -30,11 +40,12 @@ def components(links: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(now.select("b", "b")).distinct()
         seen = mark
+        n = mark[0]
         both = now.union(_pairs(now, "b", "a"))
-        low = both.groupBy(F.col("a").alias("_sl_u")).agg(F.min("b").alias("_sl_m")).withColumn("_sl_m", F.least("_sl_u", "_sl_m"))
-        large = both.where("b > a").join(low, F.col("a") == F.col("_sl_u"))
-        large = _pairs(large, "b", "_sl_m").distinct()
-        low = large.groupBy(F.col("a").alias("_sl_u")).agg(F.min("b").alias("_sl_m"))
+        low = few_tasks(both.groupBy(F.col("a").alias("_sl_u")).agg(F.min("b").alias("_sl_m")).withColumn("_sl_m", F.least("_sl_u", "_sl_m")), n)
+        large = few_tasks(both.where("b > a").join(low, F.col("a") == F.col("_sl_u")), n)
+        large = _pairs(large, "b", "_sl_m")
+        low = few_tasks(large.groupBy(F.col("a").alias("_sl_u")).agg(F.min("b").alias("_sl_m")), n)
         small = _pairs(large.join(low, F.col("a") == F.col("_sl_u")).where("b > _sl_m"), "b", "_sl_m").union(_pairs(low, "_sl_u", "_sl_m"))
-        last, now = now, written(small.distinct())
+        last, now = now, written(few_tasks(few_tasks(small, n).distinct(), n))
         discard(last)
