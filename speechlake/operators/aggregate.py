@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..tables import numbered, written
@@ -65,6 +65,19 @@ def tree_digest(shard_manifest: DataFrame) -> DataFrame:
     return shard_manifest.agg(F.count("*").alias("n_shards"), F.sum("n_rows").alias("n_rows"), F.sha2(F.array_join(F.transform(parts, lambda r: r["digest"]), ""), 256).alias("digest"))
 
 
+def row_fingerprint(**columns: Column) -> Column:
+    """sha256 of the row's canonical JSON: keys in order, nothing between them, non-ASCII characters as they are."""
+    return F.sha2(F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)])), 256)
+
+
+def token_digest(vocab: DataFrame) -> DataFrame:
+    """n_tokens and one sha256 over all tokens in order of idx, each with its length as 8 bytes before it.
+
+    A vocabulary is thousands of tokens (or characters, bounded by Unicode): it fits into one row."""
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("idx", "token"))), lambda t: F.concat(F.lpad(F.hex(F.octet_length(t["token"]).cast("long")), 16, "0"), F.hex(F.encode(t["token"], "UTF-8"))))
+    return vocab.agg(F.count("*").alias("n_tokens"), F.sha2(F.unhex(F.array_join(parts, "")), 256).alias("digest"))
+
+
 def wave_coverage(selected: DataFrame, inputs: DataFrame, wave: int) -> DataFrame:
     """Ids of waves up to ``wave`` that inputs lack, and inputs that are not selected up to there."""
     want = selected.where(F.col("wave") <= wave).select("id")

@@ -50,14 +50,18 @@ def sessions(rows: DataFrame, by: str, at: Column, order: list[str], gap: float)
     return rows.withColumn("_n", new).withColumn("session", F.sum("_n").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("_n")
 
 
-def trace_differences(traces: DataFrame, run: str, step: str, value: str, reference, tolerance: float) -> DataFrame:
-    """run, compared steps, largest |difference| from the reference run, exceeding: over common steps."""
+def trace_differences(traces: DataFrame, run: str, step: str, value: str, reference, tolerance: float, anchors: list[int] = ()) -> DataFrame:
+    """run, n (common steps), largest |difference| from the reference run over those, exceeding (the tolerance), missing
+    (anchors that the run lacks, joined by commas; null if none)."""
     ref = traces.where(F.col(run) == reference).select(step, F.col(value).alias("_v"))
     d = F.abs(F.col(value) - F.col("_v"))
-    return traces.where(F.col(run) != reference).join(ref, step).groupBy(run).agg(F.count("*").alias("n"), F.round(F.max(d), 6).alias("largest"), F.count_if(d > tolerance).alias("exceeding"))
+    lacks = F.array_except(F.array(*[F.lit(a) for a in sorted(anchors)]).cast("array<int>"), F.collect_set(F.when(F.col(step).isin(*anchors), F.col(step).cast("int"))))
+    own = traces.where(F.col(run) != reference).join(ref, step, "left").groupBy(run)
+    out = own.agg(F.count("_v").alias("n"), F.round(F.max(d), 6).alias("largest"), F.count_if(d > tolerance).alias("exceeding"), lacks.alias("_lacks"))
+    return out.withColumn("missing", F.when(F.size("_lacks") > 0, F.array_join("_lacks", ","))).drop("_lacks")
 
 
-#: verdict -> (resume, selection, deployment prohibited, forensic preservation)
+#: Verdict -> (resume, selection, deployment prohibited, forensic preservation)
 DISPOSITIONS = {
     "invalid_for_calibration": (True, True, True, True),
     "invalid_for_selection": (False, True, True, False),

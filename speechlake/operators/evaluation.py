@@ -23,16 +23,31 @@ def matrix(systems: DataFrame, texts: DataFrame) -> DataFrame:
     return systems.crossJoin(texts).withColumn("job_id", F.concat_ws("__", F.col("system_id").cast("string"), F.col("text_id").cast("string")))
 
 
+def with_references(jobs: DataFrame, texts: DataFrame, references: DataFrame) -> DataFrame:
+    """jobs (text_id) with their text's reference_id and the reference's own columns; jobs without one go."""
+    return jobs.join(texts, "text_id").join(references, "reference_id")
+
+
 def latest(log: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The last record of each key; map-side combined, no window."""
     rest = [c for c in log.columns if c not in keys]
     return log.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*")
 
 
-def unfinished(jobs: DataFrame, log: DataFrame, key: str, order: str, ok: Column) -> DataFrame:
-    """Jobs whose latest record is not ok."""
-    return jobs.join(latest(log, [key], order).where(ok).select(key), key, "left_anti")
+def unfinished(jobs: DataFrame, log: DataFrame, key: str, order: str, ok: Column, existing: DataFrame | None = None) -> DataFrame:
+    """Jobs whose latest record is not ok; with ``existing`` (key), only those whose files are there."""
+    left = jobs.join(latest(log, [key], order).where(ok).select(key), key, "left_anti")
+    return left if existing is None else left.join(existing.select(key), key, "left_semi")
+
+
+def merged_metrics(own: DataFrame, other: DataFrame, keys: list[str], own_fields: list[str], other_field: str, order: str) -> DataFrame:
+    """keys, the last own_fields of ok rows of one log, other_field of the other log alone, failed rows of both.
 
+    own, other: keys, order, ok, fields. What the first log says of other_field is foreign and is ignored."""
+    a = overlaid(own.where("ok"), keys, own_fields, order)
+    b = overlaid(other.where("ok").where(F.col(other_field).isNotNull()), keys, [other_field], order)
+    failed = own.select(*keys, "ok").unionByName(other.select(*keys, "ok")).groupBy(*keys).agg(F.count_if(~F.col("ok")).alias("failed"))
+    return failed.join(a, keys, "left").join(b, keys, "left")
 
 def overlaid(log: DataFrame, keys: list[str], fields: list[str], order: str) -> DataFrame:
     """For each field its last non-null value."""
@@ -117,9 +132,26 @@ def interpolated(rows: DataFrame, by: list[str], value: str, fractions: dict[str
     return _ranked(rows, by, value).groupBy(*by).agg(*out)
 
 
+def core_summary(rows: DataFrame, by: list[str], metric: str, core: Column) -> DataFrame:
+    """Exact median, p90 (nearest rank) and max of the metric over the rows of the core split."""
+    own = rows.where(core)
+    top = own.groupBy(*by).agg(F.max(metric).alias(f"core_{metric}_max"))
+    middle = interpolated(own, by, metric, {f"core_{metric}_median": 0.5}).withColumn(f"core_{metric}_median", F.round(f"core_{metric}_median", 6))
+    return top.join(middle, by, "left").join(nearest_rank(own, by, metric, {f"core_{metric}_p90": 0.9}), by, "left")
+
+
+def passed(judged: DataFrame, baseline: Column, texts: int, count: str, hard: str) -> DataFrame:
+    """judged (as from ``verdicts``) with complete (as many rows as texts) and passed: complete, no hard failure, and
+    the baseline itself or a verdict that holds."""
+    ok = baseline | F.coalesce(F.col("verdict"), F.lit(False))
+    return judged.withColumn("complete", F.col(count) == texts).withColumn("passed", F.col("complete") & (F.col(hard) == 0) & ok)
+
+
 def metric_summary(rows: DataFrame, by: list[str], metric: str) -> DataFrame:
     """count, mean, exact median, p10, p90, max over the non-null values of a metric."""
-    stats = rows.groupBy(*by).agg(F.count(metric).alias(f"{metric}_n"), F.round(F.avg(metric), 6).alias(f"{metric}_mean"), F.max(metric).alias(f"{metric}_max"))
+    # Summed as decimals (12 places), so the mean does not depend on how the rows are spread.
+    mean = (F.sum(F.col(metric).cast("decimal(28,12)")) / F.count(metric)).cast("double")
+    stats = rows.groupBy(*by).agg(F.count(metric).alias(f"{metric}_n"), F.round(mean, 6).alias(f"{metric}_mean"), F.max(metric).alias(f"{metric}_max"))
     middle = interpolated(rows, by, metric, {f"{metric}_median": 0.5}).withColumn(f"{metric}_median", F.round(f"{metric}_median", 6))
     return stats.join(middle, by, "left").join(nearest_rank(rows, by, metric, {f"{metric}_p10": 0.1, f"{metric}_p90": 0.9}), by, "left")
 

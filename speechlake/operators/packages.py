@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..tables import numbered
+
 
 def reconcile(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     """keys, n_left, n_right, verdict: matched, missing (right lacks it), extra (left lacks it) or repeated."""
@@ -84,16 +86,41 @@ def prefix_conflicts(members: DataFrame) -> DataFrame:
     return members.join(folders, ["archive", "folded"], "left_semi").select("archive", "path")
 
 
-def disk_classes(items: DataFrame, by: str | None, order: str, size: str, free: float, soft: float, hard: float, factor: int = 8) -> DataFrame:
-    """normal, soft or hard: what is left free after all items up to this one took size * factor."""
-    w = (W.partitionBy(by) if by else W.partitionBy()).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
+def watermarks(total: float, soft: tuple[float, float] = (500 * 2**30, 0.12), hard: tuple[float, float] = (200 * 2**30, 0.05)) -> tuple[float, float]:
+    """(soft, hard) bytes to keep free on a disk of that size: the larger of an amount and a share, each."""
+    return max(soft[0], soft[1] * total), max(hard[0], hard[1] * total)
+
+
+def artifact_plan(items: DataFrame, artifacts: DataFrame, key: str) -> DataFrame:
+    """Items (key, size, digest) whose committed artifact has the same size and digest, and what is wrong with the
+    others: key, verdict ready, no_artifact, size or digest."""
+    a = artifacts.select(F.col(key).alias("_k"), F.col("size").alias("_s"), F.col("digest").alias("_d"))
+    verdict = F.when(F.col("_k").isNull(), "no_artifact").when(~F.col("size").eqNullSafe(F.col("_s")), "size").when(~F.col("digest").eqNullSafe(F.col("_d")), "digest").otherwise("ready")
+    return items.join(a, F.col(key) == F.col("_k"), "left").select(key, verdict.alias("verdict"))
+
+
+def same_prefix(base: DataFrame, new: DataFrame, order: list[str], n: int) -> DataFrame:
+    """Of the first n rows of both lists in order: place, whether the rows are equal (a missing one is not)."""
+    first = lambda d: numbered(d.orderBy(*order).limit(n), order, "place")
+    a = first(base).select("place", F.struct(*base.columns).alias("_a"))
+    b = first(new).select("place", F.struct(*base.columns).alias("_b"))
+    return a.join(b, "place", "full_outer").select("place", F.coalesce(F.col("_a") == F.col("_b"), F.lit(False)).alias("equal"))
+
+
+def disk_classes(items: DataFrame, by: str, order: str, size: str, free: float, soft: float, hard: float, factor: int = 8) -> DataFrame:
+    """normal, soft or hard: what is left free of each disk after all items up to this one took size * factor."""
+    w = W.partitionBy(by).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     left = F.lit(free) - F.sum(F.col(size) * factor).over(w)
     return items.withColumn("left", left).withColumn("class", F.when(left < hard, "hard").when(left < soft, "soft").otherwise("normal"))
 
 
-def opened(docs: DataFrame, samples: str, count: str, keep: list[str]) -> DataFrame:
-    """Rows of nested packages with row_index; ok tells whether the declared count is right."""
-    return docs.select(*keep, (F.size(samples) == F.col(count)).alias("count_ok"), F.posexplode(samples).alias("row_index", "_s")).select(*keep, "count_ok", "row_index", "_s.*")
+def opened(docs: DataFrame, samples: str, count: str, keep: list[str], ident: str | None = None, text: str | None = None, digest: str | None = None) -> DataFrame:
+    """Rows of nested packages with row_index; count_ok tells whether the declared count is right. With ``ident``
+    unique_ids (no id of the package twice), with ``text`` and ``digest`` text_ok (the text has the declared sha256)."""
+    ids = F.transform(samples, lambda s: s[ident]) if ident else None
+    whole = [(F.size(samples) == F.col(count)).alias("count_ok")] + ([(F.size(F.array_distinct(ids)) == F.size(ids)).alias("unique_ids")] if ident else [])
+    rows = docs.select(*keep, *whole, F.posexplode(samples).alias("row_index", "_s")).select(*keep, *[c for c in ("count_ok", "unique_ids") if c == "count_ok" or ident], "row_index", "_s.*")
+    return rows.withColumn("text_ok", F.sha2(text, 256) == F.col(digest)) if text and digest else rows
 
 
 def contiguity(rows: DataFrame, by: list[str], order: str) -> DataFrame:

@@ -11,11 +11,18 @@ from ..sources import sinks
 from ..tables import scratch, table
 
 
-@query("SELECT n_nationkey AS system_id, item_id AS text_id, n_nationkey || '__' || item_id AS job_id FROM nation, benchmark")
-def j07_job_matrix(spark, sf_dir):
+def _matrix(spark, sf_dir):
     return E.matrix(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("system_id")), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("text_id")))
 
 
+@query("SELECT n_nationkey AS system_id, item_id AS text_id, n_nationkey || '__' || item_id AS job_id, s_suppkey AS reference_id, s_name AS reference_name FROM nation, benchmark JOIN supplier ON s_suppkey = item_id % 7 + 1")
+def j07_job_matrix(spark, sf_dir):
+    """Suppliers as reference clips: seven of them serve all texts."""
+    texts = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("text_id"), (F.col("item_id") % 7 + 1).alias("reference_id"))
+    refs = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("reference_id"), F.col("s_name").alias("reference_name"))
+    return E.with_references(_matrix(spark, sf_dir), texts, refs)
+
+
 _LAST = "(SELECT user_id, event_type, max_by(value, event_id) AS value, max(event_id) AS event_id FROM events GROUP BY ALL)"
 
 
@@ -25,22 +32,26 @@ def w03_latest_record(spark, sf_dir):
     return E.latest(log.withColumn("o", F.col("event_id")), ["user_id", "event_type"], "o").select("user_id", "event_type", "event_id", F.round("value", 6).alias("value"))
 
 
-@query("SELECT user_id FROM events GROUP BY user_id HAVING max_by(event_type, event_id) = 'error'")
+@query("SELECT user_id FROM events GROUP BY user_id HAVING max_by(event_type, event_id) IN ('error', 'view') AND user_id IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 <> 0)")
 def j08_resume(spark, sf_dir):
-    """Users as jobs: those whose latest event is an error are still to do."""
+    """Users as jobs: those whose latest event is an error or a view are still to do, if their file (a customer) is there."""
     log = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type").withColumn("o", F.col("event_id"))
-    return E.unfinished(log.select("user_id").distinct(), log, "user_id", "o", F.col("event_type") != "error")
+    files = table(spark, sf_dir, "customer").where("c_custkey % 3 <> 0").select(F.col("c_custkey").alias("user_id"))
+    return E.unfinished(log.select("user_id").distinct(), log, "user_id", "o", ~F.col("event_type").isin("error", "view"), files)
 
 
-@query("""WITH a AS (SELECT user_id, max_by(value, event_id) AS view_value FROM events WHERE event_type = 'view' AND value IS NOT NULL GROUP BY 1),
-  b AS (SELECT user_id, max_by(value, event_id) AS buy_value FROM events WHERE event_type = 'purchase' AND value IS NOT NULL GROUP BY 1)
-  SELECT coalesce(a.user_id, b.user_id) AS user_id, round(view_value, 6) AS view_value, round(buy_value, 6) AS buy_value FROM a FULL JOIN b ON a.user_id = b.user_id""")
+@query("""WITH a AS (SELECT user_id, max_by(value, event_id) FILTER (WHERE value > 1) AS first_value, max_by(event_id, event_id) AS last_id FROM events WHERE event_type IN ('view', 'click') GROUP BY 1),
+  b AS (SELECT user_id, max_by(value, event_id) AS cer FROM events WHERE event_type = 'purchase' AND value IS NOT NULL GROUP BY 1),
+  f AS (SELECT user_id, count(*) FILTER (WHERE event_type IN ('error', 'signup')) AS failed FROM events GROUP BY 1)
+  SELECT user_id, failed, round(first_value, 6) AS first_value, last_id, round(cer, 6) AS cer FROM f LEFT JOIN a USING (user_id) LEFT JOIN b USING (user_id)""")
 def j09_metric_merge(spark, sf_dir):
-    """Two logs (views, purchases), each overlaid by its last value, merged on the user."""
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value")
-    a = E.overlaid(e.where("event_type = 'view'").withColumnRenamed("value", "view_value"), ["user_id"], ["view_value"], "event_id").where("view_value is not null")
-    b = E.overlaid(e.where("event_type = 'purchase'").withColumnRenamed("value", "buy_value"), ["user_id"], ["buy_value"], "event_id").where("buy_value is not null")
-    return a.join(b, "user_id", "full_outer").select("user_id", F.round("view_value", 6).alias("view_value"), F.round("buy_value", 6).alias("buy_value"))
+    """Views, clicks and errors as one log with a field that is often missing and a foreign cer; purchases and signups
+    as the log that has the cer."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "value").withColumn("ok", ~F.col("event_type").isin("error", "signup"))
+    own = e.where(F.col("event_type").isin("view", "click", "error")).select("user_id", "event_id", "ok", F.when(F.col("value") > 1, F.col("value")).alias("first_value"), F.col("event_id").alias("last_id"), F.lit(-1.0).alias("cer"))
+    other = e.where(F.col("event_type").isin("purchase", "signup")).select("user_id", "event_id", "ok", F.col("value").alias("cer"))
+    m = E.merged_metrics(own, other, ["user_id"], ["first_value", "last_id"], "cer", "event_id")
+    return m.select("user_id", "failed", F.round("first_value", 6).alias("first_value"), "last_id", F.round("cer", 6).alias("cer"))
 
 
 _NORM = "regexp_replace(replace(lower(text), 'ß', 'ss'), '[^\\p{L}\\p{N}]', '', 'g')"
@@ -68,14 +79,17 @@ def a07_nearest_rank(spark, sf_dir):
 
 
 _SUM = f"""(SELECT l_suppkey, count(v) AS v_n, round(avg(v), 6) AS v_mean, round(median(v), 6) AS v_median, max(v) AS v_max, {_RANK.format(f=0.1)} AS v_p10, {_RANK.format(f=0.9)} AS v_p90,
-  count(*) FILTER (WHERE q > 45) AS hard_failures FROM (
-  SELECT l_suppkey, l_discount AS v, l_quantity AS q, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_discount) AS r, count(*) OVER (PARTITION BY l_suppkey) AS n FROM lineitem) GROUP BY 1)"""
+  count(*) FILTER (WHERE q > 49) AS hard_failures, count(*) AS n_rows, max(v) FILTER (WHERE core) AS core_v_max, round(median(v) FILTER (WHERE core), 6) AS core_v_median, max(CASE WHEN core AND rc = round_even((nc - 1) * 0.9, 0)::BIGINT + 1 THEN v END) AS core_v_p90 FROM (
+  SELECT l_suppkey, l_discount AS v, l_quantity AS q, l_linenumber <= 2 AS core, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_discount) AS r, count(*) OVER (PARTITION BY l_suppkey) AS n,
+    row_number() OVER (PARTITION BY l_suppkey, l_linenumber <= 2 ORDER BY l_discount) AS rc, count(*) OVER (PARTITION BY l_suppkey, l_linenumber <= 2) AS nc FROM lineitem) GROUP BY 1)"""
 
 
 def _summary(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_discount").alias("v"), "l_quantity")
-    hard = rows.groupBy("l_suppkey").agg(F.count_if(F.col("l_quantity") > 45).alias("hard_failures"))
-    return E.metric_summary(rows, ["l_suppkey"], "v").join(hard, "l_suppkey")
+    """Suppliers as systems, their line items as score rows; the first two lines of an order are the core split."""
+    rows = table(spark, sf_dir, "lineitem").select("l_suppkey", F.col("l_discount").alias("v"), "l_quantity", "l_linenumber")
+    hard = rows.groupBy("l_suppkey").agg(F.count_if(F.col("l_quantity") > 49).alias("hard_failures"), F.count("*").alias("n_rows"))
+    core = E.core_summary(rows, ["l_suppkey"], "v", F.col("l_linenumber") <= 2)
+    return E.metric_summary(rows, ["l_suppkey"], "v").join(hard, "l_suppkey").join(core, "l_suppkey", "left")
 
 
 @query(f"SELECT * FROM {_SUM}")
@@ -83,13 +97,21 @@ def a08_system_summary(spark, sf_dir):
     return _summary(spark, sf_dir)
 
 
-@query(f"""WITH s AS {_SUM}, b AS (SELECT v_mean AS bm, v_p90 AS bp FROM s WHERE l_suppkey = (SELECT min(l_suppkey) FROM s))
-  SELECT l_suppkey, v_mean - bm <= 0.001 AS mean_ok, v_p90 - bp <= 0.005 AS p90_ok, (v_mean - bm <= 0.001) AND (v_p90 - bp <= 0.005) AS verdict FROM s, b""")
+#: name -> (metric, comparison, limit of the difference from the baseline)
+_CHECKS = {"mean_ok": ("v_mean", "<=", 0.001), "p90_ok": ("v_p90", "<=", 0.005), "p10_ok": ("v_p10", ">=", -0.01), "median_ok": ("v_median", "<=", 0.002), "max_ok": ("v_max", "<=", 0.0), "core_ok": ("core_v_p90", "<=", 0.01)}
+_SQL_CHECKS = ", ".join(f"{m} - b_{m} {op} {x} AS {name}" for name, (m, op, x) in _CHECKS.items())
+
+
+@query(f"""WITH s AS {_SUM}, b AS (SELECT {', '.join(f'{m} AS b_{m}' for m, _, _ in _CHECKS.values())} FROM s WHERE l_suppkey = (SELECT min(l_suppkey) FROM s)),
+  j AS (SELECT l_suppkey, hard_failures, n_rows, l_suppkey = (SELECT min(l_suppkey) FROM s) AS baseline, {_SQL_CHECKS} FROM s, b),
+  v AS (SELECT *, CASE WHEN {' AND '.join(f'{c} IS NOT NULL' for c in _CHECKS)} THEN {' AND '.join(_CHECKS)} END AS verdict, n_rows = 600 AS complete FROM j)
+  SELECT l_suppkey, {', '.join(_CHECKS)}, verdict, complete, complete AND hard_failures = 0 AND (baseline OR coalesce(verdict, false)) AS passed FROM v""")
 def a12_objective_verdict(spark, sf_dir):
     s = _summary(spark, sf_dir)
-    low = s.agg(F.min("l_suppkey").alias("_low"))
-    marked = s.join(F.broadcast(low))
-    return E.verdicts(marked, F.col("l_suppkey") == F.col("_low"), {"mean_ok": ("v_mean", "<=", 0.001), "p90_ok": ("v_p90", "<=", 0.005)}).select("l_suppkey", "mean_ok", "p90_ok", "verdict")
+    first = s.agg(F.min("l_suppkey").alias("_low"))
+    baseline = F.col("l_suppkey") == F.col("_low")
+    judged = E.verdicts(s.join(F.broadcast(first)), baseline, _CHECKS)
+    return E.passed(judged, baseline, 600, "n_rows", "hard_failures").select("l_suppkey", *_CHECKS, "verdict", "complete", "passed")
 
 
 _PARETO = """SELECT a.p_partkey FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_brand = a.p_brand AND b.p_partkey <> a.p_partkey AND b.p_retailprice <= a.p_retailprice AND b.p_size >= a.p_size AND (b.p_retailprice < a.p_retailprice OR b.p_size > a.p_size))"""
@@ -120,11 +142,11 @@ def a10_latency(spark, sf_dir):
 
 @query("""WITH o AS (SELECT l_orderkey AS k, l_discount AS a, avg(l_extendedprice) AS v FROM lineitem GROUP BY ALL), e AS (SELECT k, min_by(v, a) AS b, max_by(v, a) AS t FROM o GROUP BY 1),
   p AS (SELECT a, (v - b) / (t - b) AS p FROM o JOIN e USING (k) WHERE abs(t - b) >= 1e-6)
-  SELECT a AS alpha, count(*) AS n, round(avg(p), 4) AS mean FROM p GROUP BY 1""")
+  SELECT a AS alpha, count(*) AS n, round(avg(p), 4) AS mean, round(coalesce(stddev_samp(p), 0), 4) AS sd, round(avg(p) - a, 4) AS error FROM p GROUP BY 1""")
 def a13_response_curve(spark, sf_dir):
     """Discounts as alpha, one seed for each order."""
     v = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", F.col("l_discount").alias("alpha")).agg(F.avg("l_extendedprice").alias("value"))
-    return E.response(v, "l_orderkey", "alpha", "value").select("alpha", "n", F.round("mean", 4).alias("mean"))
+    return E.response(v, "l_orderkey", "alpha", "value").select("alpha", "n", *[F.round(c, 4).alias(c) for c in ("mean", "sd", "error")])
 
 
 @query("""WITH o AS (SELECT l_orderkey, l_quantity AS v, lag(l_quantity) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_quantity) AS p FROM lineitem)
@@ -145,7 +167,7 @@ def a09_metric_mean(spark, sf_dir):
 
 @query("SELECT n_nationkey || '__' || item_id AS job_id, 'Y' || upper(substr(sha256('secret' || chr(0) || n_nationkey || '__' || item_id), 1, 10)) AS code FROM nation, benchmark")
 def k06_blind_codes(spark, sf_dir):
-    jobs = j07_job_matrix(spark, sf_dir)
+    jobs = _matrix(spark, sf_dir)
     return jobs.select("job_id", E.blind_code("secret", F.col("job_id")).alias("code"))
 
 
@@ -187,13 +209,26 @@ def t14_padding(spark, sf_dir):
     return batching.padding(_padded(spark, sf_dir), "frames")
 
 
+@query("""SELECT conv_id AS batch_id, turn, len(string_split(text, ' '))::BIGINT AS length, max(len(string_split(text, ' '))) OVER (PARTITION BY conv_id)::BIGINT AS padded,
+  list_sum(list_transform(string_split(text, ' '), lambda w: length(w)))::BIGINT - (max(len(string_split(text, ' '))) OVER (PARTITION BY conv_id) - len(string_split(text, ' ')))::BIGINT AS total FROM conversations WHERE text <> ''""")
+def t14_collated(spark, sf_dir):
+    """Conversations as batches: word lengths as ids, padded with -1 to the longest turn."""
+    ids = F.transform(F.split("text", " "), lambda w: F.length(w).cast("long"))
+    rows = table(spark, sf_dir, "conversations").where("text <> ''").select(F.col("conv_id").alias("batch_id"), "turn", ids.alias("ids"))
+    c = batching.collated(rows, "ids")
+    return c.select("batch_id", "turn", F.col("length").cast("long").alias("length"), F.size("ids").cast("long").alias("padded"), F.aggregate("ids", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"))
+
+
 @query("SELECT doc_id, floor((n_chars - 45) / 556.0 * 200)::BIGINT AS bucket FROM documents WHERE n_chars BETWEEN 45 AND 600")
 def w07_length_buckets(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").where("n_chars between 45 and 600")
     return rows.select("doc_id", batching.length_bucket(F.col("n_chars"), 45, 600).alias("bucket"))
 
 
-@query()
+@query("""WITH RECURSIVE r AS (SELECT doc_id, n_chars AS l, floor((n_chars - 45) / 556.0 * 200)::BIGINT AS bucket, row_number() OVER (PARTITION BY floor((n_chars - 45) / 556.0 * 200) ORDER BY doc_id) AS i FROM documents WHERE n_chars BETWEEN 45 AND 600),
+  g AS (SELECT bucket, i, doc_id, l, 0::BIGINT AS k, l AS used FROM r WHERE i = 1
+    UNION ALL SELECT r.bucket, r.i, r.doc_id, r.l, CASE WHEN g.used >= 3000 THEN g.k + 1 ELSE g.k END, CASE WHEN g.used >= 3000 THEN r.l ELSE g.used + r.l END FROM g JOIN r ON r.bucket = g.bucket AND r.i = g.i + 1)
+  SELECT doc_id, bucket, l AS n_chars, k AS batch_in_bucket FROM g""")
 def w07_bucket_batches(spark, sf_dir):
     rows = table(spark, sf_dir, "documents").where("n_chars between 45 and 600").select("doc_id", "n_chars", batching.length_bucket(F.col("n_chars"), 45, 600).alias("bucket"))
     return batching.bucket_batches(rows, "bucket", "n_chars", "doc_id", 3000)
@@ -268,14 +303,17 @@ def k03_next_item(spark, sf_dir):
 _TRACE = "(SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step, value FROM events)"
 
 
-@query(f"""WITH t AS {_TRACE}, r AS (SELECT step, value FROM t WHERE user_id = (SELECT min(user_id) FROM events))
-  SELECT user_id, count(*) AS n, round(max(abs(t.value - r.value)), 6) AS largest, count(*) FILTER (WHERE abs(t.value - r.value) > 1.5) AS exceeding FROM t JOIN r USING (step) WHERE user_id <> (SELECT min(user_id) FROM events) GROUP BY 1""")
+@query(f"""WITH t AS (SELECT * FROM {_TRACE} WHERE NOT (user_id % 4 = 0 AND step = 5)), r AS (SELECT step, value FROM t WHERE user_id = (SELECT min(user_id) FROM events)), o AS (SELECT DISTINCT user_id FROM events WHERE user_id <> (SELECT min(user_id) FROM events))
+  SELECT o.user_id, count(r.step) AS n, round(max(abs(t.value - r.value)), 6) AS largest, count(*) FILTER (WHERE abs(t.value - r.value) > 1.5) AS exceeding,
+    (SELECT string_agg(a, ',' ORDER BY a) FROM (SELECT unnest([1, 5, 10]) AS a) WHERE NOT EXISTS (SELECT 1 FROM t x WHERE x.user_id = o.user_id AND x.step = a)) AS missing
+  FROM o LEFT JOIN t ON t.user_id = o.user_id LEFT JOIN r USING (step) GROUP BY o.user_id""")
 def j14_trace_comparison(spark, sf_dir):
+    """Every fourth user lacks step 5; steps 1, 5 and 10 are the anchors that each trace needs."""
     from pyspark.sql import Window as W
 
-    t = table(spark, sf_dir, "events").select("user_id", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).alias("step"), "value")
+    t = table(spark, sf_dir, "events").select("user_id", F.row_number().over(W.partitionBy("user_id").orderBy("event_id")).alias("step"), "value").where("not (user_id % 4 = 0 and step = 5)")
     first = table(spark, sf_dir, "events").agg(F.min("user_id")).first()[0]
-    return control.trace_differences(t, "user_id", "step", "value", F.lit(first), 1.5)
+    return control.trace_differences(t, "user_id", "step", "value", F.lit(first), 1.5, anchors=[1, 5, 10])
 
 
 @query("SELECT conv_id, turn, CASE WHEN role IN ('user', 'assistant') THEN role ELSE 'main' END AS used, CASE WHEN role = 'user' THEN 1.1 WHEN role = 'assistant' THEN 0.9 ELSE 1.0 END::DOUBLE AS speed FROM conversations")
@@ -285,7 +323,7 @@ def j16_voice_lookup(spark, sf_dir):
     return control.with_default(rows, voices, "role", ["speed"], F.lit("main")).select("conv_id", "turn", "used", "speed")
 
 
-@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'valid' WHEN 'O' THEN 'invalid_for_selection' ELSE 'forensic_only' END AS verdict, o_orderstatus NOT IN ('F', 'O') AS resume_prohibited, o_orderstatus <> 'F' AS selection_prohibited FROM orders""")
+@query("""SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'valid' WHEN 'O' THEN 'invalid_for_selection' ELSE 'forensic_only' END AS verdict, o_orderstatus NOT IN ('F', 'O') AS resume_prohibited, o_orderstatus <> 'F' AS selection_prohibited, o_orderstatus <> 'F' AS deployment_prohibited, o_orderstatus NOT IN ('F', 'O') AS forensic FROM orders""")
 def t25_adjudication(spark, sf_dir):
     v = F.when(F.col("o_orderstatus") == "F", "valid").when(F.col("o_orderstatus") == "O", "invalid_for_selection").otherwise("forensic_only")
-    return control.dispositions(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), v).select("o_orderkey", "verdict", "resume_prohibited", "selection_prohibited")
+    return control.dispositions(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), v).select("o_orderkey", "verdict", "resume_prohibited", "selection_prohibited", "deployment_prohibited", "forensic")

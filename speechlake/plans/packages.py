@@ -81,15 +81,29 @@ def s09_api_listing(spark, sf_dir):
     return p.select(F.when(F.col("page_id") % 2 == 1, odd).otherwise(even).alias("j")).select(*readers.api_files(F.col("j")))
 
 
-@query("SELECT conv_id, true AS count_ok, turn::INT AS row_index, role, text FROM conversations")
+@query("SELECT url AS path, (CASE WHEN page_id % 4 = 0 THEN 'digest;' ELSE '' END) || (CASE WHEN page_id % 9 = 0 THEN 'blob;' ELSE '' END) || (CASE WHEN page_id % 10 = 0 THEN 'size;' ELSE '' END) AS broken FROM pages")
+def s09_file_identities(spark, sf_dir):
+    """Listings with ill-formed identities: every fourth digest is cut, every ninth blob id is in capitals, every tenth
+    size is negative."""
+    i = F.col("page_id")
+    j = F.to_json(F.struct(F.col("url").alias("path"), F.when(i % 9 == 0, F.upper(F.concat(F.lit("a"), F.sha1("url")))).otherwise(F.sha1("url")).alias("oid"), F.when(i % 10 == 0, -i - 1).otherwise(i).alias("size"), F.struct(F.when(i % 4 == 0, F.substring(F.sha2("url", 256), 1, 63)).otherwise(F.sha2("url", 256)).alias("sha256")).alias("lfs")))
+    files = table(spark, sf_dir, "pages").select(j.alias("j")).select(*readers.api_files(F.col("j")))
+    return files.select("path", F.array_join(F.transform(readers.file_faults(), lambda f: F.concat(f, F.lit(";"))), "").alias("broken"))
+
+
+@query("""SELECT conv_id, conv_id % 5 <> 0 AS count_ok, conv_id % 7 <> 0 OR count(*) OVER (PARTITION BY conv_id) = 1 AS unique_ids, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::INT AS row_index, role, text, conv_id % 3 <> 0 AS text_ok FROM conversations""")
 def s10_open_package(spark, sf_dir):
-    """Conversations nested into one document each, written as JSON and opened again."""
+    """Conversations nested into one document each, written as JSON and opened again. Every fifth one declares a wrong
+    count, every seventh has one id for all its turns, every third the digests of other texts."""
     path = scratch(spark)
     c = table(spark, sf_dir, "conversations")
-    docs = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("samples"), F.count("*").alias("record_count"))
-    docs.write.json(path)
-    back = readers.nested_documents(spark, path, "conv_id long, samples array<struct<turn: long, role: string, text: string>>, record_count long")
-    return packages.opened(back, "samples", "record_count", ["conv_id"]).select("conv_id", "count_ok", F.col("turn").cast("int").alias("row_index"), "role", "text")
+    digest = F.sha2(F.when(F.col("conv_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256)
+    ident = F.concat("conv_id", F.lit("-"), F.when(F.col("conv_id") % 7 == 0, F.lit(0)).otherwise(F.col("turn")))
+    docs = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text", digest.alias("text_sha256"), ident.alias("id")))).alias("samples"), F.count("*").alias("record_count"))
+    docs.withColumn("record_count", F.col("record_count") + (F.col("conv_id") % 5 == 0).cast("long")).write.json(path)
+    back = readers.nested_documents(spark, path, "conv_id long, samples array<struct<turn: long, role: string, text: string, text_sha256: string, id: string>>, record_count long")
+    rows = packages.opened(back, "samples", "record_count", ["conv_id"], "id", "text", "text_sha256")
+    return rows.select("conv_id", "count_ok", "unique_ids", F.col("row_index").cast("int").alias("row_index"), "role", "text", "text_ok")
 
 
 @query("SELECT floor((row_number() OVER (ORDER BY doc_id) - 1) / 128)::BIGINT AS shard_id, count(*) OVER () AS n_total, doc_id FROM documents")
@@ -115,6 +129,21 @@ def a17_table_fingerprint(spark, sf_dir):
     return aggregate.tree_digest(sinks.write_shards(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), scratch(spark), ["doc_id"], 100))
 
 
+@query("""SELECT c_custkey, sha256('{"address":' || to_json(c_name)::VARCHAR || ',"key":' || c_custkey || ',"nation":' || c_nationkey || '}') AS fingerprint FROM customer""")
+def a17_row_fingerprint(spark, sf_dir):
+    """sha256 of each row's canonical JSON: keys sorted, no spaces."""
+    c = table(spark, sf_dir, "customer")
+    return c.select("c_custkey", aggregate.row_fingerprint(address=F.col("c_name"), key=F.col("c_custkey"), nation=F.col("c_nationkey")).alias("fingerprint"))
+
+
+@query("""SELECT count(*) AS n_tokens, sha256(unhex(string_agg(lpad(to_hex(strlen(token)), 16, '0') || hex(token), '' ORDER BY CASE WHEN token = ' ' THEN 0 ELSE 1 END, token))) AS digest
+  FROM (SELECT DISTINCT unnest(string_split(text, '')) AS token FROM documents WHERE length(text) > 0)""")
+def a17_token_digest(spark, sf_dir):
+    from ..operators import corpus
+
+    return aggregate.token_digest(corpus.vocabulary(table(spark, sf_dir, "documents")))
+
+
 @query(f"SELECT audio_sha256, md5(text) AS text_md5, min(lang || '#' || lpad(doc_id::VARCHAR, 12, '0')) AS kept, count(*) AS n FROM {UTT} GROUP BY audio_sha256, text")
 def a04_dedup_winner(spark, sf_dir):
     keyed = utterances(spark, sf_dir).withColumn("text_md5", F.md5("text"))
@@ -220,12 +249,13 @@ def j06_stratum_join(spark, sf_dir):
     return table(spark, sf_dir, "part").groupBy(name.alias("stratum"), strata.cast("long").alias("strata")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH l AS (SELECT l_orderkey, count(*) AS n FROM lineitem GROUP BY 1) SELECT o_orderkey, coalesce(n, 0) AS n_items FROM orders LEFT JOIN l ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F' AND coalesce(n, 0) <> 4""")
+@query("""WITH a AS (SELECT l_orderkey, count(*) AS n, md5(l_orderkey::VARCHAR) AS d FROM lineitem GROUP BY 1) SELECT o_orderkey,
+  CASE WHEN n IS NULL THEN 'no_artifact' WHEN n <> 4 THEN 'size' WHEN o_orderkey % 6 = 0 THEN 'digest' ELSE 'ready' END AS verdict FROM orders LEFT JOIN a ON o_orderkey = l_orderkey WHERE o_orderstatus = 'F'""")
 def j12_item_plan(spark, sf_dir):
-    """Eligible orders against the number of their items: those whose count is not the declared four."""
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("n_items"))
-    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").join(items, F.col("o_orderkey") == F.col("l_orderkey"), "left").fillna(0, ["n_items"])
-    return o.where("n_items <> 4").select("o_orderkey", "n_items")
+    """Eligible orders as items that declare four lines and a digest (every sixth a wrong one); line items as artifacts."""
+    a = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.count("*").alias("size")).withColumn("digest", F.md5(F.col("o_orderkey").cast("string")))
+    o = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select("o_orderkey", F.lit(4).cast("long").alias("size"), F.md5(F.concat(F.col("o_orderkey").cast("string"), F.when(F.col("o_orderkey") % 6 == 0, F.lit("x")).otherwise(F.lit("")))).alias("digest"))
+    return packages.artifact_plan(o, a, "o_orderkey")
 
 
 @query("SELECT o_custkey AS key, 'unregistered' AS verdict FROM (SELECT DISTINCT o_custkey FROM orders) WHERE o_custkey % 4 = 0 UNION ALL SELECT c_custkey, 'unused' FROM customer WHERE c_custkey % 4 <> 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
@@ -250,20 +280,49 @@ def f10_path_resolution(spark, sf_dir):
     return packages.resolved(p, there, "/base", ["wav", "ogg", "mp3"]).select("page_id", "resolved")
 
 
-@query("""WITH m AS (SELECT regexp_extract(url, '://([^/?#]*)', 1) AS archive, url AS path, strlen(html) AS size FROM pages)
-  SELECT archive, count(*) AS n, sum(size)::BIGINT AS total, (CASE WHEN max(size) > 4000 THEN 'member_size;' ELSE '' END) || (CASE WHEN sum(size) > 60000 THEN 'total_size;' ELSE '' END) || (CASE WHEN count(*) > 20 THEN 'members;' ELSE '' END) AS broken FROM m GROUP BY archive""")
+_MEMBERS = """(SELECT regexp_extract(url, '://([^/?#]*)', 1) AS archive, CASE WHEN page_id % 11 = 0 THEN 'other' ELSE 'root' END || '/' || CASE WHEN page_id % 13 = 0 THEN 'VOICE' WHEN page_id % 17 = 0 THEN 'voice/a.ogg' ELSE 'f' || page_id || '.ogg' END AS path,
+  strlen(html) AS size, CASE WHEN page_id % 19 = 0 THEN 1 ELSE strlen(html) END AS packed FROM pages)"""
+
+
+def _members(spark, sf_dir):
+    """Pages as archive members, their hosts as archives. Some lie outside the root, some share a name but for its
+    case, some are a file where others have a folder, some are packed to a byte."""
+    i = F.col("page_id")
+    name = F.when(i % 13 == 0, F.lit("VOICE")).when(i % 17 == 0, F.lit("voice/a.ogg")).otherwise(F.concat(F.lit("f"), i, F.lit(".ogg")))
+    path = F.concat(F.when(i % 11 == 0, F.lit("other/")).otherwise(F.lit("root/")), name)
+    size = F.octet_length("html").cast("long")
+    m = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("archive"), path.alias("path"), size.alias("size"), F.when(i % 19 == 0, F.lit(1)).otherwise(size).cast("long").alias("packed"))
+    return m.withColumn("folded", V.portable_key("path"))
+
+
+@query(f"""SELECT archive, count(*) AS n, sum(size)::BIGINT AS total, (CASE WHEN max(size) > 4000 THEN 'member_size;' ELSE '' END) || (CASE WHEN sum(size) > 60000 THEN 'total_size;' ELSE '' END) || (CASE WHEN sum(size) > sum(packed) * 1.05 THEN 'ratio;' ELSE '' END)
+  || (CASE WHEN count(*) > 20 THEN 'members;' ELSE '' END) || (CASE WHEN count(DISTINCT split_part(path, '/', 1)) > 1 THEN 'roots;' ELSE '' END) || (CASE WHEN count(DISTINCT lower(path)) < count(*) THEN 'repeated_name;' ELSE '' END) AS broken FROM {_MEMBERS} GROUP BY archive""")
 def f11_archive_limits(spark, sf_dir):
-    m = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("archive"), F.lit("root/").alias("path"), F.octet_length("html").cast("long").alias("size"), F.octet_length("html").cast("long").alias("packed"), F.col("page_id").cast("string").alias("folded"))
-    out = packages.archive_limits(m, 4000, 60000, 1000.0, 20)
+    out = packages.archive_limits(_members(spark, sf_dir), 4000, 60000, 1.05, 20)
     return out.select("archive", "n", F.col("total").cast("long").alias("total"), F.concat(F.array_join("violations", ";"), F.when(F.size("violations") > 0, ";").otherwise("")).alias("broken"))
 
 
-@query("""SELECT o_orderkey, CASE WHEN l < 1000 THEN 'hard' WHEN l < 200000 THEN 'soft' ELSE 'normal' END AS class FROM (
+@query(f"SELECT archive, path FROM {_MEMBERS} m WHERE path LIKE '%/VOICE' AND EXISTS (SELECT 1 FROM {_MEMBERS} o WHERE o.archive = m.archive AND o.path = lower(m.path) || '/a.ogg')")
+def f11_prefix_conflicts(spark, sf_dir):
+    return packages.prefix_conflicts(_members(spark, sf_dir))
+
+
+@query("""SELECT c_custkey, (CASE WHEN c_custkey % 5 = 0 THEN 'digest;' ELSE '' END) || (CASE WHEN c_custkey % 7 = 0 THEN 'id;' ELSE '' END) || (CASE WHEN c_custkey % 4 = 0 THEN 'path;' ELSE '' END) || (CASE WHEN c_custkey % 9 = 0 THEN 'size;' ELSE '' END) AS broken FROM customer""")
+def f07_identity_rules(spark, sf_dir):
+    """Customers as catalog items with made-up faults."""
+    k, sha = F.col("c_custkey"), F.sha2(F.col("c_custkey").cast("string"), 256)
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.when(k % 5 == 0, F.substring(sha, 1, 50)).otherwise(F.when(k % 2 == 0, F.substring(sha, 1, 40)).otherwise(sha)).alias("sha"), F.concat(F.when(k % 7 == 0, F.lit("sel_")).otherwise(F.lit("item_")), F.substring(sha, 1, 24)).alias("ident"), F.when(k % 8 == 0, F.lit("a/../b")).when(k % 4 == 0, F.lit("one")).otherwise(F.lit("pack/one.7z")).alias("path"), F.when(k % 9 == 0, F.lit(0)).otherwise(k).alias("size"))
+    rules = packages.identity_rules(F.col("sha"), F.col("ident"), "item_", F.col("path"), F.col("size"))
+    return c.select("c_custkey", F.array_join(F.transform(packages.violations(*rules), lambda r: F.concat(r, F.lit(";"))), "").alias("broken"))
+
+
+@query("""SELECT o_orderkey, CASE WHEN l < greatest(1000, 0.05 * 2e6) THEN 'hard' WHEN l < greatest(2e5, 0.12 * 2e6) THEN 'soft' ELSE 'normal' END AS class FROM (
   SELECT o_orderkey, 2e6 - sum(o_totalprice * 8) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS l FROM orders)""")
 def f12_disk_admission(spark, sf_dir):
     """One disk for each customer; orders are admitted in order."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
-    return packages.disk_classes(o, "o_custkey", "o_orderkey", "o_totalprice", 2e6, 2e5, 1e3).select("o_orderkey", "class")
+    soft, hard = packages.watermarks(2e6, (2e5, 0.12), (1e3, 0.05))
+    return packages.disk_classes(o, "o_custkey", "o_orderkey", "o_totalprice", 2e6, soft, hard).select("o_orderkey", "class")
 
 
 @query("SELECT conv_id, turn, e AS expected FROM (SELECT conv_id, turn + CASE WHEN conv_id % 9 = 0 AND turn > 0 THEN 1 ELSE 0 END AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS e FROM conversations) WHERE turn <> e")
@@ -283,6 +342,14 @@ def o03_intersection(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("supplier")).intersect(table(spark, sf_dir, "supplier").where("s_acctbal > 0").select("s_suppkey"))
 
 
+@query("SELECT i - 1 AS place, k = n AS equal FROM (SELECT o_orderkey AS k, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders QUALIFY i <= 12) JOIN (SELECT o_orderkey AS n, row_number() OVER (ORDER BY o_orderkey) AS i FROM orders WHERE o_orderkey <> (SELECT o_orderkey FROM orders ORDER BY 1 OFFSET 8 LIMIT 1) QUALIFY i <= 12) USING (i)")
+def o05_ordered_prefix(spark, sf_dir):
+    """The first twelve orders against a list that lacks the ninth."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    ninth = o.select("o_orderkey").orderBy("o_orderkey").limit(9).agg(F.max("o_orderkey").alias("o_orderkey"))
+    return packages.same_prefix(o, o.join(F.broadcast(ninth), "o_orderkey", "left_anti"), ["o_orderkey"], 12)
+
+
 @query("SELECT count(*) AS n_different FROM ((SELECT o_orderkey, o_custkey FROM orders EXCEPT ALL SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey % 1000 <> 0))")
 def o05_frozen_prefix(spark, sf_dir):
     """Rows by which a changed copy differs from the frozen one, both ways."""

@@ -105,6 +105,12 @@ def api_files(json: Column) -> list[Column]:
     return [get("path", "rfilename").alias("path"), get("lfs.size", "size").cast("long").alias("size"), get("blob_id", "blobId", "oid").alias("blob_id"), get("lfs.sha256", "lfs.oid").alias("sha256")]
 
 
+def file_faults() -> Column:
+    """Of columns as from ``api_files``: digest (not 64 hex digits), blob (not 40), size (negative)."""
+    bad = lambda c, n: F.coalesce(~F.col(c).rlike(f"^[0-9a-f]{{{n}}}$"), F.lit(True))
+    return F.array_compact(F.array(F.when(bad("sha256", 64), F.lit("digest")), F.when(bad("blob_id", 40), F.lit("blob")), F.when(F.coalesce(F.col("size") < 0, F.lit(True)), F.lit("size"))))
+
+
 def nested_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
