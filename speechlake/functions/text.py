@@ -70,6 +70,33 @@ def output_failures(x: Column, vocab: Column) -> Column:
     ))
 
 
+def output_report(x: Column, vocab: Column) -> Column:
+    """struct of what is wrong with a converted text: han, oov (distinct characters, sorted), control (their code points,
+    sorted), replaced (places of U+FFFD, from 0)."""
+    cells = F.split(x, "")
+    controls = F.transform(F.array_distinct(F.regexp_extract_all(x, F.lit(r"(\p{Cc})"), F.lit(1))), lambda c: F.ascii(c))
+    places = F.array_compact(F.transform(cells, lambda c, i: F.when(c == "\ufffd", i)))
+    return F.struct(F.array_sort(F.array_distinct(han_characters(x))).alias("han"), F.array_sort(controls).alias("control"), places.alias("replaced"), F.array_sort(F.array_except(cells, vocab)).alias("oov"))
+
+
+def rescored(status: Column, reference: Column, text: Column, score: Column) -> tuple[Column, Column]:
+    """(status, score) after a repair: failed rows that have a text and a reference once U+FFFD is gone are scored anew
+    and ok, other failed rows stay failed without a score; all others stay as they are."""
+    clean, _ = repaired(text)
+    again = (status == "failed") & F.coalesce((F.length(clean) > 0) & (F.length(reference) > 0), F.lit(False))
+    return F.when(again, F.lit("ok")).otherwise(status), F.when(again, error_rate(reference, clean)).when(status == "failed", F.lit(None).cast("double")).otherwise(score)
+
+
+def chunk_bytes(text_bytes: Column, seconds: Column, speed: Column, limit: float = 22.0) -> Column:
+    """How many bytes of text a chunk may have, so that it and a reference of so many seconds stay within the limit."""
+    return F.floor(text_bytes / seconds * (F.lit(limit) - seconds) * speed).cast("long")
+
+
+def union_frames(ref_frames: Column, gen_frames: Column) -> Column:
+    """Frames of a mix of two references: the longer reference and the longest stretch that either makes."""
+    return F.greatest(ref_frames, gen_frames)
+
+
 def characters(x: Column) -> Column:
     return F.when(F.length(x) == 0, F.array().cast("array<string>")).otherwise(F.split(x, ""))
 
@@ -103,6 +130,13 @@ def estimated_frames(ref_frames: Column, ref_text: Column, gen_text: Column, spe
     return (ref_frames + F.floor(ref_frames / F.octet_length(ref_text) * F.octet_length(gen_text) / slow)).cast("long")
 
 
+def allocation(size: Column, over, target: float, fade: float, reference: float) -> tuple[Column, Column]:
+    """(share, seconds) of each chunk of a request: by size, of the target and what the fades between chunks take,
+    with the reference's seconds on top. over: the window of a request."""
+    share = size / F.sum(size).over(over)
+    return share, share * (F.lit(target) + F.lit(fade) * (F.count("*").over(over) - 1)) + reference
+
+
 def pace_verdict(ratio: Column) -> Column:
     return F.when(ratio > 1.15, "slow").when(ratio < 0.87, "fast").otherwise("even")
 

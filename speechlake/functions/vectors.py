@@ -78,6 +78,14 @@ def combine(t: Column, n: Column, mode: str, extrapolate: bool = False) -> Colum
     return w if extrapolate or mode in ("t_only", "n_only") else F.greatest(F.lit(0.0), F.least(F.lit(1.0), w))
 
 
+def grid_faults(grid: Column) -> Column:
+    """Of an array of rows: empty, ragged (rows of unequal length) or not_finite, each if it applies."""
+    sizes = F.transform(grid, lambda r: F.size(r))
+    empty = (F.size(grid) == 0) | (F.array_min(sizes) < 1)
+    odd = F.exists(F.flatten(grid), lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
+    return F.array_compact(F.array(F.when(F.coalesce(empty, F.lit(True)), F.lit("empty")), F.when(F.array_min(sizes) != F.array_max(sizes), F.lit("ragged")), F.when(odd, F.lit("not_finite"))))
+
+
 def grid_weight(grid: list[list[float]], t: Column, frame: Column, n_frames: Column) -> Column:
     """Row by step int(t * (rows - 1)), linear resampling of the row to n_frames (ends aligned)."""
     cells, last = F.array(*[F.array(*map(F.lit, r)) for r in grid]), len(grid[0]) - 1

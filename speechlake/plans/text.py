@@ -19,11 +19,6 @@ def docs(spark, sf_dir):
     return table(spark, sf_dir, "documents")
 
 
-def spread(df):
-    """Rows over all cores before a Python helper: the test tables come in one file."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
-
-
 _TURNS = "(SELECT conv_id, turn, text AS truth, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS hypothesis FROM conversations QUALIFY hypothesis IS NOT NULL)"
 
 
@@ -52,7 +47,7 @@ def t02_character_error_rate(spark, sf_dir):
 
 @query()
 def t03_word_error_rate(spark, sf_dir):
-    rows = spread(turns(spark, sf_dir).select("conv_id", "turn", T.wer_form(F.col("truth"), "en").alias("a"), T.wer_form(F.col("hypothesis"), "en").alias("b")))
+    rows = turns(spark, sf_dir).select("conv_id", "turn", T.wer_form(F.col("truth"), "en").alias("a"), T.wer_form(F.col("hypothesis"), "en").alias("b"))
     return rows.select("conv_id", "turn", F.round(V.word_error_rate("a", "b"), 5).alias("wer"))
 
 
@@ -68,7 +63,7 @@ def t05_punctuation_mapping(spark, sf_dir):
 
 @query()
 def t06_japanese_normalise(spark, sf_dir):
-    rows = spread(docs(spark, sf_dir).select("doc_id", V.japanese("text").alias("j")))
+    rows = docs(spark, sf_dir).select("doc_id", V.japanese("text").alias("j"))
     return rows.select("doc_id", F.md5("j.text").alias("text_md5"), F.size("j.events").cast("long").alias("n_events"))
 
 
@@ -89,6 +84,29 @@ def t08_asr_clean_up(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", T.clean_cn(F.col("text")).alias("cn"), T.clean_ja(F.col("text")).alias("ja"))
 
 
+@query("""WITH v AS (SELECT list(DISTINCT c) AS v FROM (SELECT unnest(string_split(text, '')) AS c FROM documents WHERE lang = 'en')), d AS (SELECT doc_id, replace(text, '!!', chr(65533)) AS text, v FROM documents, v)
+  SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(text, '[㐀-䶿一-鿿豈-﫿]'))), '') AS han, array_to_string(list_sort(list_transform(list_distinct(regexp_extract_all(text, '[\x00-\x1f\x7f-\x9f]')), lambda c: ord(c))), ',') AS control,
+    array_to_string(list_filter(list_transform(string_split(text, ''), lambda c, i: CASE WHEN c = chr(65533) THEN i - 1 END), lambda i: i IS NOT NULL), ',') AS replaced, array_to_string(list_sort(list_filter(list_distinct(string_split(text, '')), lambda c: NOT list_contains(v, c))), '') AS oov FROM d""")
+def t07_output_report(spark, sf_dir):
+    d = docs(spark, sf_dir)
+    vocab = corpus.tokens(d.where("lang = 'en'")).distinct().agg(F.collect_set("token").alias("_v"))
+    # A vocabulary of characters is bounded by Unicode.
+    r = d.join(F.broadcast(vocab)).select("doc_id", T.output_report(F.replace("text", F.lit("!!"), F.lit("\ufffd")), F.col("_v")).alias("r"))
+    text = lambda c: F.transform(F.col(f"r.{c}"), lambda x: x.cast("string"))
+    return r.select("doc_id", *[F.array_join(text(c), sep).alias(c) for c, sep in (("han", ""), ("control", ","), ("replaced", ","), ("oov", ""))])
+
+
+@query(f"""SELECT conv_id, turn, CASE WHEN s = 'failed' AND length(c) > 0 AND length(truth) > 0 THEN 'ok' ELSE s END AS status, CASE WHEN s <> 'failed' THEN 0.5 WHEN length(c) > 0 AND length(truth) > 0 THEN round(levenshtein({ONE_BYTE.format('truth')}, {ONE_BYTE.format('c')}) / length(truth), 6) END AS score
+  FROM (SELECT conv_id, turn, truth, CASE WHEN conv_id % 3 = 0 THEN 'failed' ELSE 'ok' END AS s, CASE WHEN conv_id % 9 = 0 THEN '' ELSE hypothesis END AS c FROM {_TURNS})""")
+def t09_rescored(spark, sf_dir):
+    """Every third conversation failed for a marker in its hypotheses; those of every ninth are nothing but the marker."""
+    mark = F.lit("\ufffd")
+    rows = turns(spark, sf_dir).withColumn("text", F.when(F.col("conv_id") % 9 == 0, mark).when(F.col("conv_id") % 3 == 0, F.concat(mark, "hypothesis", mark)).otherwise(F.col("hypothesis")))
+    rows = rows.withColumn("status", F.when(F.col("conv_id") % 3 == 0, "failed").otherwise("ok"))
+    status, score = T.rescored(F.col("status"), F.col("truth"), F.col("text"), F.lit(0.5))
+    return rows.select("conv_id", "turn", status.alias("status"), F.round(score, 6).alias("score"))
+
+
 @query("SELECT doc_id, md5(replace(x, '�', '')) AS text_md5, length(x) - length(replace(x, '�', '')) AS removed FROM (SELECT doc_id, replace(text, '!!', '�') AS x FROM documents)")
 def t09_repair(spark, sf_dir):
     """Texts in which !! became U+FFFD, repaired."""
@@ -96,10 +114,21 @@ def t09_repair(spark, sf_dir):
     return docs(spark, sf_dir).select("doc_id", F.replace("text", F.lit("!!"), F.lit("�")).alias("x")).select("doc_id", F.md5(fixed).alias("text_md5"), removed.alias("removed"))
 
 
-@query()
+@query("SELECT doc_id, md5(regexp_replace(text, '[ \\t\\r\\n\\f\\v]+', '', 'g')) AS bare_md5, true AS within, true AS numbered FROM documents WHERE regexp_matches(text, '[^ \\t\\r\\n\\f\\v]')")
 def t10_sentence_chunks(spark, sf_dir):
-    rows = spread(docs(spark, sf_dir).select("doc_id", "text"))
-    return rows.select("doc_id", F.posexplode(V.chunked(135)("text")).alias("chunk", "text"))
+    """What holds of every packing: nothing but white space is lost, chunks are numbered from 0, and a chunk of more
+    than 135 bytes is one sentence."""
+    rows = docs(spark, sf_dir).select("doc_id", F.posexplode(V.chunked(135)("text")).alias("chunk", "text"))
+    one = F.size(F.filter(F.split("text", r"(?<=[;:,.!?])\s+|(?<=[；：，。！？])"), lambda p: p != "")) <= 1
+    parts = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("chunk", "text"))).alias("c"), F.bool_and((F.octet_length("text") <= 135) | one).alias("within"), (F.max("chunk") + 1 == F.count("*")).alias("numbered"))
+    bare = F.regexp_replace(F.array_join(F.transform("c", lambda c: c["text"]), ""), "[ \\t\\r\\n\\f\\x0b]+", "")
+    return parts.select("doc_id", F.md5(bare).alias("bare_md5"), "within", "numbered").where(bare != "")
+
+
+@query(f"SELECT conv_id, turn, floor(strlen(truth) / (strlen(truth) / 15.0) * (22 - strlen(truth) / 15.0) * 1.1)::BIGINT AS most FROM {_TURNS} WHERE strlen(truth) BETWEEN 1 AND 300")
+def t10_chunk_bytes(spark, sf_dir):
+    n = F.octet_length("truth")
+    return turns(spark, sf_dir).where(n.between(1, 300)).select("conv_id", "turn", T.chunk_bytes(n, n / 15.0, F.lit(1.1)).alias("most"))
 
 
 @query("SELECT conv_id, turn, role AS voice, trim(translate(text, '[]', '()')) AS text FROM conversations WHERE trim(text) <> ''")
@@ -119,12 +148,12 @@ def t12_character_tokens(spark, sf_dir):
 
 @query("SELECT doc_id, strlen(text)::BIGINT AS n_bytes FROM documents")
 def t12_byte_tokens(spark, sf_dir):
-    return spread(docs(spark, sf_dir).select("doc_id", "text")).select("doc_id", F.size(V.byte_tokens("text")).cast("long").alias("n_bytes"))
+    return docs(spark, sf_dir).select("doc_id", "text").select("doc_id", F.size(V.byte_tokens("text")).cast("long").alias("n_bytes"))
 
 
 @query()
 def t12_mixed_tokens(spark, sf_dir):
-    rows = spread(docs(spark, sf_dir).select("doc_id", "text"))
+    rows = docs(spark, sf_dir).select("doc_id", "text")
     return rows.select("doc_id", F.size(V.mixed_tokenizer({})("text")).cast("long").alias("n_tokens"))
 
 
@@ -148,10 +177,10 @@ def t15_time_parsing(spark, sf_dir):
 
 
 @query(f"""SELECT conv_id, turn, (200 + floor(200 / strlen(truth) * strlen(hypothesis) / CASE WHEN strlen(hypothesis) < 10 THEN 0.3 ELSE 1.1 END))::BIGINT AS frames,
-  CASE WHEN r > 1.15 THEN 'slow' WHEN r < 0.87 THEN 'fast' ELSE 'even' END AS pace FROM (SELECT *, strlen(truth) / strlen(hypothesis) AS r FROM {_TURNS})""")
+  greatest(200, 150 + floor(150 / strlen(hypothesis) * strlen(truth) / CASE WHEN strlen(truth) < 10 THEN 0.3 ELSE 1.1 END))::BIGINT AS joint, CASE WHEN r > 1.15 THEN 'slow' WHEN r < 0.87 THEN 'fast' ELSE 'even' END AS pace FROM (SELECT *, strlen(truth) / strlen(hypothesis) AS r FROM {_TURNS})""")
 def t17_duration_estimate(spark, sf_dir):
     rows = turns(spark, sf_dir)
-    return rows.select("conv_id", "turn", T.estimated_frames(F.lit(200.0), F.col("truth"), F.col("hypothesis"), F.lit(1.1)).alias("frames"), T.pace_verdict(F.octet_length("truth") / F.octet_length("hypothesis")).alias("pace"))
+    return rows.select("conv_id", "turn", T.estimated_frames(F.lit(200.0), F.col("truth"), F.col("hypothesis"), F.lit(1.1)).alias("frames"), T.union_frames(F.lit(200), T.estimated_frames(F.lit(150.0), F.col("hypothesis"), F.col("truth"), F.lit(1.1))).alias("joint"), T.pace_verdict(F.octet_length("truth") / F.octet_length("hypothesis")).alias("pace"))
 
 
 @query("""SELECT conv_id, turn, CASE WHEN ends_with(text, '. ') OR ends_with(text, '。') THEN text WHEN ends_with(text, '.') THEN text || ' ' ELSE text || '. ' END AS prompt, CASE WHEN strlen(right(text, 1)) = 1 THEN text || ' ' ELSE text END AS spaced FROM conversations""")
@@ -174,13 +203,16 @@ _A = "{x}"
 _CURVE = {"linear": "x", "cosine": "(1 - cos(x * pi())) / 2", "sigmoid": "1 / (1 + exp((x - 0.5) * -12))"}
 
 
-@query(f"""SELECT l_orderkey, l_linenumber, {', '.join(f"round(least(1.0, greatest(0.0, 0.9 + ({e}) * -0.8)), 6) AS {k}" for k, e in _CURVE.items())}, round(least(1.0, greatest(0.0, (x * (1 - cos(y * pi())) / 2))), 6) AS product
-  FROM (SELECT l_orderkey, l_linenumber, l_discount * 10 AS x, l_tax * 10 AS y FROM lineitem)""")
+@query(f"""SELECT l_orderkey, l_linenumber, {', '.join(f"round(least(1.0, greatest(0.0, 0.9 + ({e}) * -0.8)), 6) AS {k}" for k, e in _CURVE.items())}, round(least(1.0, greatest(0.0, (x * (1 - cos(y * pi())) / 2))), 6) AS product, round(x, 6) AS t_only, round(y, 6) AS n_only, round((x + y) / 2, 6) AS mean, round(greatest(x, y), 6) AS most, round(least(x, y), 6) AS least,
+  round(CASE WHEN x >= 1 THEN 0.9 - y * 0.8 ELSE y END, 6) AS grid FROM (SELECT l_orderkey, l_linenumber, l_discount * 10 AS x, l_tax * 10 AS y FROM lineitem)""")
 def t21_mixing_curves(spark, sf_dir):
     """Ten times discount and tax as the places on the step and frame axes."""
     x, y = F.col("l_discount") * 10, F.col("l_tax") * 10
     own = [F.round(X.weight(x, k, 0.9, 0.1), 6).alias(k) for k in _CURVE]
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *own, F.round(X.combine(x, X.curve(y, "cosine"), "multiply"), 6).alias("product"))
+    modes = [F.round(X.combine(x, y, m), 6).alias(name) for m, name in (("t_only", "t_only"), ("n_only", "n_only"), ("add", "mean"), ("max", "most"), ("min", "least"))]
+    # Two rows (before the last step, and at it), each from end to end of 81 frames.
+    grid = F.round(X.grid_weight([[0.0, 1.0], [0.9, 0.1]], x, y * 80, F.lit(81)), 6).alias("grid")
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", *own, F.round(X.combine(x, X.curve(y, "cosine"), "multiply"), 6).alias("product"), *modes, grid)
 
 
 _PAIR = "(SELECT a.vec_id, a.embedding AS a, b.embedding AS b FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1)"
@@ -199,15 +231,36 @@ def t23_cosine(spark, sf_dir):
     return pairs(spark, sf_dir).select("vec_id", F.round(X.cosine(F.col("a"), F.col("b")), 5).alias("cosine"))
 
 
-@query(f"""SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: a[i]::DOUBLE * 0.3 + b[i]::DOUBLE * 0.7)), 4) AS lerp_sum, round(0.3 * sqrt({_DOT.format(a='a', b='a')}) + 0.7 * sqrt({_DOT.format(a='b', b='b')}), 4) AS slerp_norm FROM {_PAIR}""")
+@query("""SELECT vec_id, CASE vec_id % 4 WHEN 0 THEN 'ragged' WHEN 1 THEN 'not_finite' WHEN 2 THEN 'empty' ELSE '' END AS faults FROM embeddings""")
+def t21_grid_check(spark, sf_dir):
+    """Embeddings as grids of two rows, made ragged, not finite, or empty."""
+    e, k = F.transform("embedding", lambda v: v.cast("double")), F.col("vec_id") % 4
+    last = F.when(k == 0, F.slice(e, 33, 31)).when(k == 1, F.concat(F.slice(e, 34, 31), F.array(F.lit(float("nan"))))).otherwise(F.slice(e, 33, 32))
+    grid = F.when(k == 2, F.array().cast("array<array<double>>")).otherwise(F.array(F.slice(e, 1, 32), last))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(X.grid_faults(grid), ",").alias("faults"))
+
+
+_LOG = "CASE WHEN sign(a[i]) = sign(b[i]) THEN sign(a[i]) ELSE sign(b[i]) END * exp(0.3 * ln(greatest(abs(a[i]::DOUBLE), 1e-8)) + 0.7 * ln(greatest(abs(b[i]::DOUBLE), 1e-8)))"
+
+
+@query(f"SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: {_LOG})), 4) AS log_sum, round(list_sum(list_transform(range(1, 65), lambda i: i * ({_LOG}))), 2) AS log_moment FROM {_PAIR}")
+def t22_log_blend(spark, sf_dir):
+    v = X.log_blend(F.col("a"), F.col("b"), 0.3)
+    total = F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
+    moment = F.aggregate(F.transform(v, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return pairs(spark, sf_dir).select("vec_id", F.round(total, 4).alias("log_sum"), F.round(moment, 2).alias("log_moment"))
+
+
+@query(f"""SELECT vec_id, round(list_sum(list_transform(range(1, 65), lambda i: a[i]::DOUBLE * 0.3 + b[i]::DOUBLE * 0.7)), 4) AS lerp_sum, round(na * 0.3 + nb * 0.7, 4) AS slerp_norm, round(cos((1 - 0.3) * acos(ab / (na * nb))), 4) AS slerp_to_a
+  FROM (SELECT *, sqrt({_DOT.format(a='a', b='a')}) AS na, sqrt({_DOT.format(a='b', b='b')}) AS nb, {_DOT.format(a='a', b='b')} AS ab FROM {_PAIR})""")
 def t22_vector_blend(spark, sf_dir):
-    """The spherical blend's length is the linear blend of the lengths."""
+    """The spherical blend's length is the linear blend of the lengths, its angle to a seven tenths of the angle between."""
     a, b = F.col("a"), F.col("b")
     total = F.aggregate(X.lerp(a, b, 0.3), F.lit(0.0), lambda s, x: s + x)
-    return pairs(spark, sf_dir).select("vec_id", F.round(total, 4).alias("lerp_sum"), F.round(X.norm(X.slerp(a, b, 0.3)), 4).alias("slerp_norm"))
+    return pairs(spark, sf_dir).select("vec_id", F.round(total, 4).alias("lerp_sum"), F.round(X.norm(X.slerp(a, b, 0.3)), 4).alias("slerp_norm"), F.round(X.cosine(a, X.slerp(a, b, 0.3)), 4).alias("slerp_to_a"))
 
 
-@query()
+@query("""SELECT conv_id, turn, (f(0.25 * s) + f(0.125 * s) + f(s) - f(0.5 * s))::BIGINT AS frames, f(0.125 * s)::BIGINT AS regenerated FROM (SELECT conv_id, turn, length(text) / 15 AS s FROM conversations)""".replace("f(0.25 * s)", "round_even(0.25 * s * 24000 / 256, 0)").replace("f(0.125 * s)", "round_even(0.125 * s * 24000 / 256, 0)").replace("f(s)", "round_even(s * 24000 / 256, 0)").replace("f(0.5 * s)", "round_even(0.5 * s * 24000 / 256, 0)"))
 def t24_speech_edit_mask(spark, sf_dir):
     """Turn lengths as seconds: a stretch of each text is replaced by one half as long."""
     from pyspark.sql.types import ArrayType, BooleanType
@@ -267,13 +320,13 @@ def g05_log_mel(spark, sf_dir):
     return audio.per_clip(clips(spark, sf_dir), "clip_id long, frames long, mean double", mel)
 
 
-@query()
+@query("SELECT user_id AS clip_id, (n - 12)::BIGINT AS n_out FROM (SELECT user_id, count(*) AS n FROM events GROUP BY 1) WHERE n >= 16")
 def g06_crossfade(spark, sf_dir):
     """Each clip cut in four and faded together again."""
     import numpy as np
 
     join = lambda i, x, r: [(i, len(audio.crossfade([p for p in np.array_split(x, 4) if len(p)], r, 0.5)))] if len(x) else []
-    return audio.per_clip(clips(spark, sf_dir), "clip_id long, n_out long", join)
+    return audio.per_clip(clips(spark, sf_dir).where(F.size("samples") >= 16), "clip_id long, n_out long", join)
 
 
 @query()
@@ -287,10 +340,11 @@ def g07_dtw_alignment(spark, sf_dir):
             rows = [(v, len(audio.dtw(np.reshape(a, (16, 4)), np.reshape(b, (16, 4))))) for v, a, b in pdf[["vec_id", "a", "b"]].itertuples(index=False)]
             yield pd.DataFrame(rows, columns=["vec_id", "path_length"])
 
-    return spread(pairs(spark, sf_dir)).mapInPandas(run, "vec_id long, path_length long")
+    return pairs(spark, sf_dir).mapInPandas(run, "vec_id long, path_length long")
 
 
-@query("SELECT conv_id, turn, round(strlen(text) / sum(strlen(text)) OVER (PARTITION BY conv_id), 6) AS share FROM conversations")
+@query("""SELECT conv_id, turn, round(strlen(text) / sum(strlen(text)) OVER w, 6) AS share, round(strlen(text) / sum(strlen(text)) OVER w * (60 + 0.15 * (count(*) OVER w - 1)) + 5, 6) AS seconds FROM conversations WINDOW w AS (PARTITION BY conv_id)""")
 def w12_proportional_allocation(spark, sf_dir):
-    size = F.octet_length("text")
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(size / F.sum(size).over(W.partitionBy("conv_id")), 6).alias("share"))
+    """A minute for each conversation, faded by 0.15 seconds, with a reference of five seconds."""
+    share, seconds = T.allocation(F.octet_length("text"), W.partitionBy("conv_id"), 60.0, 0.15, 5.0)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.round(share, 6).alias("share"), F.round(seconds, 6).alias("seconds"))
