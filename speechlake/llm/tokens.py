@@ -112,8 +112,12 @@ class Encoder:
     def learn(self, table: Recent, keys: set, before: str = "") -> None:
         """Puts the ids of before + key into the table for every key."""
         cut, unsure = [], []
+        tokenize, lead, lower = self.tokenizer.model.tokenize, before and self.letters[32], self.kind == "word"
         for k in table.missing(keys):
-            if before and _BEGINS_WHITE(k):
+            if k.isascii() and k.isalpha():
+                # One stretch of the pattern: most words, and nothing to look up again.
+                table[k] = array("I", [t.id for t in tokenize(lead + (k.lower() if lower else k))]).tobytes()
+            elif before and _BEGINS_WHITE(k):
                 table[k] = None  # a space before white space or the end is no sure place to cut
             elif (ps := self.pieces(before + k)) is None:
                 unsure.append(k)
