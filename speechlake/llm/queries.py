@@ -42,7 +42,8 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"))
+    # Rules for what is worse than the average page with 99 % confidence; combinations of any length.
+    return url_rules.judge(table(spark, sf_dir, "pages").select("page_id", "url"), table(spark, sf_dir, "labels"), min_confidence=0.0, longest=None, z=2.33)
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,12 +2,16 @@
 
 Fixed rules: the longest rule that fits decides. For urls that no fixed rule fits, FP-growth over
 labelled urls finds combinations of url tokens that go with bad labels. A rule stays if enough
-labelled urls carry it (support), nearly all of those are bad (confidence), and no part of its
+labelled urls carry it (support), enough of those are bad (confidence: a fixed share, or, with ``z``, so many that
+the lower Wilson bound of the share lies above the share of bad ones among all labelled urls), and no part of its
 combination is as sure already. An inverted index (each rule under its rarest token) finds the rules
 that a url may satisfy; the whole combination is then compared.
 
+A page's labels are those of the same number: labels name rows by doc_id alone, and pages are numbered alike.
+
 Null url or one without ``://``: empty host and path, no tokens, verdict ``allow``. Urls that repeat are
-judged once and joined back. Empty tables and tables without bad labels: no mined rules.
+judged once and joined back. Empty tables and tables without bad labels: no mined rules. Very long urls: judged
+whole. Other columns of pages play no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -49,30 +53,39 @@ def fixed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
 
 
 def tokens(host: Column, path: Column) -> Column:
-    """Host labels with their distance from the end, the registered domain, and path segments without digits."""
+    """Host labels with their distance from the end, the words of the host, and those of the path."""
     labels = F.reverse(F.split(host, r"\."))
     hosts = F.transform(labels, lambda x, i: F.concat(F.lit("host"), i.cast("string"), F.lit(":"), x))
-    words = F.transform(F.filter(F.split(F.lower(path), r"[/._~+=-]+"), lambda x: (x != "") & ~x.rlike("[0-9]")), lambda x: F.concat(F.lit("path:"), x))
+    words = F.transform(F.filter(F.split(F.lower(path), r"[/._~+=-]+"), lambda x: x != ""), lambda x: F.concat(F.lit("path:"), x))
     parts = F.transform(F.filter(F.split(host, r"[.-]"), lambda x: x != ""), lambda x: F.concat(F.lit("word:"), x))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(hosts, words, parts)))
 
 
-def mine(labelled: DataFrame, min_count: int = 20, min_share: float = 0.0005, min_confidence: float = 0.8, longest: int = 4) -> DataFrame:
+def lower_bound(hits: Column, n: Column, z: float) -> Column:
+    """Lower end of Wilson's interval for the share hits / n."""
+    p = hits / n
+    return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
+
+
+def mine(labelled: DataFrame, min_count: int = 20, min_share: float = 0.0005, min_confidence: float = 0.8, longest: int | None = 4, z: float | None = None) -> DataFrame:
     """labelled (tokens array<string>, bad boolean) -> rules (rule_id, items, anchor, confidence, n).
 
     Support: at least ``min_count`` labelled urls and ``min_share`` of them carry the combination and a
-    bad label. The anchor is the combination's rarest token."""
+    bad label. Combinations have at most ``longest`` tokens (None: any number). The anchor is the combination's
+    rarest token."""
     spark = labelled.sparkSession
-    n = labelled.count()
+    n, n_bad = labelled.agg(F.count("*"), F.count_if("bad")).first()
     schema = "rule_id long, items array<string>, anchor string, confidence double, n long"
     if not n:
         return spark.createDataFrame([], schema)
     baskets = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
     sets = written(FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_count / n, min_share)), minConfidence=1.0).fit(baskets).freqItemsets)
-    with_bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1) & (F.size("items") <= longest + 1))
+    with_bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1) & (F.lit(longest is None) | (F.size("items") <= (longest or 0) + 1)))
     with_bad = with_bad.select(F.array_sort(F.array_remove("items", BAD)).alias("items"), F.col("freq").alias("hits"))
     base = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("items"), "freq")
     rules = with_bad.join(base, "items").withColumn("confidence", F.col("hits") / F.col("freq")).where(F.col("confidence") >= min_confidence)
+    if z is not None:
+        rules = rules.where(lower_bound(F.col("hits"), F.col("freq"), z) > n_bad / n)
     rules = written(rules.select(F.xxhash64("items").alias("rule_id"), "items", "confidence", F.col("hits").alias("n")))
     # Redundant: one of its parts, one token shorter, is a rule and as sure.
     part = F.transform("items", lambda x: F.xxhash64(F.array_remove("items", x)))
