@@ -10,7 +10,8 @@ with probability 1 - delta no stratum loses more than ``risk`` of its good docum
 together. A stratum with too few labels gets no cutoff and keeps everything.
 
 Null text: no words, so the base rule fails. Null stratum: a stratum of its own. Labels that repeat:
-a document is good only if all its labels are good. Documents that repeat are judged one by one.
+a document is good only if all its labels are good. Documents that repeat are judged one by one. Very long
+texts: counted whole, as arrays of their words. Empty tables: no rows.
 """
 
 from __future__ import annotations
@@ -121,7 +122,8 @@ def cutoffs(scored: DataFrame, labels: DataFrame, stratum: str = "lang", risk: f
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text", keep_text: bool = True, **risk) -> DataFrame:
-    """docs with base counts, base_failed and kept, and the scores; rows and columns of docs stay.
+    """docs with base counts, base_failed and kept, and the scores. All rows stay, and all columns but those of the
+    same names as the new ones, which these replace (see ``good`` for rows as they were).
 
     The counted documents are written once; cutoffs and verdicts read that table, so a text is
     searched once. The cutoffs (one row a stratum) join by Spark's own choice of strategy."""
@@ -133,3 +135,10 @@ def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str =
     hit = reduce(lambda a, b: a | b, [F.coalesce(F.col(s) >= F.col(f"{s}_cut"), F.lit(False)) for s in SCORES])
     joined = table.join(cuts, F.col(stratum).eqNullSafe(F.col("_sl_stratum")), "left")
     return joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~hit).drop("_sl_stratum", *[f"{s}_cut" for s in SCORES])
+
+
+def good(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows of docs that are kept, with all their columns as they were."""
+    own = {c: f"_sl_own_{i}" for i, c in enumerate(docs.columns) if c in {*BASE, *SCORES, "n_lines", "n_upper", "base_failed", "kept"}}
+    kept = judge(docs.withColumnsRenamed(own), labels, **options).where("kept")
+    return kept.select(*[F.col(own.get(c, c)).alias(c) for c in docs.columns])
