@@ -123,9 +123,9 @@ class Batch:
 
     def buckets(self, hashes: np.ndarray) -> list[tuple[int, int, int]]:
         """(bucket, from, to) of sorted hashes."""
-        cuts = np.searchsorted(hashes, np.arange(1, 1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits))
-        ends = [0, *cuts.tolist(), len(hashes)]
-        return [(k, ends[k], ends[k + 1]) for k in range(1 << self.bits) if ends[k] < ends[k + 1]]
+        bucket, first = np.unique(hashes >> np.uint64(64 - self.bits), return_index=True)
+        ends = [*first.tolist(), len(hashes)]
+        return [(k, ends[i], ends[i + 1]) for i, k in enumerate(bucket.tolist())]
 
     def flags(self, hashes: np.ndarray, got: dict[int, bytes]) -> np.ndarray:
         out = np.zeros(len(hashes), dtype=bool)
@@ -279,8 +279,10 @@ def dedup(docs: DataFrame, window: int = 13, text: str = "text", doc_id: str = "
     """doc_id, n_words, n_removed, kept_sha256, kept (the kept words, joined by one space, as UTF-8 bytes)."""
     packs = written(_pack(docs, text, doc_id), codec="none")
     n_bytes = packs.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    # A window every 6 bytes or so, a quarter of them least ones; 64 to 65536 buckets.
-    bits = int(np.clip(np.ceil(np.log2(max(1, n_bytes / 24 / per_bucket))), 6, 16))
+    # A window every 6 bytes or so, a quarter of them least ones. Buckets grow with the table (2^24 of them hold 200 TB
+    # of text); there are at least four for each shuffle partition, so that no task has much more than others.
+    least = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    bits = int(np.clip(np.ceil(np.log2(max(1, least, n_bytes / 24 / per_bucket))), 6, 24))
     sent = packs.mapInArrow(_level1(window, bits), _SENT)
     marks1 = written(sent.groupBy("_sl_bucket").applyInPandas(_repeated, "_sl_batch long, _sl_bucket int, flags binary"))
     once_more = _joined(packs, marks1, "marks1")
