@@ -10,8 +10,13 @@ of them), and the task that gets it writes out the variants' other bits there: a
 but 2081 variants cost a few dozen messages on the wire. Where m fingerprints share a variant, the
 smallest one is linked to the others: m - 1 links, which connect as much as all pairs would.
 
-Null and wordless texts: fingerprint zero, linked like any other. Repeated rows: all in one component.
-Null doc_id: has a component, but does not name it. Empty table: no rows.
+``classes`` and ``dedup`` take links as they are. ``near_copies`` is for texts whose word 5-shingles are to be similar
+by 0.8: fingerprints of shingles lie too far apart there, so it takes those of words and word pairs, in which such
+texts are close, and verifies every pair on the 5-shingles themselves.
+
+Null and wordless texts: fingerprint zero, linked like any other (near copies: equal to each other, like no other).
+Repeated rows: all in one component. Null doc_id: has a component, but does not name it. Empty table: no rows. Very
+long texts: whole, their counts summed in blocks. Other columns stay; those of ``dedup`` may have any names but _sl_.
 """
 
 from __future__ import annotations
@@ -32,8 +37,9 @@ BITS = 64
 _SUM_ROWS = 1 << 16
 
 
-def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
-    """Bit b is set if over half the XXH64 values of the word shingles have it; A-Z are lower-cased."""
+def fingerprint(text: bytes, shingle: int | tuple[int, ...] = 4, seed: int = 42) -> int:
+    """Bit b is set if over half the XXH64 values of the word shingles (of one length or several) have it; A-Z are
+    lower-cased."""
     from xxhash import xxh64_intdigest
 
     words = text.lower().split()  # bytes: A-Z only, ASCII white space only
@@ -41,20 +47,19 @@ def fingerprint(text: bytes, shingle: int = 4, seed: int = 42) -> int:
         return 0
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    if len(words) <= shingle:
-        return xxh64_intdigest(line, seed)
-    begins = [0, *(ends[: len(words) - shingle] + 1).tolist()]
-    counts, n = np.zeros(BITS, dtype=np.int64), len(begins)
-    stops = ends[shingle - 1 :].tolist()
-    for lo in range(0, n, _SUM_ROWS):
-        h = np.fromiter([xxh64_intdigest(line[a:b], seed) for a, b in zip(begins[lo : lo + _SUM_ROWS], stops[lo : lo + _SUM_ROWS], strict=True)], dtype="<u8")
-        # Byte-wise sums of 0/1 columns: 255 rows fit into a byte, so sums run over blocks of 255.
-        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.uint32)
+    counts, n = np.zeros(BITS, dtype=np.int64), 0
+    for length in (shingle,) if isinstance(shingle, int) else shingle:
+        length = min(length, len(words))
+        begins, stops = [0, *(ends[: len(words) - length] + 1).tolist()], ends[length - 1 :].tolist()
+        n += len(begins)
+        for lo in range(0, len(begins), _SUM_ROWS):
+            h = np.fromiter([xxh64_intdigest(line[a:b], seed) for a, b in zip(begins[lo : lo + _SUM_ROWS], stops[lo : lo + _SUM_ROWS], strict=True)], dtype="<u8")
+            bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            counts += bits.sum(axis=0, dtype=np.uint32)
     return int.from_bytes(np.packbits(counts * 2 > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = (), shingle: int = 4) -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = (), shingle: int | tuple[int, ...] = 4) -> DataFrame:
     """doc_id, the columns in keep, fp (the 64 bits as a long). No shuffle."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), *keep, F.encode(F.coalesce(F.col(text), F.lit("")), "utf-8").alias("_sl_text"), F.coalesce(F.octet_length(text), F.lit(0)).alias("_sl_size"))
     own = ["doc_id", *keep]
@@ -73,9 +78,9 @@ def _flips(bits: range, most: int) -> list[np.uint64]:
     return [np.uint64(sum(1 << b for b in at)) for k in range(most + 1) for at in combinations(bits, k)]
 
 
-def links(fps: DataFrame, n_fps: int, radius: int = 4) -> DataFrame:
+def links(fps: DataFrame, n_fps: int, radius: int = 4, few: int = 1) -> DataFrame:
     """fps (fp long, distinct) -> (a, b): for every variant that several fingerprints share, its smallest
-    one with each other one. Equal links from one task come once."""
+    one with each other one; of at most ``few`` fingerprints, all pairs. Equal links from one task come once."""
     half = radius // 2
     # About 400 000 variants a prefix, so a task's memory does not grow with the input.
     prefix = int(np.clip(np.ceil(np.log2(max(1, n_fps * 2081 / 400_000))), 4, 24))
@@ -114,7 +119,14 @@ def links(fps: DataFrame, n_fps: int, radius: int = 4) -> DataFrame:
             return pd.DataFrame({"a": np.empty(0, dtype=np.int64), "b": np.empty(0, dtype=np.int64)})
         at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         least = np.minimum.reduceat(o, at)[np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1]
-        pair = np.unique(np.stack([least, o], axis=1)[least != o], axis=0)
+        ends = [np.stack([least, o], axis=1)[least != o]]
+        size = size[group]
+        for step in range(1, few):
+            # Each with the one ``step`` places behind it, in groups of few.
+            a, b = o[:-step], o[step:]
+            near = (group[:-step] == group[step:]) & (size[:-step] <= few)
+            ends.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[near])
+        pair = np.unique(np.concatenate(ends), axis=0)
         pair = pair[np.bitwise_count(pair[:, 0] ^ pair[:, 1]) <= radius]
         return pd.DataFrame({"a": pair[:, 0].view(np.int64), "b": np.ascontiguousarray(pair[:, 1]).view(np.int64)})
 
@@ -139,3 +151,56 @@ def dedup(docs: DataFrame, radius: int = 4, text: str = "text", doc_id: str = "d
     found = written(classes(rows, radius, text, doc_id, keep=("_sl_row",)))
     stays = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_sl_row")).alias("_sl_w")).select(F.col("_sl_w._sl_row").alias("_sl_row"))
     return rows.join(written(stays), "_sl_row", "left_semi").select(*docs.columns)
+
+
+#: Groups of at most so many colliding fingerprints are compared in all pairs, larger ones with their least.
+_FEW = 16
+
+
+def _shingles(text: bytes, length: int) -> set[bytes]:
+    words = text.lower().split()
+    return {b" ".join(words[i : i + length]) for i in range(max(1, len(words) - length + 1))} if words else set()
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, length: int, similarity: float) -> DataFrame:
+    """Pairs (a, b) of texts (nid, text) whose word shingles have at least that Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, last, own = [], None, set()
+            for x, y in zip(batch.column("_sl_x"), batch.column("_sl_y"), strict=True):
+                x, y = x.as_py(), y.as_py()
+                if x != last:
+                    last, own = x, _shingles(x, length)
+                other = _shingles(y, length)
+                both = len(own & other)
+                keep.append(both >= similarity * (len(own) + len(other) - both) and both > 0)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    x, y = texts.select(F.col("nid").alias("a"), F.col("text").alias("_sl_x")), texts.select(F.col("nid").alias("b"), F.col("text").alias("_sl_y"))
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "_sl_x", "_sl_y").mapInArrow(run, "a long, b long")
+
+
+def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with one row of each group of equal or similar texts: the one with the smallest doc_id (of repeated rows,
+    any one). Equal texts are one node; pairs of nodes come from ball hashing and are all verified."""
+    rows = written(docs.withColumn("_sl_row", F.monotonically_increasing_id()).withColumn("_sl_md5", F.md5(F.coalesce(text, F.lit("")))))
+    found = written(fingerprints(rows, text, doc_id, keep=("_sl_row", "_sl_md5"), shingle=(1, 2)))
+    least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_sl_row")).alias("_sl_least")
+    nodes = written(found.groupBy("_sl_md5").agg(F.first("fp").alias("fp"), least).withColumn("nid", F.monotonically_increasing_id()))
+    fps = written(nodes.groupBy("fp").agg(F.min("nid").alias("_sl_first"), F.count("*").alias("_sl_n")))
+    # Texts of one fingerprint: all pairs of few, else each with the first. Texts of two: all of few, else the first.
+    of = nodes.select("nid", "fp").join(fps.withColumnRenamed("fp", "_sl_fp"), F.col("fp") == F.col("_sl_fp")).where((F.col("_sl_n") <= _FEW) | (F.col("nid") == F.col("_sl_first")))
+    of = written(of.select("nid", F.col("fp").alias("_sl_fp"), "_sl_n"))
+    same = nodes.select("nid", "fp").join(fps.where("_sl_n > 1").withColumnRenamed("fp", "_sl_fp"), F.col("fp") == F.col("_sl_fp")).where("nid <> _sl_first").select(F.col("_sl_first").alias("a"), F.col("nid").alias("b"))
+    x, y = of.where("_sl_n > 1").alias("x"), of.where("_sl_n > 1").alias("y")
+    within = x.join(y, (F.col("x._sl_fp") == F.col("y._sl_fp")) & (F.col("x.nid") < F.col("y.nid"))).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"))
+    met = links(fps.select("fp"), fps.count(), radius, few=_FEW).withColumnsRenamed({"a": "_sl_a", "b": "_sl_b"})
+    across = met.join(of.select(F.col("nid").alias("a"), F.col("_sl_fp").alias("_sl_a")), "_sl_a").join(of.select(F.col("nid").alias("b"), F.col("_sl_fp").alias("_sl_b")), "_sl_b").select("a", "b")
+    pairs = written(same.unionByName(within).unionByName(across).distinct())
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+    named = ids.join(nodes.select("nid", F.col("_sl_least._sl_row").alias("_sl_row")), "nid")
+    texts = rows.select("_sl_row", F.encode(F.coalesce(text, F.lit("")), "utf-8").alias("text")).join(named, "_sl_row").select("nid", "text")
+    roots = written(components(written(_verified(pairs, texts, words, similarity))))
+    of_root = nodes.join(roots, F.col("nid") == F.col("node"), "left").groupBy(F.coalesce("root", "nid")).agg(F.min("_sl_least").alias("_sl_w"))
+    return rows.join(written(of_root.select(F.col("_sl_w._sl_row").alias("_sl_row"))), "_sl_row", "left_semi").select(*docs.columns)

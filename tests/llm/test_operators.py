@@ -544,3 +544,88 @@ def test_components_of_a_chain_and_a_star(spark):
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(61)} == {0} and {got[1000 + i] for i in range(50)} == {1000}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+# clashing columns, odd rows in every stage
+
+
+def test_quality_keeps_own_columns(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven", "en", "mine", None, "k"), (2, None, "en", "mine", 3, "k")], "doc_id long, text string, lang string, n_words string, symbol_bp int, kept string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    assert [tuple(r) for r in quality_rules.good(docs, labels).collect()] == [tuple(docs.first())]
+
+
+def test_mined_rules_above_the_base_rate(spark):
+    """Against a brute force over all combinations with Wilson's bound written out."""
+    from itertools import combinations
+    from math import sqrt
+
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(14)
+    urls = [(i, f"http://{rnd.choice(['shop', 'blog', 'm'])}.{rnd.choice(['aa', 'bb', 'cc'])}.org/{rnd.choice(['x1', 'y', 'z'])}/") for i in range(600)]
+    bad = {i for i, u in urls if rnd.random() < (0.5 if "shop" in u and "x1" in u else 0.2)}
+    pages = spark.createDataFrame(urls, "page_id long, url string")
+    labels = spark.createDataFrame([(i, int(i not in bad), 0) for i, _ in urls], "doc_id long, quality int, toxic int")
+    got = url_rules.judge(pages, labels, min_confidence=0.0, longest=None, z=2.33)
+    tokens = {r[0]: frozenset(r[1]) for r in pages.select("page_id", url_rules.tokens(url_rules.host(F.col("url")), url_rules.path(F.col("url")))).collect()}
+    n, hit = Counter(), Counter()
+    for i, own in tokens.items():
+        for k in range(1, len(own) + 1):
+            for c in combinations(sorted(own), k):
+                n[c] += 1
+                hit[c] += i in bad
+    base, z = len(bad) / len(urls), 2.33
+
+    def low(h, m):
+        p = h / m
+        return (p + z * z / (2 * m) - z * sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
+
+    rules = [set(c) for c in n if hit[c] >= 20 and low(hit[c], n[c]) > base]
+    want = {i for i, own in tokens.items() if any(c <= own for c in rules)}
+    assert want and {r["page_id"] for r in got.where("verdict = 'block'").collect()} == want
+
+
+def test_line_dedup_long_lines_ties_and_clashing_columns(spark):
+    """A very long line, equal lines in one document, and a column with the result's name."""
+    long_line = " ".join(f"w{i}" for i in range(30000))
+    rows = [(1, f"{long_line}\nsame words stand in this line\nsame words stand in this line", "own"), (2, long_line + " end", "own"), (2, long_line + " end", "own"), (3, None, None), (4, "", "own")]
+    got = line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string, _sl_removed string"), full=True)
+    assert sorted((r["doc_id"], r["_sl_removed"], len(r["text"] or "")) for r in got.collect()) == [(1, 1, len(rows[0][1]) - 30), (2, 1, 0), (2, 1, 0), (3, 0, 0), (4, 0, 0)]
+
+
+def test_dot_product_placement():
+    """The choice of each vector by a search over all shards."""
+    rnd = np.random.default_rng(3)
+    vectors, residual = rnd.random((40, 3)), np.full((5, 3), 9.0)
+    mine, left, want = residual.copy(), residual.copy(), []
+    got = vector_sharding.place(vectors, mine, first=2)
+    for v in vectors:
+        best = max(((left[s] * v * vector_sharding.WEIGHTS).sum(), -k, s) for k, s in enumerate([2, 3, 4, 0, 1]))
+        want.append(best[2])
+        left[best[2]] -= v
+    assert got.tolist() == want and np.allclose(mine, left)
+
+
+def test_components_of_documents_by_brute_force(spark):
+    """component_id from texts alone: fingerprints, all pairs within 4 bits, union-find."""
+    rnd = random.Random(19)
+    base = [rnd.choices([f"t{i}" for i in range(80)], k=60) for _ in range(6)]
+    docs = []
+    for d in range(60):
+        words_ = list(rnd.choice(base))
+        for _ in range(rnd.randint(0, 3)):
+            words_[rnd.randrange(60)] = "new"
+        docs.append((rnd.randrange(10**6), " ".join(words_)))
+    fps = [brute_fp(t) for _, t in docs]
+    root = list(range(len(docs)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i in range(len(docs)):
+        for j in range(i):
+            if (fps[i] ^ fps[j]).bit_count() <= 4:
+                root[find(i)] = find(j)
+    least = {}
+    for i, (d, _) in enumerate(docs):
+        least[find(i)] = min(d, least.get(find(i), d))
+    got = simhash_balls.classes(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == sorted((d, least[find(i)]) for i, (d, _) in enumerate(docs))
