@@ -23,7 +23,14 @@ def text_keyed(rows: DataFrame, order: list[str], digest: str = "audio_sha256",
     return rows.select(digest, F.sha2(text, 256).alias("text_sha256"), *order)
 
 
-def conflicts(keyed: DataFrame, order: list[str], digest: str = "audio_sha256") -> DataFrame:
+def conflicts(rows: DataFrame, digest: str = "audio_sha256", text: str = "text") -> DataFrame:
+    """Digests with more than one text, their sorted texts and n_rows: for a look at digests of few texts
+    (``conflict_rows`` has one row a text)."""
+    found = conflict_rows(text_keyed(rows.withColumn("_t", F.col(text)), ["_t"], digest, text), ["_t"], digest)
+    return found.groupBy(digest).agg(F.array_sort(F.collect_list("first._t")).alias("texts"), F.sum("n_rows").alias("n_rows"))
+
+
+def conflict_rows(keyed: DataFrame, order: list[str], digest: str = "audio_sha256") -> DataFrame:
     """Every text of the digests that have more than one: digest, text_sha256, first (its least row), n_rows, n_texts.
 
     keyed: as from ``text_keyed``. One row a text, so a digest with many texts is no single large value."""
@@ -32,7 +39,15 @@ def conflicts(keyed: DataFrame, order: list[str], digest: str = "audio_sha256")
     return per.join(many, digest)
 
 
-def aggregated(keyed: DataFrame, order: list[str], digest: str = "audio_sha256") -> DataFrame:
+def aggregated(rows: DataFrame, order: list[str], digest: str = "audio_sha256", text: str = "text") -> DataFrame:
+    """digest, text and the order columns of the least row of each digest; none for digests with conflicting texts.
+    Hashes decide; the texts of the rows kept are joined back."""
+    kept = kept_rows(text_keyed(rows, order, digest, text), order, digest).drop("text_sha256").withColumnsRenamed({c: f"_k_{c}" for c in (digest, *order)})
+    same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in (digest, *order)]
+    return rows.select(digest, text, *order).join(kept, same, "left_semi").dropDuplicates([digest, *order])
+
+
+def kept_rows(keyed: DataFrame, order: list[str], digest: str = "audio_sha256") -> DataFrame:
     """digest, text_sha256 and the order columns of the least row of each digest; none for digests with conflicting
     texts. One aggregation by digest: its texts are equal if the least and the greatest hash are."""
     one = keyed.groupBy(digest).agg(F.min("text_sha256").alias("text_sha256"), F.max("text_sha256").alias("_t"), F.min(F.struct(*order)).alias("_w"))

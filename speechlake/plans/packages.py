@@ -159,7 +159,7 @@ def a04_excluded_duplicates(spark, sf_dir):
 @query(f"""SELECT audio_sha256, sha256(text) AS text_sha256, min(lang || '#' || lpad(doc_id::VARCHAR, 12, '0')) AS first, count(*) AS n_rows, any_value(n) AS n_texts
   FROM {UTT} JOIN (SELECT audio_sha256, count(DISTINCT text) AS n FROM {UTT} GROUP BY 1) USING (audio_sha256) WHERE n > 1 GROUP BY audio_sha256, text""")
 def a05_conflicts(spark, sf_dir):
-    c = aggregate.conflicts(aggregate.text_keyed(utterances(spark, sf_dir), ORDER), ORDER)
+    c = aggregate.conflict_rows(aggregate.text_keyed(utterances(spark, sf_dir), ORDER), ORDER)
     return c.select("audio_sha256", "text_sha256", F.concat("first.lang", F.lit("#"), F.lpad(F.col("first.doc_id").cast("string"), 12, "0")).alias("first"), "n_rows", "n_texts")
 
 
@@ -169,7 +169,7 @@ _KEPT = f"""(SELECT audio_sha256, text, min(lang || '#' || lpad(doc_id::VARCHAR,
 @query(f"SELECT audio_sha256, md5(text) AS text_md5, w AS kept FROM {_KEPT}")
 def k01_canonical_rows(spark, sf_dir):
     keyed = utterances(spark, sf_dir).withColumn("text_md5", F.md5("text"))
-    kept = aggregate.aggregated(aggregate.text_keyed(keyed, [*ORDER, "text_md5"]), [*ORDER, "text_md5"])
+    kept = aggregate.kept_rows(aggregate.text_keyed(keyed, [*ORDER, "text_md5"]), [*ORDER, "text_md5"])
     # Of conflict-free digests each has one text, so the digest alone gives the order.
     return kept.orderBy("audio_sha256").select("audio_sha256", "text_md5", F.concat("lang", F.lit("#"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("kept"))
 
@@ -182,7 +182,7 @@ _SPLIT = f"""(WITH u AS (SELECT k.audio_sha256, k.text, d.speaker, d.duration, s
 
 def _split(spark, sf_dir):
     order = [*ORDER, "speaker", "duration"]
-    kept = aggregate.aggregated(aggregate.text_keyed(utterances(spark, sf_dir), order), order)
+    kept = aggregate.kept_rows(aggregate.text_keyed(utterances(spark, sf_dir), order), order)
     rank = F.sha2(F.concat(F.lit('["'), "audio_sha256", F.lit('","'), "text_sha256", F.lit('"]')), 256)
     return aggregate.holdout(kept.withColumn("rank", rank), "speaker", "rank", 50)
 

@@ -58,7 +58,7 @@ def r03_leases(spark, sf_dir):
     """Events as requests for a user's lease, which lasts a day; the event's type is the owner that asks."""
     e = arriving(spark, sf_dir).withWatermark("ts", "1 hour")
     e = e.select(F.col("user_id").alias("item"), "event_id", F.col("event_type").alias("owner"), (F.unix_micros("ts") / 1e6).alias("at"), "ts")
-    return jobs.finished(jobs.arbitrate_leases(e, "item", "event_id", "owner", "at", "ts", 86400.0), "append")
+    return jobs.finished(jobs.arbitrate_leases(e, "item", "event_id", "owner", "at", 86400.0, "ts"), "append")
 
 
 #: Every fiftieth event is ten days late. Spark drops a row by the watermark of the batch before its own: the

@@ -89,14 +89,19 @@ def json_log(spark: SparkSession, path: str, schema: str | StructType) -> DataFr
 
 
 def catalog(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Rows of the Markdown tables of a file, with the heading above; reason malformed where cells are missing."""
+    """Rows of the Markdown tables of a file, with the heading above; reason malformed where cells are missing,
+    duplicate_key where the first column has come before (in any case) in a line above or another file."""
     lines = numbered_lines(spark, path)
     heading = F.when(F.col("value").rlike(r"^#+ "), F.regexp_extract("value", r"^#+ (.*)$", 1))
     w = W.partitionBy("file").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
     rows = lines.withColumn("section", F.last(heading, ignorenulls=True).over(w)).where(F.col("value").rlike(r"^\|") & ~F.col("value").rlike(r"^\|[\s:|-]+\|?$"))
     cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"(?<!\\)\|"), lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|")))
-    out = rows.select("section", "line", cells.alias("_c")).where(F.get("_c", F.lit(0)) != columns[0])
-    return out.select("section", "line", *[F.get("_c", F.lit(i)).alias(n) for i, n in enumerate(columns)], F.when(F.size("_c") != len(columns), "malformed").alias("reason"))
+    out = rows.select("file", "section", "line", cells.alias("_c")).where(F.get("_c", F.lit(0)) != columns[0])
+    named = out.select("file", "section", "line", *[F.get("_c", F.lit(i)).alias(n) for i, n in enumerate(columns)], (F.size("_c") != len(columns)).alias("_bad"))
+    key = F.lower(F.trim(columns[0]))
+    first = named.where("not _bad").groupBy(key.alias("_k")).agg(F.min(F.struct("file", "line")).alias("_first"))
+    again = named.join(first, key == F.col("_k"), "left").withColumn("reason", F.when(F.col("_bad"), "malformed").when(F.struct("file", "line") != F.col("_first"), "duplicate_key"))
+    return again.select("section", "line", *columns, "reason")
 
 
 def api_files(json: Column) -> list[Column]:

@@ -60,10 +60,10 @@ def validate_chains(events: DataFrame, item: str, order: str, state: str, legal:
     return events.select(item, order, state).groupBy(item).applyInPandasWithState(run, schema, "steps long, illegal long, attempts long, last string", "update", GroupStateTimeout.NoTimeout)
 
 
-def arbitrate_leases(requests: DataFrame, item: str, order: str, owner: str, at: str, ts: str, ttl: float) -> DataFrame:
+def arbitrate_leases(requests: DataFrame, item: str, order: str, owner: str, at: str, ttl: float, ts: str | None = None) -> DataFrame:
     """Every request with granted: the lease is free, expired (expires <= now) or already the owner's.
 
-    requests: with a watermark on ``ts``. Once the watermark passes a lease's end its state goes."""
+    With ``ts``, a column with a watermark, a lease's state goes once the watermark passes its end."""
     schema = f"{item} long, {order} long, {owner} string, granted boolean"
 
     def run(key: Any, batches: Iterator[pd.DataFrame], s: GroupState) -> Iterator[pd.DataFrame]:
@@ -78,10 +78,12 @@ def arbitrate_leases(requests: DataFrame, item: str, order: str, owner: str, at:
                 holder, expires = r[owner], r[at] + ttl
             out.append((key[0], r[order], r[owner], ok))
         s.update((holder, expires))
-        s.setTimeoutTimestamp(max(int(expires * 1000), s.getCurrentWatermarkMs() + 1))
+        if ts:
+            s.setTimeoutTimestamp(max(int(expires * 1000), s.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=[item, order, owner, "granted"])
 
-    return requests.select(item, order, owner, at, ts).groupBy(item).applyInPandasWithState(run, schema, "holder string, expires double", "append", GroupStateTimeout.EventTimeTimeout)
+    timeout = GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout
+    return requests.select(item, order, owner, at, *([ts] if ts else [])).groupBy(item).applyInPandasWithState(run, schema, "holder string, expires double", "append", timeout)
 
 
 def interval_rates(events: DataFrame, ts: str, failed, width: str, late: str, slide: str | None = None) -> DataFrame:

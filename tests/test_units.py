@@ -276,3 +276,115 @@ def test_shards_are_written_once(spark):
     assert {(r["shard_id"], r["n_rows"]) for r in sinks.write_shards(rows, path, ["id"], 100).collect()} == {(0, 100), (1, 100), (2, 50)}
     with pytest.raises(Exception, match="(?i)exists"):
         sinks.write_shards(rows, path, ["id"], 100)
+
+
+def test_japanese_events():
+    text, events = V.normal_ja(" 〜「あ」   x ")
+    assert text == "ーあ  x"
+    assert [e[0] for e in events] == ["map"] * 8 + ["trim"] * 2 and events[0] == ("map", 0, " ", " ", "whitespace")
+    assert [(p, to) for _, p, c, to, _ in events if c == " " and _ == "whitespace"][1:5] == [(5, " "), (6, ""), (7, " "), (9, " ")]
+    assert V.normal_ja("a�b�")[1] == [("reject", 1, "�", "", "replacement_character"), ("reject", 3, "�", "", "replacement_character")]
+    assert V.normal_ja("ｶﾞ")[1][0] == ("normalize", 0, "ｶﾞ", "ガ", "nfkc")
+
+
+def test_chunks_are_greedy():
+    """Against packing sentence by sentence."""
+    import random
+
+    rnd = random.Random(1)
+    for _ in range(200):
+        parts = ["".join(rnd.choices("ab é", k=rnd.randint(1, 9))).strip() + rnd.choice([". ", "! ", "。", "，", "; "]) for _ in range(rnd.randint(0, 12))]
+        text, most = "".join(parts), rnd.randint(3, 30)
+        want, now = [], ""
+        for s in V.sentences(text):
+            if now and len(now.encode()) + len(s.encode()) > most:
+                want.append(now.strip())
+                now = ""
+            now += s + (" " if s[-1].isascii() else "")
+        assert V.chunks(text, most) == want + ([now.strip()] if now else [])
+
+
+def test_dtw_by_cells():
+    rnd = np.random.default_rng(5)
+    a, b = rnd.random((7, 3)), rnd.random((9, 3))
+    unit = lambda v: v / np.linalg.norm(v, axis=1, keepdims=True)
+    cost = 1 - unit(a) @ unit(b).T
+    total = np.full((8, 10), np.inf)
+    total[0, 0] = 0
+    for i in range(7):
+        for j in range(9):
+            total[i + 1, j + 1] = cost[i, j] + min(total[i, j], total[i, j + 1], total[i + 1, j])
+    path = audio.dtw(a, b)
+    assert path[0] == (0, 0) and path[-1] == (6, 8) and sum(cost[p] for p in path) == pytest.approx(total[7, 9])
+    x, y = audio.aligned(a[:1], b, 0.5)
+    assert x.shape == y.shape == (5, 3)
+
+
+def test_fade_values_and_mel_of_a_tone():
+    one, two = np.ones(10), np.full(10, 3.0)
+    out = audio.crossfade([one, two], 10, 0.4)
+    assert out.tolist() == pytest.approx([1] * 6 + [1, 1 + 2 / 3, 1 + 4 / 3, 3] + [3] * 6)
+    tone = np.sin(2 * np.pi * 600 * np.arange(4800) / 4800)
+    mel = audio.log_mel(tone, 4800, 256, 64, 20)
+    top = int(mel.mean(axis=1).argmax())
+    bins = np.linspace(0, 2400, 129)
+    assert audio.mel_bank(4800, 256, 20)[top][np.abs(bins - 600).argmin()] > 0
+    assert audio.quality is not None and audio.read_wav(audio.write_wav(tone, 4800))[0][0] == pytest.approx(tone, abs=1e-4)
+
+
+def test_catalog_faults(spark, tmp_path):
+    (tmp_path / "c.md").write_text("# One\n| id | name |\n|---|---|\n| A | x |\n| a | y |\n| b |\n## Two\n| B\\|C | z |\n")
+    rows = {r["line"]: (r["section"], r["id"], r["reason"]) for r in readers.catalog(spark, str(tmp_path / "c.md"), ["id", "name"]).collect()}
+    assert rows == {4: ("One", "A", None), 5: ("One", "a", "duplicate_key"), 6: ("One", "b", "malformed"), 8: ("Two", "B|C", None)}
+
+
+def test_line_numbers_over_blocks(spark, tmp_path):
+    lines = [f"line {i} " + "x" * (i % 50) for i in range(4000)]
+    (tmp_path / "big.txt").write_text("\n".join(lines))
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "9000")
+    try:
+        got = {r["line"]: r["value"] for r in readers.numbered_lines(spark, str(tmp_path / "big.txt")).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert got == {i + 1: x for i, x in enumerate(lines)}
+
+
+def test_pareto_with_gaps(spark):
+    rows = [(1, 1.0, 5.0), (2, 2.0, 5.0), (3, None, 9.0), (4, 0.5, 1.0), (5, 3.0, None), (6, 1.0, 5.0)]
+    df = spark.createDataFrame(rows, "k long, lo double, hi double").repartition(3)
+
+    def beats(b, a):
+        pairs = [(x, y, up) for x, y, up in ((b[1], a[1], False), (b[2], a[2], True)) if x is not None and y is not None]
+        return bool(pairs) and all(x >= y if up else x <= y for x, y, up in pairs) and any(x > y if up else x < y for x, y, up in pairs)
+
+    want = {a[0] for a in rows if not any(beats(b, a) for b in rows if b[0] != a[0])}
+    assert {r["k"] for r in evaluation.pareto(df, "k", ["lo"], ["hi"]).collect()} == want
+
+
+def test_longer_tokens_and_attempts(spark):
+    rows = spark.createDataFrame([(1, ["a", "ni3", "?", "é"])], "i long, t array<string>")
+    vocab = spark.createDataFrame([(" ", 0), ("a", 1), ("é", 2), ("ni3", 3)], "token string, idx long")
+    assert corpus.token_ids(F.col("t"), vocab, rows).first()["ids"] == [1, 3, 0, 2]
+    log = spark.createDataFrame([("x", "S"), ("x", "S"), ("x", "E")], "item string, state string")
+    assert control.attempts(log, "item", "state", ["S"]).first()["attempts"] == 2
+
+
+def test_mono(spark):
+    from speechlake.functions import vectors
+
+    df = spark.createDataFrame([([[1.0, 2.0], [3.0, 6.0]],)], "c array<array<double>>")
+    assert df.select(vectors.mono(F.col("c")).alias("m")).first()["m"] == [2.0, 4.0]
+
+
+def test_discard(spark):
+    from speechlake.tables import discard, remembered, written
+
+    kept = []
+    with remembered(kept):
+        a = written(spark.range(3))
+    discard(spark.range(2))
+    assert kept == [a] and a.count() == 3
+    path = a._sl_path.removeprefix("file://")
+    discard(a)
+    assert not __import__("os").path.exists(path)
