@@ -12,7 +12,9 @@ smallest one is linked to the others: m - 1 links, which connect as much as all
 
 ``classes`` and ``dedup`` take links as they are. ``near_copies`` is for texts whose word 5-shingles are to be similar
 by 0.8: fingerprints of shingles lie too far apart there, so it takes those of words and word pairs, in which such
-texts are close, and verifies every pair on the 5-shingles themselves.
+texts are close, by two seeds (a pair that is close by either meets). Colliding pairs whose shingle counts or MinHash
+sketches rule out that similarity end there (a similar pair does with odds of 1 in 10^5); the others are verified on
+the shingles themselves.
 
 Null and wordless texts: fingerprint zero, linked like any other (near copies: equal to each other, like no other).
 Repeated rows: all in one component. Null doc_id: has a component, but does not name it. Empty table: no rows. Very
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import components, written
-from .tokens import slices
+from .tokens import Recent, once, slices
 
 BITS = 64
 _SUM_ROWS = 1 << 16
@@ -155,6 +157,75 @@ def dedup(docs: DataFrame, radius: int = 4, text: str = "text", doc_id: str = "d
 
 #: Groups of at most so many colliding fingerprints are compared in all pairs, larger ones with their least.
 _FEW = 16
+#: MinHash values of a sketch, and how many of them a similar pair must share (26 are expected at 0.8).
+_SKETCH, _SHARED = 32, 14
+_SEEDS = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03], dtype=np.uint64)
+_TURNS = (np.arange(1, 2 * _SKETCH, 2, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
+
+
+@np.errstate(over="ignore")
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+    return x ^ (x >> np.uint64(29))
+
+
+@np.errstate(over="ignore")
+def near_features(h: np.ndarray, length: int) -> tuple[list[int], int, bytes]:
+    """Of word hashes in order: fingerprints of words and pairs by each seed, number of distinct shingles, sketch."""
+    if not len(h):
+        return [0] * len(_SEEDS), 0, bytes(2 * _SKETCH)
+    units = np.concatenate([h, _mix(h[:-1] * _SEEDS[0] + h[1:])])
+    prints = []
+    for seed in _SEEDS:
+        counts = np.zeros(BITS, dtype=np.int64)
+        for lo in range(0, len(units), _SUM_ROWS):
+            counts += np.unpackbits(_mix(units[lo : lo + _SUM_ROWS] ^ seed).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
+        prints.append(int.from_bytes(np.packbits(counts * 2 > len(units), bitorder="little").tobytes(), "little"))
+    n, s = max(1, len(h) - length + 1), np.zeros(max(1, len(h) - length + 1), dtype=np.uint64)
+    for k in range(min(length, len(h))):
+        s = s * _SEEDS[1] + h[k : k + n]
+    s = np.unique(_mix(s))
+    least = np.full(_SKETCH, np.iinfo(np.uint64).max)
+    for lo in range(0, len(s), 4096):
+        np.minimum(least, (_mix(s[lo : lo + 4096, None] * _TURNS)).min(axis=0), out=least)
+    return prints, len(s), (least & np.uint64(0xFFFF)).astype("<u2").tobytes()
+
+
+_NEAR = "_sl_row long, doc_id long, _sl_md5 string, fp0 long, fp1 long, n long, sketch binary"
+
+
+def _near_rows(rows: DataFrame, text: str, doc_id: str, length: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh64_intdigest
+
+        seen = once(("near words",), lambda: Recent(400_000))
+        for b in batches:
+            column, out = b.column("_sl_text"), []
+            for lo, hi in slices(b.column("_sl_size").to_pylist()):
+                texts = [t.lower().split() for t in column.slice(lo, hi - lo).to_pylist()]
+                seen.turn()
+                for w in seen.missing(set().union(*texts)):
+                    seen[w] = xxh64_intdigest(w)
+                out += [near_features(np.fromiter(map(seen.__getitem__, ws), dtype=np.uint64, count=len(ws)), length) for ws in texts]
+            fps = np.array([f for f, _, _ in out], dtype=np.uint64).reshape(-1, len(_SEEDS)).view(np.int64)
+            columns = [b.column(c) for c in ("_sl_row", "doc_id", "_sl_md5")] + [pa.array(np.ascontiguousarray(fps[:, i])) for i in range(len(_SEEDS))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([n for _, n, _ in out], pa.int64()), pa.array([x for _, _, x in out], pa.binary())], names=[c.split()[0] for c in _NEAR.split(", ")])
+
+    t = F.coalesce(F.col(text), F.lit(""))
+    return rows.select("_sl_row", F.col(doc_id).cast("long").alias("doc_id"), "_sl_md5", F.encode(t, "utf-8").alias("_sl_text"), F.octet_length(t).alias("_sl_size")).mapInArrow(run, _NEAR)
+
+
+def _likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (a, b) of nodes (nid, n, sketch) that shingle counts and sketches don't rule out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype="<u2").reshape(-1, _SKETCH) for c in ("_sl_x", "_sl_y"))
+            yield b.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= _SHARED))
+
+    x, y = (nodes.select(F.col("nid").alias(k), F.col("n").alias(f"_sl_n{k}"), F.col("sketch").alias(s)) for k, s in (("a", "_sl_x"), ("b", "_sl_y")))
+    near = F.least("_sl_na", "_sl_nb") >= similarity * F.greatest("_sl_na", "_sl_nb")
+    return pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "_sl_x", "_sl_y").mapInArrow(run, "a long, b long")
 
 
 def _shingles(text: bytes, length: int) -> set[bytes]:
@@ -185,22 +256,32 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     """docs with one row of each group of equal or similar texts: the one with the smallest doc_id (of repeated rows,
     any one). Equal texts are one node; pairs of nodes come from ball hashing and are all verified."""
     rows = written(docs.withColumn("_sl_row", F.monotonically_increasing_id()).withColumn("_sl_md5", F.md5(F.coalesce(text, F.lit("")))))
-    found = written(fingerprints(rows, text, doc_id, keep=("_sl_row", "_sl_md5"), shingle=(1, 2)))
+    found = written(_near_rows(rows, text, doc_id, words))
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_sl_row")).alias("_sl_least")
-    nodes = written(found.groupBy("_sl_md5").agg(F.first("fp").alias("fp"), least).withColumn("nid", F.monotonically_increasing_id()))
-    fps = written(nodes.groupBy("fp").agg(F.min("nid").alias("_sl_first"), F.count("*").alias("_sl_n")))
-    # Texts of one fingerprint: all pairs of few, else each with the first. Texts of two: all of few, else the first.
-    of = nodes.select("nid", "fp").join(fps.withColumnRenamed("fp", "_sl_fp"), F.col("fp") == F.col("_sl_fp")).where((F.col("_sl_n") <= _FEW) | (F.col("nid") == F.col("_sl_first")))
-    of = written(of.select("nid", F.col("fp").alias("_sl_fp"), "_sl_n"))
-    same = nodes.select("nid", "fp").join(fps.where("_sl_n > 1").withColumnRenamed("fp", "_sl_fp"), F.col("fp") == F.col("_sl_fp")).where("nid <> _sl_first").select(F.col("_sl_first").alias("a"), F.col("nid").alias("b"))
-    x, y = of.where("_sl_n > 1").alias("x"), of.where("_sl_n > 1").alias("y")
-    within = x.join(y, (F.col("x._sl_fp") == F.col("y._sl_fp")) & (F.col("x.nid") < F.col("y.nid"))).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"))
-    met = links(fps.select("fp"), fps.count(), radius, few=_FEW).withColumnsRenamed({"a": "_sl_a", "b": "_sl_b"})
-    across = met.join(of.select(F.col("nid").alias("a"), F.col("_sl_fp").alias("_sl_a")), "_sl_a").join(of.select(F.col("nid").alias("b"), F.col("_sl_fp").alias("_sl_b")), "_sl_b").select("a", "b")
-    pairs = written(same.unionByName(within).unionByName(across).distinct())
+    nodes = found.groupBy("_sl_md5").agg(*[F.first(c).alias(c) for c in ("fp0", "fp1", "n", "sketch")], least)
+    nodes = written(nodes.withColumn("nid", F.monotonically_increasing_id()))
+    pairs = None
+    for fp in ("fp0", "fp1"):
+        met = _met(nodes.where("n > 0").select("nid", F.col(fp).alias("fp")), radius)
+        pairs = met if pairs is None else pairs.unionByName(met)
+    pairs = written(_likely(pairs.distinct(), nodes, similarity))
     ids = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
     named = ids.join(nodes.select("nid", F.col("_sl_least._sl_row").alias("_sl_row")), "nid")
     texts = rows.select("_sl_row", F.encode(F.coalesce(text, F.lit("")), "utf-8").alias("text")).join(named, "_sl_row").select("nid", "text")
     roots = written(components(written(_verified(pairs, texts, words, similarity))))
     of_root = nodes.join(roots, F.col("nid") == F.col("node"), "left").groupBy(F.coalesce("root", "nid")).agg(F.min("_sl_least").alias("_sl_w"))
     return rows.join(written(of_root.select(F.col("_sl_w._sl_row").alias("_sl_row"))), "_sl_row", "left_semi").select(*docs.columns)
+
+
+def _met(nodes: DataFrame, radius: int) -> DataFrame:
+    """nodes (nid, fp) -> (a, b), a < b: texts of one fingerprint or of two that collide. Of at most ``_FEW`` texts of a
+    fingerprint all take part, else each meets the first, and the first alone those of other fingerprints."""
+    fps = written(nodes.groupBy("fp").agg(F.min("nid").alias("_sl_first"), F.count("*").alias("_sl_n")))
+    every = nodes.join(fps.withColumnRenamed("fp", "_sl_fp"), F.col("fp") == F.col("_sl_fp")).select("nid", "_sl_fp", "_sl_first", "_sl_n")
+    same = every.where("nid <> _sl_first").select(F.col("_sl_first").alias("a"), F.col("nid").alias("b"))
+    of = written(every.where((F.col("_sl_n") <= _FEW) | (F.col("nid") == F.col("_sl_first"))))
+    x, y = of.where("_sl_n > 1").alias("x"), of.where("_sl_n > 1").alias("y")
+    within = x.join(y, (F.col("x._sl_fp") == F.col("y._sl_fp")) & (F.col("x.nid") < F.col("y.nid"))).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"))
+    met = links(fps.select("fp"), fps.count(), radius, few=_FEW).withColumnsRenamed({"a": "_sl_a", "b": "_sl_b"})
+    across = met.join(of.select(F.col("nid").alias("a"), F.col("_sl_fp").alias("_sl_a")), "_sl_a").join(of.select(F.col("nid").alias("b"), F.col("_sl_fp").alias("_sl_b")), "_sl_b")
+    return same.unionByName(within).unionByName(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))

@@ -629,3 +629,53 @@ def test_components_of_documents_by_brute_force(spark):
         least[find(i)] = min(d, least.get(find(i), d))
     got = simhash_balls.classes(spark.createDataFrame(docs, "doc_id long, text string"))
     assert sorted((r["doc_id"], r["component_id"]) for r in got.collect()) == sorted((d, least[find(i)]) for i, (d, _) in enumerate(docs))
+
+
+def brute_near(docs, similarity=0.8):
+    """Groups of texts with word 5-shingles at least so similar, by all pairs."""
+    sets = []
+    for _, t in docs:
+        w = words((t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    root = list(range(len(docs)))
+    find = lambda x: x if root[x] == x else find(root[x])
+    for i in range(len(docs)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if (docs[i][1] or "") == (docs[j][1] or "") or both and both >= similarity * (len(sets[i]) + len(sets[j]) - both):
+                root[find(i)] = find(j)
+    return [find(i) for i in range(len(docs))]
+
+
+def test_near_copies(spark, odd, none):
+    rnd = random.Random(23)
+    base = [rnd.choices([f"t{i}" for i in range(300)], k=rnd.randint(60, 200)) for _ in range(12)]
+    docs = []
+    for d in range(80):
+        copy = list(rnd.choice(base))
+        if d % 3:
+            copy[rnd.randrange(len(copy))] = "edited"
+        docs.append((1000 - d, " ".join(copy if d % 4 else [w.upper() for w in copy])))
+    docs += [(2000, None), (2001, ""), (2002, None), (None, docs[0][1])]
+    group = brute_near(docs)
+    want = sorted(min((d for (d, _), g in zip(docs, group, strict=True) if g == own and d is not None)) for own in set(group))
+    got = simhash_balls.near_copies(spark.createDataFrame([(d, t, "x") for d, t in docs], "doc_id long, text string, fp string"))
+    kept = {r["doc_id"] for r in got.collect()}
+    # None goes without a similar one that stays; of those that could go nearly all do.
+    assert got.columns == ["doc_id", "text", "fp"] and set(want) <= kept and len(kept) - len(want) <= 0.1 * (len(docs) - len(want))
+    assert simhash_balls.near_copies(none).count() == 0
+    kept = simhash_balls.near_copies(odd)
+    assert kept.columns == odd.columns and kept.count() == len(set(brute_near([(r["doc_id"], r["text"]) for r in odd.collect()])))
+
+
+def test_pipeline_stages_on_odd_rows(spark, odd, none):
+    """Nulls, repeated rows, clashing columns and no rows at all go through every stage."""
+    import corpus_pipeline
+
+    for docs in (odd, none):
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES[:-1]:
+            docs = spark.createDataFrame(stage(spark, docs, "/root/testdata/sf0.001").collect(), docs.schema)
+            assert docs.columns == columns, name
+            assert all(r["n_words"] is None and r["_r"] in ("y", None) for r in docs.collect()), name
+        corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").count()

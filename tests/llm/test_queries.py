@@ -26,3 +26,35 @@ def test_pipeline(spark):
     assert out.select("doc_id").distinct().count() == n
     run = corpus_pipeline.run(spark, SF)
     assert sorted(map(tuple, run.select("doc_id", "piece", "ids_crc32").collect())) == sorted(map(tuple, out.select("doc_id", "piece", "ids_crc32").collect()))
+
+
+def test_quality_rules_where_cutoffs_decide(spark):
+    """At sf0.1 labels certify cutoffs, and the SQL finds the same ones."""
+    sf = "/root/testdata/sf0.1"
+    got = queries()["op1_quality_rules"](spark, sf).cache()
+    assert got.where("not base_failed and not kept").count() > 100
+    assert compare("op1_quality_rules", got, connect(sf), oracle_sql()["op1_quality_rules"]) == ""
+
+
+def test_url_rules_decide_some_pages(spark):
+    got = queries()["op6_url_rules"](spark, "/root/testdata/sf0.1")
+    assert got.where("rule is null and verdict = 'block' and mined_rule is not null").count() > 50
+
+
+def test_pipeline_against_brute_force(spark):
+    """Stage by stage on whole texts: who stays, by other means."""
+    import corpus_pipeline
+    from test_operators import brute_counts, brute_near
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    good = {d for d, t in rows if (c := brute_counts(t))[0] >= 10 and 100 * c[4] <= 20 * c[0]}
+    kept = stages["quality_rules"](spark, docs, SF)
+    assert {r["doc_id"] for r in kept.select("doc_id").collect()} == good  # so few labels certify nothing
+    # Near copies: exactly those that the 5-shingles of all pairs name, but for pairs that lie too far apart in bits.
+    pairs = [r for r in rows if r[0] in good]
+    group = brute_near(pairs)
+    least = {min(d for (d, _), g in zip(pairs, group, strict=True) if g == own) for own in set(group)}
+    left = {r["doc_id"] for r in stages["simhash_balls"](spark, docs.where(docs.doc_id.isin(list(good))), SF).select("doc_id").collect()}
+    assert least <= left and len(left - least) <= 0.2 * (len(pairs) - len(least))
