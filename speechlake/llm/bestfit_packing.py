@@ -9,7 +9,8 @@ are dealt again, to fewer cells, so cells exchange documents and rerun; the roun
 all that was left, or after ``rounds``. Cells hold some ten thousand narrow rows; texts never move.
 
 Null text: only the end id. Null doc_id: packed like any other. Repeated rows: packed each. Empty table:
-no rows.
+no rows. Very long texts: encoded whole, cut into full pieces. Columns of ``pack``'s items that are named like the
+new ones (sequence_id, offset, round, cell_bins, cell_bound) are replaced by these.
 """
 
 from __future__ import annotations
@@ -120,6 +121,7 @@ def _packer(capacity: int, last: bool):
 
 def pack(items: DataFrame, capacity: int = 2048, cell: int = 20_000, rounds: int = 6) -> DataFrame:
     """items (length long, others stay) -> with sequence_id, offset, round, and the cell's bins and bound."""
+    items = items.drop("sequence_id", "offset", "round", "cell_bins", "cell_bound")
     stored = written(items.withColumn("_sl_item", F.monotonically_increasing_id()))
     none = [F.lit(0).cast("long").alias("offset"), F.lit(-1).alias("round"), F.lit(1).cast("long").alias("cell_bins"), F.lit(1).cast("long").alias("cell_bound")]
     columns = [c for c in stored.columns if c != "_sl_item"]

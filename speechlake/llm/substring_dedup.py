@@ -16,7 +16,8 @@ Hashes of level 1 have 40 bits beside the bucket; a false match only costs work.
 bits beside the bucket.
 
 Null text: no words. Null doc_id: taken as larger than all others. Repeated rows: the same doc_id is not
-smaller, so both keep their words. Empty table: no rows.
+smaller, so both keep their words. Empty table: no rows. Very long texts: a batch of their own, with all their
+windows. Columns other than doc_id and text play no part, whatever their names.
 """
 
 from __future__ import annotations

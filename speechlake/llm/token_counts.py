@@ -6,7 +6,8 @@ those that are such an entry count 1 directly, and only the rest is merged by th
 one once. The cut is exact if no vocabulary entry has a word mark after another character, which is
 checked when the model loads; a model that fails the check gets whole texts.
 
-Null text: counts as empty, 0 tokens. Empty table: no rows. Repeated rows: each gets its count.
+Null text: counts as empty, 0 tokens. Empty table: no rows. Repeated rows: each gets its count. Very long texts:
+counted whole. Columns other than doc_id and text play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -13,7 +13,8 @@ plane_bytes lists the compressed sizes block by block, plane by plane: a reader
 ``read`` gives back (doc_id, start, n_tokens, ids as little-endian uint32); start counts all ids before.
 
 Null text: the empty document, which has only the end id. Null doc_id: sorted first. Repeated rows: all
-kept, in order of their text hash. Empty table: an empty file.
+kept, in order of their text hash. Empty table: an empty file. Very long texts: a group of their own, encoded
+whole. Columns other than doc_id and text are not written, whatever their names.
 """
 
 from __future__ import annotations

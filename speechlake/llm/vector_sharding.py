@@ -9,7 +9,9 @@ balance would exist. Units (groups or pieces) of more than 1/32 of a shard are a
 by construction; the driver places those one by one. All others are dealt by hash to cells of about a
 thousand units, and each cell is packed on its own, against its share of what the large units left.
 
-Null text: its own group, size 1, crc 0. Empty table: no rows. Repeated rows: kept, each with its slot.
+Null text: its own group, size 1, crc 0. Empty table: no rows. Repeated rows: kept, each with its slot. Null
+doc_id: sorted first in its shard; of a split group all null ids are in one piece. Very long texts: a unit by
+itself. Columns other than doc_id and text play no part, whatever their names.
 """
 
 from __future__ import annotations

@@ -679,3 +679,10 @@ def test_pipeline_stages_on_odd_rows(spark, odd, none):
             assert docs.columns == columns, name
             assert all(r["n_words"] is None and r["_r"] in ("y", None) for r in docs.collect()), name
         corpus_pipeline.STAGES[-1][1](spark, docs, "/root/testdata/sf0.001").count()
+
+
+def test_pack_replaces_clashing_columns(spark):
+    df = spark.createDataFrame([(i, 1 + i % 7, "x", "y", "z") for i in range(50)], "i long, length long, offset string, round string, sequence_id string")
+    got = bestfit_packing.pack(df, 10).toPandas()
+    assert len(got) == 50 and sorted(got.columns) == ["cell_bins", "cell_bound", "i", "length", "offset", "round", "sequence_id"]
+    assert (got.groupby("sequence_id").length.sum() <= 10).all() and got.offset.max() < 10
