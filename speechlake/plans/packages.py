@@ -280,7 +280,7 @@ def f10_path_resolution(spark, sf_dir):
     return packages.resolved(p, there, "/base", ["wav", "ogg", "mp3"]).select("page_id", "resolved")
 
 
-_MEMBERS = """(SELECT regexp_extract(url, '://([^/?#]*)', 1) AS archive, CASE WHEN page_id % 11 = 0 THEN 'other' ELSE 'root' END || '/' || CASE WHEN page_id % 13 = 0 THEN 'VOICE' WHEN page_id % 17 = 0 THEN 'voice/a.ogg' ELSE 'f' || page_id || '.ogg' END AS path,
+_MEMBERS = """(SELECT regexp_extract(url, '://([^/?#]*)', 1) AS archive, CASE WHEN page_id % 11 = 0 THEN 'other' ELSE 'root' END || '/' || CASE WHEN page_id % 3 = 0 THEN 'VOICE' WHEN page_id % 5 = 0 THEN 'voice/a.ogg' ELSE 'f' || page_id || '.ogg' END AS path,
   strlen(html) AS size, CASE WHEN page_id % 19 = 0 THEN 1 ELSE strlen(html) END AS packed FROM pages)"""
 
 
@@ -288,7 +288,7 @@ def _members(spark, sf_dir):
     """Pages as archive members, their hosts as archives. Some lie outside the root, some share a name but for its
     case, some are a file where others have a folder, some are packed to a byte."""
     i = F.col("page_id")
-    name = F.when(i % 13 == 0, F.lit("VOICE")).when(i % 17 == 0, F.lit("voice/a.ogg")).otherwise(F.concat(F.lit("f"), i, F.lit(".ogg")))
+    name = F.when(i % 3 == 0, F.lit("VOICE")).when(i % 5 == 0, F.lit("voice/a.ogg")).otherwise(F.concat(F.lit("f"), i, F.lit(".ogg")))
     path = F.concat(F.when(i % 11 == 0, F.lit("other/")).otherwise(F.lit("root/")), name)
     size = F.octet_length("html").cast("long")
     m = table(spark, sf_dir, "pages").select(F.regexp_extract("url", "://([^/?#]*)", 1).alias("archive"), path.alias("path"), size.alias("size"), F.when(i % 19 == 0, F.lit(1)).otherwise(size).cast("long").alias("packed"))
