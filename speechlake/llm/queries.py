@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bestfit_packing, decontamination, line_dedup, quality_rules, simhash_balls, substring_dedup, token_counts, token_planes, url_rules, vector_sharding
+from . import bestfit_packing, decontamination, line_dedup, quality_rules, simhash_balls, substring_dedup, suffix_dedup, token_counts, token_planes, url_rules, vector_sharding
 from .common import scratch, table
 
 
@@ -66,6 +66,11 @@ def op10_simhash_balls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), length=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
