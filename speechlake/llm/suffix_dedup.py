@@ -54,62 +54,66 @@ def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+#: Windows whose hashes a task holds at a time. Where a block cuts a span its parts differ from equal spans elsewhere, and
+#: their windows are sorted.
+_BLOCK = 1 << 17
+
+
+@np.errstate(over="ignore")
+def _spans(body: np.ndarray, shift: int, begins: np.ndarray, ends: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
+    """(first, last, anchor, row, m, s) of the spans in a block, which begins at ``shift`` of the joined text, whose
+    documents begin and end at ``begins`` and ``ends``."""
+    if len(body) < length:
+        return tuple(np.empty(0, dtype=k) for k in (np.int64,) * 4 + (np.uint64,) * 2)
+    byte = _mix(body.astype(np.uint64) + np.uint64(77))
+    grams = _mix(_rolled(byte, gram, _M1))
+    wide = length - gram + 1
+    least = sliding_least(grams, wide)
+    n = len(least)
+    # Runs of windows of one document with one least value.
+    new = np.r_[True, least[1:] != least[:-1]]
+    for cut in (begins[ends > begins], np.maximum(begins, ends - length + 1)):
+        cut = cut - shift
+        new[cut[(cut >= 0) & (cut < n)]] = True
+    first = np.flatnonzero(new)
+    row = np.searchsorted(ends, first + shift, side="right")
+    inside = first + shift + length <= ends[row]
+    last = np.r_[first[1:], n] - 1
+    first, last, row = first[inside], last[inside], row[inside]
+    anchor = first + (grams[first[:, None] + np.arange(wide)] == least[first][:, None]).argmax(axis=1) if len(first) else first
+    # A gram that comes twice (text with a short period): each of its places has its own windows.
+    more = []
+    for i in np.flatnonzero(last > anchor).tolist():
+        a, b = int(first[i]), int(last[i])
+        places = a + np.flatnonzero(grams[a : b + wide] == least[a])
+        places = places[: int(np.searchsorted(places, b)) + 1]
+        last[i] = min(b, int(places[0]))
+        if len(places) > 1:
+            more.append(np.stack([places[:-1] + 1, np.minimum(places[1:], b), places[1:], np.full(len(places) - 1, row[i])]))
+    if more:
+        first, last, anchor, row = (np.r_[x, y] for x, y in zip((first, last, anchor, row), np.concatenate(more, axis=1), strict=True))
+        order = np.argsort(first, kind="stable")
+        first, last, anchor, row = first[order], last[order], anchor[order], row[order]
+    whole = _rolled(byte, length, _M2)
+    # The first and the last window cover the span: it has at most ``wide`` windows.
+    s = _mix(_mix(whole[first]) * _M1 + _mix(whole[last] ^ _M1) + (last - first).astype(np.uint64) * np.uint64(128) + (anchor - first).astype(np.uint64))
+    return first + shift, last + shift, anchor + shift, row, grams[anchor], s
+
+
 class Spans:
     """The windows of one batch of documents, by anchor. Every step gives the same result whenever it runs.
 
     first, last: the windows of each span (places in the joined text); anchor: its anchor's place; doc, row: its document.
     """
 
-    @np.errstate(over="ignore")
     def __init__(self, doc_ids: list, sizes: list[int], body: bytes, length: int, gram: int):
         self.length, self.sizes = length, np.array(sizes, dtype=np.int64)
         self.docs = np.array([_LAST if d is None else d for d in doc_ids], dtype=np.int64)
         self.body = np.frombuffer(body, dtype=np.uint8)
-        empty = np.empty(0, dtype=np.int64)
-        self.first = self.last = self.anchor = self.row = self.doc = empty
-        self.m = self.s = empty.astype(np.uint64)
-        if len(body) < length or not (self.sizes >= length).any():
-            return
-        byte = _mix(self.body.astype(np.uint64) + np.uint64(77))
-        grams = _mix(_rolled(byte, gram, _M1))
-        wide = length - gram + 1
-        least = sliding_least(grams, wide)
-        n = len(least)
         ends = np.cumsum(self.sizes)
-        begins = ends - self.sizes
-        # Runs of windows of one document with one least value.
-        new = np.r_[True, least[1:] != least[:-1]]
-        new[begins[(begins < n) & (self.sizes > 0)]] = True
-        stop = np.maximum(begins, ends - length + 1)
-        new[stop[stop < n]] = True
-        first = np.flatnonzero(new)
-        row = np.searchsorted(ends, first, side="right")
-        inside = first + length <= ends[row]
-        last = np.r_[first[1:], n] - 1
-        first, last, row = first[inside], last[inside], row[inside]
-        anchor = np.empty(len(first), dtype=np.int64)
-        for lo in range(0, len(first), 1 << 14):
-            at = first[lo : lo + (1 << 14)]
-            anchor[lo : lo + len(at)] = at + (grams[at[:, None] + np.arange(wide)] == least[at][:, None]).argmax(axis=1)
-        # A gram that comes twice (text with a short period): each of its places has its own windows.
-        more = []
-        for i in np.flatnonzero(last > anchor).tolist():
-            a, b = int(first[i]), int(last[i])
-            places = a + np.flatnonzero(grams[a : b + wide] == least[a])
-            places = places[: int(np.searchsorted(places, b)) + 1]
-            last[i] = min(b, int(places[0]))
-            if len(places) > 1:
-                more.append(np.stack([places[:-1] + 1, np.minimum(places[1:], b), places[1:], np.full(len(places) - 1, row[i])]))
-        if more:
-            add = np.concatenate(more, axis=1)
-            first, last, anchor, row = (np.r_[x, y] for x, y in zip((first, last, anchor, row), add, strict=True))
-            order = np.argsort(first, kind="stable")
-            first, last, anchor, row = first[order], last[order], anchor[order], row[order]
-        whole = _rolled(byte, length, _M2)
-        self.first, self.last, self.anchor, self.row, self.doc = first, last, anchor, row, self.docs[row]
-        self.m = grams[anchor]
-        # The first and the last window cover the span: it has at most ``wide`` windows.
-        self.s = _mix(_mix(whole[first]) * _M1 + _mix(whole[last] ^ _M1) + (last - first).astype(np.uint64) * np.uint64(128) + (anchor - first).astype(np.uint64))
+        parts = [_spans(self.body[lo : lo + _BLOCK + length - 1], lo, ends - self.sizes, ends, length, gram) for lo in range(0, max(1, len(body) - length + 1), _BLOCK)]
+        self.first, self.last, self.anchor, self.row, self.m, self.s = (np.concatenate(x) for x in zip(*parts, strict=True))
+        self.doc = self.docs[self.row]
 
     def kinds(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """The distinct (m, s), sorted: m, s, least doc_id here; and each span's index in them."""

@@ -104,3 +104,20 @@ def test_equal_runs():
 def test_carried_over_boundaries():
     edges = [(0, b"a", b"c", False, 7, 0, 1), (1, b"c", b"c", True, 9, 0, 2), (3, b"c", b"d", False, 4, 1, 0), (4, b"e", b"e", True, 1, 1, 1)]
     assert carried(edges) == [(1, 7, 0, 1), (3, 7, 0, 2)]
+
+
+@pytest.mark.parametrize("block", [1, 7, 1 << 17])
+def test_spans_hold_every_window_once(monkeypatch, block):
+    """Each window of a document is in one span, whose anchor lies in the window and depends on its bytes alone."""
+    monkeypatch.setattr(suffix_dedup, "_BLOCK", block)
+    texts = [t.encode() for _, t in made(4, 40) if t is not None]
+    b = suffix_dedup.Spans(list(range(len(texts))), list(map(len, texts)), b"".join(texts), 20, 8)
+    ends, found, offset = np.cumsum(b.sizes), [], {}
+    for first, last, anchor, row in zip(b.first.tolist(), b.last.tolist(), b.anchor.tolist(), b.row.tolist(), strict=True):
+        assert first <= last <= anchor <= first + 20 - 8
+        found += range(first, last + 1)
+        for x in range(first, last + 1):
+            assert ends[row] - b.sizes[row] <= x and x + 20 <= ends[row]
+            w = b.body[x : x + 20].tobytes()
+            assert offset.setdefault(w, anchor - x) == anchor - x
+    assert sorted(found) == [x for e, n in zip(ends.tolist(), b.sizes.tolist(), strict=True) for x in range(e - n, e - 20 + 1)]
