@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import leakage_form
 from ..functions.vectorized import grams
-from ..tables import numbered, written
+from ..tables import written
+from .quantiles import Quantile, interpolated, quantiles
 
 
 def matrix(systems: DataFrame, texts: DataFrame) -> DataFrame:
@@ -107,39 +108,6 @@ def _best_matches(items: list[tuple[int, str, list[str]]], n: int):
     return run
 
 
-def _ranked(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """by, value, _r (place in the group's order, from 0), _n. A large group is ranked by many tasks."""
-    known = numbered(rows.where(F.col(value).isNotNull()).select(*by, value), [value], "_r", group=by)
-    counts = known.groupBy(*by).agg(F.count("*").alias("_n")).withColumnsRenamed({c: f"_n_{c}" for c in by})
-    return known.join(counts, [F.col(c).eqNullSafe(F.col(f"_n_{c}")) for c in by]).drop(*[f"_n_{c}" for c in by])
-
-
-def nearest_rank(rows: DataFrame, by: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
-    """sorted[round((n - 1) * f)] with half-to-even rounding, over non-null values."""
-    at = {name: F.bround((F.col("_n") - 1) * f).cast("long") for name, f in fractions.items()}
-    return _ranked(rows, by, value).groupBy(*by).agg(*[F.max(F.when(F.col("_r") == r, F.col(value))).alias(name) for name, r in at.items()])
-
-
-def interpolated(rows: DataFrame, by: list[str], value: str, fractions: dict[str, float]) -> DataFrame:
-    """Percentiles with linear interpolation between the two values around (n - 1) * f, over non-null values."""
-    out = []
-    for name, f in fractions.items():
-        at = (F.col("_n") - 1) * F.lit(float(f))
-        low = F.floor(at)
-        pick = lambda r: F.max(F.when(F.col("_r") == r, F.col(value)))
-        share = F.max(at - low)
-        out.append((pick(low) * (1 - share) + pick(F.ceil(at)) * share).alias(name))
-    return _ranked(rows, by, value).groupBy(*by).agg(*out)
-
-
-def core_summary(rows: DataFrame, by: list[str], metric: str, core: Column) -> DataFrame:
-    """Exact median, p90 (nearest rank) and max of the metric over the rows of the core split."""
-    own = rows.where(core)
-    top = own.groupBy(*by).agg(F.max(metric).alias(f"core_{metric}_max"))
-    middle = interpolated(own, by, metric, {f"core_{metric}_median": 0.5}).withColumn(f"core_{metric}_median", F.round(f"core_{metric}_median", 6))
-    return top.join(middle, by, "left").join(nearest_rank(own, by, metric, {f"core_{metric}_p90": 0.9}), by, "left")
-
-
 def passed(judged: DataFrame, baseline: Column, texts: int, count: str, hard: str) -> DataFrame:
     """judged (as from ``verdicts``) with complete (as many rows as texts) and passed: complete, no hard failure, and
     the baseline itself or a verdict that holds."""
@@ -147,13 +115,18 @@ def passed(judged: DataFrame, baseline: Column, texts: int, count: str, hard: st
     return judged.withColumn("complete", F.col(count) == texts).withColumn("passed", F.col("complete") & (F.col(hard) == 0) & ok)
 
 
-def metric_summary(rows: DataFrame, by: list[str], metric: str) -> DataFrame:
-    """count, mean, exact median, p10, p90, max over the non-null values of a metric."""
+def metric_summary(rows: DataFrame, by: list[str], metric: str, core: Column | None = None, more: dict[str, Column] | None = None) -> DataFrame:
+    """count, mean, exact median (between the middle two), p10, p90 (nearest rank), max over the non-null values of a
+    metric; with ``core`` also median, p90 and max over those rows; and other aggregates of the rows."""
     # Summed as decimals (12 places), so the mean does not depend on how the rows are spread.
     mean = (F.sum(F.col(metric).cast("decimal(28,12)")) / F.count(metric)).cast("double")
-    stats = rows.groupBy(*by).agg(F.count(metric).alias(f"{metric}_n"), F.round(mean, 6).alias(f"{metric}_mean"), F.max(metric).alias(f"{metric}_max"))
-    middle = interpolated(rows, by, metric, {f"{metric}_median": 0.5}).withColumn(f"{metric}_median", F.round(f"{metric}_median", 6))
-    return stats.join(middle, by, "left").join(nearest_rank(rows, by, metric, {f"{metric}_p10": 0.1, f"{metric}_p90": 0.9}), by, "left")
+    own = [F.count(metric).alias(f"{metric}_n"), F.round(mean, 6).alias(f"{metric}_mean"), F.max(metric).alias(f"{metric}_max"), *[c.alias(n) for n, c in (more or {}).items()]]
+    picks = {f"{metric}_median": Quantile(metric, 0.5, linear=True), f"{metric}_p10": Quantile(metric, 0.1), f"{metric}_p90": Quantile(metric, 0.9)}
+    if core is not None:
+        own.append(F.max(F.when(core, F.col(metric))).alias(f"core_{metric}_max"))
+        picks |= {f"core_{metric}_median": Quantile(metric, 0.5, linear=True, where=core), f"core_{metric}_p90": Quantile(metric, 0.9, where=core)}
+    found = quantiles(rows, by, picks).withColumns({n: F.round(n, 6) for n, p in picks.items() if p.linear})
+    return rows.groupBy(*by).agg(*own).join(found, by, "left")
 
 
 def gate_failures(gates: dict[str, Column]) -> Column:

@@ -6,9 +6,10 @@ from pyspark.sql import functions as F
 
 from ..operators import batching, control
 from ..operators import evaluation as E
+from ..operators import quantiles as Q
 from ..registry import query
 from ..sources import sinks
-from ..tables import scratch, table
+from ..tables import scratch, table, written
 
 
 def _matrix(spark, sf_dir):
@@ -74,10 +75,24 @@ _RANK = "max(CASE WHEN r = round_even((n - 1) * {f}, 0)::BIGINT + 1 THEN v END)"
 @query(f"""SELECT o_orderpriority, round({_RANK.format(f=0.1)}, 6) AS p10, round({_RANK.format(f=0.5)}, 6) AS p50, round({_RANK.format(f=0.9)}, 6) AS p90 FROM (
   SELECT o_orderpriority, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) AS r, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) GROUP BY 1""")
 def a07_nearest_rank(spark, sf_dir):
-    q = E.nearest_rank(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
+    q = Q.nearest_rank(table(spark, sf_dir, "orders"), ["o_orderpriority"], "o_totalprice", {"p10": 0.1, "p50": 0.5, "p90": 0.9})
     return q.select("o_orderpriority", *[F.round(c, 6).alias(c) for c in ("p10", "p50", "p90")])
 
 
+@query(f"""SELECT l_returnflag, l_linestatus, round({_RANK.format(f=0.01)}, 6) AS price_p01, round({_RANK.format(f=0.999)}, 6) AS price_p999, round(quantile_cont(v, 0.25), 6) AS price_q1, round(quantile_cont(v, 0.75), 6) AS price_q3,
+  round(quantile_cont(q, 0.5), 6) AS quantity_median, round(quantile_cont(v, 0.5) FILTER (WHERE q > 25), 6) AS large_median FROM (
+  SELECT l_returnflag, l_linestatus, l_extendedprice AS v, l_quantity AS q, row_number() OVER (PARTITION BY l_returnflag, l_linestatus ORDER BY l_extendedprice) AS r, count(*) OVER (PARTITION BY l_returnflag, l_linestatus) AS n FROM lineitem) GROUP BY ALL""")
+def u04_grouped_quantiles(spark, sf_dir):
+    """Two metrics and a condition, six quantiles, in the same passes."""
+    picks = {
+        "price_p01": Q.Quantile("price", 0.01), "price_p999": Q.Quantile("price", 0.999), "price_q1": Q.Quantile("price", 0.25, linear=True), "price_q3": Q.Quantile("price", 0.75, linear=True),
+        "quantity_median": Q.Quantile("quantity", 0.5, linear=True), "large_median": Q.Quantile("price", 0.5, linear=True, where=F.col("quantity") > 25),
+    }
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_linestatus", F.col("l_extendedprice").cast("double").alias("price"), F.col("l_quantity").cast("double").alias("quantity"))
+    q = Q.quantiles(rows, ["l_returnflag", "l_linestatus"], picks)
+    return q.select("l_returnflag", "l_linestatus", *[F.round(n, 6).alias(n) for n in picks])
+
+
 _SUM = f"""(SELECT l_suppkey, count(v) AS v_n, round(avg(v), 6) AS v_mean, round(median(v), 6) AS v_median, max(v) AS v_max, {_RANK.format(f=0.1)} AS v_p10, {_RANK.format(f=0.9)} AS v_p90,
   count(*) FILTER (WHERE q > 49) AS hard_failures, count(*) AS n_rows, max(v) FILTER (WHERE core) AS core_v_max, round(median(v) FILTER (WHERE core), 6) AS core_v_median, max(CASE WHEN core AND rc = round_even((nc - 1) * 0.9, 0)::BIGINT + 1 THEN v END) AS core_v_p90 FROM (
   SELECT l_suppkey, l_discount / 3 AS v, l_quantity AS q, l_linenumber <= 2 AS core, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_discount) AS r, count(*) OVER (PARTITION BY l_suppkey) AS n,
@@ -88,9 +103,7 @@ def _summary(spark, sf_dir):
     """Suppliers as systems, their line items as score rows (a third of the discount: means of hundredths would often
     lie between two roundings); the first two lines of an order are the core split."""
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", (F.col("l_discount") / 3).alias("v"), "l_quantity", "l_linenumber")
-    hard = rows.groupBy("l_suppkey").agg(F.count_if(F.col("l_quantity") > 49).alias("hard_failures"), F.count("*").alias("n_rows"))
-    core = E.core_summary(rows, ["l_suppkey"], "v", F.col("l_linenumber") <= 2)
-    return E.metric_summary(rows, ["l_suppkey"], "v").join(hard, "l_suppkey").join(core, "l_suppkey", "left")
+    return E.metric_summary(rows, ["l_suppkey"], "v", F.col("l_linenumber") <= 2, {"hard_failures": F.count_if(F.col("l_quantity") > 49), "n_rows": F.count("*")})
 
 
 @query(f"SELECT * FROM {_SUM}")
@@ -108,7 +121,7 @@ _SQL_CHECKS = ", ".join(f"{m} - b_{m} {op} {x} AS {name}" for name, (m, op, x) i
   v AS (SELECT *, CASE WHEN {' AND '.join(f'{c} IS NOT NULL' for c in _CHECKS)} THEN {' AND '.join(_CHECKS)} END AS verdict, n_rows = 600 AS complete FROM j)
   SELECT l_suppkey, {', '.join(_CHECKS)}, verdict, complete, complete AND hard_failures = 0 AND (baseline OR coalesce(verdict, false)) AS passed FROM v""")
 def a12_objective_verdict(spark, sf_dir):
-    s = _summary(spark, sf_dir)
+    s = written(_summary(spark, sf_dir))
     first = s.agg(F.min("l_suppkey").alias("_low"))
     baseline = F.col("l_suppkey") == F.col("_low")
     judged = E.verdicts(s.join(F.broadcast(first)), baseline, _CHECKS)

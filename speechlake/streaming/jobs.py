@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StructField, StructType
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..tables import scratch
 
@@ -40,50 +42,122 @@ def latest_status(events: DataFrame, job: str, order: str, fields: list[str]) ->
     return events.groupBy(job).agg(F.max_by(F.struct(order, *fields), order).alias("_r")).select(job, "_r.*")
 
 
+def stateful(spark: SparkSession) -> None:
+    """Keyed state with timers is kept in RocksDB: on disk, with only what a batch touches in memory."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def _in_order(frames: Iterator[pd.DataFrame], order: str, codes: dict[str, dict]) -> tuple[np.ndarray, dict[str, np.ndarray]]:
+    """The order column and the others of an item's rows in one batch, sorted: arrays of numbers, frame by frame, never
+    one frame of rows. Text columns become codes; codes[column] maps a text to its code and grows."""
+    kept: dict[str, list[np.ndarray]] = {}
+    for pdf in frames:
+        for c in pdf.columns:
+            if c in codes:
+                of = codes[c]
+                kept.setdefault(c, []).append(np.fromiter((of.setdefault(x, len(of)) for x in pdf[c]), dtype=np.int32, count=len(pdf)))
+            else:
+                kept.setdefault(c, []).append(pdf[c].to_numpy())
+    columns = {c: np.concatenate(v) for c, v in kept.items()}
+    at = np.argsort(columns[order], kind="stable")
+    return columns[order][at], {c: v[at] for c, v in columns.items() if c != order}
+
+
+class ChainValidator(StatefulProcessor):
+    """steps, illegal, attempts and last of an item, carried from batch to batch in one value."""
+
+    def __init__(self, item: str, order: str, state: str, legal: set[tuple[str, str]], starts: set[str]):
+        self.item, self.order, self.state, self.legal, self.starts = item, order, state, legal, starts
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.seen = handle.getValueState("seen", "steps long, illegal long, attempts long, last string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        steps, illegal, attempts, last = self.seen.get() if self.seen.exists() else (0, 0, 0, None)
+        codes: dict[Any, int] = {} if last is None else {last: 0}
+        _, columns = _in_order((pdf[[self.order, self.state]] for pdf in rows), self.order, {self.state: codes})
+        now = columns[self.state]
+        names = list(codes)
+        allowed = np.array([[(a, b) in self.legal for b in names] for a in names])
+        chain = now if last is None else np.r_[np.int32(0), now]
+        steps += len(chain) - 1
+        illegal += int((~allowed[chain[:-1], chain[1:]]).sum())
+        attempts += int(np.array([x in self.starts for x in names])[now].sum())
+        last = names[now[-1]]
+        self.seen.update((steps, illegal, attempts, last))
+        yield pd.DataFrame({self.item: [key[0]], "steps": [steps], "illegal": [illegal], "attempts": [attempts], "last": [last]})
+
+    def close(self) -> None:
+        pass
+
+
 def validate_chains(events: DataFrame, item: str, order: str, state: str, legal: set[tuple[str, str]], starts: set[str]) -> DataFrame:
     """Per item: steps seen, illegal steps, attempts (starts), last state; events are taken in order within a
-    batch, and batches in the order of arrival."""
+    batch, and batches in the order of arrival. A batch's rows of one item are held as numbers; ``maxFilesPerTrigger``
+    bounds a batch."""
+    stateful(events.sparkSession)
     schema = f"{item} long, steps long, illegal long, attempts long, last string"
+    return events.select(item, order, state).groupBy(item).transformWithStateInPandas(ChainValidator(item, order, state, legal, starts), schema, "Update", "None")
+
+
+#: A lease lasts from a minute to a week, in seconds.
+LEASE_SECONDS = (60, 7 * 24 * 3600)
+
+
+class LeaseArbiter(StatefulProcessor):
+    """The holder of an item's lease. A timer at the lease's end removes it once the watermark passes."""
+
+    def __init__(self, item: str, order: str, owner: str, at: str, ttl: float, timed: bool):
+        self.item, self.order, self.owner, self.at, self.ttl, self.timed = item, order, owner, at, ttl, timed
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.lease = handle.getValueState("lease", "holder string, expires double")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+        holder, expires = self.lease.get() if self.lease.exists() else (None, float("-inf"))
+        codes: dict[Any, int] = {}
+        order, columns = _in_order((pdf[[self.order, self.owner, self.at]] for pdf in rows), self.order, {self.owner: codes})
+        before, held = expires, -1 if holder is None else codes.setdefault(holder, len(codes))
+        asked, at = columns[self.owner], columns[self.at].astype(float)
+        granted = np.zeros(len(order), dtype=bool)
+        for i, (own, now) in enumerate(zip(asked.tolist(), at.tolist(), strict=True)):
+            if held < 0 or expires <= now or held == own:
+                granted[i], held, expires = True, own, now + self.ttl
+        names = list(codes)
+        self.lease.update((names[held] if held >= 0 else None, expires))
+        if self.timed and expires != before:
+            if before != float("-inf"):
+                self.handle.deleteTimer(self._end(before))
+            self.handle.registerTimer(self._end(expires))
+        for lo in range(0, len(order), 10_000):
+            hi = lo + 10_000
+            yield pd.DataFrame({self.item: key[0], self.order: order[lo:hi], self.owner: [names[k] for k in asked[lo:hi]], "granted": granted[lo:hi]})
+
+    @staticmethod
+    def _end(expires: float) -> int:
+        return math.ceil(expires * 1000)
 
-    def run(key: Any, batches: Iterator[pd.DataFrame], s: GroupState) -> Iterator[pd.DataFrame]:
-        steps, illegal, attempts, last = s.get if s.exists else (0, 0, 0, None)
-        rows = pd.concat(list(batches)).sort_values(order)
-        for x in rows[state]:
-            if last is not None:
-                steps += 1
-                illegal += (last, x) not in legal
-            attempts += x in starts
-            last = x
-        s.update((steps, illegal, attempts, last))
-        yield pd.DataFrame([(key[0], steps, illegal, attempts, last)], columns=["k", "steps", "illegal", "attempts", "last"]).rename(columns={"k": item})
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        # A lease that was extended has a later timer.
+        if self.lease.exists() and self._end(self.lease.get()[1]) <= expiredTimerInfo.getExpiryTimeInMs():
+            self.lease.clear()
+        return iter(())
 
-    return events.select(item, order, state).groupBy(item).applyInPandasWithState(run, schema, "steps long, illegal long, attempts long, last string", "update", GroupStateTimeout.NoTimeout)
+    def close(self) -> None:
+        pass
 
 
 def arbitrate_leases(requests: DataFrame, item: str, order: str, owner: str, at: str, ttl: float, ts: str | None = None) -> DataFrame:
     """Every request with granted: the lease is free, expired (expires <= now) or already the owner's.
 
-    With ``ts``, a column with a watermark, a lease's state goes once the watermark passes its end."""
-    schema = f"{item} long, {order} long, {owner} string, granted boolean"
-
-    def run(key: Any, batches: Iterator[pd.DataFrame], s: GroupState) -> Iterator[pd.DataFrame]:
-        if s.hasTimedOut:
-            s.remove()
-            return
-        holder, expires = s.get if s.exists else (None, float("-inf"))
-        out = []
-        for r in pd.concat(list(batches)).sort_values(order).to_dict("records"):
-            ok = holder is None or expires <= r[at] or holder == r[owner]
-            if ok:
-                holder, expires = r[owner], r[at] + ttl
-            out.append((key[0], r[order], r[owner], ok))
-        s.update((holder, expires))
-        if ts:
-            s.setTimeoutTimestamp(max(int(expires * 1000), s.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=[item, order, owner, "granted"])
-
-    timeout = GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout
-    return requests.select(item, order, owner, at, *([ts] if ts else [])).groupBy(item).applyInPandasWithState(run, schema, "holder string, expires double", "append", timeout)
+    With ``ts``, a column with a watermark, a timer ends a lease once the watermark passes its end. ``ttl`` is in
+    seconds, from a minute to a week."""
+    if not LEASE_SECONDS[0] <= ttl <= LEASE_SECONDS[1]:
+        raise ValueError(f"a lease lasts {LEASE_SECONDS[0]} to {LEASE_SECONDS[1]} seconds, not {ttl}")
+    stateful(requests.sparkSession)
+    rows = requests.select(item, order, owner, at, *([ts] if ts else [])).groupBy(item)
+    return rows.transformWithStateInPandas(LeaseArbiter(item, order, owner, at, ttl, ts is not None), f"{item} long, {order} long, {owner} string, granted boolean", "Append", "EventTime" if ts else "None")
 
 
 def interval_rates(events: DataFrame, ts: str, failed, width: str, late: str, slide: str | None = None) -> DataFrame:

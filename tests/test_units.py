@@ -203,10 +203,81 @@ def test_chain_audit(spark):
 def test_leases(spark, tmp_path):
     from speechlake.streaming import jobs
 
-    log = spark.createDataFrame([(1, 1, "one", 100.0), (1, 2, "two", 101.0), (1, 3, "two", 111.0)], "item long, o long, owner string, at double")
+    log = spark.createDataFrame([(1, 1, "one", 100.0), (1, 2, "two", 101.0), (1, 3, "two", 161.0), (1, 4, "one", 162.0)], "item long, o long, owner string, at double")
     log.coalesce(1).write.parquet(f"{tmp_path}/in")
-    out = jobs.arbitrate_leases(jobs.stream_of(spark, f"{tmp_path}/in", log.schema), "item", "o", "owner", "at", 10.0)
-    assert {r["o"]: r["granted"] for r in jobs.finished(out, "append").collect()} == {1: True, 2: False, 3: True}
+    stream = jobs.stream_of(spark, f"{tmp_path}/in", log.schema)
+    out = jobs.arbitrate_leases(stream, "item", "o", "owner", "at", 60.0)
+    assert {r["o"]: r["granted"] for r in jobs.finished(out, "append").collect()} == {1: True, 2: False, 3: True, 4: False}
+    for ttl in (59.0, 7 * 86400.5):
+        with pytest.raises(ValueError, match="lease"):
+            jobs.arbitrate_leases(stream, "item", "o", "owner", "at", ttl)
+
+
+def test_lease_ends_by_its_timer(spark, tmp_path):
+    """One item has a third of all requests, in several frames of a batch; a lease that the watermark passes is gone."""
+    from datetime import datetime, timedelta
+
+    from speechlake.streaming import jobs
+
+    start = datetime(2024, 1, 1)
+    rows = [(0 if i % 3 == 0 else i, i, f"o{i % 5}", float(i), start + timedelta(seconds=i)) for i in range(3000)]
+    rows += [(0, 5000, "late", 90_000.0, start + timedelta(days=2)), (0, 6000, "later", 90_030.0, start + timedelta(days=2, seconds=30))]
+    for part in range(3):
+        some = [r for r in rows if r[1] // 2500 == part]
+        spark.createDataFrame(some, "item long, o long, owner string, at double, ts timestamp").repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = jobs.stream_of(spark, f"{tmp_path}/in", "item long, o long, owner string, at double, ts timestamp", 2).withWatermark("ts", "1 minute")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        got = {r["o"]: r["granted"] for r in jobs.finished(jobs.arbitrate_leases(stream, "item", "o", "owner", "at", 60.0, "ts"), "append").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, held = {}, {}
+    for item, o, owner, at, _ in rows:
+        holder, expires = held.get(item, (None, -1.0))
+        want[o] = holder in (None, owner) or expires <= at
+        if want[o]:
+            held[item] = (owner, at + 60.0)
+    assert got == want
+
+
+def test_chain_validator_hot_item(spark, tmp_path):
+    from speechlake.streaming import jobs
+
+    rows = [(0 if i % 3 == 0 else i % 50, i, "ABC"[(i * 7 // 3) % 3]) for i in range(3000)]
+    for part in range(3):
+        spark.createDataFrame([r for r in rows if r[1] // 1000 == part], "item long, o long, state string").repartition(2).write.mode("append").parquet(f"{tmp_path}/in")
+    out = jobs.validate_chains(jobs.stream_of(spark, f"{tmp_path}/in", "item long, o long, state string", 2), "item", "o", "state", {("A", "B"), ("B", "C")}, {"A"})
+    got = {r["item"]: tuple(r)[1:] for r in jobs.finished(out, "update", ["item"]).collect()}
+    want = {}
+    for item, _, state in rows:
+        steps, illegal, attempts, last = want.get(item, (-1, 0, 0, None))
+        want[item] = (steps + 1, illegal + (last is not None and (last, state) not in {("A", "B"), ("B", "C")}), attempts + (state == "A"), state)
+    assert got == want
+
+
+@pytest.mark.parametrize("crowd", [1, 7, 4096])
+def test_quantiles_by_radix_selection(spark, crowd):
+    import math
+    import random
+
+    from speechlake.operators.quantiles import Quantile, quantiles
+
+    r = random.Random(crowd)
+    kinds = [lambda: r.gauss(0, 1), lambda: 10 ** r.uniform(-300, 300) * r.choice([-1, 1]), lambda: float(r.randrange(3)), lambda: 1.0 + r.random() * 1e-12, lambda: r.choice([0.0, -0.0, None, float("inf"), float("-inf"), 5e-324])]
+    rows = [(g, kinds[k % 5](), r.random() < 0.3) for k, g in enumerate([None, "a", "b", "c", "d"]) for _ in range(400)] + [("e", None, True), ("f", 2.5, True)]
+    df = spark.createDataFrame(rows, "g string, v double, own boolean").repartition(4)
+    fractions = (0.0, 0.1, 0.5, 0.9, 1.0)
+    picks = {f"n{i}": Quantile("v", f) for i, f in enumerate(fractions)} | {f"c{i}": Quantile("v", f, where=F.col("own")) for i, f in enumerate(fractions)} | {"mid": Quantile("v", 0.37, linear=True)}
+    got = {x["g"]: x for x in quantiles(df, ["g"], picks, crowd).collect()}
+    assert set(got) == {None, "a", "b", "c", "d", "f"}
+    for g, row in got.items():
+        for prefix, values in (("n", sorted(v for k, v, _ in rows if k == g and v is not None)), ("c", sorted(v for k, v, own in rows if k == g and own and v is not None))):
+            assert [row[f"{prefix}{i}"] for i in range(5)] == [values[round((len(values) - 1) * f)] for f in fractions]
+        values = sorted(v for k, v, _ in rows if k == g and v is not None)
+        at = (len(values) - 1) * 0.37
+        a, b = values[math.floor(at)], values[math.ceil(at)]
+        want = a * (1 - (at - math.floor(at))) + b * (at - math.floor(at))
+        assert row["mid"] == want or math.isclose(row["mid"], want) or math.isnan(want)
 
 
 def test_manifest_reader(spark, tmp_path):
