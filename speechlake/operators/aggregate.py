@@ -80,6 +80,48 @@ def tree_digest(shard_manifest: DataFrame) -> DataFrame:
     return shard_manifest.agg(F.count("*").alias("n_shards"), F.sum("n_rows").alias("n_rows"), F.sha2(F.array_join(F.transform(parts, lambda r: r["digest"]), ""), 256).alias("digest"))
 
 
+def merkle(shard_manifest: DataFrame, fan: int = 16) -> DataFrame:
+    """The tree of digests over a manifest (shard_id, n_rows, digest): level, node, n_rows, digest.
+
+    Level 0 has the shards. A node of the next level has the digest of the digests of ``fan`` nodes in order, up to one
+    root: no row holds more than ``fan`` digests, however many shards there are."""
+    level = written(shard_manifest.select(F.lit(0).alias("level"), F.col("shard_id").alias("node"), "n_rows", "digest"))
+    out, last = level, level.agg(F.max("node")).first()[0]
+    while last:
+        parts = F.array_sort(F.collect_list(F.struct("node", "digest")))
+        up = level.groupBy((F.col("level") + 1).alias("level"), F.floor(F.col("node") / fan).alias("_up"))
+        level = written(up.agg(F.sum("n_rows").alias("n_rows"), F.sha2(F.array_join(F.transform(parts, lambda p: p["digest"]), ""), 256).alias("digest")).select("level", F.col("_up").alias("node"), "n_rows", "digest"))
+        out, last = out.unionByName(level), last // fan
+    return out
+
+
+def root_digest(shard_manifest: DataFrame, fan: int = 16) -> str:
+    """The digest of the whole: of the tree's root ('' without shards)."""
+    top = merkle(shard_manifest, fan).orderBy(F.desc("level")).first()
+    return top["digest"] if top else ""
+
+
+def first_difference(one: DataFrame, other: DataFrame, fan: int = 16) -> int | None:
+    """The first shard in which two trees (as from ``merkle``) differ, from the root down: of each level only the ``fan``
+    nodes below the last difference are compared. None if the trees are equal."""
+    height = [t.agg(F.max("level")).first()[0] for t in (one, other)]
+    if None in height:
+        return None if height == [None, None] else 0
+    # The lower tree is as if it had a higher one's left edge above it, so that comparison starts at the higher root.
+    node, deep = 0, max(height)
+    for level in range(deep, -1, -1):
+        first = 0 if level == deep else node * fan
+        sides = [t.where((F.col("level") == level) & F.col("node").between(first, first + fan - 1)).select("node", F.col("digest").alias(c)) for t, c in ((one, "a"), (other, "b"))]
+        found = sides[0].join(sides[1], "node", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).agg(F.min("node")).first()[0]
+        if found is None:
+            # Only where the heights differ: the levels below the lower root decide.
+            if level <= min(height) or level == 0:
+                return None
+            found = first
+        node = found
+    return int(node)
+
+
 def row_fingerprint(**columns: Column) -> Column:
     """sha256 of the row's canonical JSON: keys in order, nothing between them, non-ASCII characters as they are."""
     return F.sha2(F.to_json(F.struct(*[columns[k].alias(k) for k in sorted(columns)])), 256)

@@ -122,6 +122,29 @@ def s11_sharded_sink(spark, sf_dir):
     return sinks.write_shards(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), scratch(spark), ["doc_id"], 100)
 
 
+@query(f"""SELECT floor(p / 100)::BIGINT AS shard_id, count(*) AS n_rows, sha256(string_agg(h, '' ORDER BY p)) AS digest, true AS read_back FROM (
+  SELECT row_number() OVER (ORDER BY doc_id) - 1 AS p, {_ROWHASH} AS h FROM documents) GROUP BY 1""")
+def s11_publish(spark, sf_dir):
+    """Published twice: the second time finds equal digests. The rows read back through the marker fit the manifest."""
+    rows, path = table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), scratch(spark)
+    sinks.publish(rows, path, ["doc_id"], 100)
+    found = sinks.publish(rows, path, ["doc_id"], 100)
+    per = sinks.published(spark, path)[0].groupBy(F.col("shard_id").alias("_s")).agg(F.count("*").alias("_n"))
+    return found.join(per, F.col("shard_id") == F.col("_s"), "left").select("shard_id", "n_rows", "digest", F.coalesce(F.col("n_rows") == F.col("_n"), F.lit(False)).alias("read_back"))
+
+
+@query(f"""WITH RECURSIVE m AS (SELECT floor(p / 10)::BIGINT AS node, count(*) AS n_rows, sha256(string_agg(h, '' ORDER BY p)) AS digest FROM (
+    SELECT row_number() OVER (ORDER BY doc_id) - 1 AS p, {_ROWHASH} AS h FROM documents) GROUP BY 1),
+  t AS (SELECT 0 AS level, node, n_rows::BIGINT AS n_rows, digest FROM m
+    UNION ALL SELECT level + 1, node // 16, sum(n_rows)::BIGINT, sha256(string_agg(digest, '' ORDER BY node)) FROM t WHERE (SELECT max(node) FROM m) >> (4 * level) > 0 GROUP BY level, node // 16)
+  SELECT * FROM t""")
+def a17_merkle(spark, sf_dir):
+    """The tree of digests over shards of ten rows, sixteen to a node."""
+    sharded = aggregate.shards(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), ["doc_id"], 10)
+    digest = F.sha2(F.concat_ws("\x1f", F.col("doc_id").cast("string"), "lang", "source"), 256)
+    return aggregate.merkle(aggregate.manifest(sharded.select("shard_id", "position", digest.alias("row_digest")), "row_digest"))
+
+
 @query(f"""WITH m AS (SELECT shard_id, count(*) AS n_rows, sha256(string_agg(h, '' ORDER BY p)) AS digest FROM (
   SELECT row_number() OVER (ORDER BY doc_id) - 1 AS p, floor((row_number() OVER (ORDER BY doc_id) - 1) / 100)::BIGINT AS shard_id, {_ROWHASH} AS h FROM documents) GROUP BY shard_id)
   SELECT count(*) AS n_shards, sum(n_rows)::BIGINT AS n_rows, sha256(string_agg(digest, '' ORDER BY shard_id)) AS digest FROM m""")

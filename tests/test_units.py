@@ -459,3 +459,62 @@ def test_discard(spark):
     path = a._sl_path.removeprefix("file://")
     discard(a)
     assert not __import__("os").path.exists(path)
+
+
+def _numbers(spark, n, change=None):
+    return spark.range(n).select("id", F.when(F.col("id") == (-1 if change is None else change), "other").otherwise("same").alias("v"))
+
+
+def test_publish_once_or_not_at_all(spark, tmp_path, monkeypatch):
+    from speechlake.sources import sinks
+
+    path, rows = f"file://{tmp_path}/out", _numbers(spark, 95)
+    with pytest.raises(FileNotFoundError):
+        sinks.published(spark, path)
+    real = sinks.Store.move
+
+    def crash(self, name, to):
+        if to == fatal[0]:
+            raise InterruptedError
+        return real(self, name, to)
+
+    monkeypatch.setattr(sinks.Store, "move", crash)
+    store = sinks.Store(spark, path)
+    # Before the folder has its name, and after that but before the marker: nothing is published, the next run clears up.
+    for fatal in (["nothing"], [sinks.MARKER]):
+        if fatal == ["nothing"]:
+            fatal[0] = sinks.DATA + aggregate.root_digest(sinks._manifest(aggregate.shards(rows, ["id"], 10), rows.columns))
+        with pytest.raises(InterruptedError):
+            sinks.publish(rows, path, ["id"], 10)
+        assert store.names()
+        with pytest.raises(FileNotFoundError):
+            sinks.published(spark, path)
+    fatal = ["none"]
+    first = sorted(map(tuple, sinks.publish(rows, path, ["id"], 10).collect()))
+    assert [r[0] for r in first] == list(range(10)) and [r[1] for r in first] == [10] * 9 + [5] and len({r[3] for r in first}) == 10
+    names, files = store.names(), sorted(p.name for p in (tmp_path / "out").rglob("*.parquet"))
+    assert len(names) == 2
+    # After the marker: a rerun writes nothing, other rows are refused, what is there stays.
+    fatal = [sinks.MARKER]
+    assert sorted(map(tuple, sinks.publish(rows.repartition(7), path, ["id"], 10).collect())) == first
+    with pytest.raises(FileExistsError):
+        sinks.publish(_numbers(spark, 95, 3), path, ["id"], 10)
+    assert store.names() == names and files == sorted(p.name for p in (tmp_path / "out").rglob("*.parquet"))
+    assert sorted(r["id"] for r in sinks.published(spark, path)[0].collect()) == list(range(95))
+    fatal = ["none"]
+    assert sinks.publish(rows.limit(0), f"{path}0", ["id"], 10).count() == 0
+
+
+def test_merkle_names_the_first_difference(spark):
+    from speechlake.sources.sinks import _manifest
+
+    tree = lambda n, change=None: aggregate.merkle(_manifest(aggregate.shards(_numbers(spark, n, change), ["id"], 2), ["id", "v"]), 3).cache()
+    one = tree(100)
+    assert [one.where(F.col("level") == k).count() for k in range(5)] == [50, 17, 6, 2, 1]
+    assert one.where("level = 4").first()["n_rows"] == 100
+    assert aggregate.first_difference(one, tree(100), 3) is None
+    for change in (0, 37, 99):
+        assert aggregate.first_difference(one, tree(100, change), 3) == change // 2
+    assert aggregate.first_difference(one, tree(90), 3) == 45
+    assert aggregate.first_difference(one, tree(10), 3) == 5
+    assert aggregate.first_difference(tree(0), tree(0), 3) is None
