@@ -34,6 +34,23 @@ def wer_form(x: Column, lang: str) -> Column:
     return F.array_join(F.split(bare, ""), " ") if lang == "zh" else F.lower(bare) if lang == "en" else bare
 
 
+def word_error_rate(truth: Column, hypothesis: Column) -> Column:
+    """Word edits by the truth's words; null without words in the truth.
+
+    Each distinct word of the pair becomes a code point of its own (from U+10000 on), so the edit distance of the two
+    strings is that of the words, exactly."""
+    words = lambda x: F.array_remove(F.split(F.coalesce(x, F.lit("")), r"(?U)\s+"), "")
+
+    def rate(pair: Column) -> Column:
+        a, b = pair["a"], pair["b"]
+        known = F.array_distinct(F.concat(a, b))
+        spelled = lambda ws: F.decode(F.unhex(F.array_join(F.transform(ws, lambda w: F.lpad(F.hex(F.array_position(known, w) + 0xFFFF), 8, "0")), "")), "UTF-32")
+        return F.when(F.size(a) > 0, F.levenshtein(spelled(a), spelled(b)) / F.size(a))
+
+    # Through a lambda, so that each text is split once.
+    return F.transform(F.array(F.struct(words(truth).alias("a"), words(hypothesis).alias("b"))), rate)[0]
+
+
 def kana_form(x: Column) -> Column:
     return F.translate(x, KANA_IGNORED, "")
 

@@ -14,7 +14,7 @@ from . import vectorized as V
 
 #: name -> (Column -> array column)
 TOKENIZERS: dict[str, Callable[[Column], Column]] = {"char": T.characters, "byte": V.byte_tokens, "mixed": lambda c: V.mixed_tokenizer({})(c)}
-METRICS: dict[str, Callable[[Column, Column], Column]] = {"cer": T.error_rate, "wer": V.word_error_rate}
+METRICS: dict[str, Callable[[Column, Column], Column]] = {"cer": T.error_rate, "wer": T.word_error_rate}
 
 
 def tokenizer(name: str) -> Callable[[Column], Column]:

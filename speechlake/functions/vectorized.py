@@ -37,31 +37,6 @@ def grams(n: int):
     return of
 
 
-def word_edits(a: list[str], b: list[str]) -> int:
-    """Edit distance of word lists; row by row, the in-row step as a running minimum."""
-    if not a or not b:
-        return max(len(a), len(b))
-    ids = {w: i for i, w in enumerate(dict.fromkeys([*a, *b]))}
-    y, steps = np.array([ids[w] for w in b]), np.arange(len(b) + 1)
-    row = steps.copy()
-    for i, w in enumerate(a, 1):
-        best = np.empty_like(row)
-        best[0] = i
-        best[1:] = np.minimum(row[:-1] + (y != ids[w]), row[1:] + 1)
-        row = np.minimum.accumulate(best - steps) + steps
-    return int(row[-1])
-
-
-@F.pandas_udf(K.DoubleType())
-def word_error_rate(truth: pd.Series, hypothesis: pd.Series) -> pd.Series:
-    """Word edits by the truth's words; null without words in the truth."""
-    out = []
-    for t, h in zip(truth, hypothesis, strict=True):
-        words = (t or "").split()
-        out.append(word_edits(words, (h or "").split()) / len(words) if words else None)
-    return pd.Series(out, dtype="float64")
-
-
 @F.pandas_udf(K.StringType())
 def portable_key(x: pd.Series) -> pd.Series:
     """NFKC and case folding: equal for file names that some file systems do not tell apart."""

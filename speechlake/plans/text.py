@@ -45,10 +45,18 @@ def t02_character_error_rate(spark, sf_dir):
     return turns(spark, sf_dir).select("conv_id", "turn", F.round(T.error_rate(a, b), 6).alias("cer"), F.round(T.error_rate_floor(a, b), 6).alias("cer_floor"))
 
 
-@query()
+def _words(text: str) -> str:
+    bare = (T.HAN_PUNCTUATION + T.ASCII_PUNCTUATION).replace("'", "''")
+    return f"list_filter(string_split_regex(lower(replace(translate({text}, '{bare}', ''), '  ', ' ')), '\\s+'), lambda w: w <> '')"
+
+
+@query(f"""WITH w AS (SELECT conv_id, turn, {_words('truth')} AS a, {_words('hypothesis')} AS b FROM {_TURNS}),
+  n AS (SELECT conv_id, turn, list_transform(a, lambda w: list_position(list_concat(a, b), w)::BIGINT) AS a, list_transform(b, lambda w: list_position(list_concat(a, b), w)::BIGINT) AS b FROM w)
+  SELECT conv_id, turn, CASE WHEN len(a) > 0 THEN round(list_reduce(list_prepend(range(0, len(b) + 1), list_transform(a, lambda x: [x])),
+    lambda r, x: list_reduce(list_prepend([r[1] + 1], list_transform(range(1, len(b) + 1), lambda j: [j])), lambda row, j: list_append(row, least(row[-1] + 1, r[j[1] + 1] + 1, r[j[1]] + (b[j[1]] <> x[1])::BIGINT))))[-1] / len(a), 5) END AS wer FROM n""")
 def t03_word_error_rate(spark, sf_dir):
     rows = turns(spark, sf_dir).select("conv_id", "turn", T.wer_form(F.col("truth"), "en").alias("a"), T.wer_form(F.col("hypothesis"), "en").alias("b"))
-    return rows.select("conv_id", "turn", F.round(V.word_error_rate("a", "b"), 5).alias("wer"))
+    return rows.select("conv_id", "turn", F.round(T.word_error_rate(F.col("a"), F.col("b")), 5).alias("wer"))
 
 
 @query("SELECT doc_id, md5(translate(text, '、。！？!?，,．.…「」『』（）()　 ・ー', '')) AS form_md5 FROM documents")

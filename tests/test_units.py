@@ -39,19 +39,22 @@ def test_repeats():
 def test_error_rates(spark):
     assert one(spark, T.error_rate(F.col("a"), F.col("b")), a="東京", b="東") == 0.5
     assert one(spark, T.error_rate(F.col("a"), F.col("b")), a="", b="x") == 1.0
-    assert V.word_edits("a b c d".split(), "a x c".split()) == 2 and V.word_edits([], ["a"]) == 1
+    assert spark.range(1).select(T.word_error_rate(F.lit("a b c d"), F.lit("a x c")).alias("x")).first()["x"] == 0.5
 
 
-def test_word_edits_random():
-    rnd = random.Random(1)
-    for _ in range(200):
-        a, b = rnd.choices("abc", k=rnd.randint(0, 9)), rnd.choices("abc", k=rnd.randint(0, 9))
+def test_word_error_rate_random(spark):
+    """Against the whole table of distances."""
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choice("a b c dd é".split()) for _ in range(rnd.randrange(9))), rnd.choice([" ", "  ", "\n"]).join(rnd.choice("a b c dd é".split()) for _ in range(rnd.randrange(9)))) for i in range(200)] + [(200, None, "a"), (201, "a b", None), (202, " x ", "x")]
+    got = {r["i"]: r["w"] for r in spark.createDataFrame(rows, "i long, a string, b string").select("i", T.word_error_rate(F.col("a"), F.col("b")).alias("w")).collect()}
+    for i, t, h in rows:
+        a, b = (t or "").split(), (h or "").split()
         row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            old, row = row, [i]
+        for x in a:
+            last, row[0] = row[0], row[0] + 1
             for j, y in enumerate(b, 1):
-                row.append(min(old[j] + 1, row[-1] + 1, old[j - 1] + (x != y)))
-        assert V.word_edits(a, b) == row[-1]
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        assert got[i] == (row[-1] / len(a) if a else None)
 
 
 def test_wer_form(spark):
