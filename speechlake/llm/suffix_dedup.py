@@ -274,7 +274,15 @@ def _joined_rows(batch: np.ndarray, row: np.ndarray) -> np.ndarray:
     return out
 
 
-_GONE = "_sl_batch long, place long"
+_GONE = "_sl_batch long, bytes binary"
+
+
+def _by_batch(batch: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, list[bytes]]:
+    """The batches, and the places of each as bytes."""
+    order = np.argsort(batch, kind="stable")
+    value, first = np.unique(batch[order], return_index=True)
+    ends = [*first.tolist(), len(batch)]
+    return value, [place[order[lo:hi]].astype("<i8").tobytes() for lo, hi in zip(ends, ends[1:], strict=False)]
 
 
 def _sort(length: int):
@@ -294,9 +302,8 @@ def _sort(length: int):
         pick, equal = equal_runs(b"".join(bodies), begins[span] + step, length)
         pick, _, earlier = _order(pick, equal, doc[span], row[span], place)
         gone = pick[earlier]
-        for lo in range(0, len(gone), 1 << 18):
-            some = gone[lo : lo + (1 << 18)]
-            yield pa.RecordBatch.from_arrays([pa.array(batch[span[some]]), pa.array(place[some])], names=["_sl_batch", "place"])
+        value, places = _by_batch(batch[span[gone]], place[gone])
+        yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(places, pa.binary())], names=["_sl_batch", "bytes"])
 
     return run
 
@@ -322,7 +329,8 @@ def _deal(length: int):
     return run
 
 
-#: kind 0: starts earlier, too. 1: does so if the run began in a bucket before. 2, 3: the bucket's first and last run.
+#: kind 0: a batch's windows that start earlier, too (bytes: their places). 1: one that does so if its run began in a
+#: bucket before. 2, 3: the bucket's first and last run.
 _BUCKET = "part int, kind int, _sl_batch long, doc long, row long, place long, bytes binary, whole boolean"
 
 
@@ -345,7 +353,8 @@ def _sort_dealt(length: int):
         gone, open_ = pick[earlier], [i for i in np.flatnonzero(rest).tolist() if cut[i] == least]
         last = [i for i in range(n) if cut[i] == most]
         low, final = min(int(doc[i]) for i in last), max(last, key=lambda i: (doc[i], batch[i], row[i], place[i]))
-        rows = [(part, 0, int(batch[i]), int(doc[i]), int(row[i]), int(place[i]), None, None) for i in gone] + [(part, 1, int(batch[i]), int(doc[i]), int(row[i]), int(place[i]), None, None) for i in open_]
+        rows = [(part, 0, b, None, None, None, places, None) for b, places in zip(*map(list, _by_batch(batch[gone], place[gone])), strict=True)]
+        rows += [(part, 1, int(batch[i]), int(doc[i]), int(row[i]), int(place[i]), None, None) for i in open_]
         rows += [(part, k, int(batch[final]), low, int(row[final]), int(place[final]), x, least == most) for k, x in ((2, least), (3, most))]
         kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
         for lo in range(0, len(rows), 1 << 16):
@@ -369,7 +378,7 @@ def carried(edges: list[tuple[int, bytes, bytes, bool, int, int, int]]) -> list[
 
 
 def _across(buckets: DataFrame) -> DataFrame:
-    """(_sl_batch, place) of the dealt windows that start earlier, too."""
+    """(_sl_batch, bytes) of the dealt windows that start earlier, too."""
     spark = buckets.sparkSession
     # Two rows a bucket reach the driver, however many windows there are.
     ends: dict[int, dict] = {}
@@ -380,7 +389,13 @@ def _across(buckets: DataFrame) -> DataFrame:
     # As many rows as buckets at most.
     open_ = buckets.where("kind = 1").join(F.broadcast(before), F.col("part") == F.col("_sl_part"))
     later = (F.col("doc") > F.col("_sl_low")) | ((F.col("_sl_batch") == F.col("_sl_b")) & (F.col("row") == F.col("_sl_r")))
-    return buckets.where("kind = 0").select("_sl_batch", "place").unionByName(open_.where(later).select("_sl_batch", "place"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            value, places = _by_batch(b.column("_sl_batch").to_numpy(), b.column("place").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(places, pa.binary())], names=["_sl_batch", "bytes"])
+
+    return buckets.where("kind = 0").select("_sl_batch", "bytes").unionByName(open_.where(later).select("_sl_batch", "place").mapInArrow(packed, _GONE))
 
 
 def _cut(length: int, gram: int, bits: int):
@@ -413,20 +428,6 @@ def _cut(length: int, gram: int, bits: int):
     return run
 
 
-def _packed_places(places: DataFrame) -> DataFrame:
-    """(_sl_batch, places): each batch's places as bytes, in as many pieces as tasks had some."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            batch, place = b.column("_sl_batch").to_numpy(), b.column("place").to_numpy()
-            order = np.argsort(batch, kind="stable")
-            value, first = np.unique(batch[order], return_index=True)
-            ends = [*first.tolist(), len(batch)]
-            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array([place[order[lo:hi]].astype("<i8").tobytes() for lo, hi in zip(ends, ends[1:], strict=False)], pa.binary())], names=["_sl_batch", "bytes"])
-
-    return places.mapInArrow(run, "_sl_batch long, bytes binary").groupBy("_sl_batch").agg(F.collect_list("bytes").alias("places"))
-
-
 def dedup(docs: DataFrame, length: int = 100, gram: int = 40, text: str = "text", doc_id: str = "doc_id", hot: int = 256, per_bucket: int = 500_000) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans (maximal removed runs), kept_sha256, kept (the bytes left)."""
     if not 8 <= gram <= length:
@@ -451,5 +452,5 @@ def dedup(docs: DataFrame, length: int = 100, gram: int = 40, text: str = "text"
         buckets = written(dealt.repartitionByRange(parts(windows[True]), "bytes", "doc", "_sl_batch", "row", "place").mapInArrow(_sort_dealt(length), _BUCKET))
         discard(dealt)
         places = places.unionByName(_across(buckets))
-    places = written(_packed_places(places))
+    places = written(places.groupBy("_sl_batch").agg(F.collect_list("bytes").alias("places")))
     return known.join(places, "_sl_batch", "left").mapInArrow(_cut(length, gram, bits), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
