@@ -150,40 +150,97 @@ def verdicts(summary: DataFrame, baseline: Column, checks: dict[str, tuple[str,
 
 
 def pareto(rows: DataFrame, key: str, lower: list[str], higher: list[str]) -> DataFrame:
-    """Rows that no other row dominates; null metrics are skipped pair by pair.
-
-    Each partition first drops what its own complete rows dominate (dominance among complete rows is transitive, and
-    what a complete row dominates its dominator dominates, too); only the rest meet."""
-    rows = written(_skylines(rows, lower, higher))
-    o = rows.select(F.col(key).alias("_k"), *[F.col(m).alias(f"_o_{m}") for m in lower + higher])
-    pairs = [(F.col(m), F.col(f"_o_{m}"), m in higher) for m in lower + higher]
-    worse = better = comparable = F.lit(False)
-    for a, b, up in pairs:
-        worse = worse | F.coalesce(b < a if up else b > a, F.lit(False))
-        better = better | F.coalesce(b > a if up else b < a, F.lit(False))
-        comparable = comparable | (a.isNotNull() & b.isNotNull())
-    return rows.join(o, (F.col(key) != F.col("_k")) & comparable & ~worse & better, "left_anti")
-
-
-def _skylines(rows: DataFrame, lower: list[str], higher: list[str]) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        top: pd.DataFrame | None = None
+    """Rows that no other row dominates; null metrics are skipped pair by pair, so rows without a common metric
+    leave each other alone.
+
+    Rows with the same metrics known (one pattern) are compared first. Dominance is transitive there, and what a row
+    dominates in any pattern its dominator dominates, too, so a pattern's skyline decides for all its rows. It is merged
+    in a tree: tasks keep the skyline of their rows, then ever larger groups of what is left. Then each pattern's rows are
+    tested against the other patterns' skylines, reduced to the metrics that both know. Groups hold skylines, not
+    rows: of n rows spread at random about log(n) to the power of the metrics but one."""
+    metrics = [*lower, *higher]
+    columns = rows.columns
+    pattern = sum((F.col(m).isNotNull().cast("int") * (1 << i) for i, m in enumerate(metrics)), F.lit(0))
+    costs = [((-1 if m in higher else 1) * F.col(m).cast("double")).alias(f"_c{i}") for i, m in enumerate(metrics)]
+    own = _merged_skyline(rows.select(*columns, *costs, pattern.alias("_p")), ["_p"], len(metrics))
+    # (pattern to test, what both know, the skyline there)
+    # At most 2 to the number of metrics patterns.
+    kinds = [r["_p"] for r in own.select("_p").distinct().collect()]
+    seen = own.select(F.col("_p").alias("_of"), *[f"_c{i}" for i in range(len(metrics))], F.explode(F.lit(kinds).cast("array<int>")).alias("_q"))
+    met = seen.where((F.col("_q") != F.col("_of")) & (F.col("_q").bitwiseAND(F.col("_of")) != 0))
+    both = F.col("_q").bitwiseAND(F.col("_of"))
+    against = met.select("_q", both.alias("_p"), *[F.when(both.bitwiseAND(1 << i) != 0, F.col(f"_c{i}")).alias(f"_c{i}") for i in range(len(metrics))])
+    against = _merged_skyline(against.distinct(), ["_q", "_p"], len(metrics))
+    tested = own.groupBy("_p").cogroup(against.groupBy("_q")).applyInPandas(_undominated(len(metrics)), own.schema)
+    return tested.select(*columns)
+
+
+#: Rows of a group when a skyline is merged first.
+_MERGED = 50_000
+
+
+def _merged_skyline(rows: DataFrame, kind: list[str], m: int) -> DataFrame:
+    """The rows that no row with equal values of ``kind`` (the last of which is the pattern of known metrics) dominates."""
+    cost = [f"_c{i}" for i in range(m)]
+
+    def keep(pdf: pd.DataFrame) -> pd.DataFrame:
+        known = [c for c in cost if pdf[c].notna().iloc[0]] if len(pdf) else []
+        return pdf[_skyline(pdf[known].to_numpy(dtype=float))] if known else pdf
+
+    def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        top: dict[tuple, pd.DataFrame] = {}
         for pdf in batches:
-            whole = pdf[lower + higher].notna().all(axis=1)
-            yield pdf[~whole]
-            pdf = pdf[whole] if top is None else pd.concat([top, pdf[whole]], ignore_index=True)
-            cost = np.concatenate([pdf[lower].to_numpy(dtype=float), -pdf[higher].to_numpy(dtype=float)], axis=1)
-            keep, kept = [], np.empty((0, cost.shape[1]))
-            # In this order no row dominates an earlier one.
-            for i in np.lexsort(cost.T[::-1]):
-                if not ((kept <= cost[i]).all(axis=1) & (kept < cost[i]).any(axis=1)).any():
-                    keep.append(i)
-                    kept = np.vstack([kept, cost[i]])
-            top = pdf.iloc[sorted(keep)]
-        if top is not None:
-            yield top
-
-    return rows.mapInPandas(run, rows.schema)
+            for at, some in pdf.groupby(kind):
+                top[at] = keep(pd.concat([top[at], some], ignore_index=True) if at in top else some)
+        yield from top.values()
+
+    left = written(rows.mapInPandas(local, rows.schema))
+    groups = max(1, -(-left.count() // _MERGED))
+    while True:
+        # Equal rows dominate nothing among themselves, so any spread over groups will do.
+        left = written(left.groupBy(*kind, F.pmod(F.xxhash64(*cost), F.lit(groups))).applyInPandas(keep, rows.schema))
+        if groups == 1:
+            return left
+        groups = max(1, groups // 8)
+
+
+def _skyline(cost: np.ndarray) -> np.ndarray:
+    """Which rows no row dominates. In lexicographic order no row dominates an earlier one."""
+    out = np.zeros(len(cost), dtype=bool)
+    order = np.lexsort(cost.T[::-1])
+    kept = np.empty((0, cost.shape[1]))
+    for lo in range(0, len(order), 256):
+        at = order[lo : lo + 256]
+        at = at[~_dominated(cost[at], kept)]
+        at = at[~_dominated(cost[at], cost[at])]
+        out[at] = True
+        kept = np.concatenate([kept, np.unique(cost[at], axis=0)])
+    return out
+
+
+def _dominated(rows: np.ndarray, by: np.ndarray) -> np.ndarray:
+    """Which rows some row of ``by`` dominates."""
+    out = np.zeros(len(rows), dtype=bool)
+    for lo in range(0, len(by), 4096):
+        some = by[lo : lo + 4096, None, :]
+        out |= ((some <= rows).all(axis=2) & (some < rows).any(axis=2)).any(axis=0)
+    return out
+
+
+def _undominated(m: int):
+    cost = [f"_c{i}" for i in range(m)]
+
+    def run(own: pd.DataFrame, against: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(len(own), dtype=bool)
+        if len(own):
+            for _, some in against.groupby("_p"):
+                known = [c for c in cost if some[c].notna().iloc[0]]
+                by = np.unique(some[known].to_numpy(dtype=float), axis=0)
+                for lo in range(0, len(own), 1024):
+                    out[lo : lo + 1024] |= _dominated(own[known].iloc[lo : lo + 1024].to_numpy(dtype=float), by)
+        return own[~out]
+
+    return run
 
 
 def latency(rows: DataFrame, by: list[str], elapsed: str, audio: str) -> DataFrame:

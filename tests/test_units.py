@@ -521,3 +521,21 @@ def test_merkle_names_the_first_difference(spark):
     assert aggregate.first_difference(one, tree(90), 3) == 45
     assert aggregate.first_difference(one, tree(10), 3) == 5
     assert aggregate.first_difference(tree(0), tree(0), 3) is None
+
+
+def test_pareto_of_random_rows_with_nulls(spark, monkeypatch):
+    """A third of all metrics are null; skylines are merged in several rounds."""
+    monkeypatch.setattr(evaluation, "_MERGED", 10)
+    rnd = random.Random(9)
+    value = lambda: None if rnd.random() < 0.3 else float(rnd.randrange(12))
+    rows = [(k, value(), value(), value()) for k in range(400)] + [(400, 1.0, 11.0, 0.0), (401, 1.0, 11.0, 0.0)]
+    df = spark.createDataFrame(rows, "k long, a double, up double, c double").withColumn("name", F.lit("x")).repartition(5)
+
+    def beats(b, a):
+        pairs = [(-x if i == 1 else x, -y if i == 1 else y) for i, (x, y) in enumerate(zip(b[1:], a[1:], strict=True)) if x is not None and y is not None]
+        return bool(pairs) and all(x <= y for x, y in pairs) and any(x < y for x, y in pairs)
+
+    want = {a[0] for a in rows if not any(beats(b, a) for b in rows)}
+    found = evaluation.pareto(df, "k", ["a", "c"], ["up"])
+    assert found.columns == df.columns and {r["k"] for r in found.collect()} == want and want
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
