@@ -14,8 +14,8 @@ Sorting the suffix at every byte would move the corpus many times over, so the s
   each round sorts the groups still tied by the next token and drops those that are alone. Equal runs have their
   earliest window found.
 * Where one anchor has more than ``hot`` distinct spans, its suffixes are dealt one by one, by ranges of (their
-  bytes, doc_id, row, place), so that even equal ones spread over buckets; a run that goes on in the next
-  bucket is compared across the boundary, by one row a bucket.
+  bytes, doc_id, row, place) between splitters from a sample, so that even equal ones spread over buckets; a run that
+  goes on in the next bucket is compared across the boundary, by two rows a bucket.
 
 Only the thinning relies on hashes (of over 100 bits); what is sorted is compared byte by byte. Batches are packed
 once; each pass computes the same windows from them again, so that places and texts don't travel with hashes.
@@ -28,16 +28,16 @@ bytes: kept whole. Very long texts: a batch of their own. Columns other than doc
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import written
 from .substring_dedup import _LAST, _M1, _M2, _SENT, _joined, _mix, _pack, _rolled, _rows, _sent
 
 #: What becomes of a distinct (anchor, span) of a batch.
@@ -308,22 +308,44 @@ def _sort(length: int):
     return run
 
 
-_DEALT = "_sl_batch long, doc long, row long, place long, bytes binary"
+_DEALT = "part int, n int, ids binary, text binary"
+#: Windows looked at for each bucket to find where buckets begin.
+_SAMPLED = 64
 
 
-def _deal(length: int):
-    """Each window of a span as a row."""
+def splitters(spans: DataFrame, length: int, parts: int) -> list[tuple]:
+    """Where the buckets of single windows begin: (bytes, doc, batch, row, place) of ``parts`` - 1 windows. One window of
+    some spans is looked at, both chosen by hash: at most ``_SAMPLED`` for each bucket reach the driver."""
+    if parts == 1:
+        return []
+    h = F.xxhash64("_sl_batch", "row", "first")
+    step = F.pmod(F.xxhash64(h), F.col("n")).cast("int")
+    one = spans.select(F.substring(F.col("body"), step + 1, F.lit(length)).alias("bytes"), "doc", "_sl_batch", "row", (F.col("first") + step).alias("place"), h.alias("_sl_h"))
+    found = sorted(tuple(r)[:5] for r in one.orderBy("_sl_h", "_sl_batch", "row", "place").limit(_SAMPLED * parts).collect())
+    found = [(bytes(r[0]), *r[1:]) for r in found]
+    return sorted({found[len(found) * k // parts] for k in range(1, parts)})
+
+
+def _deal(length: int, begins: list[tuple]):
+    """The windows of spans one by one, by bucket: a row holds those of some spans in one bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for lo in range(0, b.num_rows, 1000):
-                some = b.slice(lo, 1000)
+            for lo in range(0, b.num_rows, 2000):
+                some = b.slice(lo, 2000)
                 n, bodies = some.column("n").to_numpy(), some.column("body").to_pylist()
                 step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-                columns = [pa.array(np.repeat(some.column(c).to_numpy(), n)) for c in ("_sl_batch", "doc", "row")]
+                doc, batch, row, first = (np.repeat(some.column(c).to_numpy(), n) for c in ("doc", "_sl_batch", "row", "first"))
+                ids = np.stack([doc, batch, row, first + step], axis=1)
+                texts = [x[i : i + length] for x, k in zip(bodies, n.tolist(), strict=True) for i in range(k)]
+                part = np.fromiter((bisect_right(begins, (x, *i)) for x, i in zip(texts, ids.tolist(), strict=True)), dtype=np.int64, count=len(texts))
+                order = np.argsort(part, kind="stable")
+                value, at = np.unique(part[order], return_index=True)
+                ends = [*at.tolist(), len(part)]
+                own = [order[x:y] for x, y in zip(ends, ends[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays(
-                    [*columns, pa.array(np.repeat(some.column("first").to_numpy(), n) + step), pa.array([x[i : i + length] for x, k in zip(bodies, n.tolist(), strict=True) for i in range(k)], pa.binary())],
-                    names=[c.split()[0] for c in _DEALT.split(", ")],
+                    [pa.array(value.astype(np.int32)), pa.array([len(o) for o in own], pa.int32()), pa.array([ids[o].astype("<i8").tobytes() for o in own], pa.binary()), pa.array([b"".join([texts[i] for i in o.tolist()]) for o in own], pa.binary())],
+                    names=["part", "n", "ids", "text"],
                 )
 
     return run
@@ -335,16 +357,13 @@ _BUCKET = "part int, kind int, _sl_batch long, doc long, row long, place long, b
 
 
 def _sort_dealt(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = _table(batches)
-        if t is None:
-            return
-        part = TaskContext.get().partitionId()
-        batch, doc, row, place = (t[c].to_numpy() for c in ("_sl_batch", "doc", "row", "place"))
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        part, text = int(pdf["part"].iloc[0]), b"".join(pdf["text"])
+        doc, batch, row, place = (x.copy() for x in np.frombuffer(b"".join(pdf["ids"]), dtype="<i8").reshape(-1, 4).T)
         own = _joined_rows(batch, row)
         n = len(doc)
-        pick, equal = equal_runs(b"".join(t["bytes"].to_pylist()), np.arange(n) * length, length)
-        cut = t["bytes"].to_pylist()
+        pick, equal = equal_runs(text, np.arange(n) * length, length)
+        cut = [text[i : i + length] for i in range(0, n * length, length)]
         least, most = min(cut), max(cut)
         pick, _, earlier = _order(pick, equal, doc, own, place)
         rest = np.ones(n, dtype=bool)
@@ -353,13 +372,10 @@ def _sort_dealt(length: int):
         gone, open_ = pick[earlier], [i for i in np.flatnonzero(rest).tolist() if cut[i] == least]
         last = [i for i in range(n) if cut[i] == most]
         low, final = min(int(doc[i]) for i in last), max(last, key=lambda i: (doc[i], batch[i], row[i], place[i]))
-        rows = [(part, 0, b, None, None, None, places, None) for b, places in zip(*map(list, _by_batch(batch[gone], place[gone])), strict=True)]
-        rows += [(part, 1, int(batch[i]), int(doc[i]), int(row[i]), int(place[i]), None, None) for i in open_]
+        rows = [(part, 0, b, 0, 0, 0, places, False) for b, places in zip(*map(list, _by_batch(batch[gone], place[gone])), strict=True)]
+        rows += [(part, 1, int(batch[i]), int(doc[i]), int(row[i]), int(place[i]), None, False) for i in open_]
         rows += [(part, k, int(batch[final]), low, int(row[final]), int(place[final]), x, least == most) for k, x in ((2, least), (3, most))]
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-        for lo in range(0, len(rows), 1 << 16):
-            some = rows[lo : lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in some], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in _BUCKET.split(", ")])
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in _BUCKET.split(", ")])
 
     return run
 
@@ -447,10 +463,9 @@ def dedup(docs: DataFrame, length: int = 100, gram: int = 40, text: str = "text"
     parts = lambda n: max(partitions, -(-n // 500_000))
     places = spans.where("not hot").repartitionByRange(parts(windows.get(False, 0)), "lead").mapInArrow(_sort(length), _GONE)
     if True in windows:
-        # Written, since finding the splitters reads them once more.
-        dealt = written(spans.where("hot").mapInArrow(_deal(length), _DEALT))
-        buckets = written(dealt.repartitionByRange(parts(windows[True]), "bytes", "doc", "_sl_batch", "row", "place").mapInArrow(_sort_dealt(length), _BUCKET))
-        discard(dealt)
+        begins = splitters(spans.where("hot"), length, 4 * parts(windows[True]))
+        dealt = spans.where("hot").mapInArrow(_deal(length, begins), _DEALT)
+        buckets = written(dealt.groupBy("part").applyInPandas(_sort_dealt(length), _BUCKET))
         places = places.unionByName(_across(buckets))
     places = written(places.groupBy("_sl_batch").agg(F.collect_list("bytes").alias("places")))
     return known.join(places, "_sl_batch", "left").mapInArrow(_cut(length, gram, bits), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
