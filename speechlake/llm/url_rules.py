@@ -2,9 +2,10 @@
 
 Fixed rules: the longest rule that fits decides. For urls that no fixed rule fits, FP-growth over
 labelled urls finds combinations of url tokens that go with bad labels. A rule stays if enough
-labelled urls carry it (support), enough of those are bad (confidence: a fixed share, or, with ``z``, so many that
-the lower Wilson bound of the share lies above the share of bad ones among all labelled urls), and no part of its
-combination is as sure already. An inverted index (each rule under its rarest token) finds the rules
+labelled urls carry it (support), enough of those are bad (confidence), chance does not explain it, and no part of its
+combination is as sure already. Chance: the lower Wilson bound of the bad share must lie above the share among all
+labelled urls, at a level of ``alpha`` divided by the number of combinations that were tried, so that with labels that
+don't depend on urls any rule at all is found with a probability of about ``alpha``. An inverted index (each rule under its rarest token) finds the rules
 that a url may satisfy; the whole combination is then compared.
 
 A page's labels are those of the same number: labels name rows by doc_id alone, and pages are numbered alike.
@@ -16,6 +17,8 @@ whole. Other columns of pages play no part, whatever their names.
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -53,11 +56,13 @@ def fixed_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]
 
 
 def tokens(host: Column, path: Column) -> Column:
-    """Host labels with their distance from the end, the words of the host, and those of the path."""
+    """Host labels with their distance from the end, the parts of hyphenated ones, and the words of the path."""
     labels = F.reverse(F.split(host, r"\."))
     hosts = F.transform(labels, lambda x, i: F.concat(F.lit("host"), i.cast("string"), F.lit(":"), x))
     words = F.transform(F.filter(F.split(F.lower(path), r"[/._~+=-]+"), lambda x: x != ""), lambda x: F.concat(F.lit("path:"), x))
-    parts = F.transform(F.filter(F.split(host, r"[.-]"), lambda x: x != ""), lambda x: F.concat(F.lit("word:"), x))
+    # A label without a hyphen is one token only: a second form of it would double all its combinations.
+    hyphened = F.flatten(F.transform(F.filter(F.split(host, r"\."), lambda x: x.contains("-")), lambda x: F.split(x, "-")))
+    parts = F.transform(F.filter(hyphened, lambda x: x != ""), lambda x: F.concat(F.lit("word:"), x))
     return F.when(host == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.concat(hosts, words, parts)))
 
 
@@ -67,12 +72,11 @@ def lower_bound(hits: Column, n: Column, z: float) -> Column:
     return (p + z * z / (2 * n) - z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n)
 
 
-def mine(labelled: DataFrame, min_count: int = 20, min_share: float = 0.0005, min_confidence: float = 0.8, longest: int | None = 4, z: float | None = None) -> DataFrame:
+def mine(labelled: DataFrame, min_count: int = 20, min_share: float = 0.0005, min_confidence: float = 0.8, longest: int = 4, alpha: float = 0.01) -> DataFrame:
     """labelled (tokens array<string>, bad boolean) -> rules (rule_id, items, anchor, confidence, n).
 
     Support: at least ``min_count`` labelled urls and ``min_share`` of them carry the combination and a
-    bad label. Combinations have at most ``longest`` tokens (None: any number). The anchor is the combination's
-    rarest token."""
+    bad label. Combinations have at most ``longest`` tokens. The anchor is the combination's rarest token."""
     spark = labelled.sparkSession
     n, n_bad = labelled.agg(F.count("*"), F.count_if("bad")).first()
     schema = "rule_id long, items array<string>, anchor string, confidence double, n long"
@@ -80,12 +84,14 @@ def mine(labelled: DataFrame, min_count: int = 20, min_share: float = 0.0005, mi
         return spark.createDataFrame([], schema)
     baskets = labelled.select(F.when(F.col("bad"), F.array_append("tokens", F.lit(BAD))).otherwise(F.col("tokens")).alias("items"))
     sets = written(FPGrowth(itemsCol="items", minSupport=min(1.0, max(min_count / n, min_share)), minConfidence=1.0).fit(baskets).freqItemsets)
-    with_bad = sets.where(F.array_contains("items", BAD) & (F.size("items") > 1) & (F.lit(longest is None) | (F.size("items") <= (longest or 0) + 1)))
+    with_bad = sets.where(F.array_contains("items", BAD) & F.size("items").between(2, longest + 1))
     with_bad = with_bad.select(F.array_sort(F.array_remove("items", BAD)).alias("items"), F.col("freq").alias("hits"))
     base = sets.where(~F.array_contains("items", BAD)).select(F.array_sort("items").alias("items"), "freq")
-    rules = with_bad.join(base, "items").withColumn("confidence", F.col("hits") / F.col("freq")).where(F.col("confidence") >= min_confidence)
-    if z is not None:
-        rules = rules.where(lower_bound(F.col("hits"), F.col("freq"), z) > n_bad / n)
+    # Every frequent combination was tried, with or without enough bad labels.
+    tried = base.where(F.size("items") <= longest).count()
+    z = NormalDist().inv_cdf(1 - alpha / max(1, tried))
+    rules = with_bad.join(base, "items").withColumn("confidence", F.col("hits") / F.col("freq"))
+    rules = rules.where((F.col("confidence") >= min_confidence) & (lower_bound(F.col("hits"), F.col("freq"), z) > n_bad / n))
     rules = written(rules.select(F.xxhash64("items").alias("rule_id"), "items", "confidence", F.col("hits").alias("n")))
     # Redundant: one of its parts, one token shorter, is a rule and as sure.
     part = F.transform("items", lambda x: F.xxhash64(F.array_remove("items", x)))
@@ -108,7 +114,10 @@ def matches(urls: DataFrame, rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, labels: DataFrame, url: str = "url", page_id: str = "page_id", rules=RULES, **mining) -> DataFrame:
     """page_id, host, path, rule, verdict, mined_rule for every page. labels: doc_id (a page_id), quality, toxic."""
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"))
-    bad = labels.where("doc_id is not null").groupBy("doc_id").agg(F.bool_or((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad")).where("bad is not null")
+    told = labels.where("doc_id is not null and (quality is not null or toxic is not null)")
+    # A null label says nothing; what is left decides.
+    one = F.coalesce(F.col("quality") == 0, F.lit(False)) | F.coalesce(F.col("toxic") == 1, F.lit(False))
+    bad = told.groupBy("doc_id").agg(F.bool_or(one).alias("bad"))
     h, p = host(F.col("url")), path(F.col("url"))
     labelled = rows.join(bad, F.col("page_id") == F.col("doc_id")).select(tokens(h, p).alias("tokens"), "bad")
     mined = written(mine(written(labelled), **mining))

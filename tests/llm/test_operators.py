@@ -555,37 +555,67 @@ def test_quality_keeps_own_columns(spark):
     assert [tuple(r) for r in quality_rules.good(docs, labels).collect()] == [tuple(docs.first())]
 
 
-def test_mined_rules_above_the_base_rate(spark):
-    """Against a brute force over all combinations with Wilson's bound written out."""
+def test_mined_rules_that_chance_does_not_explain(spark):
+    """Against a brute force over all combinations with Wilson's bound written out, corrected for their number."""
     from itertools import combinations
     from math import sqrt
+    from statistics import NormalDist
 
     from pyspark.sql import functions as F
 
     rnd = random.Random(14)
-    urls = [(i, f"http://{rnd.choice(['shop', 'blog', 'm'])}.{rnd.choice(['aa', 'bb', 'cc'])}.org/{rnd.choice(['x1', 'y', 'z'])}/") for i in range(600)]
-    bad = {i for i, u in urls if rnd.random() < (0.5 if "shop" in u and "x1" in u else 0.2)}
+    urls = [(i, f"http://{rnd.choice(['shop', 'blog', 'm'])}.{rnd.choice(['aa', 'b-c', 'cc'])}.org/{rnd.choice(['x1', 'y', 'z'])}/") for i in range(600)]
+    bad = {i for i, u in urls if rnd.random() < (0.7 if "shop" in u and "x1" in u else 0.2)}
     pages = spark.createDataFrame(urls, "page_id long, url string")
     labels = spark.createDataFrame([(i, int(i not in bad), 0) for i, _ in urls], "doc_id long, quality int, toxic int")
-    got = url_rules.judge(pages, labels, min_confidence=0.0, longest=None, z=2.33)
+    got = url_rules.judge(pages, labels, min_confidence=0.3)
     tokens = {r[0]: frozenset(r[1]) for r in pages.select("page_id", url_rules.tokens(url_rules.host(F.col("url")), url_rules.path(F.col("url")))).collect()}
     n, hit = Counter(), Counter()
     for i, own in tokens.items():
-        for k in range(1, len(own) + 1):
+        for k in range(1, 5):
             for c in combinations(sorted(own), k):
                 n[c] += 1
                 hit[c] += i in bad
-    base, z = len(bad) / len(urls), 2.33
+    base, z = len(bad) / len(urls), NormalDist().inv_cdf(1 - 0.01 / sum(m >= 20 for m in n.values()))
 
     def low(h, m):
         p = h / m
         return (p + z * z / (2 * m) - z * sqrt(p * (1 - p) / m + z * z / (4 * m * m))) / (1 + z * z / m)
 
-    rules = [set(c) for c in n if hit[c] >= 20 and low(hit[c], n[c]) > base]
+    rules = [set(c) for c in n if hit[c] >= 20 and hit[c] / n[c] >= 0.3 and low(hit[c], n[c]) > base]
     want = {i for i, own in tokens.items() if any(c <= own for c in rules)}
     assert want and {r["page_id"] for r in got.where("verdict = 'block'").collect()} == want
 
 
+def test_no_rules_from_labels_that_mean_nothing(spark):
+    """The labels of sf0.1, shuffled 20 times: no confidence floor, and still no rule but by a chance of 1 in 100."""
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.1"
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    bad = spark.read.parquet(f"{sf}/labels.parquet").groupBy("doc_id").agg(F.bool_or((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"))
+    h, p = url_rules.host(F.col("url")), url_rules.path(F.col("url"))
+    rows = pages.join(bad, F.col("page_id") == F.col("doc_id")).select(url_rules.tokens(h, p).alias("tokens"), "bad").collect()
+    found = 0
+    for seed in range(20):
+        flags = [r["bad"] for r in rows]
+        random.Random(seed).shuffle(flags)
+        labelled = spark.createDataFrame([(r["tokens"], f) for r, f in zip(rows, flags, strict=True)], "tokens array<string>, bad boolean").coalesce(2).cache()
+        found += url_rules.mine(labelled, min_confidence=0.0).count() > 0
+        labelled.unpersist()
+    assert found <= 1
+
+
+def test_url_rules_odd_labels_and_long_urls(spark):
+    """Null labels and ids count for nothing, a very long url is judged whole, columns may have any names."""
+    long_url = "http://ads.spam.org/" + "/".join(f"p{i % 50}" for i in range(20000)) + "/end"
+    urls = [(i, f"http://{'ads.spam' if i % 2 else 'fine.good'}.org/x/{i % 7}") for i in range(400)] + [(400, long_url), (401, None)]
+    pages = spark.createDataFrame([(i, u, "k") for i, u in urls], "page_id long, url string, verdict string")
+    labels = spark.createDataFrame([(i, None if i % 3 == 0 else 1 - i % 2, None) for i in range(400)] + [(None, 0, 1)], "doc_id long, quality int, toxic int")
+    got = {r["page_id"]: r["verdict"] for r in url_rules.judge(pages, labels).collect()}
+    assert all(got[i] == ("block" if i % 2 else "allow") for i in range(400)) and got[400] == "block" and got[401] == "allow"
+
+
 def test_line_dedup_long_lines_ties_and_clashing_columns(spark):
     """A very long line, equal lines in one document, and a column with the result's name."""
     long_line = " ".join(f"w{i}" for i in range(30000))

@@ -3,6 +3,7 @@
 import pytest
 from oracle import compare, connect
 
+from speechlake.llm import url_rules
 from speechlake.llm.queries import oracle_sql, queries
 
 SF = "/root/testdata/sf0.001"
@@ -36,9 +37,16 @@ def test_quality_rules_where_cutoffs_decide(spark):
     assert compare("op1_quality_rules", got, connect(sf), oracle_sql()["op1_quality_rules"]) == ""
 
 
-def test_url_rules_decide_some_pages(spark):
-    got = queries()["op6_url_rules"](spark, "/root/testdata/sf0.1")
-    assert got.where("rule is null and verdict = 'block' and mined_rule is not null").count() > 50
+def test_url_rules_on_given_labels(spark):
+    """The given labels don't depend on urls: fixed rules decide, and a planted signal is found."""
+    from pyspark.sql import functions as F
+
+    sf = "/root/testdata/sf0.1"
+    assert queries()["op6_url_rules"](spark, sf).where("rule is null and verdict = 'block'").count() == 0
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    planted = pages.select(F.col("page_id").alias("doc_id"), F.when(F.col("url").contains("/fr/"), 0).otherwise(1).alias("quality"), F.lit(0).alias("toxic"))
+    got = url_rules.judge(pages, planted).where("rule is null")
+    assert got.where("verdict = 'block'").count() > 50 and got.where("verdict = 'block' and not path like '/fr/%'").count() == 0
 
 
 def test_pipeline_against_brute_force(spark):
