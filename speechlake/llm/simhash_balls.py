@@ -12,7 +12,7 @@ smallest one is linked to the others: m - 1 links, which connect as much as all
 
 ``classes`` and ``dedup`` take links as they are. ``near_copies`` is for texts whose word 5-shingles are to be similar
 by 0.8: fingerprints of shingles lie too far apart there, so it takes those of words and word pairs, in which such
-texts are close, by two seeds (a pair that is close by either meets). Colliding pairs whose shingle counts or MinHash
+texts are close, by three seeds (a pair that is close by any of them meets). Colliding pairs whose shingle counts or MinHash
 sketches rule out that similarity end there (a similar pair does with odds of 1 in 10^5); the others are verified on
 the shingles themselves.
 
@@ -24,12 +24,14 @@ long texts: whole, their counts summed in blocks. Other columns stay; those of `
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import components, written
@@ -80,9 +82,11 @@ def _flips(bits: range, most: int) -> list[np.uint64]:
     return [np.uint64(sum(1 << b for b in at)) for k in range(most + 1) for at in combinations(bits, k)]
 
 
-def links(fps: DataFrame, n_fps: int, radius: int = 4, few: int = 1) -> DataFrame:
+def links(fps: DataFrame, n_fps: int, radius: int = 4) -> DataFrame:
     """fps (fp long, distinct) -> (a, b): for every variant that several fingerprints share, its smallest
-    one with each other one; of at most ``few`` fingerprints, all pairs. Equal links from one task come once."""
+    one with each other one. Equal links from one task come once. ``radius`` is even: half of it goes to each side."""
+    if radius % 2:
+        raise ValueError(f"the radius is twice that of a ball, so it is even, not {radius}")
     half = radius // 2
     # About 400 000 variants a prefix, so a task's memory does not grow with the input.
     prefix = int(np.clip(np.ceil(np.log2(max(1, n_fps * 2081 / 400_000))), 4, 24))
@@ -121,14 +125,7 @@ def links(fps: DataFrame, n_fps: int, radius: int = 4, few: int = 1) -> DataFram
             return pd.DataFrame({"a": np.empty(0, dtype=np.int64), "b": np.empty(0, dtype=np.int64)})
         at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         least = np.minimum.reduceat(o, at)[np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1]
-        ends = [np.stack([least, o], axis=1)[least != o]]
-        size = size[group]
-        for step in range(1, few):
-            # Each with the one ``step`` places behind it, in groups of few.
-            a, b = o[:-step], o[step:]
-            near = (group[:-step] == group[step:]) & (size[:-step] <= few)
-            ends.append(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1)[near])
-        pair = np.unique(np.concatenate(ends), axis=0)
+        pair = np.unique(np.stack([least, o], axis=1)[least != o], axis=0)
         pair = pair[np.bitwise_count(pair[:, 0] ^ pair[:, 1]) <= radius]
         return pd.DataFrame({"a": pair[:, 0].view(np.int64), "b": np.ascontiguousarray(pair[:, 1]).view(np.int64)})
 
@@ -155,11 +152,9 @@ def dedup(docs: DataFrame, radius: int = 4, text: str = "text", doc_id: str = "d
     return rows.join(written(stays), "_sl_row", "left_semi").select(*docs.columns)
 
 
-#: Groups of at most so many colliding fingerprints are compared in all pairs, larger ones with their least.
-_FEW = 16
 #: MinHash values of a sketch, and how many of them a similar pair must share (26 are expected at 0.8).
 _SKETCH, _SHARED = 32, 14
-_SEEDS = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03], dtype=np.uint64)
+_SEEDS = np.array([0x9E3779B97F4A7C15, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7], dtype=np.uint64)
 _TURNS = (np.arange(1, 2 * _SKETCH, 2, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
@@ -191,7 +186,7 @@ def near_features(h: np.ndarray, length: int) -> tuple[list[int], int, bytes]:
     return prints, len(s), (least & np.uint64(0xFFFF)).astype("<u2").tobytes()
 
 
-_NEAR = "_sl_row long, doc_id long, _sl_md5 string, fp0 long, fp1 long, n long, sketch binary"
+_NEAR = "_sl_row long, doc_id long, _sl_md5 string, " + "".join(f"fp{i} long, " for i in range(len(_SEEDS))) + "n long, sketch binary"
 
 
 def _near_rows(rows: DataFrame, text: str, doc_id: str, length: int) -> DataFrame:
@@ -252,36 +247,72 @@ def _verified(pairs: DataFrame, texts: DataFrame, length: int, similarity: float
     return pairs.join(y, "b").join(x, "a").select("a", "b", "_sl_x", "_sl_y").mapInArrow(run, "a long, b long")
 
 
+#: MinHash values of a band: a similar pair shares none of the 16 bands with odds of 1 in 10^7 at 0.8.
+_BAND = 2
+
+
 def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius: int = 4, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs with one row of each group of equal or similar texts: the one with the smallest doc_id (of repeated rows,
-    any one). Equal texts are one node; pairs of nodes come from ball hashing and are all verified."""
+    any one). Equal texts are one node; pairs of nodes come from ball hashing and are all verified.
+
+    A block is what one fingerprint collides with. First each node of a block meets the block's least; where a block
+    still has several groups, its nodes meet by sketch bands: in a band the least nodes of some groups meet those of all
+    others, with twice as many in each round, until all have met."""
     rows = written(docs.withColumn("_sl_row", F.monotonically_increasing_id()).withColumn("_sl_md5", F.md5(F.coalesce(text, F.lit("")))))
     found = written(_near_rows(rows, text, doc_id, words))
+    prints = [f"fp{i}" for i in range(len(_SEEDS))]
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_sl_row")).alias("_sl_least")
-    nodes = found.groupBy("_sl_md5").agg(*[F.first(c).alias(c) for c in ("fp0", "fp1", "n", "sketch")], least)
+    nodes = found.groupBy("_sl_md5").agg(*[F.first(c).alias(c) for c in (*prints, "n", "sketch")], least)
     nodes = written(nodes.withColumn("nid", F.monotonically_increasing_id()))
-    pairs = None
-    for fp in ("fp0", "fp1"):
-        met = _met(nodes.where("n > 0").select("nid", F.col(fp).alias("fp")), radius)
-        pairs = met if pairs is None else pairs.unionByName(met)
-    pairs = written(_likely(pairs.distinct(), nodes, similarity))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
-    named = ids.join(nodes.select("nid", F.col("_sl_least._sl_row").alias("_sl_row")), "nid")
-    texts = rows.select("_sl_row", F.encode(F.coalesce(text, F.lit("")), "utf-8").alias("text")).join(named, "_sl_row").select("nid", "text")
-    roots = written(components(written(_verified(pairs, texts, words, similarity))))
+    blocks = written(reduce(DataFrame.unionByName, [_blocks(nodes.where("n > 0").select("nid", F.col(fp).alias("fp")), radius, i) for i, fp in enumerate(prints)]))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """Pairs (a, b) that are similar. Texts are read for those that counts and sketches don't rule out."""
+        likely = written(_likely(pairs, nodes, similarity))
+        ids = likely.select(F.explode(F.array("a", "b")).alias("nid")).distinct()
+        named = ids.join(nodes.select("nid", F.col("_sl_least._sl_row").alias("_sl_row")), "nid")
+        texts = rows.select("_sl_row", F.encode(F.coalesce(text, F.lit("")), "utf-8").alias("text")).join(named, "_sl_row").select("nid", "text")
+        return written(_verified(likely, texts, words, similarity))
+
+    first = blocks.groupBy(F.col("block").alias("_sl_k")).agg(F.min("nid").alias("a"))
+    tried = written(blocks.join(first, F.col("block") == F.col("_sl_k")).where("a <> nid").select("a", F.col("nid").alias("b")).distinct())
+    links = similar(tried)
+    roots, most, banded = written(components(links)), 1, None
+    while True:
+        known = roots.select(F.col("node").alias("_sl_node"), "root")
+        rooted = lambda df, known=known: df.join(known, F.col("nid") == F.col("_sl_node"), "left").withColumn("root", F.coalesce("root", "nid")).drop("_sl_node")
+        if banded is None:
+            several = rooted(blocks).groupBy(F.col("block").alias("_sl_k")).agg(F.min("root").alias("_sl_lo"), F.max("root").alias("_sl_hi")).where("_sl_lo < _sl_hi").select("_sl_k")
+            band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(_SKETCH // _BAND - 1)), lambda k: F.xxhash64("block", k, F.substring(F.col("sketch"), 2 * _BAND * k + 1, F.lit(2 * _BAND)))))
+            banded = blocks.join(several, F.col("block") == F.col("_sl_k"), "left_semi").join(nodes.select("nid", "sketch"), "nid").select("nid", band.alias("band")).distinct()
+            shared = banded.groupBy(F.col("band").alias("_sl_k")).agg(F.count("*").alias("_sl_n")).where("_sl_n > 1").select("_sl_k")
+            banded = written(banded.join(shared, F.col("band") == F.col("_sl_k"), "left_semi"))
+        ends = written(rooted(banded).groupBy("band", "root").agg(F.min("nid").alias("nid")))
+        groups = ends.groupBy("band").agg(F.count("*").alias("_sl_n")).agg(F.max("_sl_n")).first()[0] or 0
+        if groups < 2:
+            break
+        # Only so many rows of a band leave each task.
+        some = F.row_number().over(W.partitionBy("_sl_k").orderBy(F.xxhash64("_sl_to"), "_sl_to"))
+        to = ends.select(F.col("band").alias("_sl_k"), F.col("nid").alias("_sl_to"), F.col("root").alias("_sl_r")).withColumn("_sl_i", some).where(F.col("_sl_i") <= most)
+        pairs = ends.join(to, (F.col("band") == F.col("_sl_k")) & (F.col("root") != F.col("_sl_r"))).select(F.least("nid", "_sl_to").alias("a"), F.greatest("nid", "_sl_to").alias("b")).distinct()
+        pairs = written(pairs.join(tried, ["a", "b"], "left_anti"))
+        new = similar(pairs)
+        tried = tried.unionByName(pairs)
+        if not new.isEmpty():
+            links = links.unionByName(new)
+            roots = written(components(links))
+        elif most >= groups:
+            break
+        most *= 2
     of_root = nodes.join(roots, F.col("nid") == F.col("node"), "left").groupBy(F.coalesce("root", "nid")).agg(F.min("_sl_least").alias("_sl_w"))
     return rows.join(written(of_root.select(F.col("_sl_w._sl_row").alias("_sl_row"))), "_sl_row", "left_semi").select(*docs.columns)
 
 
-def _met(nodes: DataFrame, radius: int) -> DataFrame:
-    """nodes (nid, fp) -> (a, b), a < b: texts of one fingerprint or of two that collide. Of at most ``_FEW`` texts of a
-    fingerprint all take part, else each meets the first, and the first alone those of other fingerprints."""
-    fps = written(nodes.groupBy("fp").agg(F.min("nid").alias("_sl_first"), F.count("*").alias("_sl_n")))
-    every = nodes.join(fps.withColumnRenamed("fp", "_sl_fp"), F.col("fp") == F.col("_sl_fp")).select("nid", "_sl_fp", "_sl_first", "_sl_n")
-    same = every.where("nid <> _sl_first").select(F.col("_sl_first").alias("a"), F.col("nid").alias("b"))
-    of = written(every.where((F.col("_sl_n") <= _FEW) | (F.col("nid") == F.col("_sl_first"))))
-    x, y = of.where("_sl_n > 1").alias("x"), of.where("_sl_n > 1").alias("y")
-    within = x.join(y, (F.col("x._sl_fp") == F.col("y._sl_fp")) & (F.col("x.nid") < F.col("y.nid"))).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"))
-    met = links(fps.select("fp"), fps.count(), radius, few=_FEW).withColumnsRenamed({"a": "_sl_a", "b": "_sl_b"})
-    across = met.join(of.select(F.col("nid").alias("a"), F.col("_sl_fp").alias("_sl_a")), "_sl_a").join(of.select(F.col("nid").alias("b"), F.col("_sl_fp").alias("_sl_b")), "_sl_b")
-    return same.unionByName(within).unionByName(across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+def _blocks(nodes: DataFrame, radius: int, seed: int) -> DataFrame:
+    """nodes (nid, fp) -> (block, nid): two texts whose fingerprints share a variant, or are equal, share a block, that of
+    the variant's least fingerprint."""
+    fps = written(nodes.groupBy("fp").agg(F.count("*").alias("_sl_n")))
+    met = written(links(fps.select("fp"), fps.count(), radius))
+    own = met.select(F.col("a").alias("_sl_c"), F.col("b").alias("_sl_fp")).unionByName(met.select(F.col("a").alias("_sl_c"), F.col("a").alias("_sl_fp")))
+    own = own.unionByName(fps.where("_sl_n > 1").select(F.col("fp").alias("_sl_c"), F.col("fp").alias("_sl_fp"))).distinct()
+    return nodes.join(own, F.col("fp") == F.col("_sl_fp")).select(F.xxhash64(F.lit(seed), "_sl_c").alias("block"), "nid")

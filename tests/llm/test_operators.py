@@ -716,3 +716,25 @@ def test_pack_replaces_clashing_columns(spark):
     got = bestfit_packing.pack(df, 10).toPandas()
     assert len(got) == 50 and sorted(got.columns) == ["cell_bins", "cell_bound", "i", "length", "offset", "round", "sequence_id"]
     assert (got.groupby("sequence_id").length.sum() <= 10).all() and got.offset.max() < 10
+
+
+def test_near_copies_of_one_fingerprint(spark):
+    """Pairs under a long repeated head: fingerprints differ only where the head leaves a tie, and each text has one near
+    copy."""
+    rnd = random.Random(31)
+    head = " ".join([f"h{i}" for i in range(101)] * 60)
+    docs = []
+    for k in range(60):
+        body = [f"b{k}x{rnd.randrange(10**6)}" for _ in range(90)]
+        docs.append((2 * k, head + " " + " ".join(body)))
+        body[rnd.randrange(90)] = "edited"
+        docs.append((2 * k + 1, head + " " + " ".join(body)))
+    prints = [simhash_balls.fingerprint(t.encode(), (1, 2)) for _, t in docs]
+    assert sum((a ^ prints[0]).bit_count() <= 4 for a in prints) > 60
+    kept = simhash_balls.near_copies(spark.createDataFrame(docs, "doc_id long, text string").repartition(4))
+    assert sorted(r["doc_id"] for r in kept.collect()) == [2 * k for k in range(60)]
+
+
+def test_odd_radius_is_refused(spark):
+    with pytest.raises(ValueError, match="even"):
+        simhash_balls.links(spark.createDataFrame([(1,)], "fp long"), 1, radius=3)
