@@ -18,6 +18,17 @@ def leakage_form(x: Column) -> Column:
     return F.regexp_replace(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]", "")
 
 
+def gram_hashes(x: Column, n: int) -> Column:
+    """The distinct character n-grams, as 64-bit hashes of their characters."""
+
+    def grams(chars: Column) -> Column:
+        one = lambda c, i: F.xxhash64(c, *[F.get(chars, i + k) for k in range(1, n)])
+        return F.array_distinct(F.slice(F.transform(chars, one), 1, F.greatest(F.size(chars) - (n - 1), F.lit(0))))
+
+    # A pattern, since splitting would cut characters beyond the basic plane in two. Through a lambda, so that it runs once.
+    return F.transform(F.array(F.regexp_extract_all(F.coalesce(x, F.lit("")), F.lit("(?s)."), F.lit(0))), grams)[0]
+
+
 def error_rate(reference: Column, hypothesis: Column) -> Column:
     """Levenshtein distance by the reference's length; empty reference: 0 if both are empty, else 1."""
     return F.when(F.length(reference) == 0, F.when(F.length(hypothesis) == 0, 0.0).otherwise(1.0)).otherwise(F.levenshtein(reference, hypothesis) / F.length(reference))

@@ -27,16 +27,6 @@ def repetition(length: int = 2, tolerance: int = 10):
     return found
 
 
-def grams(n: int):
-    """Distinct character n-grams."""
-
-    @F.pandas_udf(K.ArrayType(K.StringType()))
-    def of(x: pd.Series) -> pd.Series:
-        return x.map(lambda t: sorted({t[i : i + n] for i in range(len(t) - n + 1)}) if t else [])
-
-    return of
-
-
 @F.pandas_udf(K.StringType())
 def portable_key(x: pd.Series) -> pd.Series:
     """NFKC and case folding: equal for file names that some file systems do not tell apart."""

@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 import random
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -13,8 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import leakage_form
-from ..functions.vectorized import grams
+from ..functions.text import gram_hashes, leakage_form
 from ..tables import written
 from .quantiles import Quantile, interpolated, quantiles
 
@@ -55,57 +53,68 @@ def overlaid(log: DataFrame, keys: list[str], fields: list[str], order: str) ->
     return log.groupBy(*keys).agg(*[F.max_by(f, F.when(F.col(f).isNotNull(), F.col(order))).alias(f) for f in fields])
 
 
+#: Item grams that are broadcast at once, 16 bytes each. One of so many documents gives first bounds.
+_BLOCK, _FIRST = 2_000_000, 64
+
+
 def leakage(items: DataFrame, corpus: DataFrame, n: int = 3, threshold: float = 0.6) -> DataFrame:
     """items (item_id, text) against corpus (doc_id, text): best n-gram Jaccard, exact match, leaked.
 
-    Pairs without a common n-gram count 0; two texts of fewer than n characters each count 1. The corpus is read
-    once: a task holds the items' grams (in blocks of about ``_BLOCK`` grams, one scan for each) and sends, of all
-    its documents, the best value for each item."""
-    a = items.select("item_id", leakage_form(F.col("text")).alias("t")).withColumn("g", grams(n)("t"))
+    Pairs without a common n-gram count 0; two texts of fewer than n characters each count 1. A set-similarity join:
+    a small share of the documents gives each item a best value so far. A document can only be better if sizes allow it
+    and enough of the item's rarer grams are in it; only those (the item's prefix, rarest first among all items) are
+    looked up, and only pairs with as many common ones as it takes are counted in full. So bounds prune, and the
+    maximum is exact. Items go in blocks of about ``_BLOCK`` grams, one scan of the corpus each."""
+    a = written(items.select("item_id", leakage_form(F.col("text")).alias("t")).withColumn("g", gram_hashes(F.col("t"), n)))
     size = a.agg(F.coalesce(F.sum(F.size("g") + 1), F.lit(0))).first()[0]
-    blocks, best = max(1, -(-size // _BLOCK)), None
-    forms = corpus.select(leakage_form(F.col("text")).alias("t"))
+    forms = corpus.select(leakage_form(F.col("text")).alias("t")).where("t is not null").select("t", F.xxhash64("t").alias("_h"))
+    blocks, found = max(1, -(-size // _BLOCK)), None
     for k in range(blocks):
-        own = a.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).select("item_id", "t", "g").collect()
-        one = forms.mapInPandas(_best_matches([(r["item_id"], r["t"], r["g"]) for r in own], n), "item_id long, j double, exact boolean, short boolean")
-        best = one if best is None else best.unionByName(one)
-    found = best.groupBy("item_id").agg(F.max("j").alias("j"), F.bool_or("exact").alias("exact"), F.bool_or("short").alias("short"))
-    out = a.select("item_id", (F.size("g") == 0).alias("empty")).join(found, "item_id", "left")
-    j = F.when(F.col("empty"), F.when(F.col("short"), 1.0).otherwise(0.0)).otherwise(F.coalesce("j", F.lit(0.0)))
-    out = out.select("item_id", F.round(j, 6).alias("max_jaccard"), F.coalesce("exact", F.lit(False)).alias("exact"))
+        one = _best_matches(a.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k), forms, n)
+        found = one if found is None else found.unionByName(one)
+    short = forms.where(F.length("t") < n).limit(1).agg((F.count("*") > 0).alias("_short"))
+    texts = a.select("item_id", F.col("t").alias("_t"), F.xxhash64("t").alias("_h"))
+    # As many rows as items that are documents.
+    exact = forms.join(texts, ["_h"]).where("t = _t").select("item_id").distinct().withColumn("_exact", F.lit(True))
+    out = a.select("item_id", (F.size("g") == 0).alias("_empty")).join(found, "item_id", "left").join(exact, "item_id", "left").join(F.broadcast(short))
+    j = F.when(F.col("_empty"), F.when(F.col("_short"), 1.0).otherwise(0.0)).otherwise(F.coalesce("j", F.lit(0.0)))
+    out = out.select("item_id", F.round(j, 6).alias("max_jaccard"), F.coalesce("_exact", F.lit(False)).alias("exact"))
     return out.withColumn("leaked", F.col("exact") | (F.col("max_jaccard") >= threshold))
 
 
-#: Item grams that a task holds at once.
-_BLOCK = 2_000_000
-
-
-def _best_matches(items: list[tuple[int, str, list[str]]], n: int):
-    """Of a partition's texts, for each item: best Jaccard, an equal text, a text without grams."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        owners: dict[str, list[int]] = {}
-        for i, (_, _, own) in enumerate(items):
-            for g in own:
-                owners.setdefault(g, []).append(i)
-        texts, sizes = {}, np.array([len(g) for _, _, g in items], dtype=float)
-        for i, (_, t, _) in enumerate(items):
-            texts.setdefault(t, []).append(i)
-        best, exact, short = np.zeros(len(items)), np.zeros(len(items), dtype=bool), False
-        for pdf in batches:
-            for t in pdf["t"]:
-                if t is None:
-                    continue
-                own = {t[i : i + n] for i in range(len(t) - n + 1)}
-                short |= not own
-                exact[texts.get(t, [])] = True
-                met = [owners[g] for g in own if g in owners]
-                if met:
-                    k = np.bincount(np.fromiter(chain.from_iterable(met), dtype=np.int64), minlength=len(items))
-                    np.maximum(best, k / np.maximum(sizes + len(own) - k, 1), out=best)
-        yield pd.DataFrame({"item_id": pd.Series([i for i, _, _ in items], dtype="int64"), "j": best, "exact": exact, "short": np.full(len(items), short)})
-
-    return run
+def _best_matches(items: DataFrame, forms: DataFrame, n: int) -> DataFrame:
+    """(item_id, j) for the items that share a gram with some document; j is the greatest Jaccard similarity."""
+    own = written(items.where(F.size("g") > 0).select("item_id", F.size("g").alias("_a"), F.explode("g").alias("g")))
+
+    def shared(documents: DataFrame, postings: DataFrame) -> DataFrame:
+        """(document's hash, item_id, sizes _a and _b, common grams _k) of pairs that postings bring together.
+
+        Documents whose size no item allows end before their grams are looked up."""
+        low, high = postings.agg(F.min(F.col("_best") * F.col("_a")), F.max(F.col("_a") / F.greatest("_best", F.lit(1e-9)))).first()
+        # Exploded from an array of one, so that the grams are made once and not for each use.
+        grams = documents.select("_h", F.explode(F.array(gram_hashes(F.col("t"), n))).alias("_y")).withColumn("_b", F.size("_y"))
+        grams = grams.where((F.col("_b") > (low or 0.0) - 1e-9) & (F.col("_b") < (high or 0.0) + 1e-9)).select("_h", "_b", F.explode("_y").alias("g"))
+        met = grams.join(F.broadcast(postings), "g").where(F.least("_a", "_b") > F.col("_best") * F.greatest("_a", "_b"))
+        # Equal texts add up to more than they share, which only lets a pair pass that is then counted in full.
+        return met.groupBy("_h", "item_id").agg(F.count("*").alias("_k"), *[F.first(c).alias(c) for c in ("_a", "_b", "_best")])
+
+    jaccard = F.col("_k") / (F.col("_a") + F.col("_b") - F.col("_k"))
+    some = forms.where(F.pmod("_h", F.lit(_FIRST)) == 0).dropDuplicates(["_h"])
+    best = written(shared(some, own.withColumn("_best", F.lit(0.0))).groupBy("item_id").agg(F.max(jaccard).alias("j")))
+    # Rarest first among the items; the common grams at the end, half as many as any better document must share, are left out.
+    rank = F.row_number().over(W.partitionBy("item_id").orderBy("_f", "g"))
+    known = own.join(own.groupBy("g").agg(F.count("*").alias("_f")), "g").join(best, "item_id", "left").withColumn("_best", F.coalesce("j", F.lit(0.0)))
+    last = F.floor(F.col("_best") * F.col("_a") / 2).cast("int")
+    prefix = written(known.withColumn("_r", rank).where(F.col("_r") <= F.col("_a") - last).select("item_id", "g", "_a", "_best"))
+    need = F.col("_best") / (1 + F.col("_best")) * (F.col("_a") + F.col("_b"))
+    likely = shared(forms, prefix).where(F.col("_k") + last > need - F.lit(1e-9)).select("_h", "item_id").distinct()
+    likely = written(likely)
+    # Only documents of likely pairs are opened again; their whole sets of grams are compared.
+    sets = items.select("item_id", F.col("g").alias("_x"))
+    pairs = forms.join(likely.select("_h").distinct(), "_h", "left_semi").dropDuplicates(["_h", "t"]).select("_h", F.explode(F.array(gram_hashes(F.col("t"), n))).alias("_y")).join(likely, "_h").join(sets, "item_id")
+    both = F.size(F.array_intersect("_x", "_y"))
+    exact = pairs.select("item_id", (both / (F.size("_x") + F.size("_y") - both)).alias("j"))
+    return best.unionByName(exact).groupBy("item_id").agg(F.max("j").alias("j"))
 
 
 def passed(judged: DataFrame, baseline: Column, texts: int, count: str, hard: str) -> DataFrame:
