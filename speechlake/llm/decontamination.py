@@ -1,11 +1,13 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters, digits and underscores, lower-cased. Every word n-gram of a test item is a
-seed, rare or common: counts do not tell which of them an edited copy has kept. A scan of all documents
-looks for seeds; around each one the stretch of the document where the item would lie is aligned with the
-item (match 2, mismatch -1, gap -1), and a stretch whose score reaches ``min_score`` of a perfect match is
-a hit, as are further ones beside it. Stretches with too few of the item's words for that score are not
-aligned. The scan reads documents where they are; nothing is shuffled.
+Words are runs of letters, digits and underscores, lower-cased. An item's seeds are the rarer half of its word n-grams
+(eight at least, or all it has). How rare an n-gram is depends on its rarest word, and that on the number of documents
+with the word: a count that an edited copy of the item hardly changes, unlike the n-gram's own. A first scan counts the
+items' words, a second one looks for seeds. Where documents and seeds meet, the stretch of the document where the item
+would lie is aligned with the item (match 2, mismatch -1, gap -1). A stretch is a hit if its score reaches ``min_score`` of
+the item's perfect match, or if it has ``passage`` words or more and its score 0.8 of their own perfect match; so are
+further ones beside it. Stretches with too few of the item's words for either, and for the second with fewer than three
+seeds, are not aligned. The scan reads documents where they are; nothing is shuffled but counts.
 
 Test items are broadcast in blocks of at most ``block_bytes`` of text (one block for usual benchmarks);
 each block takes one scan.
@@ -18,6 +20,7 @@ windows of four times an item's length. Columns of docs other than text and doc_
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,10 +60,17 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+#: Seeds that an item has at least, if it has as many n-grams.
+_LEAST = 8
+#: Share of its own perfect match that a passage needs, and seeds in its zone.
+_OWN, _SEEDS = 0.8, 3
+
+
 class Items:
-    """Test items as arrays of word ids; n-grams as hashes (an equal hash of others only costs an alignment)."""
+    """Test items as arrays of word ids; seeds as hashes (an equal hash of others only costs an alignment). counts: documents
+    that have a word; words without a count are rarest."""
 
-    def __init__(self, rows: list[tuple[int, str]], n: int):
+    def __init__(self, rows: list[tuple[int, str]], n: int, counts: dict[str, int] | None = None):
         self.n, words = n, [(i, words_of(t)) for i, t in rows]
         self.id: dict[str, int] = {}
         for _, ws in words:
@@ -68,10 +78,22 @@ class Items:
                 self.id.setdefault(w, len(self.id) + 1)
         kept = [(i, np.array([self.id[w] for w in ws], dtype=np.int64)) for i, ws in words if len(ws) >= n]
         self.name, self.item = [i for i, _ in kept], [a for _, a in kept]
-        grams = [self.grams(a) for a in self.item]
+        known = np.zeros(len(self.id) + 1, dtype=np.int64)
+        for w, c in (counts or {}).items():
+            known[self.id.get(w, 0)] = c
+        places = [self.rare(known[a]) for a in self.item]
+        grams = [self.grams(a)[p] for a, p in zip(self.item, places, strict=True)]
         self.gram = np.concatenate(grams) if grams else np.empty(0, dtype=np.uint64)
         self.owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams]) if grams else np.empty(0, dtype=np.int64)
-        self.place = np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, dtype=np.int64)
+        self.place = np.concatenate(places) if grams else np.empty(0, dtype=np.int64)
+
+    def rare(self, count: np.ndarray) -> np.ndarray:
+        """Places of an item's seeds: the n-grams whose rarest words are in the fewest documents; ties: first by the next
+        rarest words, then all over the item by a fixed shuffle."""
+        m = len(count) - self.n + 1
+        each = np.sort(np.stack([count[k : k + m] for k in range(self.n)], axis=1), axis=1)
+        order = np.lexsort((np.random.default_rng(m).permutation(m), *each.T[::-1]))
+        return np.sort(order[: max(_LEAST, -(-m // 2))])
 
     @np.errstate(over="ignore")
     def grams(self, ids: np.ndarray) -> np.ndarray:
@@ -110,8 +132,8 @@ class Items:
 
 
 class Finder:
-    def __init__(self, items: Items, min_score: float):
-        self.items, self.min_score = items, min_score
+    def __init__(self, items: Items, min_score: float, passage: int):
+        self.items, self.min_score, self.passage = items, min_score, passage
         order = np.argsort(items.gram, kind="stable")
         self.gram, self.owner, self.place = items.gram[order], items.owner[order], items.place[order]
         self.among, self.first = np.unique(self.gram, return_index=True)
@@ -138,27 +160,31 @@ class Finder:
             for lo, hi in sorted(spans):
                 if merged and lo <= merged[-1][1]:
                     merged[-1][1] = max(merged[-1][1], hi)
+                    merged[-1][2] += 1
                 else:
-                    merged.append([lo, hi])
-            for lo, hi in merged:
-                for score, a, b in self.stretches(item, ids, max(lo, lo_doc), min(hi, hi_doc)):
+                    merged.append([lo, hi, 1])
+            for lo, hi, seeds in merged:
+                for score, a, b in self.stretches(item, ids, max(lo, lo_doc), min(hi, hi_doc), seeds >= _SEEDS):
                     out.append((d, self.items.name[owner], score / (2 * len(item)), a - lo_doc, b - lo_doc))
         return out
 
-    def stretches(self, item: np.ndarray, ids: np.ndarray, lo: int, hi: int) -> list[tuple[int, int, int]]:
-        """(score, from, to) of the best stretch of ids[lo:hi] and of those left and right of it.
+    def stretches(self, item: np.ndarray, ids: np.ndarray, lo: int, hi: int, passages: bool) -> list[tuple[int, int, int]]:
+        """(score, from, to) of the best stretch of ids[lo:hi] and of those left and right of it; of parts of the item only
+        with ``passages``.
 
         Zones of many copies go window by window; each stretch lies whole in one of them."""
         most = len(item) + max(4, len(item) // 3)
         step = 3 * most
+        whole, part = self.min_score * 2 * len(item), _OWN * 2 * self.passage
+        # A score of s takes s / 2 equal words.
+        least = (min(whole, part) if passages else whole) / 2
         out, parts = [], [(at, min(at + step + most, hi)) for at in range(lo, max(lo + 1, hi - most), step)]
         while parts:
             lo, hi = parts.pop()
-            # A score of s takes s / 2 equal words.
-            if hi - lo < self.min_score * len(item) or np.isin(item, ids[lo:hi]).sum() < self.min_score * len(item):
+            if hi - lo < least or np.isin(item, ids[lo:hi]).sum() < least:
                 continue
             score, a, b = align(item, ids[lo:hi])
-            if score >= self.min_score * 2 * len(item):
+            if score >= whole or passages and b - a >= self.passage and score >= _OWN * 2 * (b - a):
                 out.append((score, lo + a, lo + b))
                 parts += [(lo, lo + a), (lo + b, hi)]
         apart: list[tuple[int, int, int]] = []
@@ -185,15 +211,39 @@ def _blocks(benchmark: DataFrame, item_id: str, text: str, block_bytes: int) ->
     yield block
 
 
+def _counted(docs: DataFrame, text: str, words: set[str]) -> dict[str, int]:
+    """Of these words (those of one block of items), the number of documents with each; counted in the tasks first."""
+    wanted = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count: Counter = Counter()
+        for b in batches:
+            texts = b.column("text")
+            for lo, hi in slices(b.column("_sl_size").to_pylist()):
+                for t in texts.slice(lo, hi - lo).to_pylist():
+                    count.update(wanted.value.intersection(words_of(t)))
+        yield pa.RecordBatch.from_arrays([pa.array(list(count), pa.string()), pa.array(list(count.values()), pa.int64())], names=["word", "n"])
+
+    # No more rows than words in a block.
+    found = _sized(docs, text).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    return {r["word"]: r["n"] for r in found}
+
+
+def _finders(docs: DataFrame, benchmark: DataFrame, n: int, min_score: float, passage: int, text: str, item_id: str, item_text: str, block_bytes: int):
+    """A broadcast finder for each block of items."""
+    for rows in _blocks(benchmark, item_id, item_text, block_bytes):
+        counts = _counted(docs, text, set().union(*[words_of(t) for _, t in rows])) if rows else {}
+        yield docs.sparkSession.sparkContext.broadcast(Finder(Items(rows, n, counts), min_score, passage))
+
+
 def _sized(docs: DataFrame, text: str, *columns: str) -> DataFrame:
     return docs.select(*columns, F.col(text).alias("text"), F.coalesce(F.octet_length(text), F.lit(0)).alias("_sl_size"))
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, n: int = 3, min_score: float = 0.6, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def hits(docs: DataFrame, benchmark: DataFrame, n: int = 3, min_score: float = 0.6, passage: int = 13, text: str = "text", doc_id: str = "doc_id", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """doc_id, item_id, score (1: word for word), start_word, end_word of every stretch that copies an item."""
-    spark, out = docs.sparkSession, None
-    for rows in _blocks(benchmark, item_id, item_text, block_bytes):
-        finder = spark.sparkContext.broadcast(Finder(Items(rows, n), min_score))
+    out = None
+    for finder in _finders(docs, benchmark, n, min_score, passage, text, item_id, item_text, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], finder=finder) -> Iterator[pa.RecordBatch]:
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
@@ -209,11 +259,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, n: int = 3, min_score: float = 0
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, n: int = 3, min_score: float = 0.6, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
+def clean(docs: DataFrame, benchmark: DataFrame, n: int = 3, min_score: float = 0.6, passage: int = 13, text: str = "text", item_id: str = "item_id", item_text: str = "text", block_bytes: int = 8 << 20) -> DataFrame:
     """docs without the rows that have a hit; all columns stay. The scan drops them as it reads."""
-    spark, out = docs.sparkSession, docs
-    for rows in _blocks(benchmark, item_id, item_text, block_bytes):
-        finder = spark.sparkContext.broadcast(Finder(Items(rows, n), min_score))
+    out = docs
+    for finder in _finders(docs, benchmark, n, min_score, passage, text, item_id, item_text, block_bytes):
 
         def run(batches: Iterator[pa.RecordBatch], finder=finder) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -738,3 +738,20 @@ def test_near_copies_of_one_fingerprint(spark):
 def test_odd_radius_is_refused(spark):
     with pytest.raises(ValueError, match="even"):
         simhash_balls.links(spark.createDataFrame([(1,)], "fp long"), 1, radius=3)
+
+
+def test_decontamination_passages_and_rare_seeds(spark):
+    """A verbatim part of 13 words or more is a hit by its own length; seeds avoid an item's commonest words."""
+    rnd = random.Random(41)
+    item = [f"q{i}" for i in range(70)]
+    other = lambda k: [f"z{rnd.randrange(3000)}" for _ in range(k)]
+    docs = [(k, " ".join(other(50) + item[20 : 20 + k] + other(50))) for k in (8, 12, 14, 25, 40)]
+    docs += [(100, " ".join(other(30) + [w if i % 9 else "edit" for i, w in enumerate(item[5:35])] + other(30)))]
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    got = {r["doc_id"]: (r["start_word"], r["end_word"]) for r in decontamination.hits(spark.createDataFrame(docs, "doc_id long, text string"), bench).collect()}
+    assert {k: v for k, v in got.items() if k < 100} == {k: (50, 50 + k) for k in (14, 25, 40)} and 100 in got
+    text = "of the one and of the rare1 and the of one the rare2 of the and of one and the of one the rare3 rare4 rare5 rare6 rare7"
+    items = decontamination.Items([(1, text)], 3, {"of": 9000, "the": 9500, "one": 8000, "and": 9000})
+    words_ = text.split()
+    chosen = [words_[p : p + 3] for p in items.place.tolist()]
+    assert len(chosen) == -(-(len(words_) - 2) // 2) and all(any(w.startswith("rare") for w in g) for g in chosen)
