@@ -1,9 +1,10 @@
 """Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Words are runs of letters, digits and underscores, lower-cased. An item's seeds are the rarer half of its word n-grams
-(eight at least, or all it has). How rare an n-gram is depends on its rarest word, and that on the number of documents
-with the word: a count that an edited copy of the item hardly changes, unlike the n-gram's own. A first scan counts the
-items' words, a second one looks for seeds. Where documents and seeds meet, the stretch of the document where the item
+Words are runs of letters, digits and underscores, lower-cased. Of every four word n-grams in a row the rarer two are an
+item's seeds (all, if it has eight or fewer). How rare an n-gram is depends on its rarest word, and that on the number of
+documents with the word: a count that an edited copy of the item hardly changes, unlike the n-gram's own. Four in a row
+are compared, not the whole item: where only a part of it is copied, that part's words are the less rare ones, and it
+must have seeds all the same. A first scan counts the items' words, a second one looks for seeds. Where documents and seeds meet, the stretch of the document where the item
 would lie is aligned with the item (match 2, mismatch -1, gap -1). A stretch is a hit if its score reaches ``min_score`` of
 the item's perfect match, or if it has ``passage`` words or more and its score 0.8 of their own perfect match; so are
 further ones beside it. Stretches with too few of the item's words for either, and for the second with fewer than three
@@ -60,8 +61,8 @@ def align(item: np.ndarray, part: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-#: Seeds that an item has at least, if it has as many n-grams.
-_LEAST = 8
+#: An item with so many n-grams has all as seeds; else the rarer half of each run of so many.
+_LEAST, _RUN = 8, 4
 #: Share of its own perfect match that a passage needs, and seeds in its zone.
 _OWN, _SEEDS = 0.8, 3
 
@@ -88,12 +89,14 @@ class Items:
         self.place = np.concatenate(places) if grams else np.empty(0, dtype=np.int64)
 
     def rare(self, count: np.ndarray) -> np.ndarray:
-        """Places of an item's seeds: the n-grams whose rarest words are in the fewest documents; ties: first by the next
-        rarest words, then all over the item by a fixed shuffle."""
+        """Places of an item's seeds: in each run of n-grams those whose rarest words are in the fewest documents; ties: by
+        the next rarest words, then the first."""
         m = len(count) - self.n + 1
+        if m <= _LEAST:
+            return np.arange(m)
         each = np.sort(np.stack([count[k : k + m] for k in range(self.n)], axis=1), axis=1)
-        order = np.lexsort((np.random.default_rng(m).permutation(m), *each.T[::-1]))
-        return np.sort(order[: max(_LEAST, -(-m // 2))])
+        order = np.lexsort((*each.T[::-1], np.arange(m) // _RUN))
+        return np.sort(order[np.arange(m) % _RUN < _RUN // 2])
 
     @np.errstate(over="ignore")
     def grams(self, ids: np.ndarray) -> np.ndarray:
