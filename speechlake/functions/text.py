@@ -13,9 +13,24 @@ CN_ENDINGS = "。.!？！?"
 JA_ENDINGS = "。.!？！?…」』"
 
 
+#: Characters whose case folding is not their lower case: to one character, and to several.
+_FOLDS = {c: c.casefold() for c in map(chr, range(0x80, 0x1FFFF)) if not 0xD800 <= ord(c) < 0xE000 and c == c.lower() and c != c.casefold()}
+_ONE = {c: f for c, f in _FOLDS.items() if len(f) == 1}
+_MORE = {c: f for c, f in _FOLDS.items() if len(f) > 1 and c != "ß"}
+
+
+def folded(x: Column) -> Column:
+    """Full case folding: lower case, and what folding maps beyond it (ß to ss, long s, final sigma, ligatures)."""
+    low = F.replace(F.translate(F.lower(x), "".join(_ONE), "".join(_ONE.values())), F.lit("ß"), F.lit("ss"))
+    spread = F.create_map(*[F.lit(t) for pair in _MORE.items() for t in pair])
+    # Rare characters: only texts that have some are taken apart.
+    apart = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(spread, c), c)), "")
+    return F.transform(F.array(low), lambda t: F.when(t.rlike(f"[{''.join(_MORE)}]"), apart(t)).otherwise(t))[0]
+
+
 def leakage_form(x: Column) -> Column:
-    """Case-folded letters and digits only; ß folds to ss."""
-    return F.regexp_replace(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), r"[^\p{L}\p{N}]", "")
+    """Case-folded letters and digits only."""
+    return F.regexp_replace(folded(x), r"[^\p{L}\p{N}]", "")
 
 
 def gram_hashes(x: Column, n: int) -> Column:

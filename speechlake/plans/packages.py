@@ -55,6 +55,29 @@ def s07_json_log(spark, sf_dir):
     return readers.json_log(spark, path, "user_id long, event_id long, event_type string, value double")
 
 
+@query("""SELECT line, user_id, event_id, event_type, reason FROM (SELECT row_number() OVER (PARTITION BY event_id % 8 ORDER BY event_id) AS line, event_id % 97 = 0 AS bad,
+  CASE WHEN NOT bad THEN user_id END AS user_id, CASE WHEN NOT bad THEN event_id END AS event_id, CASE WHEN NOT bad THEN event_type END AS event_type, CASE WHEN bad THEN 'malformed' END AS reason FROM events)""")
+def s07_bad_lines(spark, sf_dir):
+    """Eight logs in the order of their events; every 97th event's line was cut off as it was written."""
+    path = scratch(spark)
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type")
+    line = F.to_json(F.struct("user_id", "event_id", "event_type"))
+    lines = e.select(F.when(F.col("event_id") % 97 == 0, F.substring(line, 1, 20)).otherwise(line).alias("value"), (F.col("event_id") % 8).alias("p"), "event_id")
+    lines.repartition("p").sortWithinPartitions("p", "event_id").select("value", "p").write.partitionBy("p").text(path)
+    log = readers.checked_log(spark, f"{path}/*", "user_id long, event_id long, event_type string")
+    whole = [F.when(F.col("reason").isNull(), F.col(c)).alias(c) for c in ("user_id", "event_id", "event_type")]
+    return log.select(F.col("line").cast("long").alias("line"), *whole, "reason")
+
+
+@query(f"""SELECT doc_id || '-1-0' AS ref_utt, 1.5::DOUBLE AS ref_dur, t AS ref_txt, doc_id || '-2-0' AS gen_utt, (doc_id % 10)::DOUBLE AS gen_dur, '= ' || t AS gen_txt,
+  '/base/' || doc_id || '/1/' || doc_id || '-1-0.flac' AS ref_wav, '/base/' || doc_id || '/2/' || doc_id || '-2-0.flac' AS gen_wav FROM {_PLAIN} WHERE t <> ''""")
+def s06_tabbed_list(spark, sf_dir):
+    path, d = scratch(spark), F.col("doc_id").cast("string")
+    fields = [F.concat(d, F.lit("-1-0")), F.lit("1.5"), F.col("t"), F.concat(d, F.lit("-2-0")), (F.col("doc_id") % 10).cast("string"), F.concat(F.lit("= "), "t")]
+    _plain(spark, sf_dir).where("t <> ''").select(F.concat_ws("\t", *fields)).write.text(path)
+    return readers.tabbed_eval_list(spark, path, "/base")
+
+
 @query(f"SELECT doc_id::VARCHAR AS utt, t AS prompt_text, '/base/p' || doc_id || '.wav' AS prompt_wav, '= ' || t AS gt_text, '/base/wavs/' || doc_id || '.wav' AS gt_wav FROM {_PLAIN} WHERE t <> ''")
 def s06_eval_list(spark, sf_dir):
     path = scratch(spark)

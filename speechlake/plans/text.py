@@ -202,9 +202,10 @@ def t19_exact_keys(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.size(missing).cast("long").alias("missing"), F.size(extra).cast("long").alias("extra"))
 
 
-@query("SELECT doc_id, sha256(text) AS text_sha256 FROM documents")
+@query("SELECT doc_id, sha256(text) AS text_sha256, sha256(translate(text, '、。！？!?，,．.…「」『』（）()　 ・ー', '')) AS kana_sha256 FROM documents")
 def t20_text_hashes(spark, sf_dir):
-    return docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+    """The text's own hash, and that of its form without what a reading leaves out."""
+    return docs(spark, sf_dir).select("doc_id", F.sha2("text", 256).alias("text_sha256"), F.sha2(T.kana_form(F.col("text")), 256).alias("kana_sha256"))
 
 
 _A = "{x}"

@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..functions.vectorized import portable_key
 from ..tables import written
 
 
@@ -88,9 +89,28 @@ def json_log(spark: SparkSession, path: str, schema: str | StructType) -> DataFr
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def checked_log(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """file, line, the columns, reason: an append-only JSON log with its bad lines as rows. reason is malformed where a line is
+    no JSON object of these types; empty lines are left out. Lines are numbered from 1, by many tasks for a large file."""
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    read = F.from_json("value", f"{schema}, _sl_bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_sl_bad"})
+    rows = lines.select("file", "line", F.explode(F.array(read)).alias("_sl_r"))
+    names = [f.name for f in spark.createDataFrame([], schema).schema]
+    return rows.select("file", "line", *[f"_sl_r.{c}" for c in names], F.when(F.col("_sl_r").isNull() | F.col("_sl_r._sl_bad").isNotNull(), "malformed").alias("reason"))
+
+
+def checked(log: DataFrame) -> DataFrame:
+    """The columns of a log as from ``checked_log``; if it has a bad line, an error that names the first one."""
+    bad = log.where("reason is not null").orderBy("file", "line").select("file", "line", "reason").first()
+    if bad:
+        raise ValueError(f"{bad['file']}, line {bad['line']}: {bad['reason']}")
+    return log.drop("file", "line", "reason")
+
+
 def catalog(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Rows of the Markdown tables of a file, with the heading above; reason malformed where cells are missing,
-    duplicate_key where the first column has come before (in any case) in a line above or another file."""
+    duplicate_key where the first column has come before in a line above or another file, compared as file systems do
+    that fold compatibility forms (NFKC) and case."""
     lines = numbered_lines(spark, path)
     heading = F.when(F.col("value").rlike(r"^#+ "), F.regexp_extract("value", r"^#+ (.*)$", 1))
     w = W.partitionBy("file").orderBy("line").rowsBetween(W.unboundedPreceding, 0)
@@ -98,7 +118,8 @@ def catalog(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     cells = F.transform(F.split(F.regexp_replace(F.trim("value"), r"^\||\|$", ""), r"(?<!\\)\|"), lambda c: F.replace(F.trim(c), F.lit("\\|"), F.lit("|")))
     out = rows.select("file", "section", "line", cells.alias("_c")).where(F.get("_c", F.lit(0)) != columns[0])
     named = out.select("file", "section", "line", *[F.get("_c", F.lit(i)).alias(n) for i, n in enumerate(columns)], (F.size("_c") != len(columns)).alias("_bad"))
-    key = F.lower(F.trim(columns[0]))
+    named = named.withColumn("_k1", portable_key(F.trim(columns[0])))
+    key = F.col("_k1")
     first = named.where("not _bad").groupBy(key.alias("_k")).agg(F.min(F.struct("file", "line")).alias("_first"))
     again = named.join(first, key == F.col("_k"), "left").withColumn("reason", F.when(F.col("_bad"), "malformed").when(F.struct("file", "line") != F.col("_first"), "duplicate_key"))
     return again.select("section", "line", *columns, "reason")

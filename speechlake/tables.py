@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -21,9 +22,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A fresh path in the folder that all executors share (``spark.checkpoint.dir``).
 
-    Only where that setting is missing (tests on one machine) a temporary folder is made."""
+    Only where that setting is missing and all tasks run in this process, as in tests, a temporary folder is made."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if not _OWN_SCRATCH:
             _OWN_SCRATCH.append("file://" + tempfile.mkdtemp(prefix="speechlake-"))
         base = _OWN_SCRATCH[0]

@@ -539,3 +539,25 @@ def test_pareto_of_random_rows_with_nulls(spark, monkeypatch):
     found = evaluation.pareto(df, "k", ["a", "c"], ["up"])
     assert found.columns == df.columns and {r["k"] for r in found.collect()} == want and want
     assert "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
+def test_case_folding_is_full(spark):
+    texts = ["ſtraße", "ΣΊΣΥΦΟΣ ς", "ﬁne ﬂow ﬀ", "ŉ ǰ ΐ", "İstanbul", "plain Ä", "ẞ", ""]
+    got = [r["x"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(T.folded(F.col("t")).alias("x")).collect()]
+    assert got == [t.casefold() for t in texts]
+
+
+def test_bad_log_lines_by_number(spark, tmp_path):
+    (tmp_path / "log.jsonl").write_text('{"a": 1, "b": "x"}\n\n{"a": 2\nnothing\n{"a": "no number"}\n{"b": null, "c": 5}\n')
+    log = readers.checked_log(spark, str(tmp_path / "log.jsonl"), "a long, b string")
+    assert [(r["line"], r["a"], r["b"], r["reason"]) for r in log.orderBy("line").collect()][::4] == [(1, 1, "x", None), (6, None, None, None)]
+    assert [r["line"] for r in log.where("reason = 'malformed'").orderBy("line").collect()] == [3, 4, 5]
+    with pytest.raises(ValueError, match="line 3"):
+        readers.checked(log)
+    assert readers.checked(log.where("reason is null")).columns == ["a", "b"]
+
+
+def test_catalog_keys_fold_forms_and_case(spark, tmp_path):
+    (tmp_path / "c.md").write_text("# s\n| id | name |\n|---|---|\n| ＡＢ | x |\n| ab | y |\n| ß | z |\n| SS | z |\n| c | z |\n", encoding="utf-8")
+    rows = readers.catalog(spark, str(tmp_path / "c.md"), ["id", "name"]).orderBy("line").collect()
+    assert [(r["id"], r["reason"]) for r in rows] == [("ＡＢ", None), ("ab", "duplicate_key"), ("ß", None), ("SS", "duplicate_key"), ("c", None)]
