@@ -152,8 +152,13 @@ def u06_model_slot(spark, sf_dir):
     return U.with_model(rows, f"l_orderkey {kinds['l_orderkey']}, l_linenumber {kinds['l_linenumber']}, score double", make)
 
 
-@query()
+@query(r"""WITH s AS (SELECT conv_id, turn, list_filter(string_split(regexp_replace(regexp_replace(text, '([;:,.!?])\s+', '\1' || chr(1), 'g'), '([；：，。！？])', '\1' || chr(1), 'g'), chr(1)), lambda x: x <> '') AS s FROM conversations),
+  p AS (SELECT conv_id, turn, list_reduce(list_prepend([''], list_transform(s, lambda x: [x || CASE WHEN strlen(right(x, 1)) = 1 THEN ' ' ELSE '' END, x])),
+    lambda a, x: CASE WHEN a[-1] <> '' AND strlen(a[-1]) + strlen(x[2]) > 60 THEN list_append(a, x[1]) ELSE list_append(a[:-2], a[-1] || x[1]) END) AS p FROM s),
+  c AS (SELECT conv_id, turn, unnest(range(0, len(p))) AS chunk, unnest(p) AS text FROM p)
+  SELECT conv_id, turn, chunk::INT AS chunk, regexp_replace(text, '^\s+|\s+$', '', 'g') AS text FROM c WHERE text <> ''""")
 def u05_sentence_chunks_udtf(spark, sf_dir):
+    """Sentences packed from the left; the SQL packs them by a fold over the list."""
     U.register(spark)
     table(spark, sf_dir, "conversations").createOrReplaceTempView("_sl_conversations")
     return spark.sql("SELECT c.conv_id, c.turn, s.chunk, s.text FROM _sl_conversations c, LATERAL sentence_chunks(c.text, 60) s")
