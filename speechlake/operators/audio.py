@@ -110,13 +110,37 @@ def crossfade(parts: list[np.ndarray], rate: int, seconds: float = 0.15) -> np.n
     return out
 
 
-def dtw(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Cheapest monotone path over cosine distances of two feature sequences (frames x dims)."""
-    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
-    cost = 1 - unit(a) @ unit(b).T
+#: A table of at most so many cells is held as a whole.
+_CELLS = 4096
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
+
+
+def _last_row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cost of the cheapest path from the first cell to each cell of the last row, over unit vectors.
+
+    The cells of an anti-diagonal i + j = d depend on the two before it only, so three of them are held."""
+    n, m = len(a), len(b)
+    out, before, last = np.empty(m), np.full(n + 1, np.inf), np.full(n + 1, np.inf)
+    for d in range(n + m - 1):
+        lo, hi = max(0, d - m + 1), min(d, n - 1) + 1
+        i = np.arange(lo, hi)
+        cost = 1 - np.einsum("ij,ij->i", a[i], b[d - i])
+        now = np.full(n + 1, np.inf)
+        # Places are shifted by one: before[i] is the cell above and left of (i, d - i).
+        now[i + 1] = cost + (np.minimum(before[i], np.minimum(last[i], last[i + 1])) if d else 0.0)
+        if hi == n:
+            out[d - n + 1] = now[n]
+        before, last = last, now
+    return out
+
+
+def _whole_path(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    cost = 1 - a @ b.T
     total = np.full((len(a) + 1, len(b) + 1), np.inf)
     total[0, 0] = 0
-    # The cells of an anti-diagonal i + j = d depend on earlier ones only, so each diagonal is one step.
     for d in range(len(a) + len(b) - 1):
         i = np.arange(max(0, d - len(b) + 1), min(d, len(a) - 1) + 1)
         j = d - i
@@ -128,6 +152,31 @@ def dtw(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return path[::-1]
 
 
+def dtw(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
+    """Cheapest monotone path over cosine distances of two feature sequences (frames x dims).
+
+    Memory is linear: the middle row's cell on the path is where the costs from the first cell and to the last one add up
+    to the least; the path is that of the two parts, and so on, until a part's table is small."""
+    a, b, path = _unit(a), _unit(b), []
+    parts = [(0, len(a), 0, len(b))] if len(a) and len(b) else []
+    while parts:
+        lo, hi, left, right = parts.pop()
+        if (hi - lo) * (right - left) <= _CELLS or hi - lo < 3:
+            path += [(lo + i, left + j) for i, j in _whole_path(a[lo:hi], b[left:right])]
+            continue
+        mid = (lo + hi) // 2
+        there, back = _last_row(a[lo : mid + 1], b[left:right]), _last_row(a[mid:hi][::-1], b[left:right][::-1])[::-1]
+        at = left + int((there + back - (1 - b[left:right] @ a[mid])).argmin())
+        # Both parts hold the cell; it counts once.
+        parts += [(mid, hi, at, right), (lo, mid + 1, left, at + 1)]
+    return [p for k, p in enumerate(path) if not k or p != path[k - 1]]
+
+
+def path_cost(a: np.ndarray, b: np.ndarray, path: list[tuple[int, int]]) -> float:
+    i, j = np.array(path).T
+    return float((1 - np.einsum("ij,ij->i", _unit(a)[i], _unit(b)[j])).sum())
+
+
 def aligned(a: np.ndarray, b: np.ndarray, alpha: float) -> tuple[np.ndarray, np.ndarray]:
     """Both sequences on a common time line along the path; alpha is the weight of a's timing. With a sequence of fewer
     than two frames there is nothing to align: both are stretched evenly."""

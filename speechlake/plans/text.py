@@ -338,6 +338,30 @@ def g06_crossfade(spark, sf_dir):
     return audio.per_clip(clips(spark, sf_dir).where(F.size("samples") >= 16), "clip_id long, n_out long", join)
 
 
+_FRAME_DOT = "(" + " + ".join(f"{{x}}[4 * ({{i}}) + {d}]::DOUBLE * {{y}}[4 * ({{j}}) + {d}]::DOUBLE" for d in range(1, 5)) + ")"
+_COST = f"1 - {_FRAME_DOT.format(x='a', y='b', i='k // 16', j='k % 16')} / (sqrt({_FRAME_DOT.format(x='a', y='a', i='k // 16', j='k // 16')}) * sqrt({_FRAME_DOT.format(x='b', y='b', i='k % 16', j='k % 16')}))"
+
+
+@query(f"""WITH c AS (SELECT vec_id, list_transform(range(0, 256), lambda k: {_COST}) AS c FROM {_PAIR})
+  SELECT vec_id, round(list_reduce(list_prepend(list_prepend(0.0::DOUBLE, list_transform(range(0, 16), lambda i: 1e9::DOUBLE)), list_transform(range(0, 16), lambda i: [i::DOUBLE])),
+    lambda r, x: list_reduce(list_prepend([1e9::DOUBLE], list_transform(range(1, 17), lambda j: [j::DOUBLE])), lambda row, j: list_append(row, least(r[j[1]::INT + 1], row[-1], r[j[1]::INT]) + c[(16 * x[1] + j[1])::INT])))[-1], 4) AS cost, 16 AS n_common FROM c""")
+def g07_common_time(spark, sf_dir):
+    """The pairs of the next query on a common time line: the path's cost, and the number of common frames."""
+    import numpy as np
+    import pandas as pd
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for v, a, b in pdf[["vec_id", "a", "b"]].itertuples(index=False):
+                a, b = np.reshape(a, (16, 4)).astype(float), np.reshape(b, (16, 4)).astype(float)
+                x, y = audio.aligned(a, b, 0.5)
+                rows.append((v, round(audio.path_cost(a, b, audio.dtw(a, b)), 4), len(x) if x.shape == y.shape else -1))
+            yield pd.DataFrame(rows, columns=["vec_id", "cost", "n_common"])
+
+    return pairs(spark, sf_dir).mapInPandas(run, "vec_id long, cost double, n_common int")
+
+
 @query()
 def g07_dtw_alignment(spark, sf_dir):
     """Embeddings as 16 frames of 4 features, each aligned with the next one."""

@@ -561,3 +561,14 @@ def test_catalog_keys_fold_forms_and_case(spark, tmp_path):
     (tmp_path / "c.md").write_text("# s\n| id | name |\n|---|---|\n| ＡＢ | x |\n| ab | y |\n| ß | z |\n| SS | z |\n| c | z |\n", encoding="utf-8")
     rows = readers.catalog(spark, str(tmp_path / "c.md"), ["id", "name"]).orderBy("line").collect()
     assert [(r["id"], r["reason"]) for r in rows] == [("ＡＢ", None), ("ab", "duplicate_key"), ("ß", None), ("SS", "duplicate_key"), ("c", None)]
+
+
+@pytest.mark.parametrize("cells", [1, 16, 4096])
+def test_dtw_in_linear_memory(monkeypatch, cells):
+    """The path by divided parts is that of the whole table."""
+    monkeypatch.setattr(audio, "_CELLS", cells)
+    rnd = np.random.default_rng(cells)
+    for n, m in ((7, 9), (40, 33), (3, 90), (90, 3), (1, 5), (5, 1), (2, 8)):
+        a, b = rnd.normal(size=(n, 5)), rnd.normal(size=(m, 5))
+        assert audio.dtw(a, b) == audio._whole_path(audio._unit(a), audio._unit(b))
+    assert audio.dtw(np.empty((0, 3)), np.ones((2, 3))) == []
