@@ -757,3 +757,21 @@ def test_decontamination_passages_and_rare_seeds(spark):
     # Of each four the two with the rarest words, whatever the others are like.
     assert [sum(p // 4 == k for p in items.place.tolist()) for k in range(5)] == [2, 2, 2, 2, 2]
     assert "of rare1 rare2" in chosen and "rare1 rare2 the" in chosen and "rare3 of the" in chosen
+
+
+def test_line_dedup_under_a_hot_head(spark):
+    """600 lines of 15 words begin with the same ten; 150 of them are copies of others with three words edited."""
+    rnd = random.Random(51)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9))
+    head, lines = [word() for _ in range(10)], []
+    for _ in range(150):
+        tail = [word() for _ in range(5)]
+        lines.append((head + tail, False))
+        edited = list(tail)
+        for j in rnd.sample(range(5), 3):
+            edited[j] = word()
+        lines.append((head + edited, True))
+    lines += [(head + [word() for _ in range(5)], False) for _ in range(300)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, (w, _) in enumerate(lines)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["_sl_removed"] for r in line_dedup.dedup(docs, full=True).collect()}
+    assert {i for i, n in got.items() if n} == {i for i, (_, copy) in enumerate(lines) if copy}
