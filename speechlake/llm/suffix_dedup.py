@@ -310,7 +310,7 @@ def _sort(length: int):
 
 _DEALT = "part int, n int, ids binary, text binary"
 #: Windows looked at for each bucket to find where buckets begin.
-_SAMPLED = 64
+_SAMPLED = 16
 
 
 def splitters(spans: DataFrame, length: int, parts: int) -> list[tuple]:
