@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -14,9 +13,23 @@ from pyspark.sql import types as K
 
 def repeats(text: str | None, length: int, tolerance: int) -> bool:
     """Whether an overlapping n-gram of characters occurs more than ``tolerance`` times."""
-    if not text or len(text) - length + 1 <= tolerance:
+    if not text or len(text) - length + 1 <= max(tolerance, 0):
         return False
-    return max(Counter(map("".join, zip(*(text[i:] for i in range(length)), strict=False))).values()) > tolerance
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
+    size = max(4096, 2 * length)
+    # Growing prefixes: a repetitive text is known by its beginning.
+    while True:
+        part = points[:size]
+        code = part[: len(part) - length + 1]
+        for k in range(1, length):
+            # Three code points fill 63 bits; before a fourth, codes become numbers of distinct ones.
+            code = np.unique(code, return_inverse=True)[1].astype(np.uint64) if k >= 3 else code
+            code = code << np.uint64(21) | part[k : k + len(code)]
+        if np.unique(code, return_counts=True)[1].max() > tolerance:
+            return True
+        if size >= len(points):
+            return False
+        size *= 4
 
 
 def repetition(length: int = 2, tolerance: int = 10):

@@ -36,6 +36,18 @@ def test_repeats():
     assert not V.repeats("", 2, 10) and not V.repeats(None, 2, 0)
 
 
+def test_repeats_against_counting():
+    from collections import Counter
+
+    rnd = random.Random(6)
+    for length in (1, 2, 3, 4, 6):
+        for _ in range(40):
+            text = "".join(rnd.choice("abé😀") for _ in range(rnd.choice([0, 3, 50, 9000]))) if rnd.random() < 0.7 else "".join(map(chr, rnd.choices(range(97, 9000), k=6000)))
+            most = max(Counter(text[i : i + length] for i in range(len(text) - length + 1)).values(), default=0)
+            for tolerance in (0, most - 1, most):
+                assert V.repeats(text, length, tolerance) == (most > tolerance) or tolerance < 0
+
+
 def test_error_rates(spark):
     assert one(spark, T.error_rate(F.col("a"), F.col("b")), a="東京", b="東") == 0.5
     assert one(spark, T.error_rate(F.col("a"), F.col("b")), a="", b="x") == 1.0
