@@ -19,13 +19,17 @@ _ONE = {c: f for c, f in _FOLDS.items() if len(f) == 1}
 _MORE = {c: f for c, f in _FOLDS.items() if len(f) > 1 and c != "ß"}
 
 
+#: What all of those are in: two letters, and everything from the long s on.
+_RARE = "[\u00b5\u0149\u017f-\U0010ffff]"
+
+
 def folded(x: Column) -> Column:
     """Full case folding: lower case, and what folding maps beyond it (ß to ss, long s, final sigma, ligatures)."""
-    low = F.replace(F.translate(F.lower(x), "".join(_ONE), "".join(_ONE.values())), F.lit("ß"), F.lit("ss"))
-    spread = F.create_map(*[F.lit(t) for pair in _MORE.items() for t in pair])
-    # Rare characters: only texts that have some are taken apart.
+    spread = F.create_map(*[F.lit(t) for pair in (_ONE | _MORE).items() for t in pair])
+    # Only texts that may have rare characters are taken apart.
     apart = lambda t: F.array_join(F.transform(F.split(t, ""), lambda c: F.coalesce(F.try_element_at(spread, c), c)), "")
-    return F.transform(F.array(low), lambda t: F.when(t.rlike(f"[{''.join(_MORE)}]"), apart(t)).otherwise(t))[0]
+    low = F.replace(F.lower(x), F.lit("ß"), F.lit("ss"))
+    return F.when(low.rlike(_RARE), apart(low)).otherwise(low)
 
 
 def leakage_form(x: Column) -> Column:
