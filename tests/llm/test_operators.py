@@ -775,3 +775,44 @@ def test_line_dedup_under_a_hot_head(spark):
     docs = spark.createDataFrame([(i, " ".join(w)) for i, (w, _) in enumerate(lines)], "doc_id long, text string").repartition(4)
     got = {r["doc_id"]: r["_sl_removed"] for r in line_dedup.dedup(docs, full=True).collect()}
     assert {i for i, n in got.items() if n} == {i for i, (_, copy) in enumerate(lines) if copy}
+
+
+def test_full_line_dedup_with_edits_in_every_fifth_word(spark):
+    """400 lines of 40 words, each with a copy of which every fifth word differs: few of its word grams are left."""
+    rnd = random.Random(52)
+    word = lambda: "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rnd.randint(3, 9)))
+    lines = []
+    for _ in range(400):
+        line = [word() for _ in range(40)]
+        lines += [line, [word() if j % 5 == 4 else w for j, w in enumerate(line)]]
+    assert full_removed(spark, [" ".join(w) for w in lines]) == [0, 1] * 400
+
+
+def test_full_line_dedup_where_all_words_are_hot(spark):
+    """600 lines of 20 words with one head; over 64 lines share each word of their tails, too. Against all pairs."""
+    rnd = random.Random(53)
+    head, vocab = [f"head{c}" for c in "abcdefghijkl"], ["".join(rnd.choice("bcdfgklmnprst") + rnd.choice("aeiou") for _ in range(3)) for _ in range(40)]
+    tails = []
+    for _ in range(300):
+        tail = rnd.choices(vocab, k=8)
+        tails.append(tail)
+        tails.append([rnd.choice(vocab) if j in (1, 3, 4, 6) else w for j, w in enumerate(tail)])
+    rnd.shuffle(tails)
+    root = list(range(len(tails)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, x in enumerate(tails):
+        for j, y in enumerate(tails[:i]):
+            if (Counter(x) - Counter(y)).total() <= 4 and edits(x, y) <= 4:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    kept, want = set(), []
+    for i in range(len(tails)):
+        want.append(int(find(i) in kept))
+        kept.add(find(i))
+    got = full_removed(spark, [" ".join(head + t) for t in tails])
+    assert 250 < sum(want) < 500 and got == want
