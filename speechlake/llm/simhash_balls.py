@@ -26,6 +26,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import reduce
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -39,6 +40,8 @@ from .tokens import Recent, once, slices
 
 BITS = 64
 _SUM_ROWS = 1 << 16
+#: Variants that are held at once, and fingerprints whose messages are.
+_VARIANTS, _SENT = 500_000, 4_000
 
 
 def fingerprint(text: bytes, shingle: int | tuple[int, ...] = 4, seed: int = 42) -> int:
@@ -82,9 +85,9 @@ def _flips(bits: range, most: int) -> list[np.uint64]:
     return [np.uint64(sum(1 << b for b in at)) for k in range(most + 1) for at in combinations(bits, k)]
 
 
-def links(fps: DataFrame, n_fps: int, radius: int = 4) -> DataFrame:
+def links(fps: DataFrame, n_fps: int, radius: int = 4, held: int = _VARIANTS) -> DataFrame:
     """fps (fp long, distinct) -> (a, b): for every variant that several fingerprints share, its smallest
-    one with each other one. Equal links from one task come once. ``radius`` is even: half of it goes to each side."""
+    one with each other one. Equal links from one task come once; about ``held`` variants are in its memory at once. ``radius`` is even: half of it goes to each side."""
     if radius % 2:
         raise ValueError(f"the radius is twice that of a ball, so it is even, not {radius}")
     half = radius // 2
@@ -97,22 +100,29 @@ def links(fps: DataFrame, n_fps: int, radius: int = 4) -> DataFrame:
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.asarray(b.column("fp")).view(np.uint64)
-            for lo in range(0, len(fp), 20_000):
-                some = fp[lo : lo + 20_000]
-                top = some >> np.uint64(shift)
+            for lo in range(0, len(fp), _SENT):
+                part = fp[lo : lo + _SENT]
+                top = part >> np.uint64(shift)
                 to = np.concatenate([top ^ m for _, m in masks]).astype(np.int64)
-                left = np.repeat(np.array([half - k for k, _ in masks], dtype=np.int8), len(some))
-                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(left), pa.array(np.tile(some, len(masks)).view(np.int64))], names=["_sl_prefix", "_sl_left", "fp"])
-
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        fp, left = pdf["fp"].to_numpy().view(np.uint64), pdf["_sl_left"].to_numpy()
-        tail = np.uint64((1 << shift) - 1)
+                left = np.repeat(np.array([half - k for k, _ in masks], dtype=np.int8), len(part))
+                yield pa.RecordBatch.from_arrays([pa.array(to), pa.array(left), pa.array(np.tile(part, len(masks)).view(np.int64))], names=["_sl_prefix", "_sl_left", "fp"])
+
+    def some(fp: np.ndarray, left: np.ndarray, bits: int) -> Iterator[np.ndarray]:
+        """Links of fingerprints (flips left of each) that share a variant; the variants' other bits are the lowest ones."""
+        mine = [np.unique(fp[left == half - k]) for k in range(half + 1)]
+        if bits > 1 and sum(len(m) * comb(bits, i) for k, m in enumerate(mine) for i in range(half - k + 1)) > held:
+            # Fingerprints that begin alike can be many: one bit more, which those with a flip left may have either way.
+            top = (fp >> np.uint64(bits - 1)) & np.uint64(1)
+            for b in (0, 1):
+                same, other = top == b, (top != b) & (left > 0)
+                yield from some(np.concatenate([fp[same], fp[other]]), np.concatenate([left[same], left[other] - 1]), bits - 1)
+            return
+        tail = np.uint64((1 << bits) - 1)
         variants, owners = [], []
         for k in range(half + 1):
-            mine = np.unique(fp[left == half - k])
-            flips = ball[k]
-            variants.append(((mine & tail)[:, None] ^ flips[None, :]).ravel())
-            owners.append(np.repeat(mine, len(flips)))
+            flips = np.array(_flips(range(bits), half - k), dtype=np.uint64) if bits < shift else ball[k]
+            variants.append(((mine[k] & tail)[:, None] ^ flips[None, :]).ravel())
+            owners.append(np.repeat(mine[k], len(flips)))
         v, o = np.concatenate(variants), np.concatenate(owners)
         order = np.argsort(v, kind="stable")
         v, o = v[order], o[order]
@@ -120,14 +130,18 @@ def links(fps: DataFrame, n_fps: int, radius: int = 4) -> DataFrame:
         group = np.cumsum(first) - 1
         size = np.bincount(group, minlength=1)
         many = size[group] > 1
-        v, o, group = v[many], o[many], group[many]
+        o, group = o[many], group[many]
         if not len(o):
-            return pd.DataFrame({"a": np.empty(0, dtype=np.int64), "b": np.empty(0, dtype=np.int64)})
+            return
         at = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
         least = np.minimum.reduceat(o, at)[np.cumsum(np.r_[True, group[1:] != group[:-1]]) - 1]
         pair = np.unique(np.stack([least, o], axis=1)[least != o], axis=0)
-        pair = pair[np.bitwise_count(pair[:, 0] ^ pair[:, 1]) <= radius]
-        return pd.DataFrame({"a": pair[:, 0].view(np.int64), "b": np.ascontiguousarray(pair[:, 1]).view(np.int64)})
+        yield pair[np.bitwise_count(pair[:, 0] ^ pair[:, 1]) <= radius]
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        found = list(some(pdf["fp"].to_numpy().view(np.uint64), pdf["_sl_left"].to_numpy(), shift))
+        pair = np.unique(np.concatenate([np.empty((0, 2), dtype=np.uint64), *found]), axis=0)
+        return pd.DataFrame({"a": np.ascontiguousarray(pair[:, 0]).view(np.int64), "b": np.ascontiguousarray(pair[:, 1]).view(np.int64)})
 
     sent = fps.select("fp").mapInArrow(send, "_sl_prefix long, _sl_left byte, fp long")
     return sent.groupBy("_sl_prefix").applyInPandas(meet, "a long, b long").distinct()

@@ -816,3 +816,26 @@ def test_full_line_dedup_where_all_words_are_hot(spark):
         kept.add(find(i))
     got = full_removed(spark, [" ".join(head + t) for t in tails])
     assert 250 < sum(want) < 500 and got == want
+
+
+def test_ball_links_of_fingerprints_that_begin_alike(spark):
+    """All in one prefix: with few variants in memory at once the same are connected as by all pairs."""
+    rnd = random.Random(54)
+    fps = {rnd.getrandbits(24) for _ in range(60)}
+    fps |= {x ^ (1 << rnd.randrange(64)) ^ (1 << rnd.randrange(30)) ^ (1 << rnd.randrange(30)) for x in list(fps) for _ in range(2)}
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    df = spark.createDataFrame([(signed(x),) for x in sorted(fps)], "fp long")
+    got = components(simhash_balls.links(df, len(fps), held=3000)).collect()
+    groups = defaultdict(set)
+    for r in got:
+        groups[r["root"]].add(r["node"])
+    want, left = set(), set(fps)
+    while left:
+        part, new = set(), {left.pop()}
+        while new:
+            part |= new
+            new = {y for y in left if any((x ^ y).bit_count() <= 4 for x in new)}
+            left -= new
+        if len(part) > 1:
+            want.add(frozenset(map(signed, part)))
+    assert len(want) > 10 and {frozenset(g) for g in groups.values()} == want
