@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 from math import comb
@@ -14,10 +15,11 @@ import public_tokenizers
 import pytest
 import sentencepiece
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from speechlake.llm import bestfit_packing, decontamination, line_dedup, quality_rules, simhash_balls, substring_dedup, token_counts, token_planes, url_rules, vector_sharding
-from speechlake.llm.common import components, scratch
+from speechlake.llm.common import components, scratch, written
 from speechlake.llm.queries import vocabulary
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -839,3 +841,15 @@ def test_ball_links_of_fingerprints_that_begin_alike(spark):
         if len(part) > 1:
             want.add(frozenset(map(signed, part)))
     assert len(want) > 10 and {frozenset(g) for g in groups.values()} == want
+
+
+def test_written_leaves_no_shuffle_files(spark):
+    """Else they stay until the driver collects its garbage; the session's own setting stays."""
+    shuffles = lambda: {f for f in spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString(" ").split() if "shuffle_" in f}
+    before, said = shuffles(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    out = written(spark.range(5000).groupBy((F.col("id") % 700).alias("k")).agg(F.count("*").alias("n")))
+    until = time.time() + 10
+    while shuffles() - before and time.time() < until:
+        time.sleep(0.2)
+    assert not shuffles() - before and out.count() == 700
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == said
