@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from speechlake.llm import bestfit_packing, decontamination, line_dedup, quality_rules, simhash_balls, substring_dedup, token_counts, token_planes, url_rules, vector_sharding
-from speechlake.llm.common import components, scratch, written
+from speechlake.llm.common import components, remembered, scratch, written
 from speechlake.llm.queries import vocabulary
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -853,3 +853,18 @@ def test_written_leaves_no_shuffle_files(spark):
         time.sleep(0.2)
     assert not shuffles() - before and out.count() == 700
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == said
+
+
+def test_full_line_dedup_keeps_one_table(spark):
+    docs = spark.createDataFrame([(i, f"one two three four five six word{i % 7}x and more") for i in range(50)], "doc_id long, text string")
+    with remembered([]) as own:
+        assert sum(r["_sl_removed"] for r in line_dedup.dedup(docs, full=True).collect()) > 40
+    # The lines that go and the mask that finds their documents.
+    assert len(own) > 10 and len([t for t in own if "_sl_path" in t.__dict__]) == 2
+
+
+def test_full_line_dedup_by_blocks_and_finer_keys(spark, monkeypatch):
+    """With blocks of 32 lines the hot head's pairs get finer keys, and some of these several blocks."""
+    monkeypatch.setattr(line_dedup, "_BLOCK", 32)
+    test_line_dedup_under_a_hot_head(spark)
+    test_full_line_dedup_where_all_words_are_hot(spark)
