@@ -97,7 +97,8 @@ def _spans(body: np.ndarray, shift: int, begins: np.ndarray, ends: np.ndarray, l
     whole = _rolled(byte, length, _M2)
     # The first and the last window cover the span: it has at most ``wide`` windows.
     s = _mix(_mix(whole[first]) * _M1 + _mix(whole[last] ^ _M1) + (last - first).astype(np.uint64) * np.uint64(128) + (anchor - first).astype(np.uint64))
-    return first + shift, last + shift, anchor + shift, row, grams[anchor], s
+    # Mixed once more: a least hash is a small number, and a quarter of all spans would share the first of 256 buckets.
+    return first + shift, last + shift, anchor + shift, row, _mix(grams[anchor]), s
 
 
 class Spans:

@@ -121,3 +121,11 @@ def test_spans_hold_every_window_once(monkeypatch, block):
             w = b.body[x : x + 20].tobytes()
             assert offset.setdefault(w, anchor - x) == anchor - x
     assert sorted(found) == [x for e, n in zip(ends.tolist(), b.sizes.tolist(), strict=True) for x in range(e - n, e - 20 + 1)]
+
+
+def test_buckets_of_anchors_are_even():
+    r = random.Random(5)
+    body = bytes(r.choice(b"abcdefgh ") for _ in range(300_000))
+    m = suffix_dedup.Spans([1], [len(body)], body, 100, 40).kinds()[0]
+    sizes = [hi - lo for _, lo, hi in suffix_dedup._cuts(m, 6)]
+    assert len(sizes) == 64 and max(sizes) < 1.5 * len(m) / 64
