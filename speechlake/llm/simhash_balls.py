@@ -35,8 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, written
-from .tokens import Recent, once, slices
+from .common import components, discard, written
+from .tokens import Recent, slices
 
 BITS = 64
 _SUM_ROWS = 1 << 16
@@ -207,7 +207,8 @@ def _near_rows(rows: DataFrame, text: str, doc_id: str, length: int) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
-        seen = once(("near words",), lambda: Recent(400_000))
+        # Not kept for the worker's next tasks: executors run short of memory in joins that come later.
+        seen = Recent(400_000)
         for b in batches:
             column, out = b.column("_sl_text"), []
             for lo, hi in slices(b.column("_sl_size").to_pylist()):
@@ -297,10 +298,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
         rooted = lambda df, known=known: df.join(known, F.col("nid") == F.col("_sl_node"), "left").withColumn("root", F.coalesce("root", "nid")).drop("_sl_node")
         if banded is None:
             several = rooted(blocks).groupBy(F.col("block").alias("_sl_k")).agg(F.min("root").alias("_sl_lo"), F.max("root").alias("_sl_hi")).where("_sl_lo < _sl_hi").select("_sl_k")
-            band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(_SKETCH // _BAND - 1)), lambda k: F.xxhash64("block", k, F.substring(F.col("sketch"), 2 * _BAND * k + 1, F.lit(2 * _BAND)))))
-            banded = blocks.join(several, F.col("block") == F.col("_sl_k"), "left_semi").join(nodes.select("nid", "sketch"), "nid").select("nid", band.alias("band")).distinct()
-            shared = banded.groupBy(F.col("band").alias("_sl_k")).agg(F.count("*").alias("_sl_n")).where("_sl_n > 1").select("_sl_k")
-            banded = written(banded.join(shared, F.col("band") == F.col("_sl_k"), "left_semi"))
+            banded = written(_banded(blocks.join(several, F.col("block") == F.col("_sl_k"), "left_semi"), nodes))
         ends = written(rooted(banded).groupBy("band", "root").agg(F.min("nid").alias("nid")))
         groups = ends.groupBy("band").agg(F.count("*").alias("_sl_n")).agg(F.max("_sl_n")).first()[0] or 0
         if groups < 2:
@@ -322,6 +320,24 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     return rows.join(written(of_root.select(F.col("_sl_w._sl_row").alias("_sl_row"))), "_sl_row", "left_semi").select(*docs.columns)
 
 
+def _banded(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
+    """blocks (block, nid; distinct), nodes (nid, sketch) -> (nid, band): the bands that several nodes of a block share.
+
+    Most bands are a single node's, so those that no two nodes have anywhere end first, by node: else each would be
+    shuffled once for every block that its node is in."""
+    part = lambda k: F.xxhash64(k, F.substring(F.col("sketch"), 2 * _BAND * k + 1, F.lit(2 * _BAND)))
+    bands = F.transform(F.sequence(F.lit(0), F.lit(_SKETCH // _BAND - 1)), part)
+    met = blocks.select(F.col("nid").alias("_sl_nid")).distinct()
+    own = written(nodes.join(met, F.col("nid") == F.col("_sl_nid"), "left_semi").select("nid", F.explode(bands).alias("_sl_b")))
+    some = own.groupBy(F.col("_sl_b").alias("_sl_k")).agg(F.count("*").alias("_sl_n")).where("_sl_n > 1").select("_sl_k")
+    kept = own.join(some, F.col("_sl_b") == F.col("_sl_k"), "left_semi").groupBy(F.col("nid").alias("_sl_nid")).agg(F.collect_set("_sl_b").alias("_sl_bands"))
+    met = blocks.join(written(kept), F.col("nid") == F.col("_sl_nid"))
+    banded = written(met.select("nid", "block", F.explode("_sl_bands").alias("_sl_b")).select("nid", F.xxhash64("block", "_sl_b").alias("band")))
+    discard(own)
+    shared = banded.groupBy(F.col("band").alias("_sl_k")).agg(F.count("*").alias("_sl_n")).where("_sl_n > 1").select("_sl_k")
+    return banded.join(shared, F.col("band") == F.col("_sl_k"), "left_semi")
+
+
 def _blocks(nodes: DataFrame, radius: int, seed: int) -> DataFrame:
     """nodes (nid, fp) -> (block, nid): two texts whose fingerprints share a variant, or are equal, share a block, that of
     the variant's least fingerprint."""

@@ -868,3 +868,19 @@ def test_full_line_dedup_by_blocks_and_finer_keys(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "_BLOCK", 32)
     test_line_dedup_under_a_hot_head(spark)
     test_full_line_dedup_where_all_words_are_hot(spark)
+
+
+def test_bands_of_blocks(spark):
+    """Nodes of many blocks: bands that no two nodes have end once for each node, not for each of its blocks."""
+    r, size = random.Random(3), 2 * simhash_balls._SKETCH
+    sketches = [bytes(r.randrange(256) for _ in range(size)) for _ in range(40)]
+    sketches += [x[:8] + bytes(r.randrange(256) for _ in range(size - 8)) for x in sketches[:10]]
+    blocks = [(b, n) for b in range(60) for n in range(50) if r.random() < 0.5]
+    step = 2 * simhash_balls._BAND
+    sharing = lambda a, b: sum(sketches[a][i : i + step] == sketches[b][i : i + step] for i in range(0, size, step))
+    own = [{n for b, n in blocks if b == k} for k in range(60)]
+    want = sorted(n for ns in own for n in ns for _ in range(max(sharing(n, m) if m != n else 0 for m in ns)))
+    with remembered([]) as tables:
+        got = simhash_balls._banded(spark.createDataFrame(blocks, "block long, nid long"), spark.createDataFrame(list(enumerate(map(bytearray, sketches))), "nid long, sketch binary")).collect()
+    assert sorted(x["nid"] for x in got) == want
+    assert max(t.count() for t in tables if t.__dict__.get("_sl_path")) < len(blocks)
