@@ -31,6 +31,8 @@ _BEGINS_WHITE = re.compile(f"[{_WS}]|\\Z").match
 _PLAIN = re.compile("[\\n -~\u00a1-\u00ff]*")
 _BYTE_PARTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _WORD_PARTS = r"'(?:[sdmt]|ll|ve|re)|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Marks that are a stretch of their own after a word, whatever follows; an apostrophe may begin one.
+_MARKS = frozenset(".,;:!?")
 #: Stretches kept by a worker.
 KEPT = 1_200_000
 
@@ -72,6 +74,18 @@ class Recent(dict):
             self.clear()
 
 
+class Learned(Recent):
+    """A Recent that makes the values it is asked for and doesn't have."""
+
+    def __init__(self, most: int, make: Callable):
+        super().__init__(most)
+        self.make = make
+
+    def __missing__(self, key):
+        value = self[key] = self.older[key] if key in self.older else self.make(key)
+        return value
+
+
 class Encoder:
     """ids_of(texts): for each text its ids as little-endian uint32 bytes, without special tokens added."""
 
@@ -83,7 +97,9 @@ class Encoder:
             raise ValueError(kind)
         self.tokenizer, self.kind = Tokenizer.from_file(file), kind
         # Stretches after a space (byte) or between spaces (word); whole stretches; what the pattern makes of them.
-        self.known, self.lone, self.parts = Recent(kept), Recent(kept // 4), Recent(kept // 2)
+        after = " " if kind == "byte" else ""
+        self.known, self.lone, self.parts = Learned(kept, lambda k: self.learn(k, after)), Learned(kept // 4, self.learn), Learned(kept // 2, self.merged)
+        self.tokenize = self.tokenizer.model.tokenize
         self.split = regex.compile(_BYTE_PARTS if kind == "byte" else _WORD_PARTS).findall
         # The byte-level alphabet: printable bytes stand for themselves, the others for 256, 257, ...
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -99,36 +115,33 @@ class Encoder:
             unit = unit.lower()
         return [unit] if (unit[1:] if unit[:1] == " " else unit).isalpha() else self.split(unit)
 
-    def whole(self, units: list[str]) -> list[bytes]:
+    def whole(self, unit: str) -> bytes:
         """Through the whole library: normaliser, special tokens, pattern and merges."""
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch(units, add_special_tokens=False)]
-
-    def merged(self, pieces: list[str]) -> list[bytes]:
-        """Through the library's model alone: each piece is one stretch of its pattern already."""
-        tokenize, letters = self.tokenizer.model.tokenize, self.letters
-        shown = lambda p: p.replace(" ", letters[32]).replace("\n", letters[10]) if p.isascii() else p.encode().decode("latin-1").translate(letters)
-        return [array("I", [t.id for t in tokenize(shown(p))]).tobytes() for p in pieces]
-
-    def learn(self, table: Recent, keys: set, before: str = "") -> None:
-        """Puts the ids of before + key into the table for every key."""
-        cut, unsure = [], []
-        tokenize, lead, lower = self.tokenizer.model.tokenize, before and self.letters[32], self.kind == "word"
-        for k in table.missing(keys):
-            if k.isascii() and k.isalpha():
-                # One stretch of the pattern: most words, and nothing to look up again.
-                table[k] = array("I", [t.id for t in tokenize(lead + (k.lower() if lower else k))]).tobytes()
-            elif before and _BEGINS_WHITE(k):
-                table[k] = None  # a space before white space or the end is no sure place to cut
-            elif (ps := self.pieces(before + k)) is None:
-                unsure.append(k)
-            else:
-                cut.append((k, ps))
-        if unsure:
-            table.update(zip(unsure, self.whole([before + k for k in unsure]), strict=True))
-        parts = self.parts
-        fresh = parts.missing(set().union(*[ps for _, ps in cut]))
-        parts.update(zip(fresh, self.merged(fresh), strict=True))
-        table.update((k, parts[ps[0]] if len(ps) == 1 else b"".join([parts[p] for p in ps])) for k, ps in cut)
+        return array("I", self.tokenizer.encode(unit, add_special_tokens=False).ids).tobytes()
+
+    def merged(self, piece: str) -> bytes:
+        """Through the library's model alone: the piece is one stretch of its pattern already."""
+        letters = self.letters
+        shown = piece.replace(" ", letters[32]).replace("\n", letters[10]) if piece.isascii() else piece.encode().decode("latin-1").translate(letters)
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
+
+    def learn(self, key: str, before: str = "") -> bytes | None:
+        """The ids of before + key."""
+        # One stretch of the pattern: most words, and nothing to look up again.
+        if key.isascii() and key.isalpha():
+            return array("I", [t.id for t in self.tokenize((before and self.letters[32]) + (key.lower() if self.kind == "word" else key))]).tobytes()
+        if _PLAIN.fullmatch(key):
+            # A word and one mark: two stretches. Lines of other characters than white space, apart.
+            own = self.known if before or self.kind == "word" else self.lone
+            if key[-1:] in _MARKS and key[:-1].isalpha():
+                return own[key[:-1]] + self.parts[key[-1]]
+            head, cut, tail = key.partition("\n")
+            if head and tail and " " not in key and tail[0] != "\n":
+                return own[head] + (self.parts[cut] + self.lone[tail] if self.kind == "byte" else own[tail])
+        if before and _BEGINS_WHITE(key):
+            return None  # a space before white space or the end is no sure place to cut
+        ps = self.pieces(before + key)
+        return self.whole(before + key) if ps is None else b"".join([self.parts[p] for p in ps])
 
     def ids_of(self, texts: list[str]) -> list[bytes]:
         with no_collection():
@@ -138,20 +151,16 @@ class Encoder:
         for t in (self.known, self.lone, self.parts):
             t.turn()
         units = [t.split(" ") for t in texts]
+        get = self.known.__getitem__
         if self.kind == "word":
-            self.learn(self.known, set().union(*units))
-            get = self.known.__getitem__
             return [b"".join(map(get, us)) for us in units]
-        heads = [us.pop(0) for us in units]
-        self.learn(self.known, set().union(*units), " ")
-        get, out, slow = self.known.__getitem__, [], {}
+        heads, out, slow = [us.pop(0) for us in units], [], {}
         for i, us in enumerate(units):
             try:
                 out.append(b"".join(map(get, us)))
             except TypeError:
                 out.append(b"")
                 slow[i] = _BYTE_UNIT.findall(texts[i])
-        self.learn(self.lone, set(heads).union(*slow.values()))
         lone = self.lone.__getitem__
         return [b"".join(map(lone, slow[i])) if i in slow else lone(h) + x for i, (h, x) in enumerate(zip(heads, out, strict=True))]
 

@@ -884,3 +884,19 @@ def test_bands_of_blocks(spark):
         got = simhash_balls._banded(spark.createDataFrame(blocks, "block long, nid long"), spark.createDataFrame(list(enumerate(map(bytearray, sketches))), "nid long, sketch binary")).collect()
     assert sorted(x["nid"] for x in got) == want
     assert max(t.count() for t in tables if t.__dict__.get("_sl_path")) < len(blocks)
+
+
+def test_words_are_merged_once():
+    """A word with a mark, or on a line of its own, takes the ids of the word; results are the library's."""
+    from speechlake.llm.tokens import Encoder
+
+    r = random.Random(9)
+    words = ["wort", "Wort", "ärger", "don't", "a1", "x.", "<|endoftext|>", "漢", "!!", "'s"]
+    odd = ["".join(r.choice([*words, " ", " ", "\n", ".", ",", "?", "\t"]) for _ in range(r.randrange(12))) for _ in range(3000)]
+    for name, kind in (("byte_bpe_50k.json", "byte"), ("word_bpe_49k.json", "word")):
+        e, asked = Encoder(vocabulary(name), kind), Counter()
+        tokenize = e.tokenize
+        e.tokenize = lambda x, tokenize=tokenize, asked=asked: (asked.update([x]), tokenize(x))[1]
+        e.ids_of(["a wort wort, wort. wort; a\nwort! b\nwort wort?\nb"])
+        assert max(n for x, n in asked.items() if "wort" in x) == 1 and sum("wort" in x for x in asked) <= 2
+        assert e.ids_of(odd) == [np.array(x.ids, dtype="<u4").tobytes() for x in e.tokenizer.encode_batch(odd, add_special_tokens=False)]
