@@ -12,7 +12,8 @@ smallest one is linked to the others: m - 1 links, which connect as much as all
 
 ``classes`` and ``dedup`` take links as they are. ``near_copies`` is for texts whose word 5-shingles are to be similar
 by 0.8: fingerprints of shingles lie too far apart there, so it takes those of words and word pairs, in which such
-texts are close, by three seeds (a pair that is close by any of them meets). Colliding pairs whose shingle counts or MinHash
+texts are close, by three seeds (a pair that is close by any of them meets). Texts that share no band of their MinHash sketches with any other take no part in it (a similar
+pair shares none with odds of 1 in 10^7). Colliding pairs whose shingle counts or MinHash
 sketches rule out that similarity end there (a similar pair does with odds of 1 in 10^5); the others are verified on
 the shingles themselves.
 
@@ -270,7 +271,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     """docs with one row of each group of equal or similar texts: the one with the smallest doc_id (of repeated rows,
     any one). Equal texts are one node; pairs of nodes come from ball hashing and are all verified.
 
-    A block is what one fingerprint collides with. First each node of a block meets the block's least; where a block
+    Only texts that share a sketch band with another have balls. A block is what one fingerprint collides with. First each node of a block meets the block's least; where a block
     still has several groups, its nodes meet by sketch bands: in a band the least nodes of some groups meet those of all
     others, with twice as many in each round, until all have met."""
     rows = written(docs.withColumn("_sl_row", F.monotonically_increasing_id()).withColumn("_sl_md5", F.md5(F.coalesce(text, F.lit("")))))
@@ -279,7 +280,11 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     least = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_sl_row")).alias("_sl_least")
     nodes = found.groupBy("_sl_md5").agg(*[F.first(c).alias(c) for c in (*prints, "n", "sketch")], least)
     nodes = written(nodes.withColumn("nid", F.monotonically_increasing_id()))
-    blocks = written(reduce(DataFrame.unionByName, [_blocks(nodes.where("n > 0").select("nid", F.col(fp).alias("fp")), radius, i) for i, fp in enumerate(prints)]))
+    # Texts of few common words have fingerprints that are close by chance, the more the more texts there are: those whose
+    # bands no other text has end before the balls.
+    bands = written(_shared_bands(nodes.where("n > 0")))
+    some = written(nodes.join(bands, F.col("nid") == F.col("_sl_nid"), "left_semi").select("nid", *prints))
+    blocks = written(reduce(DataFrame.unionByName, [_blocks(some.select("nid", F.col(fp).alias("fp")), radius, i) for i, fp in enumerate(prints)]))
 
     def similar(pairs: DataFrame) -> DataFrame:
         """Pairs (a, b) that are similar. Texts are read for those that counts and sketches don't rule out."""
@@ -298,7 +303,7 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
         rooted = lambda df, known=known: df.join(known, F.col("nid") == F.col("_sl_node"), "left").withColumn("root", F.coalesce("root", "nid")).drop("_sl_node")
         if banded is None:
             several = rooted(blocks).groupBy(F.col("block").alias("_sl_k")).agg(F.min("root").alias("_sl_lo"), F.max("root").alias("_sl_hi")).where("_sl_lo < _sl_hi").select("_sl_k")
-            banded = written(_banded(blocks.join(several, F.col("block") == F.col("_sl_k"), "left_semi"), nodes))
+            banded = written(_banded(blocks.join(several, F.col("block") == F.col("_sl_k"), "left_semi"), nodes, bands))
         ends = written(rooted(banded).groupBy("band", "root").agg(F.min("nid").alias("nid")))
         groups = ends.groupBy("band").agg(F.count("*").alias("_sl_n")).agg(F.max("_sl_n")).first()[0] or 0
         if groups < 2:
@@ -320,20 +325,27 @@ def near_copies(docs: DataFrame, words: int = 5, similarity: float = 0.8, radius
     return rows.join(written(of_root.select(F.col("_sl_w._sl_row").alias("_sl_row"))), "_sl_row", "left_semi").select(*docs.columns)
 
 
-def _banded(blocks: DataFrame, nodes: DataFrame) -> DataFrame:
-    """blocks (block, nid; distinct), nodes (nid, sketch) -> (nid, band): the bands that several nodes of a block share.
+def _shared_bands(nodes: DataFrame) -> DataFrame:
+    """nodes (nid, sketch) -> (_sl_nid, _sl_bands): the bands of a node that another node has too, if any.
 
-    Most bands are a single node's, so those that no two nodes have anywhere end first, by node: else each would be
-    shuffled once for every block that its node is in."""
+    Most bands are a single node's, so they end first, by node: else each would be shuffled once for every block that
+    its node is in."""
     part = lambda k: F.xxhash64(k, F.substring(F.col("sketch"), 2 * _BAND * k + 1, F.lit(2 * _BAND)))
     bands = F.transform(F.sequence(F.lit(0), F.lit(_SKETCH // _BAND - 1)), part)
-    met = blocks.select(F.col("nid").alias("_sl_nid")).distinct()
-    own = written(nodes.join(met, F.col("nid") == F.col("_sl_nid"), "left_semi").select("nid", F.explode(bands).alias("_sl_b")))
+    own = written(nodes.select("nid", F.explode(bands).alias("_sl_b")))
     some = own.groupBy(F.col("_sl_b").alias("_sl_k")).agg(F.count("*").alias("_sl_n")).where("_sl_n > 1").select("_sl_k")
-    kept = own.join(some, F.col("_sl_b") == F.col("_sl_k"), "left_semi").groupBy(F.col("nid").alias("_sl_nid")).agg(F.collect_set("_sl_b").alias("_sl_bands"))
-    met = blocks.join(written(kept), F.col("nid") == F.col("_sl_nid"))
-    banded = written(met.select("nid", "block", F.explode("_sl_bands").alias("_sl_b")).select("nid", F.xxhash64("block", "_sl_b").alias("band")))
+    kept = written(own.join(some, F.col("_sl_b") == F.col("_sl_k"), "left_semi"))
     discard(own)
+    return kept.groupBy(F.col("nid").alias("_sl_nid")).agg(F.collect_set("_sl_b").alias("_sl_bands"))
+
+
+def _banded(blocks: DataFrame, nodes: DataFrame, bands: DataFrame | None = None) -> DataFrame:
+    """blocks (block, nid; distinct), nodes (nid, sketch) -> (nid, band): the bands that several nodes of a block share.
+    bands: ``_shared_bands`` of the nodes, where they are known already."""
+    if bands is None:
+        bands = written(_shared_bands(nodes.join(blocks.select("nid").distinct(), "nid", "left_semi")))
+    met = blocks.join(bands, F.col("nid") == F.col("_sl_nid"))
+    banded = written(met.select("nid", "block", F.explode("_sl_bands").alias("_sl_b")).select("nid", F.xxhash64("block", "_sl_b").alias("band")))
     shared = banded.groupBy(F.col("band").alias("_sl_k")).agg(F.count("*").alias("_sl_n")).where("_sl_n > 1").select("_sl_k")
     return banded.join(shared, F.col("band") == F.col("_sl_k"), "left_semi")
 

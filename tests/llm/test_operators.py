@@ -886,6 +886,17 @@ def test_bands_of_blocks(spark):
     assert max(t.count() for t in tables if t.__dict__.get("_sl_path")) < len(blocks)
 
 
+def test_balls_of_texts_that_share_a_band(spark, monkeypatch):
+    """Texts of a few common words have close fingerprints by chance; only those with a similar text reach the balls."""
+    r, seen, links = random.Random(5), [], simhash_balls.links
+    texts = [" ".join(r.choice(["of", "the", "and", "to", "in"]) if r.random() < 0.9 else "w%d" % r.randrange(10**6) for _ in range(80)) for _ in range(120)]
+    docs = [(i, t) for i, t in enumerate([*texts, *(t + " end" for t in texts[:10])])]
+    monkeypatch.setattr(simhash_balls, "links", lambda fps, n, *a: (seen.append(n), links(fps, n, *a))[1])
+    got = simhash_balls.near_copies(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted(x["doc_id"] for x in got.collect()) == list(range(120))
+    assert len(seen) == 3 and max(seen) < 60
+
+
 def test_words_are_merged_once():
     """A word with a mark, or on a line of its own, takes the ids of the word; results are the library's."""
     from speechlake.llm.tokens import Encoder
