@@ -897,6 +897,33 @@ def test_balls_of_texts_that_share_a_band(spark, monkeypatch):
     assert len(seen) == 3 and max(seen) < 60
 
 
+def test_lines_are_alike_by_outlines_first(spark):
+    """The same pairs as by words and letters, of which only those that outlines leave open are read."""
+    r = random.Random(11)
+    base = [["w%d" % r.randrange(300) for _ in range(r.randrange(6, 70))] for _ in range(60)]
+    lines = base + [[w if r.random() < 0.85 else w + "x" if r.random() < 0.5 else "n%d" % r.randrange(300) for w in x] for x in base]
+    bits = [[xxhash.xxh32_intdigest(w) & 0xFFFFF for w in x] for x in lines]
+    df = spark.createDataFrame([(i, b, " ".join(x) if len(x) < 20 else None) for i, (b, x) in enumerate(zip(bits, lines, strict=True))], "nid long, bits array<int>, letters string")
+    ids = spark.range(len(lines)).withColumnRenamed("id", "nid")
+    pairs = spark.createDataFrame([(a, b) for a in range(len(lines)) for b in range(a + 1, len(lines)) if b == a + 60 or r.random() < 0.2], "a long, b long")
+
+    def alike(a, b):
+        n, e = max(len(bits[a]), len(bits[b])), edits(bits[a], bits[b])
+        if e <= n // 5:
+            return True
+        x, y = (" ".join(lines[i]) for i in (a, b))
+        return len(lines[a]) < 20 and len(lines[b]) < 20 and e <= max(0.2 * n, min(4, 0.4 * n)) + 1e-9 and edits(x, y) <= max(len(x), len(y)) // 5
+
+    want = sorted((x["a"], x["b"]) for x in pairs.collect() if alike(x["a"], x["b"]))
+    with remembered([]) as tables:
+        texts = line_dedup._texts(df, ids)
+        got = sorted((x["a"], x["b"]) for x in line_dedup._alike(pairs, texts, 0.8, pairs.count()).collect())
+    assert got == want and 20 < len(want) < 60
+    open_ones = [t for t in tables if t.columns == ["a", "b"]]
+    assert len(open_ones) == 1 and open_ones[0].count() <= 60
+    assert all(len(x["outline"]) == len(bits[x["nid"]]) for x in texts.collect())
+
+
 def test_words_are_merged_once():
     """A word with a mark, or on a line of its own, takes the ids of the word; results are the library's."""
     from speechlake.llm.tokens import Encoder
