@@ -80,9 +80,9 @@ def summary(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.groupBy(*by).agg(F.count("*").alias("n_rows"), F.round(F.sum("duration") / 3600, 6).alias("hours"), F.round(F.min("duration"), 6).alias("min_duration"), F.round(F.max("duration"), 6).alias("max_duration"))
 
 
-def tokens(rows: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct characters of each row, so that few of them reach a shuffle."""
-    return rows.select(*keep, F.explode(F.array_distinct(characters(F.col(text)))).alias("token"))
+def tokens(rows: DataFrame, text: str = "text", keep: tuple[str, ...] = (), empty: bool = False) -> DataFrame:
+    """Distinct characters of each row, so that few of them reach a shuffle. empty: an empty text has one token, itself (else none)."""
+    return rows.select(*keep, F.explode(F.array_distinct(F.split(text, "") if empty else characters(F.col(text)))).alias("token"))
 
 
 def vocabulary(rows: DataFrame, text: str = "text", ascii_too: bool = False) -> DataFrame:

@@ -7,9 +7,13 @@ import random
 import wave
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from oracle import compare, connect
 from pyspark.sql import functions as F
 
+from speechlake.catalog import ORACLES, QUERIES
 from speechlake.functions import text as T
 from speechlake.functions import vectorized as V
 from speechlake.functions import vectors as X
@@ -584,3 +588,28 @@ def test_dtw_in_linear_memory(monkeypatch, cells):
         a, b = rnd.normal(size=(n, 5)), rnd.normal(size=(m, 5))
         assert audio.dtw(a, b) == audio._whole_path(audio._unit(a), audio._unit(b))
     assert audio.dtw(np.empty((0, 3)), np.ones((2, 3))) == []
+
+
+#: (text, lang); with an empty English text the vocabulary of SQL's string_split has the empty text.
+ODD_TEXTS = {
+    "empty_en": [("abc d", "en"), ("", "en"), ("", "de"), ("x bz", "de"), (None, "en"), (None, "de")],
+    "empty_de": [("abc d", "en"), ("", "de"), ("xa", "de")],
+    "no_space": [("\x00bc", "en"), ("b\x00 b\x85", "de"), ("a😀\U00020000漢", None)],
+    "no_english": [("abc", "de"), ("", "fr"), ("�", None)],
+    "equal_ids": [("ab", "en"), ("bb c", "en"), ("ax", "de"), ("a\tb", "de"), ("", "fr")],
+}
+
+
+def odd_documents(kind, tmp_path):
+    """(folder with documents of the kind, DuckDB connection to it)."""
+    ids = [0, 0, None, None, 1] if kind == "equal_ids" else range(len(ODD_TEXTS[kind]))
+    texts, langs = zip(*ODD_TEXTS[kind], strict=True)
+    pq.write_table(pa.table({"doc_id": pa.array(ids, pa.int64()), "text": pa.array(texts, pa.string()), "lang": pa.array(langs, pa.string())}), tmp_path / "documents.parquet")
+    return str(tmp_path), connect(str(tmp_path))
+
+
+@pytest.mark.parametrize("kind", sorted(ODD_TEXTS))
+def test_output_validation_of_odd_texts(spark, tmp_path, kind):
+    where, con = odd_documents(kind, tmp_path)
+    name = "t07_output_validation"
+    assert compare(name, QUERIES[name](spark, where), con, ORACLES[name]) == ""
