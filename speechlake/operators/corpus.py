@@ -85,9 +85,9 @@ def tokens(rows: DataFrame, text: str = "text", keep: tuple[str, ...] = (), empt
     return rows.select(*keep, F.explode(F.array_distinct(F.split(text, "") if empty else characters(F.col(text)))).alias("token"))
 
 
-def vocabulary(rows: DataFrame, text: str = "text", ascii_too: bool = False) -> DataFrame:
-    """Sorted distinct tokens with their index; the space is 0. Vocabularies are thousands of rows."""
-    found = tokens(rows, text).distinct()
+def vocabulary(rows: DataFrame, text: str = "text", ascii_too: bool = False, empty: bool = False) -> DataFrame:
+    """Sorted distinct tokens with their index; the space is 0. Vocabularies are thousands of rows. empty: as in ``tokens``."""
+    found = tokens(rows, text, empty=empty).distinct()
     if ascii_too:
         spark = rows.sparkSession
         found = found.union(spark.range(32, 127).select(F.chr("id"))).union(spark.range(192, 256).select(F.chr("id"))).distinct()

@@ -613,3 +613,10 @@ def test_output_validation_of_odd_texts(spark, tmp_path, kind):
     where, con = odd_documents(kind, tmp_path)
     name = "t07_output_validation"
     assert compare(name, QUERIES[name](spark, where), con, ORACLES[name]) == ""
+
+
+@pytest.mark.parametrize("kind", sorted(ODD_TEXTS))
+def test_token_ids_of_odd_texts(spark, tmp_path, kind):
+    where, con = odd_documents(kind, tmp_path)
+    name = "t13_token_ids"
+    assert compare(name, QUERIES[name](spark, where), con, ORACLES[name]) == ""
