@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as K
 
@@ -150,7 +153,102 @@ def normal_ja(text: str) -> tuple[str | None, list[tuple[str, int, str, str, str
 _EVENT = K.StructType([K.StructField("stage", K.StringType()), K.StructField("position", K.IntegerType()), *(K.StructField(n, K.StringType()) for n in ("source", "target", "kind"))])
 
 
-@F.pandas_udf(K.StructType([K.StructField("text", K.StringType()), K.StructField("events", K.ArrayType(_EVENT))]))
-def japanese(x: pd.Series) -> pd.DataFrame:
-    rows = [(None, []) if t is None else normal_ja(t) for t in x]
-    return pd.DataFrame({"text": [t for t, _ in rows], "events": [[dict(zip(_EVENT.names, e, strict=True)) for e in es] for _, es in rows]})
+_STAGES = ("normalize", "map", "trim", "reject")
+_KINDS = ("nfkc", "wave", "quote", "punct", "whitespace", "replacement_character")
+#: So many characters are normalised at once, or one text: a tenth to all of them become events.
+_JA_CHARACTERS = 1 << 19
+
+
+@cache
+def _ja_classes() -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(class of each code point, 0 if it stays; words: those of the classes first, then replacements; and by class: the
+    replacement's code point (0: none), its word, its kind, whether it is white space)."""
+    spaces = [c for c in map(chr, range(0x110000)) if c.isspace()]
+    changes = [("", "", "nfkc"), *((c, *edit) for c, edit in _JA.items()), *((c, " ", "whitespace") for c in spaces)]
+    words = [c for c, _, _ in changes]
+    words += sorted({to for _, to, _ in changes} - set(words))
+    classes = np.zeros(0x110000, dtype=np.uint8)
+    classes[[ord(c) for c, _, _ in changes[1:]]] = np.arange(1, len(changes))
+    code, word = (np.array([f(to) for _, to, _ in changes]) for f in (lambda to: ord(to) if to else 0, words.index))
+    kind = np.array([_KINDS.index(k) for _, _, k in changes])
+    return classes, words, code.astype("<u4"), word, kind, kind == _KINDS.index("whitespace")
+
+
+def normal_ja_rows(texts: list[str | None]) -> pa.StructArray:
+    """``normal_ja`` of each text as a struct of text and events; the code points of all texts are mapped together."""
+    classes, words, code, word, kind, space = _ja_classes()
+    words = list(words)
+    plain = [None if t is None or "\ufffd" in t else t if t.isascii() else unicodedata.normalize("NFKC", t) for t in texts]
+    sizes = np.array([len(p or "") for p in plain], dtype=np.int64)
+    ends = np.cumsum(sizes)
+    codes = np.frombuffer("".join(p or "" for p in plain).encode("utf-32-le"), dtype="<u4").copy()
+    at = np.flatnonzero(of := classes[codes])
+    of = of[at]
+    row = np.searchsorted(ends, at, side="right")
+    # Of a run of white space every second character goes.
+    follows = np.zeros(len(at), dtype=bool)
+    follows[1:] = space[of[1:]] & space[of[:-1]] & (np.diff(at) == 1) & (np.diff(row) == 0)
+    place = np.arange(len(at))
+    second = (place - np.maximum.accumulate(np.where(follows, 0, place))) % 2 == 1
+    codes[at] = new = np.where(second, 0, code[of])
+    gone = new == 0
+    mapped = np.delete(codes, at[gone]).tobytes().decode("utf-32-le")
+    stops = np.cumsum(sizes - np.bincount(row[gone], minlength=len(texts))).tolist()
+    # (row, stage, position, source, target, kind) of all other events, words as places in the list.
+    rare: list[tuple[int, int, int, int, int, int]] = []
+    out: list[str | None] = []
+
+    def also(i: int, stage: str, position: int, source: str, target: str, why: str) -> None:
+        words.extend((source, target))
+        rare.append((i, _STAGES.index(stage), position, len(words) - 2, len(words) - 1, _KINDS.index(why)))
+
+    for i, (t, p, a, b) in enumerate(zip(texts, plain, [0, *stops], stops, strict=False)):
+        if p is None:
+            out.append(None)
+            for m in re.finditer("\ufffd", t or ""):
+                also(i, "reject", m.start(), m[0], "", "replacement_character")
+            continue
+        if p is not t and p != t:
+            also(i, "normalize", 0, t, p, "nfkc")
+        cut = mapped[a:b]
+        out.append(bare := cut.strip())
+        if len(bare) < len(cut):
+            left, right = len(cut) - len(cut.lstrip()), len(cut.rstrip())
+            for x, y in ((0, left), (right, len(cut))):
+                if x < y:
+                    also(i, "trim", x, cut[x:y], "", "whitespace")
+    more = np.array(rare, dtype=np.int64).reshape(-1, 6).T
+    first = more[1] == _STAGES.index("normalize")
+    starts = ends - sizes
+    maps = (row, np.full(len(at), _STAGES.index("map")), at - starts[row], of, np.where(second, 0, word[of]), kind[of])
+    rows, *fields = (np.concatenate((m[first], x, m[~first])) for m, x in zip(more, maps, strict=True))
+    order = np.argsort(rows, kind="stable")
+    stage, position, source, target, why = (x[order].astype(np.int32) for x in fields)
+    named = lambda known, x: known.take(pa.array(x))
+    known = pa.array(words, pa.string())
+    columns = [named(pa.array(_STAGES), stage), pa.array(position), named(known, source), named(known, target), named(pa.array(_KINDS), why)]
+    offsets = np.concatenate(([0], np.cumsum(np.bincount(rows, minlength=len(texts))))).astype(np.int32)
+    events = pa.ListArray.from_arrays(pa.array(offsets), pa.StructArray.from_arrays(columns, names=_EVENT.names))
+    return pa.StructArray.from_arrays([pa.array(out, pa.string()), events], names=["text", "events"])
+
+
+def _ja_parts(texts: pa.Array) -> Iterator[list[str | None]]:
+    """The texts in runs of at most ``_JA_CHARACTERS`` characters (a longer text alone)."""
+    part, size = [], 0
+    for x in texts:
+        t = x.as_py()
+        if part and size + len(t or "") > _JA_CHARACTERS:
+            yield part
+            part, size = [], 0
+        part.append(t)
+        size += len(t or "")
+    if part:
+        yield part
+
+
+@F.arrow_udf(K.StructType([K.StructField("text", K.StringType()), K.StructField("events", K.ArrayType(_EVENT))]))
+def japanese(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """struct of the normalised text and its events. A batch goes out in parts, so that a task holds the events of one."""
+    for texts in batches:
+        for part in _ja_parts(texts):
+            yield normal_ja_rows(part)

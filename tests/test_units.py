@@ -620,3 +620,27 @@ def test_token_ids_of_odd_texts(spark, tmp_path, kind):
     where, con = odd_documents(kind, tmp_path)
     name = "t13_token_ids"
     assert compare(name, QUERIES[name](spark, where), con, ORACLES[name]) == ""
+
+
+def test_japanese_rows_equal_single_texts(spark, monkeypatch):
+    """Texts that are normalised together get what each gets alone, in parts of any size."""
+    rnd = random.Random(7)
+    texts = [None, "", " ", " \u3000\t ", "a", "�", "a�b� ", 'x " " y', ' " x', "ｶﾞ", "㌔ ﷺ", "\x00 \x1c", "〜～〰~", "a ", " b", "😀\U00020000 ,", "\u200b\ufeff", "quite plain, and long. " * 50]
+    texts += ["".join(rnd.choice("ab \t\n\u3000\u2028\x85'\",.?!「」〜Ａｶﾞ漢😀�"[: rnd.choice((20, 25))]) for _ in range(rnd.randrange(12))) for _ in range(400)]
+    want = [(None, []) if t is None else V.normal_ja(t) for t in texts]
+    told = lambda rows: [(r["text"], [tuple(e[n] for n in ("stage", "position", "source", "target", "kind")) for e in r["events"]]) for r in rows]
+    assert told(V.normal_ja_rows(texts).to_pylist()) == want
+    assert V.normal_ja_rows([]).to_pylist() == []
+    for most, parts in ((1, len(texts)), (1 << 19, 1)):
+        monkeypatch.setattr(V, "_JA_CHARACTERS", most)
+        cut = list(V._ja_parts(pa.array(texts)))
+        assert [t for p in cut for t in p] == texts and (len(cut) > 300 if parts > 1 else len(cut) == 1)
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, t string").repartition(3).select("i", V.japanese("t").alias("x")).orderBy("i").collect()
+    assert told([r["x"] for r in rows]) == want
+
+
+def test_japanese_holds_events_of_few_texts():
+    """A batch of many long texts comes out in parts of few."""
+    texts = pa.array(["word, " * 2000] * 400)
+    parts = list(V.japanese.func(iter([texts])))
+    assert sum(map(len, parts)) == 400 and max(map(len, parts)) <= 50
