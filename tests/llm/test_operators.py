@@ -870,6 +870,21 @@ def test_full_line_dedup_by_blocks_and_finer_keys(spark, monkeypatch):
     test_full_line_dedup_where_all_words_are_hot(spark)
 
 
+def test_full_line_dedup_in_many_shares(spark, monkeypatch):
+    """The same lines go when keys, hot keys and pairs are met in shares, and no table has the rows of all keys or pairs."""
+    for name in ("_SHARE_KEYS", "_SHARE_LINES", "_SHARE_PAIRS"):
+        monkeypatch.setattr(line_dedup, name, 4000)
+    monkeypatch.setattr(line_dedup, "_BLOCK", 32)
+    with remembered([]) as tables:
+        seen, keep = [], line_dedup.discard
+        monkeypatch.setattr(line_dedup, "discard", lambda *ts: (seen.extend((t.columns, t.count()) for t in ts if "_sl_path" in t.__dict__), keep(*ts)))
+        test_line_dedup_under_a_hot_head(spark)
+    keyed = [n for columns, n in seen if columns == ["nid", "n", "p", "q", "_sl_key", "_sl_m"]]
+    assert len(keyed) > 1 and max(keyed) <= 8000
+    # Keys are not kept with words, and words only once.
+    assert all(not {"keys", "bits"} <= set(t.columns) and "words" not in t.columns for t in tables)
+
+
 def test_bands_of_blocks(spark):
     """Nodes of many blocks: bands that no two nodes have end once for each node, not for each of its blocks."""
     r, size = random.Random(3), 2 * simhash_balls._SKETCH
